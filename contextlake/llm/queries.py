@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contextlake.llm import chat, mixing
+from contextlake.llm import chat, fingerprints, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,14 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_source_mixing": op4_source_mixing,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 
 OP2_SQL = r"""
