@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from contextlake.llm import chat, fingerprints, mixing
+from contextlake.llm import chat, fingerprints, language, mixing, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,18 +23,40 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(turns.unionByName(extra))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    found = language.identify(docs.select("doc_id", "text"), docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    learn = labels.where(~held_out).select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
+    scored = quality.score_quality(docs, learn)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_url_filter": op3_url_filter,
     "op4_source_mixing": op4_source_mixing,
+    "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 OP2_SQL = r"""
