@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextlake.llm import chat, fingerprints, language, mixing, quality, urls
+from contextlake.llm import chat, chunks, decontamination, fingerprints, language, mixing, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.duplicate_chunks(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct("leaks.item_id"))
+    return leaks.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), ids.alias("item_ids"), F.coalesce(F.array_max("leaks.n_equal"), F.lit(0)).alias("most_equal_tokens"), "leaks")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -54,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_url_filter": op3_url_filter,
     "op4_source_mixing": op4_source_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_quality_classifier": op10_quality_classifier,

@@ -48,21 +48,29 @@ def slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    if n:
+    """base to the powers 0 to n-1, modulo 2**64; up to 4 Mi of them are kept for the next slice."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=U64)
         out[0] = 1
-    return np.cumprod(out, dtype=U64)
+        out = np.cumprod(out, dtype=U64)
+        if n > 1 << 22:
+            return out[:n]
+        _POWERS[base] = out
+    return _POWERS[base][:n]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each run without ASCII white space, and the row it is in.
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each run without separators (ASCII white space), and the row it is in.
 
     data holds the rows' bytes only: offsets[0] is 0 and offsets[-1] is len(data).
     """
     n = len(data)
     solid = np.zeros(n + 2, dtype=bool)
-    solid[1:-1] = ~_SPACE[data]
+    solid[1:-1] = ~separators[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(solid[1:] & (~solid[:-1] | edge))
