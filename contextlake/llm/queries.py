@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextlake.llm import chat, chunks, decontamination, fingerprints, language, mixing, quality, urls
+from contextlake.llm import chat, chunks, decontamination, fingerprints, language, mixing, neardup, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.duplicate_chunks(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_url_filter": op3_url_filter,
     "op4_source_mixing": op4_source_mixing,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
