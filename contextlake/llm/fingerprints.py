@@ -27,41 +27,49 @@ def digest(canon: Column) -> Column:
     return F.concat(half(0x5EED0001), half(0x5EED0002))
 
 
+_NO_ID = -(2**63)
+
+
 def _with_next(docs: DataFrame, range_rows: int) -> DataFrame:
-    """doc_id, text, digest and the next document's text and digest; after the last comes the first.
+    """range, key (doc_id; null: the least long), text and next_text; after the last row comes the first.
 
-    Order: doc_id, then text. Rows of one doc_id follow each other.
+    Order: key, then text. Every use of the result needs the same three columns of the same
+    exchange, so Spark deals the texts to ranges once.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     facts = docs.agg(F.min("key"), F.max("key"), F.count("*")).first()
     low, high, rows = facts[0] or 0, facts[1] or 0, facts[2]
     width = max(1, -(-(high - low + 1) // max(1, -(-rows // range_rows))))
-    docs = docs.withColumn("range", F.floor((F.col("key").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long"))
+    wide = lambda x: x.cast("decimal(38,0)")
+    docs = docs.withColumn("range", F.floor((wide(F.col("key")) - wide(F.lit(low))) / wide(F.lit(width))).cast("long"))
     order = Window.partitionBy("range").orderBy("key", "text")
-    here = docs.withColumn("next_text", F.lead("text").over(order)).withColumn("is_last", F.lead("key").over(order).isNull())
-    # the first id of each range that has rows; about rows / range_rows of them
-    firsts = docs.groupBy("range").agg(F.min("key").alias("first"))
-    following = firsts.select("range", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.lit(low)).alias("follows"))
-    heads = docs.join(following.select(F.col("follows").alias("key")).distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("head_text"))
-    edge = following.join(heads, following["follows"] == heads["key"]).select("range", "head_text")
+    here = docs.withColumn("next_text", F.lead("text").over(order)).withColumn("nth", F.row_number().over(order)).withColumn("next_key", F.lead("key").over(order))
+    # one row for each range that has rows, about rows / range_rows of them: its first text, for the range before it
+    heads = here.where("nth = 1").select(F.col("range").alias("head_range"), F.col("text").alias("head_text"))
+    ranges = docs.groupBy("range").agg(F.count("*").alias("n"))
+    around = Window.partitionBy()
+    follows = ranges.select("range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(around)).alias("head_range"))
+    edge = follows.join(heads, "head_range").select("range", "head_text")
     joined = here.join(edge, "range", "left")
-    return joined.select("range", "doc_id", "text", F.when(F.col("is_last"), F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"))
+    return joined.select("range", "key", "text", F.when(F.col("next_key").isNull(), F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"))
 
 
 def _split_buckets(rows: DataFrame) -> DataFrame:
-    """(digest, bytes_sha256, ordinal) of the digests under which different canonical bytes lie; as a rule none.
+    """(range, ordinals): for each range the ordinals, by digest and sha256, of digests under which different canonical bytes lie.
 
-    Only members of digests with two rows or more send their bytes, once per distinct text and task.
+    As a rule there are none. Only members of digests with two rows or more send their bytes, once per
+    distinct text and task; a range lists at most three digests for each of its rows.
     """
-    named = rows.select("range", F.explode(F.array("d", "e")).alias("digest"))
-    twice = named.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    # at most 2 digests for each row of a range go into its list
-    lists = named.join(twice, "digest").groupBy("range").agg(F.collect_set("digest").alias("listed"))
-    both = rows.join(lists, "range").select("listed", F.explode(F.array(F.struct(F.col("d").alias("digest"), F.col("canon").alias("bytes")), F.struct(F.col("e").alias("digest"), F.col("edited_canon").alias("bytes")))).alias("m"))
+    named = rows.select("range", F.explode(F.array(*[F.struct(F.lit(own).alias("own"), F.col(k).alias("digest")) for k, own in (("d", 1), ("e", 1), ("x", 0))])).alias("m")).select("range", "m.own", "m.digest")
+    twice = named.groupBy("digest").agg(F.sum("own").alias("n")).where("n > 1").select("digest")
+    lists = named.distinct().join(twice, "digest").select("range", "digest").distinct()
+    listed = lists.groupBy("range").agg(F.collect_set("digest").alias("listed"))
+    both = rows.join(listed, "range").select("listed", F.explode(F.array(F.struct(F.col("d").alias("digest"), F.col("canon").alias("bytes")), F.struct(F.col("e").alias("digest"), F.col("edited_canon").alias("bytes")))).alias("m"))
     texts = both.where(F.array_contains("listed", F.col("m.digest"))).select("m.digest", "m.bytes").groupBy("digest", "bytes").agg(F.count("*").alias("n"))
     each = Window.partitionBy("digest")
     unequal = texts.withColumn("different", F.count("*").over(each)).where("different > 1")
-    return unequal.select("digest", F.sha2("bytes", 256).alias("bytes_sha256"), F.row_number().over(each.orderBy("bytes")).alias("ordinal"))
+    ordinals = unequal.select("digest", F.concat("digest", F.sha2("bytes", 256)).alias("name"), F.row_number().over(each.orderBy("bytes")).alias("ordinal"))
+    return lists.join(ordinals, "digest").groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("name", "ordinal"))).alias("ordinals"))
 
 
 def fingerprint_documents(docs: DataFrame, range_rows: int = 1024) -> DataFrame:
@@ -75,14 +83,11 @@ def fingerprint_documents(docs: DataFrame, range_rows: int = 1024) -> DataFrame:
     cut = F.floor(F.length("text") / 4).cast("int")
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", cut)
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, CAST(n_chars AS INT) - cut)"), F.expr("substring(next_text, 1, cut)")))
-    rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited"))).withColumn("next_canon", canonical(F.col("next_text")))
     kinds = {"d": "canon", "e": "edited_canon", "x": "next_canon"}
-    rows = rows.select("range", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "canon", "edited_canon", *[digest(F.col(c)).alias(k) for k, c in kinds.items()], *[F.sha2(c, 256).alias(f"{k}_sha") for k, c in kinds.items()])
-    split = _split_buckets(rows)
-    out = rows.drop("canon", "edited_canon")
-    for k in kinds:
-        own = split.select(F.col("digest").alias(k), F.col("bytes_sha256").alias(f"{k}_sha"), F.col("ordinal").alias(f"{k}_ordinal"))
-        out = out.join(own, [k, f"{k}_sha"], "left")
-    full = {k: F.concat(F.col(k), F.coalesce(F.concat(F.lit("-"), F.col(f"{k}_ordinal").cast("string")), F.lit(""))) for k in kinds}
-    likeness = lambda other: F.when(full["d"] == full[other], 1.0).otherwise(0.0)
-    return out.select("doc_id", "n_chars", "edited_sha256", full["d"].alias("fingerprint"), full["e"].alias("edited_fingerprint"), likeness("e").alias("near_edited"), likeness("x").alias("near_next"))
+    rows = rows.withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited")), "next_canon": canonical(F.col("next_text"))})
+    rows = rows.select("range", "key", "n_chars", "edited", *kinds.values(), *[digest(F.col(c)).alias(k) for k, c in kinds.items()])
+    out = rows.join(_split_buckets(rows), "range", "left")
+    full = {k: F.concat(F.col(k), F.when(F.col("ordinals").isNotNull(), F.coalesce(F.concat(F.lit("-"), F.element_at("ordinals", F.concat(F.col(k), F.sha2(F.col(c), 256))).cast("string")), F.lit(""))).otherwise("")) for k, c in kinds.items()}
+    out = out.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), full["d"].alias("fingerprint"), full["e"].alias("edited_fingerprint"), full["x"].alias("next_fingerprint"))
+    likeness = lambda other: F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("edited_fingerprint").alias("near_edited"), likeness("next_fingerprint").alias("near_next"))
