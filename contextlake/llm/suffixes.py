@@ -72,7 +72,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Block:
     """The texts of one block in one buffer, in the order of doc_id, then text, with its anchors."""
 
-    def __init__(self, table: pa.Table, max_bytes: int = 1 << 21):
+    def __init__(self, table: pa.Table, max_bytes: int = 1 << 20):
         order = [("doc_id", "ascending"), ("text", "ascending")]
         self.table = table.sort_by(order).combine_chunks()
         self.ids = np.asarray(self.table.column("doc_id").to_numpy())
@@ -402,7 +402,7 @@ def _results(block: Block, gone: np.ndarray, carry: tuple[str, ...], kind: pa.Sc
     return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["doc_id", *carry, "n_bytes", "spans", "kept"]).cast(kind)
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), block_bytes: int = 8 << 20, range_keys: int = 1 << 20, hot: int = 50000, sample_suffixes: int = 100000) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), block_bytes: int = 3 << 20, range_keys: int = 1 << 20, hot: int = 50000, sample_suffixes: int = 100000) -> DataFrame:
     """doc_id, carry columns (strings), n_bytes, spans (start, n of removed runs), kept (binary) of every row.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a row with a smaller doc_id.
