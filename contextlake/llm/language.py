@@ -79,10 +79,10 @@ def identify(docs: DataFrame, learn_from: DataFrame, sample_per_language: int =
     names = list(counts)
     model = None
     if names:
-        df, n = ngrams.document_frequencies(learn.select(F.lit(0).alias("g"), "text"), _features, 1 << BITS)
-        idf = np.log((1 + n[0]) / (1 + df[0])) + 1
-        sample = ngrams.sampled(learn, _features, "lang", {k: min(1.0, sample_per_language / v) for k, v in counts.items()})
-        rows = [(slots, _vector(slots, c, idf), names.index(label)) for label, slots, c in sample if len(slots)]
+        coded = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (k, i)]), F.col("lang")).alias("g")
+        df, n, sample = ngrams.gather(learn.where(F.col("lang").isin(names)).select("doc_id", coded, "text"), _features, 1 << BITS, [min(1.0, sample_per_language / counts[k]) for k in names])
+        idf = np.log((1 + n.sum()) / (1 + df.sum(axis=0))) + 1
+        rows = [(slots, _vector(slots, c, idf), label) for label, slots, c in sample if len(slots)]
         fit = [r for i, r in enumerate(rows) if i % 5 or len(rows) < 50]
         weights = fit_ftrl(fit, len(names), 1 << BITS)
         kept = [r for i, r in enumerate(rows) if not i % 5]

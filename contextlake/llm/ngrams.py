@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contextlake.llm.store import checkpointed
+
 Features = Callable[[str], tuple[np.ndarray, np.ndarray]]
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -37,49 +39,46 @@ def char_ngrams(text: str, orders: tuple[int, ...], bits: int, letters_only: boo
     return slots, counts[slots]
 
 
-def document_frequencies(rows: DataFrame, features: Features, width: int, groups: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """How many rows of each group have each slot, and how many rows each group has, over all rows.
-
-    rows: (group int from 0, text). Each task sums its rows; at most groups * (width + 1) sums reach the driver.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((groups, width + 1), np.int64)
-        for batch in batches:
-            for group, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                slots, _ = features(text.as_py() or "")
-                sums[group, slots] += 1
-                sums[group, width] += 1
-        g, slot = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[g, slot])], names=["g", "slot", "n"])
-
-    got = rows.mapInArrow(run, "g int, slot int, n long").groupBy("g", "slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((groups, width + 1), np.int64)
-    out[got.column(0).to_numpy(), got.column(1).to_numpy()] = got.column(2).to_numpy()
-    return out[:, :width], out[:, width]
-
-
 def chance(column: Column, salt: str) -> Column:
     """A number in [0, 1) from a digest of the column; the same on every run and partitioning."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), F.coalesce(column.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def sampled(rows: DataFrame, features: Features, label: str, shares: dict, key: str = "doc_id", salt: str = "sample") -> list[tuple]:
-    """(label, slots, counts) of a sample of rows, in digest order: shares[label] of each label's rows, chosen by digest of the key.
+def gather(rows: DataFrame, features: Features, width: int, shares: list[float]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """One pass over rows (doc_id, g from 0, text): document frequencies of all of them, and a sample's features.
 
-    The caller chooses the shares so that the sample is bounded.
+    Returns (rows of each g with each slot, rows of each g, [(g, slots, counts)] of the sample in
+    digest order). shares[g] of the rows of g are sampled, by digest of doc_id; the caller chooses the shares so
+    that the sample is bounded. Each task sums its rows; at most len(shares) * (width + 1) sums reach the driver.
     """
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(label)]
-    at = chance(F.col(key), salt)
-    chosen = rows.withColumn("at", at).where(F.col("at") < share).select(F.col(label).alias("label"), "at", F.coalesce("text", F.lit("")).alias("text"))
-    kind = {"string": pa.string(), "int": pa.int32()}[dict(chosen.dtypes)["label"]]
+    groups = len(shares)
+    share = F.element_at(F.array(*[F.lit(float(x)) for x in shares]), F.col("g") + 1)
+    at = chance(F.col("doc_id"), "sample")
+    asked = rows.select("g", at.alias("at"), (at < share).alias("sampled"), F.coalesce("text", F.lit("")).alias("text"))
+    ints = pa.list_(pa.int32())
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), ints, ints]
+    names = ["g", "slot", "n", "at", "slots", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((groups, width + 1), np.int64)
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(kind), batch.column(1), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["label", "at", "slots", "counts"]
-            )
-
-    got = chosen.mapInArrow(run, f"label {dict(chosen.dtypes)['label']}, at double, slots array<int>, counts array<int>").toArrow().sort_by([("at", "ascending"), ("label", "ascending")])
-    return [(label, np.asarray(slots.values), np.asarray(counts.values)) for label, slots, counts in zip(got.column("label").to_pylist(), got.column("slots"), got.column("counts"), strict=True)]
+            chosen = []
+            for g, at, sampled, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                slots, counts = features(text.as_py())
+                sums[g, slots] += 1
+                sums[g, width] += 1
+                if sampled:
+                    chosen.append((g, None, None, at, slots.astype(np.int32), counts.astype(np.int32)))
+            if chosen:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*chosen, strict=True), kinds, strict=True)], names=names)
+        g, slot = np.nonzero(sums)
+        none = [pa.nulls(len(g), k) for k in kinds[3:]]
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[g, slot]), *none], names=names)
+
+    passed = checkpointed(asked.mapInArrow(run, "g int, slot int, n long, at double, slots array<int>, counts array<int>"))
+    total = passed.where("at IS NULL").groupBy("g", "slot").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros((groups, width + 1), np.int64)
+    df[total.column(0).to_numpy(), total.column(1).to_numpy()] = total.column(2).to_numpy()
+    got = passed.where("at IS NOT NULL").select("g", "at", "slots", "counts").toArrow().sort_by([("at", "ascending"), ("g", "ascending")])
+    sample = [(g, np.asarray(slots.values), np.asarray(counts.values)) for g, slots, counts in zip(got.column("g").to_pylist(), got.column("slots"), got.column("counts"), strict=True)]
+    return df[:, :width], df[:, width], sample

@@ -63,16 +63,19 @@ def fit_sigmoid(margins: np.ndarray, ones: np.ndarray, weights: np.ndarray, step
     return float(t[0]), float(t[1])
 
 
-def score_quality(docs: DataFrame, labelled: DataFrame, sample_per_class: int = 2000, smoothing: float = 1.0) -> DataFrame:
-    """doc_id, score (0 to 1, higher: label 1 likelier) of every row of docs; labelled gives doc_id, text and label (0 or 1).
+def score_quality(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000, smoothing: float = 1.0) -> DataFrame:
+    """doc_id, score (0 to 1, higher: label 1 likelier) of every row of docs (doc_id, text); labels gives doc_id and label (0 or 1).
 
-    Null text is empty; an empty text gets the score of its (blank) n-grams. If labelled has rows of one class only or
+    Null text is empty; an empty text gets the score of its (blank) n-grams. If labels has documents of one class only or
     none, every score is that class's, or 0.5. The sample has about sample_per_class rows of each class. Rows are judged
     one by one: repeated rows agree. Rows with a null or another label are not learned from; other columns are ignored.
     """
     spark = docs.sparkSession
-    learn = labelled.select("doc_id", F.col("label").cast("int").alias("label"), "text").where("label IN (0, 1)")
-    df, n = ngrams.document_frequencies(learn.select("label", "text"), _features, 1 << BITS, groups=2)
+    marked = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
+    known = dict(marked.groupBy("label").count().collect())
+    # labels grow with the documents, so neither side is broadcast at any size; this is the one join of the texts
+    learn = docs.select("doc_id", "text").hint("merge").join(marked, "doc_id")
+    df, n, sample = ngrams.gather(learn.select("doc_id", F.col("label").alias("g"), "text"), _features, 1 << BITS, [min(1.0, sample_per_class / max(1, known.get(k, 0))) for k in (0, 1)])
     if n.min() == 0:
         constant = 0.5 if n.max() == 0 else float(n[1] > 0)
         return docs.select("doc_id", F.lit(constant).alias("score"))
@@ -83,7 +86,6 @@ def score_quality(docs: DataFrame, labelled: DataFrame, sample_per_class: int =
         x = ratio[slots]
         return x / max(np.sqrt(x @ x), 1e-12)
 
-    sample = ngrams.sampled(learn, _features, "label", {k: min(1.0, sample_per_class / int(n[k])) for k in (0, 1)})
     rows = [(slots, scaled(slots)) for _, slots, _ in sample]
     ones = np.array([label == 1 for label, _, _ in sample], dtype=bool)
     held = np.arange(len(rows)) % 4 == 0

@@ -66,7 +66,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    learn = labels.where(~held_out).select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
+    learn = labels.where(~held_out).select("doc_id", F.col("quality").alias("label"))
     scored = quality.score_quality(docs, learn)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
