@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from contextlake.llm import ngrams
 
@@ -64,8 +65,8 @@ def fit_temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(min(grid, key=loss)) if len(labels) else 1.0
 
 
-def identify(docs: DataFrame, learn_from: DataFrame, sample_per_language: int = 800, languages: int = 256) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs; learn_from gives doc_id, text and lang.
+def identify(docs: DataFrame, learn_from: DataFrame, sample_per_language: int = 800, languages: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carry columns, lang_pred, score of every row of docs; learn_from gives doc_id, text and lang.
 
     lang_pred is ``und`` with score 0 where text is null or has no letter, or where nothing could be
     learned. Rows of learn_from without text or lang are not learned from. The sample has about
@@ -93,7 +94,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, sample_per_language: int =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for value in batch.column(1):
+            for value in batch.column(0):
                 text = value.as_py()
                 lang, score = "und", 0.0
                 if shared.value is not None and text and any(map(str.isalpha, text)):
@@ -105,6 +106,8 @@ def identify(docs: DataFrame, learn_from: DataFrame, sample_per_language: int =
                     lang, score = known[best], float(p[best] / p.sum())
                 langs.append(lang)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    passed = docs.select(F.col("text").alias("judged_text"), "doc_id", *carry)
+    schema = StructType(passed.schema.fields[1:] + StructType.fromDDL("lang_pred string, score double").fields)
+    return passed.mapInArrow(run, schema)
