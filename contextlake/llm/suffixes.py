@@ -66,7 +66,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     chosen = _slide(np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)]), width, np.maximum)
     reached = _slide(np.concatenate([np.zeros(width - 1, np.uint8), valid[: len(least)].astype(np.uint8), np.zeros(width - 1, np.uint8)]), width, np.maximum)
     place = np.flatnonzero((chosen == short[: len(chosen)]) & (reached > 0))
-    return place, h[place]
+    # anchors have small hashes by choice; mixed once more they spread over the ranges
+    return place, textkit.mix(h[place])
 
 
 class Block:
