@@ -1,7 +1,8 @@
 """Canonical exact fingerprints of documents, in DataFrame and SQL functions only.
 
-The canonical form is NFKC, case folding (lower of upper, which also folds sharp s and final sigma),
-and runs of white space as one space. Two xxhash64 values under different seeds make a 128-bit
+The canonical form is NFKC, full case folding (which also folds sharp s and final sigma) and runs of
+white space as one space; both Unicode steps are static methods of the ICU library that Spark ships,
+called by the SQL function reflect. Two xxhash64 values under different seeds make a 128-bit
 digest. Where a digest belongs to more than one row, the canonical bytes are compared; if they
 differ, the texts of that digest get ``-1``, ``-2``, ... after it, by byte order.
 
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 def canonical(text: Column) -> Column:
     """NFKC, case folded, white space folded and trimmed."""
     normal = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(F.upper(normal)), r"[\s\p{Z}\x85]+", " "))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), normal, F.lit(True))
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x85]+", " "))
 
 
 def digest(canon: Column) -> Column:

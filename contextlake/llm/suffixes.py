@@ -102,7 +102,7 @@ class Block:
         at = self.place[which]
         left = np.minimum(at - self.offsets[self.row[which]], SIDE)
         right = np.minimum(self.offsets[self.row[which] + 1] - at - KEY, SIDE)
-        padded = np.concatenate([np.zeros(SIDE, np.uint8), self.data, np.zeros(SIDE, np.uint8)])
+        padded = np.concatenate([np.zeros(SIDE, np.uint8), self.data, np.zeros(SPREAD, np.uint8)])
         near = np.lib.stride_tricks.sliding_window_view(padded, SPREAD)[at].copy()
         columns = np.arange(SPREAD)
         near[(columns < SIDE - left[:, None]) | (columns >= SIDE + KEY + right[:, None])] = 0
