@@ -57,16 +57,19 @@ def without_rules_blocking(layer: Layer, scope: str) -> Layer:
 def last_match(path: Column, is_directory: Column | bool, layers: list[Layer]) -> Column:
     """struct<ignored, kind, rule, rule_source> of the last rule that matches, null if none does."""
     is_directory = F.lit(is_directory) if isinstance(is_directory, bool) else is_directory
-    out = F.lit(None).cast("struct<ignored:boolean,kind:string,rule:string,rule_source:string>")
-    for layer in layers:
+    # one flat CASE from the last rule to the first gives a place in a table of constants, which plans quickly
+    place, known = None, []
+    for layer in reversed(layers):
         inside = F.lit(True) if not layer.base else F.startswith(path, F.lit(layer.base + "/"))
         relative = path if not layer.base else F.substr(path, F.lit(len(layer.base) + 2))
-        for line, rule in layer.rules():
-            hit = inside & relative.rlike(rule.regex)
+        for line, rule in reversed(layer.rules()):
+            hit = inside & relative.rlike(rule.regex) if layer.base else relative.rlike(rule.regex)
             hit = hit & is_directory if rule.directories_only else hit
-            found = F.struct(F.lit(not rule.negated).alias("ignored"), F.lit(layer.kind).alias("kind"), F.lit(rule.pattern).alias("rule"), F.lit(f"{layer.source}:{line}").alias("rule_source"))
-            out = F.when(hit, found).otherwise(out)
-    return out
+            place = (F if place is None else place).when(hit, F.lit(len(known)))
+            known.append(F.struct(F.lit(not rule.negated).alias("ignored"), F.lit(layer.kind).alias("kind"), F.lit(rule.pattern).alias("rule"), F.lit(f"{layer.source}:{line}").alias("rule_source")))
+    if place is None:
+        return F.lit(None).cast("struct<ignored:boolean,kind:string,rule:string,rule_source:string>")
+    return F.get(F.array(*known), place)
 
 
 def hard_excluded(path: Column) -> Column:

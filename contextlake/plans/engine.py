@@ -107,7 +107,8 @@ def outcome(files: DataFrame):
 def select(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None) -> Selection:
     """Narrow, filter by changes, rank, and cut by count and size."""
     meta = files.drop("content", "raw")
-    found = discover(meta, layers, request)
+    # judged once, without contents: the ledger, the ranks and the summaries all read the result
+    found = order.checkpointed(discover(meta, layers, request))
     gone = [ledger.entries(found.where("reason IS NOT NULL"), F.col("reason"), F.col("rule"), F.col("rule_source"), F.col("is_directory"))]
     left = found.where("reason IS NULL").drop("reason", "rule", "rule_source", "is_directory")
     if request.git_filter and statuses is not None:
