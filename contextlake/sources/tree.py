@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, absolute_path string, size bigint, modified timestamp, is_symlink boolean, problem string"
@@ -112,13 +113,30 @@ def files_from_tree(spark: SparkSession, root: str, **options: str) -> DataFrame
     return spark.read.format("ctxtree").options(path=root, **options).load().withColumn("forced", F.lit(False))
 
 
+def _read_within(path: str | None, root: str) -> bytes | None:
+    try:
+        if path is None or os.path.commonpath([os.path.realpath(path), root]) != root:
+            return None
+        with open(path, "rb") as handle:
+            return handle.read()
+    except OSError:
+        return None
+
+
 def load_contents(files: DataFrame, root: str) -> DataFrame:
-    """Adds raw (bytes) to selected files, by Spark's own file reader, which also skips files that went meanwhile."""
-    spark = files.sparkSession
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    prefix = F.lit("file:" + os.path.realpath(root) + "/")
-    raw = read.select(F.replace(F.replace(F.col("path"), F.lit("file://"), F.lit("file:")), prefix, F.lit("")).alias("path"), F.col("content").alias("raw"))
-    return files.join(raw, "path", "left")
+    """Adds raw (bytes) to the files of the relation and opens no other; null outside root or where a file went meanwhile."""
+    import pyarrow as pa
+
+    root = os.path.realpath(root)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):  # contents of few files at a time
+                part = batch.slice(lo, 64)
+                raw = pa.array([_read_within(x, root) for x in part.column(part.schema.get_field_index("absolute_path")).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, raw], names=[*part.schema.names, "raw"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("raw", BinaryType())]))
 
 
 def ignore_rules_from_tree(spark: SparkSession, files: DataFrame, names: tuple[str, ...] = (".gitignore", ".ctxignore")) -> list[tuple[str, str, str]]:
