@@ -1,17 +1,16 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 Words are runs without ASCII white space; a k-mer is ``k`` successive words (all of a shorter text),
-labelled with how often it has occurred before in the text. For each of ``sketches`` hash functions
+labelled with how often it has occurred before in the text. For each hash function
 the two least labelled k-mers are kept in the order of the text, so a sketch agrees when content and order
-agree. Documents that agree in ``rows`` sketches of a band meet in a bucket.
+agree. Texts that agree in ``rows`` sketches of a band meet in a bucket.
 
-In a bucket, members are laid beside leaders, the most typical member first: whoever agrees with a
-leader in at least ``least_agree`` sketches is a candidate pair with it, and whoever agrees with no leader in
-``same_agree`` sketches leads as well. (At similarity 0.8 two texts agree in 164 of 256 sketches on average, with a
-standard deviation of 7.7, so 138 leaves out one such pair in 2,000.) A bucket of more than ``hot`` members is split by a salt, and the
-leaders of the parts meet once more. Candidates are verified: similarity is the number of distinct k-mers that
-stay in order in the best alignment, over the number of distinct k-mers of both, with the alignment kept in the
-band that a pair of that similarity cannot leave. Verified links make classes by connected components.
+In a bucket every pair is verified, each pair in the first bucket that it shares: similarity is the number of
+distinct k-mers that stay in order in the best alignment, over the number of distinct k-mers of both, with
+the alignment kept in the band that a pair of that similarity cannot leave. A bucket of more than ``hot`` members (or
+``hot_bytes`` of text) is cut into blocks, and each pair of blocks is a task's group of its own. A group gives
+the number of links of each member and a spanning forest of them, so the work grows with the pairs of
+a bucket but the rows do not. Spanning links make classes by connected components.
 
 Equal texts are one node from the start, so only links between different texts are looked for.
 """
@@ -34,14 +33,15 @@ U64 = np.uint64
 _TOP = np.iinfo(np.uint64).max
 
 
-def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -> np.ndarray:
-    """uint64 sketches (rows, sketches) of one slice; rows without words have zeros."""
+def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """uint64 sketches (rows, sketches) of one slice, zeros for rows without words; and the distinct k-mers and their rows."""
     starts, ends, rows = textkit.word_spans(data, offsets)
     counts = np.bincount(rows, minlength=len(offsets) - 1)
-    h, row, position = textkit.shingle_hashes(textkit.span_hashes(data, starts, ends), counts, k)
+    h, row, _ = textkit.shingle_hashes(textkit.span_hashes(data, starts, ends), counts, k)
     out = np.zeros((len(offsets) - 1, sketches), U64)
     if not len(h):
-        return out
+        return out, h, row
+    found = h
     # label equal k-mers of a row with their occurrence
     order = np.argsort(textkit.mix(h + row.astype(U64) * U64(0x9E3779B97F4A7C15)), kind="stable")
     same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])])
@@ -52,7 +52,7 @@ def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -
     heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     lengths = np.diff(np.concatenate([heads, [len(h)]]))
     low = U64((1 << 24) - 1)
-    place = position.astype(U64) & low
+    place = (np.arange(len(h)) - np.repeat(heads, lengths)).astype(U64) & low
     for i in range(sketches):
         factor = U64((int(textkit.mix(np.array([i + 1], U64))[0]) | 1))
         v = ((h * factor) & ~low) | place
@@ -63,15 +63,21 @@ def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -
         q = np.where(lengths > 1, q, p)
         before, after = h[heads + np.minimum(p, q)], h[heads + np.maximum(p, q)]
         out[row[heads], i] = textkit.mix(before * U64(0xC2B2AE3D27D4EB4F) + after + U64(i))
-    return out
+    return out, found, row
 
 
-def _sketch_rows(k: int, sketches: int, bands: int, rows: int):
+def _sketch_rows(k: int, bands: int, rows: int, few: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textkit.buffers(batch.column(3))
-            found = [sketch_slice(*textkit.documents(data, offsets, lo, hi), k, sketches) for lo, hi in textkit.slices(offsets, 1 << 21)]
-            s = np.concatenate(found) if found else np.zeros((0, sketches), U64)
+            data, offsets = textkit.buffers(batch.column(4))
+            s, short, sizes = [np.zeros((0, bands * rows), U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for lo, hi in textkit.slices(offsets, 1 << 21):
+                found, h, row = sketch_slice(*textkit.documents(data, offsets, lo, hi), k, bands * rows)
+                n = np.bincount(row, minlength=hi - lo)
+                s.append(found)
+                short.append(textkit.mix(h[n[row] <= few] + U64(0x5851F42D4C957F2D)))
+                sizes.append(np.where(n <= few, n, 0))
+            s = np.concatenate(s)
             keys = []
             for band in range(bands):
                 key = np.full(len(s), band + 1, U64)
@@ -81,79 +87,140 @@ def _sketch_rows(k: int, sketches: int, bands: int, rows: int):
             some = s.any(axis=1)
             found_keys = np.stack(keys, axis=1)[some].ravel()
             each = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            signature = (s & U64(255)).astype(np.uint8)
+            own = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(each), pa.array(found_keys)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketches), len(s), [None, pa.py_buffer(signature.tobytes())]).cast(pa.binary())],
-                names=["doc_id", "x", "y", "bands", "signature"],
+                [*(batch.column(i) for i in range(4)), pa.ListArray.from_arrays(pa.array(each), pa.array(found_keys)), pa.ListArray.from_arrays(pa.array(own), pa.array(np.concatenate(short).view(np.int64)))],
+                names=["doc_id", "x", "y", "bytes", "bands", "few"],
             )
 
     return run
 
 
-def lead(signatures: np.ndarray, least_agree: int, same_agree: int) -> tuple[list[tuple[int, np.ndarray]], list[int]]:
-    """Leaders of one bucket: (leader, members to compare with it), and all leaders.
+def met_before(key: int, bands: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of a bucket's members share an earlier bucket: an earlier band, or (for a k-mer's bucket) any band or a lesser k-mer."""
+    n = len(bands)
+    band = np.flatnonzero(bands[0] == key)
+    met = np.zeros((n, n), bool)
+    for t in range(int(band[0]) if len(band) else bands.shape[1]):
+        met |= bands[:, t][:, None] == bands[:, t][None, :]
+    if not len(band):
+        less = [np.unique(r[r < key]) for r in rare]
+        member = np.repeat(np.arange(n), [len(r) for r in less])
+        value = np.concatenate(less)
+        order = np.argsort(value, kind="stable")
+        for same in np.split(member[order], np.flatnonzero(np.diff(value[order])) + 1):
+            if len(same) > 1:
+                met[np.ix_(same, same)] = True
+    return met
+
+
+def in_order(places: np.ndarray, at: np.ndarray, band: int) -> int:
+    """How many common k-mers, at ``at`` in one text and at ``places`` in the other, stay in order within the band."""
+    places = places[np.abs(places - at) <= band]
+    if (places[1:] > places[:-1]).all():
+        return len(places)
+    tails: list[int] = []
+    for x in places.tolist():
+        p = bisect_left(tails, x)
+        tails[p : p + 1] = [x]
+    return len(tails)
 
-    Members come in the order of likeness to the bucket's most frequent signature bytes. A member that agrees with a
-    leader in same_agree sketches does not lead, and every leader is laid beside all members but earlier leaders.
-    """
-    n = len(signatures)
-    typical = np.array([np.bincount(column, minlength=256).argmax() for column in signatures.T], np.uint8)
-    central = np.argsort(-(signatures == typical).sum(axis=1), kind="stable")
-    s = signatures[central]
-    open_, leading, leaders, pairs = np.ones(n, bool), np.zeros(n, bool), [], []
-    for i in range(n):
-        if not open_[i]:
-            continue
-        leading[i] = True
-        agree = (s == s[i]).sum(axis=1)
-        near = np.flatnonzero((agree >= least_agree) & ~leading)
-        if len(near):
-            pairs.append((int(central[i]), central[near]))
-        open_ &= agree < same_agree
-        leaders.append(int(central[i]))
-    return pairs, leaders
-
-
-def _lead_rows(sketches: int, least_agree: int, same_agree: int):
-    """Task function over (key, salt, doc_id, signature) sorted by key and salt: pairs (a, b), and leaders of salted buckets."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def groups(table: pa.Table) -> pa.RecordBatch:
-            key, salt, doc = (table.column(i).to_numpy() for i in range(3))
-            data, _ = textkit.buffers(table.column(3))
-            offsets = textkit.buffers(table.column(3))[1]
-            s = data[offsets[0] : offsets[-1]].reshape(-1, sketches)
-            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]), [True]]))
-            a, b, kk, sig = [], [], [], []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if hi - lo > 1 or salt[lo] >= 0:
-                    pairs, leaders = lead(s[lo:hi], least_agree, same_agree)
-                    for leader, members in pairs:
-                        a.append(np.full(len(members), doc[lo + leader]))
-                        b.append(doc[lo + members])
-                        kk += [None] * len(members)
-                        sig += [None] * len(members)
-                    if salt[lo] >= 0:
-                        a.append(doc[lo + np.array(leaders)])
-                        b.append(doc[lo + np.array(leaders)])
-                        kk += [int(key[lo])] * len(leaders)
-                        sig += [s[lo + i].tobytes() for i in leaders]
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(kk, pa.int64()), pa.array(sig, pa.binary())], names=["a", "b", "key", "signature"])
+def band_of(all_of: int, least: float) -> int:
+    return int(np.ceil(all_of * (1 - least) / (1 + least))) + 1
+
+
+def linked(kmers: list[np.ndarray], wanted: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The pairs of wanted (i, j; a matrix) whose similarity is least or more, each text given by its distinct k-mers in order."""
+    sizes = np.array([len(x) for x in kmers])
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    _, ids = np.unique(np.concatenate(kmers), return_inverse=True)
+    place = np.full(len(ids) + 1, -1)
+    out = []
+    for i in np.flatnonzero(wanted.any(axis=1)).tolist():
+        js = np.flatnonzero(wanted[i])
+        own = ids[offs[i] : offs[i + 1]]
+        place[own] = np.arange(len(own))
+        base = offs[js[0]]
+        p = place[ids[base : offs[js[-1] + 1]]]
+        sums = np.concatenate([[0], np.cumsum(p >= 0)])
+        common = sums[offs[js + 1] - base] - sums[offs[js] - base]
+        for j in js[common / np.maximum(sizes[i] + sizes[js] - common, 1) >= least].tolist():
+            q = p[offs[j] - base : offs[j + 1] - base]
+            at = np.flatnonzero(q >= 0)
+            all_of = int(sizes[i] + sizes[j])
+            n = in_order(q[at], at, band_of(all_of, least))
+            if n / max(all_of - n, 1) >= least:
+                out.append((i, j))
+        place[own] = -1
+    return out
+
+
+def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The pairs that join two parts when they are taken in turn."""
+    parent = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
 
+
+def _verify_rows(k: int, least: float):
+    """Task function over (key, one, two, block, node, bands, rare, text) sorted by key, one and two: (a, b, null) of spanning links, (a, null, links of a)."""
+
+    def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+        return [np.array(x, np.int64) for x in column.to_pylist()]
+
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        key, one, two, block, node = (table.column(i).to_numpy() for i in range(5))
+        bands, rare, kmers = np.array(lists(table.column(5))), lists(table.column(6)), distinct_kmers(table.column(7), k)
+        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]), [True]]))
+        a, b, n = [], [], []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            wanted = np.triu(~met_before(key[lo], bands[lo:hi], rare[lo:hi]), 1)
+            if one[lo] != two[lo]:
+                wanted &= block[lo:hi][:, None] != block[lo:hi][None, :]
+            if not wanted.any():
+                continue
+            pairs = linked(kmers[lo:hi], wanted, least)
+            for i, j in forest(pairs, hi - lo):
+                a.append(node[lo + i])
+                b.append(node[lo + j])
+                n.append(None)
+            degree = np.bincount(np.array(pairs, np.int64).ravel(), minlength=hi - lo)
+            for i in np.flatnonzero(degree).tolist():
+                a.append(node[lo + i])
+                b.append(None)
+                n.append(int(degree[i]))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            key, salt = table.column(0).to_numpy(), table.column(1).to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
+            if not batch.num_rows:
+                continue
+            places = [batch.column(i).to_numpy() for i in range(3)]
+            last = np.flatnonzero(np.logical_or.reduce([p != p[-1] for p in places]))
+            before = held and any(held[-1].column(i)[held[-1].num_rows - 1].as_py() != p[0] for i, p in enumerate(places))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield groups(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut)
-        if held is not None and held.num_rows:
-            yield groups(held.combine_chunks())
+            if cut or before:
+                yield groups(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks())
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield groups(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -166,15 +233,9 @@ def similarity(first: np.ndarray, second: np.ndarray, least: float) -> float:
     common, i, j = np.intersect1d(first, second, assume_unique=True, return_indices=True)
     if len(common) < least * (all_of - len(common)):
         return 0.0
-    band = int(np.ceil(all_of * (1 - least) / (1 + least))) + 1
     order = np.argsort(i)
-    i, j = i[order], j[order]
-    inside = np.abs(i - j) <= band
-    tails: list[int] = []
-    for x in j[inside].tolist():
-        at = bisect_left(tails, x)
-        tails[at : at + 1] = [x]
-    return len(tails) / (all_of - len(tails))
+    n = in_order(j[order], i[order], band_of(all_of, least))
+    return n / (all_of - n)
 
 
 def distinct_kmers(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -191,51 +252,50 @@ def distinct_kmers(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _verify_rows(k: int, least: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                likeness = [similarity(x, y, least) for x, y in zip(distinct_kmers(part.column(2), k), distinct_kmers(part.column(3), k), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(likeness, pa.float64())], names=["a", "b", "similarity"])
-
-    return run
-
-
-def near_duplicates(
-    docs: DataFrame, k: int = 5, least: float = 0.8, sketches: int = 256, bands: int = 20, rows: int = 2, least_agree: int = 138, same_agree: int = 160, hot: int = 20000
-) -> DataFrame:
+def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 0, hot: int = 1000, hot_bytes: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): doc_id, x, y of every row; and x, y (digest), rep (least doc_id of the text), component, class_id, n_links of every text."""
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole = whole.select("doc_id", F.xxhash64(F.lit(1), "text").alias("x"), F.xxhash64(F.lit(2), "text").alias("y"), F.octet_length("text").cast("long").alias("bytes"), "text")
+    sketched = checkpointed(whole.mapInArrow(_sketch_rows(k, bands, rows, few), "doc_id long, x long, y long, bytes long, bands array<long>, few array<long>"))
+    texts = sketched.groupBy("x", "y", "bytes", "bands", "few").agg(F.min("doc_id").alias("rep"))  # one row for each text
+    texts = checkpointed(texts.withColumn("node", F.monotonically_increasing_id()))
+
+    # the rarest k-mers of short texts, as many as do not fit beside the least number of common ones
+    short = texts.select("node", F.size("few").alias("n"), F.explode("few").alias("h"))
+    often = short.groupBy("h").agg(F.count("*").alias("often"))
+    rarest = short.join(often, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("all"))
+    rarest = rarest.select("node", F.slice("all.h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")).alias("rare"))
+    placed = checkpointed(texts.join(rarest, "node", "left").select("node", "x", "y", "rep", "bytes", "bands", F.coalesce("rare", F.array().cast("array<long>")).alias("rare")))
+
+    keyed = placed.select(F.explode(F.concat("bands", "rare")).alias("key"), "node", "bytes")
+    blocks = F.greatest(F.ceil(F.count("*") / hot), F.ceil(F.sum("bytes") / hot_bytes)).cast("int")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1")
+    members = checkpointed(keyed.join(shared, "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    # texts go to members of shared buckets only; one row for each text, whatever ids it has
+    same = ["x", "y", "id", "unnamed"]
+    wanted = placed.join(members.select("node").distinct(), "node").select("x", "y", F.coalesce("rep", F.lit(0)).alias("id"), F.isnull("rep").alias("unnamed"), "node", "bands", "rare")
+    held = whole.select("x", "y", F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("unnamed"), "text")
+    found = held.join(wanted, same).dropDuplicates(same).select("node", "bands", "rare", "text")
+    laid = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    laid = laid.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node").join(found, "node")
+    laid = laid.select("key", "one", "two", "block", "node", "bands", "rare", "text").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    met = checkpointed(laid.mapInArrow(_verify_rows(k, least), "a long, b long, n long"))
+
+    classes = connected_components(met.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "node")
+    named = classes.join(placed.select("node", "rep"), "node")
+    named = classes.join(named.groupBy("component").agg(F.min("rep").alias("class_id")), "component")
+    degree = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    out = placed.select("node", "x", "y", "rep").join(named, "node", "left").join(degree, "node", "left")
+    class_id = F.when(F.isnull("component"), F.col("rep")).otherwise(F.col("class_id"))
+    return sketched.select("doc_id", "x", "y"), out.select("x", "y", "rep", F.coalesce("component", "node").alias("component"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 0, hot: int = 1000) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (verified links of its text to other texts) of every row.
 
-    Null text is empty. Texts without words are linked to equal texts only. Rows that share a doc_id
-    are one node of the classes. Ties do not arise: classes are components. Other columns are ignored; no rows: no rows.
+    Null text is empty. Texts without words are linked to equal texts only. Classes are of texts: rows that share
+    a doc_id or have none are told apart by their texts, and a class without any doc_id has a null class_id. Ties do
+    not arise: classes are components. Other columns are ignored; no rows: no rows.
     """
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = [F.xxhash64(F.lit(1), "text").alias("x"), F.xxhash64(F.lit(2), "text").alias("y")]
-    sketched = checkpointed(whole.select("doc_id", *digest, "text").mapInArrow(_sketch_rows(k, sketches, bands, rows), "doc_id long, x long, y long, bands array<long>, signature binary"))
-    texts = checkpointed(sketched.groupBy("x", "y", "bands", "signature").agg(F.min("doc_id").alias("rep")))  # one row for each text
-
-    keyed = texts.select(F.explode("bands").alias("key"), "rep")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    salt = F.when(F.col("n") > hot, F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / hot))).otherwise(F.lit(-1)).cast("long")
-    # signatures go to members of shared buckets only
-    members = keyed.join(shared, "key").select("key", salt.alias("salt"), "rep").join(texts.select("rep", "signature"), "rep").select("key", "salt", F.col("rep").alias("doc_id"), "signature")
-    schema = "a long, b long, key long, signature binary"
-    met = members.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_lead_rows(sketches, least_agree, same_agree), schema)
-    met = checkpointed(met.distinct())
-    again = met.where("key IS NOT NULL").select("key", F.lit(-1).cast("long").alias("salt"), F.col("a").alias("doc_id"), "signature")
-    across = again.repartition("key").sortWithinPartitions("key", "salt").mapInArrow(_lead_rows(sketches, least_agree, same_agree), schema)
-    pairs = checkpointed(met.where("key IS NULL").select("a", "b").union(across.select("a", "b")).where("a <> b").distinct())
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = whole.join(ids, "doc_id", "left_semi")
-    one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    laid = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    links = checkpointed(laid.mapInArrow(_verify_rows(k, least), "a long, b long, similarity double").where(F.col("similarity") >= least).select("a", "b").distinct())
-
-    classes = connected_components(links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    named = texts.join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-    named = named.select("x", "y", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return sketched.select("doc_id", "x", "y").join(named, ["x", "y"]).select("doc_id", "class_id", "n_links")
+    each, texts = text_classes(docs, k, least, bands, rows, few, hot)
+    return each.join(texts, ["x", "y"]).select("doc_id", "class_id", "n_links")

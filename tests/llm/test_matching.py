@@ -4,6 +4,7 @@ import hashlib
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 from contextlake.llm import components, decontamination, fingerprints, neardup
 
@@ -44,6 +45,27 @@ def test_classes_match_brute_force(frame, words):
     assert out[100].n_links >= 1 and out[11].n_links == 0
 
 
+def links(rows, least=0.8):
+    """doc_id -> the ids of other texts whose distinct k-mers agree in at least 0.8, in order."""
+    sets, out = {i: neardup.distinct_kmers(pa.array([t]), 5)[0] for i, t in rows}, {i: set() for i, _ in rows}
+    for i, t in rows:
+        for j, u in rows:
+            if t != u and neardup.similarity(sets[i], sets[j], least) >= least:
+                out[i].add(j)
+    return out
+
+
+def test_all_links_of_a_group_are_found(frame, words):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, replaced(words(1, 100), rng.sample(range(100), rng.choice([1, 2])))) for i in range(150)]
+    rows = [(i, t + " " + rng.choice("abcdefg")) for i, t in rows]
+    truth = links(rows)
+    for options in ({}, {"hot": 40}):
+        assert {r.doc_id: r.n_links for r in neardup.near_duplicates(frame(rows), **options).collect()} == {i: len({dict(rows)[j] for j in x}) for i, x in truth.items()}
+
+
 def test_hot_group_is_split(frame, words):
     base = words(1, 150)
     rows = [(i, replaced(base, [i % 150])) for i in range(60)] + [(100 + i, words(50 + i, 80)) for i in range(10)]
