@@ -1,9 +1,11 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
-Words are runs without ASCII white space; a k-mer is ``k`` successive words (all of a shorter text),
-labelled with how often it has occurred before in the text. For each hash function
-the two least labelled k-mers are kept in the order of the text, so a sketch agrees when content and order
-agree. Texts that agree in ``rows`` sketches of a band meet in a bucket.
+Words are runs without ASCII white space; a k-mer is ``k`` successive words (all of a shorter text). Sketches and
+verification both look at a text's distinct k-mers in the order of their first occurrence: for each hash function
+the two least k-mers are kept in that order, so a sketch agrees when content and order agree. Texts
+that agree in ``rows`` sketches of a band meet in a bucket. Texts of at most ``few`` distinct k-mers also meet in
+the buckets of their rarest k-mers, as many as a pair of similarity ``least`` cannot avoid to share (a prefix
+filter), so among them no pair is left to chance.
 
 In a bucket every pair is verified, each pair in the first bucket that it shares: similarity is the number of
 distinct k-mers that stay in order in the best alignment, over the number of distinct k-mers of both, with
@@ -41,14 +43,12 @@ def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -
     out = np.zeros((len(offsets) - 1, sketches), U64)
     if not len(h):
         return out, h, row
-    found = h
-    # label equal k-mers of a row with their occurrence
+    # the first of equal k-mers of a row stays
     order = np.argsort(textkit.mix(h + row.astype(U64) * U64(0x9E3779B97F4A7C15)), kind="stable")
-    same = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])])
-    at = np.arange(len(h))
-    nth = np.zeros(len(h), np.int64)
-    nth[order] = at - np.maximum.accumulate(np.where(same, 0, at))
-    h = textkit.mix(h + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
+    first = np.ones(len(h), bool)
+    first[order[1:]] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    found, row = h[first], row[first]
+    h = textkit.mix(found)
     heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     lengths = np.diff(np.concatenate([heads, [len(h)]]))
     low = U64((1 << 24) - 1)
@@ -252,7 +252,7 @@ def distinct_kmers(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 0, hot: int = 1000, hot_bytes: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
+def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 20, hot: int = 1000, hot_bytes: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): doc_id, x, y of every row; and x, y (digest), rep (least doc_id of the text), component, class_id, n_links of every text."""
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = whole.select("doc_id", F.xxhash64(F.lit(1), "text").alias("x"), F.xxhash64(F.lit(2), "text").alias("y"), F.octet_length("text").cast("long").alias("bytes"), "text")
@@ -290,7 +290,7 @@ def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 2
     return sketched.select("doc_id", "x", "y"), out.select("x", "y", "rep", F.coalesce("component", "node").alias("component"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 0, hot: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 20, hot: int = 1000) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (verified links of its text to other texts) of every row.
 
     Null text is empty. Texts without words are linked to equal texts only. Classes are of texts: rows that share

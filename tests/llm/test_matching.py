@@ -66,6 +66,19 @@ def test_all_links_of_a_group_are_found(frame, words):
         assert {r.doc_id: r.n_links for r in neardup.near_duplicates(frame(rows), **options).collect()} == {i: len({dict(rows)[j] for j in x}) for i, x in truth.items()}
 
 
+def test_repeats_and_short_texts(frame, words):
+    import random
+
+    rng = random.Random(6)
+    rows = [(n * 2 + i, " ".join([words(100 + n, 12)] * (10 - 4 * i))) for n in range(20) for i in range(2)]
+    rows += [(1000 + n * 2 + i, replaced(words(200 + n, 8 + n % 12), [0] if i else [])) for n in range(300) for i in range(2)]
+    rows += [(3000 + n, " ".join(rng.choice(["a", "b"]) for _ in range(9))) for n in range(60)]
+    out = {r.doc_id: r.n_links for r in neardup.near_duplicates(frame(rows)).collect()}
+    text = dict(rows)
+    truth = {i: len({text[j] for j in x}) for i, x in links(rows).items()}
+    assert sum(truth.values()) > 100 and out == truth
+
+
 def test_hot_group_is_split(frame, words):
     base = words(1, 150)
     rows = [(i, replaced(base, [i % 150])) for i in range(60)] + [(100 + i, words(50 + i, 80)) for i in range(10)]
