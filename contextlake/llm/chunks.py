@@ -3,6 +3,8 @@
 A gear hash rolls over the bytes; a chunk ends where its top bits are zero, so cuts depend on the 32
 bytes before them only, and an insertion moves no cut that is further on. A chunk whose 128-bit
 digest occurs in an earlier chunk (by doc_id, then place) is a duplicate and is removed; the first stays.
+The end of a text can be shorter than the least chunk. Alone it would meet unlike texts by chance, so its digest is that
+of the chunk before and itself; a text that is shorter as a whole has its own.
 """
 
 from __future__ import annotations
@@ -64,12 +66,16 @@ def _chunk_rows(bits: int, least: int, most: int):
                 ends, rows = np.array(ends), np.array(rows)
                 starts = np.concatenate([[0], ends[:-1]])
                 starts = np.where(np.concatenate([[True], rows[1:] != rows[:-1]]), offs[rows], starts)
+                # a short end is known by the chunk before it and itself
+                end = np.flatnonzero((ends - starts < least) & (starts > offs[rows]))
+                known = starts.copy()
+                known[end] = starts[end - 1]
                 # two hashes of the bytes from unlike polynomials
-                first = textkit.span_hashes(part, starts, ends)
-                second = textkit.span_hashes(part ^ np.uint8(0xA5), starts, ends)
+                first = textkit.span_hashes(part, known, ends)
+                second = textkit.span_hashes(part ^ np.uint8(0xA5), known, ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column(0).take(pa.array(rows + lo)), pa.array((starts - offs[rows]).astype(np.int64)), pa.array((ends - starts).astype(np.int32))],
-                    names=["a", "b", "doc_id", "start", "n"],
+                    [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column(0).take(pa.array(rows + lo)), pa.array((starts - offs[rows]).astype(np.int64)), pa.array((ends - starts).astype(np.int32)), pa.array((ends - known).astype(np.int32))],
+                    names=["a", "b", "doc_id", "start", "n", "m"],
                 )
 
     return run
@@ -78,15 +84,16 @@ def _chunk_rows(bits: int, least: int, most: int):
 def duplicate_chunks(docs: DataFrame, bits: int = 5, least: int = 48, most: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_dup_chunks, n_removed, spans (start, n of what goes; runs joined) of every row.
 
-    Chunks shorter than ``least`` bytes (ends of texts) are never duplicates. Null text is empty and has no
+    A chunk shorter than ``least`` bytes (the end of a text) is a duplicate if the chunk before it and itself occur earlier
+    in the same way, or if it is a whole text that occurred as one. Null text is empty and has no
     chunks. Rows that share a doc_id count as one document with the places of both. Other columns are ignored; no rows: no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = rows.mapInArrow(_chunk_rows(bits, least, most), "a long, b long, doc_id long, start long, n int")
+    pieces = rows.mapInArrow(_chunk_rows(bits, least, most), "a long, b long, doc_id long, start long, n int, m int")
     pieces = checkpointed(pieces)
     place = F.struct("doc_id", "start")
-    firsts = pieces.where(F.col("n") >= least).groupBy("a", "b", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = pieces.join(firsts, ["a", "b", "n"]).where(place > F.col("first")).select("doc_id", "start", "n")
+    firsts = pieces.groupBy("a", "b", "m").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = pieces.join(firsts, ["a", "b", "m"]).where(place > F.col("first")).select("doc_id", "start", "n")
     spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("gone"), F.sum("n").alias("n_removed"), F.count("*").alias("n_dup_chunks"))
     counts = pieces.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_bytes"))
     # joined runs: a span that starts where the last one ends is added to it

@@ -88,3 +88,12 @@ def test_chunks(frame, words):
     assert found[6].n_removed >= found[6].n_bytes - 48 and len(found[6].spans) == 1
     kept = {r.doc_id: bytes(r.kept) for r in chunks.kept_text(frame(rows), chunks.duplicate_chunks(frame(rows))).collect()}
     assert kept[3] == rows[2][1].encode() and len(kept[2]) == found[2].n_bytes - found[2].n_removed
+
+
+def test_short_ends_and_short_texts(frame, words):
+    texts = [words(10 + i, 90) + " " + "e" * (i % 60) for i in range(40)]
+    assert sum(len(t) - ([0, *chunks.cut(np.frombuffer(t.encode(), np.uint8), 5, 48, 512)][-2]) < 48 for t in texts) > 10
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, "a short text") for i in range(3)] + [(300, "another one"), (301, texts[0] + " a short text")]
+    found = {r.doc_id: r for r in chunks.duplicate_chunks(frame(rows)).collect()}
+    assert all(found[i].n_removed == 0 and found[100 + i].n_removed == found[100 + i].n_bytes and len(found[100 + i].spans) == 1 for i in range(40))
+    assert [found[i].n_removed for i in (200, 201, 202, 300)] == [0, 12, 12, 0] and found[301].n_removed < found[301].n_bytes
