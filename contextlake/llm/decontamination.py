@@ -5,6 +5,8 @@ Each mask keeps some positions of a span of tokens and ignores the others; the h
 tokens still meets the benchmark's when an ignored token was substituted. A hit gives a diagonal (where an item
 would start in the document); there the tokens are compared one by one, and the overlap counts if
 some window of ``window`` tokens (the whole item if it is shorter) agrees in at least ``least`` of them.
+By enumeration the masks together hit every pattern of substitutions that leaves 80 % of 10 to 20 tokens. Items of 3 to 9
+tokens have one seed of all their tokens, so they match where they are equal.
 
 The hashes are joined on the map side: the benchmark's are broadcast in blocks of at most
 ``block_tokens`` tokens, so what is sent has a fixed bound; a larger benchmark means more blocks, each met by all documents.
@@ -24,8 +26,9 @@ from pyspark.sql.types import StructType
 from contextlake.llm import textkit
 
 U64 = np.uint64
-MASKS = ("1101011001", "1110100011", "1011001101", "1111110000")
-SPAN = 10
+MASKS = ("1101011001", "1110100011", "1011001101", "1111110000", "1110111", "110010111", "10111011")
+#: items of at least SPAN tokens are met by masks, shorter ones of at least SHORTEST only as a whole
+SPAN, SHORTEST = 10, 3
 _SEPARATORS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
@@ -40,7 +43,7 @@ def tokens(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, np.ndar
 
 def seed_hashes(toks: np.ndarray, mask: str) -> np.ndarray:
     """The hash of the mask's tokens at every place where the span fits into toks."""
-    n = len(toks) - SPAN + 1
+    n = len(toks) - len(mask) + 1
     out = np.full(max(n, 0), int(mask, 2), U64)
     for j, kept in enumerate(mask):
         if kept == "1" and n > 0:
@@ -56,7 +59,7 @@ class SeedIndex:
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         hashes, item, place = [], [], []
         for i, (_, toks) in enumerate(items):
-            for mask in MASKS:
+            for mask in MASKS if len(toks) >= SPAN else ("1" * len(toks),):
                 h = seed_hashes(toks, mask)
                 hashes.append(h)
                 item.append(np.full(len(h), i))
@@ -64,6 +67,7 @@ class SeedIndex:
         h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
         self.items = items
+        self.masks = (*MASKS, *("1" * n for n in sorted({len(toks) for _, toks in items if len(toks) < SPAN})))
         self.hashes = h[order]
         self.item = np.concatenate(item)[order] if item else np.zeros(0, int)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, int)
@@ -73,10 +77,10 @@ class SeedIndex:
     def diagonals(self, toks: np.ndarray, row_of: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (row, item, start of the item in the row's tokens) of all hits of a slice's tokens."""
         found = []
-        for mask in MASKS:
+        for mask in self.masks:
             h = seed_hashes(toks, mask)
             at = np.flatnonzero(self.table[h >> U64(64 - self.TABLE)])
-            at = at[row_of[at] == row_of[at + SPAN - 1]]
+            at = at[row_of[at] == row_of[at + len(mask) - 1]]
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -100,8 +104,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, start: int, window: int, least: f
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, least: float = 0.8, block_tokens: int = 1 << 20, carry: tuple[str, ...] = (), keep_text: bool = False, max_bytes: int = 1 << 21) -> DataFrame:
     """doc_id, carry columns, text (with keep_text), leaks array<struct<item_id, start, n_tokens, n_equal>> of every row of docs.
 
-    Items of fewer than 10 tokens (the span of the masks), null or empty ones cannot be told from
-    chance and match nothing; null text is empty. Equal items each give a leak; equal rows have equal
+    Items of 3 to 9 tokens match where all their tokens are equal; those of fewer, null or empty ones cannot be told
+    from chance and match nothing. Null text is empty. Equal items each give a leak; equal rows have equal
     leaks. An empty benchmark or no documents: empty arrays, or no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -117,7 +121,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 20, least: f
         parts = []
         for lo, hi, toks, counts in tokens(got.column("text").combine_chunks(), 1 << 22):
             ends = np.cumsum(counts)
-            parts += [(got.column("item_id")[i].as_py(), toks[ends[i - lo] - counts[i - lo] : ends[i - lo]]) for i in range(lo, hi) if counts[i - lo] >= SPAN]
+            parts += [(got.column("item_id")[i].as_py(), toks[ends[i - lo] - counts[i - lo] : ends[i - lo]]) for i in range(lo, hi) if counts[i - lo] >= SHORTEST]
         index = spark.sparkContext.broadcast(SeedIndex(parts))
         spans = _met(spans, index, f"leaks_{k}", window, least, max_bytes, keep_text or block + 1 < len(blocks))
     leaks = F.array_sort(F.concat(F.array().cast("array<struct<item_id:long,start:long,n_tokens:long,n_equal:long>>"), *[F.col(f"leaks_{k}") for k in range(len(blocks))]))
@@ -136,7 +140,7 @@ def _met(docs: DataFrame, index, name: str, window: int, least: float, max_bytes
         for batch in batches:
             leaks: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for lo, _, toks, counts in tokens(batch.column(batch.schema.get_field_index("text")), max_bytes):
-                if len(toks) < SPAN:
+                if len(toks) < SHORTEST:
                     continue
                 ends = np.cumsum(counts)
                 first = ends - counts

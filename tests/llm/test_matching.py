@@ -141,3 +141,26 @@ def test_leaks(frame, spark, words):
         out = sorted((r.doc_id, [x.item_id for x in r.leaks]) for r in decontamination.find_leaks(frame(rows), benchmark, **options).collect())
         assert out == sorted([(1, [1, 5]), (1, []), (2, [1, 5]), (3, []), (4, []), (5, []), (6, [1, 5]), (7, []), (8, [2]), (9, [1, 5]), (10, [])])
     assert all(not r.leaks for r in decontamination.find_leaks(frame(rows), benchmark.limit(0)).collect())
+
+
+def test_masks_reach_all_that_counts():
+    import itertools
+
+    for n in range(10, 21):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        index = decontamination.SeedIndex([(1, item)])
+        docs = []
+        for places in itertools.combinations(range(n), n // 5):
+            docs.append(item.copy())
+            docs[-1][list(places)] += np.uint64(1000)
+        rows = np.repeat(np.arange(len(docs)), n)
+        hits = index.diagonals(np.concatenate(docs), rows, np.arange(len(docs)) * n)
+        assert {r for r, _, start in hits.tolist() if start == 0} == set(range(len(docs)))
+        assert all(decontamination.overlap(d, item, 0, 20, 0.8) for d in docs)
+
+
+def test_short_items(frame, spark, words):
+    rows = [(n, f"{words(50 + n, 30)} {words(n, n)} {words(80 + n, n)}") for n in range(3, 10)] + [(20, words(9, 9)), (21, words(9, 8)), (22, replaced(words(9, 9), [4]))]
+    benchmark = spark.createDataFrame([(n, words(n, n)) for n in range(3, 10)], "item_id long, text string")
+    out = {r.doc_id: [(x.item_id, x.n_tokens, x.n_equal) for x in r.leaks] for r in decontamination.find_leaks(frame(rows), benchmark).collect()}
+    assert all((n, n, n) in out[n] for n in range(3, 10)) and (9, 9, 9) in out[20] and not {9} & {x[0] for x in out[21] + out[22]}
