@@ -26,12 +26,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
-    classes = neardup.near_duplicates(docs).select("doc_id", "class_id").distinct()
-    first = classes.where("doc_id = class_id").select("doc_id")
-    # repeated rows of that id: the first by text
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    return docs.join(first, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select(*COLUMNS)
+    """Of each class of near-duplicates the document with the least id stays, one without an id only if none has one.
+
+    Texts are told apart by their digests, so unlike texts that share an id or have none all stay.
+    """
+    _, texts = neardup.text_classes(docs)
+    first = texts.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("unnamed"), F.coalesce("rep", F.lit(0)).alias("id"), "x", "y")).alias("first")).select("first.*")
+    text, same = F.coalesce("text", F.lit("")), ["x", "y", "id", "unnamed"]
+    keyed = docs.withColumns({"x": F.xxhash64(F.lit(1), text), "y": F.xxhash64(F.lit(2), text), "id": F.coalesce("doc_id", F.lit(0)), "unnamed": F.isnull("doc_id")})
+    # repeated rows of that text and id: the first by source
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("text", "source", "lang"))
+    return keyed.join(first, same, "left_semi").withColumn("nth", nth).where("nth = 1").select(*COLUMNS)
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

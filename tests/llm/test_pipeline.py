@@ -33,6 +33,14 @@ def test_stages(spark, folder):
     assert kept[4] == kept[3] and len(kept[0]) >= 195
 
 
+def test_near_duplicates_without_or_with_shared_ids(spark, words):
+    one, two, three, four = (words(i, 60) for i in range(1, 5))
+    rows = [(None, one), (None, two), (None, two), (7, three), (7, four), (8, four), (9, one + " end"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(((r.doc_id, r.text or "") for r in out.collect()), key=repr) == sorted([(9, one + " end"), (None, two), (7, three), (7, four), (None, "")], key=repr)
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, sf_dir, name):
     connection = duckdb.connect()
