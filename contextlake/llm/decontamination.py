@@ -153,6 +153,7 @@ def _met(docs: DataFrame, index, name: str, window: int, least: float, max_bytes
                     leaks[lo + row].append({"item_id": item_id, "start": at, "n_tokens": size, "n_equal": same})
             passed = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(leaks, kind)], names=[*passed, name])
+        textkit.give_back()
 
     out = StructType([f for f in docs.schema.fields if keep_text or f.name != "text"] + spark_leaks(name))
     return docs.mapInArrow(run, out)

@@ -6,6 +6,7 @@ own), so a worker's memory follows the slice and the longest document, not the p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def give_back() -> None:
+    """At the end of a task: memory that the worker process holds free goes back to the machine, as the process lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
