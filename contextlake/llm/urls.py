@@ -3,10 +3,13 @@
 The models are smoothed variable-order Markov chains over the bytes of ``host + path``: one of the
 URLs that rules allow, one of those that rules block. The probability of a byte after a context of n
 bytes is ``(count + alpha * p_shorter) / (total + alpha)``, from no context up to ``order`` bytes, so
-a context that was never seen leaves the shorter one's probability. Counts come from all decided
-URLs; they lie in ``2**slot_bits`` hashed slots for each order and side, which bounds the model.
-A URL's score is the difference of the two log-likelihoods for each byte. Decided URLs held out of
-the counts set the threshold at which the two kinds of mistakes weigh least.
+a context that was never seen leaves the shorter one's probability. A URL's score is the difference of the two
+log-likelihoods for each byte. Decided URLs held out of the counts set the threshold at which the two kinds of mistakes weigh least.
+
+Counts are exact and grow with the input: a window is a byte with the ``order`` bytes before it, packed into a long, and
+windows are counted by Spark. The log-likelihood difference of a window follows from the counts of the windows that share
+its last bytes; it is worked out once for each distinct window, in groups that share the two bytes before. Windows that make
+up more than one in ``heavy`` of all (so at most ``heavy`` of them) are looked up in the tasks, all others are joined.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextlake.llm import textkit
+from contextlake.llm.store import checkpointed
 
 U64 = np.uint64
 
@@ -59,111 +63,181 @@ def apply_rules(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def _slots(data: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, context slot, context-and-byte slot) at every byte, for n from 0 to order."""
+BITS = U64(9)
+#: fixed point of sums, so that their order does not matter
+ONE = 1 << 32
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """At every byte: it and the ``order`` bytes before it in its row, 9 bits each, the byte itself lowest; 0 stands before a row's start."""
     at = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    context = np.zeros(len(data), U64)
     now = data.astype(U64) + U64(1)
-    shift = U64(64 - bits)
-    for n in range(order + 1):
-        if n:
-            before = np.zeros(len(data), U64)
-            before[n:] = now[:-n]
-            before[at < n] = 0
-            context = textkit.mix(context * U64(0x9E3779B97F4A7C15) + before + U64(n))
-        gram = textkit.mix(context * U64(0xC2B2AE3D27D4EB4F) + now)
-        yield n, (context >> shift).astype(np.int64), (gram >> shift).astype(np.int64)
+    out = now.copy()
+    for j in range(1, order + 1):
+        before = np.zeros(len(data), U64)
+        before[j:] = now[:-j]
+        before[at < j] = 0
+        out |= before << (BITS * U64(j))
+    return out
+
+
+def _last(window: np.ndarray, n: int) -> np.ndarray:
+    return window & ((U64(1) << (BITS * U64(n))) - U64(1))
 
 
-def _count(order: int, bits: int, max_bytes: int):
-    """Task function: (side, url) batches to (side, kind, slot, n) sums of the partition."""
+def _count(order: int, max_bytes: int):
+    """Task function: (side, text) batches to (window, m, n0, n1): how often, and how often in learned texts of side 0 and 1 (side 2 is not learned)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << bits
-        sums = np.zeros((2, 2 * (order + 1), width), np.int64)
         for batch in batches:
             side = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64)
             data, offsets = textkit.buffers(batch.column(1))
             for lo, hi in textkit.slices(offsets, max_bytes):
                 part, offs = textkit.documents(data, offsets, lo, hi)
                 of = np.repeat(side[lo:hi], np.diff(offs))
-                for n, context, gram in _slots(part, offs, order, bits):
-                    for s in (0, 1):
-                        mine = of == s
-                        sums[s, 2 * n] += np.bincount(context[mine], minlength=width)
-                        sums[s, 2 * n + 1] += np.bincount(gram[mine], minlength=width)
-        s, kind, slot = np.nonzero(sums)
-        for i in range(0, len(s), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(s[part].astype(np.int32)), pa.array(kind[part].astype(np.int32)), pa.array(slot[part].astype(np.int32)), pa.array(sums[s[part], kind[part], slot[part]])], names=["side", "kind", "slot", "n"])
+                found, at = np.unique(windows(part, offs, order), return_inverse=True)
+                sums = [np.bincount(at[of == s], minlength=len(found)) for s in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(at, minlength=len(found))), *map(pa.array, sums)], names=["w", "m", "n0", "n1"])
 
     return run
 
 
-def _score(model, order: int, bits: int, alpha: float, max_bytes: int):
-    """Task function: (key columns..., text) batches to (key columns..., score)."""
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of the columns of n)."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.stack([np.bincount(at, weights=column, minlength=len(found)) for column in n])
+
+
+def chances(w: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int, alpha: float) -> np.ndarray:
+    """(2, len(w)) probabilities of the windows' last bytes after the bytes before, on both sides.
+
+    w has all windows that share the two bytes before the last one, n their counts (2, len(w)); pairs are the keys and counts of the
+    last two bytes of all windows.
+    """
+    p = np.full((2, len(w)), 1 / 256)
+    for size in range(order + 1):
+        gram = _last(w, size + 1)
+        keys, counts = _sums(_last(pairs[0], size + 1), pairs[1]) if size < 2 else _sums(gram, n)
+        context, totals = _sums(keys >> BITS, counts)
+        count = counts[:, np.searchsorted(keys, gram)]
+        total = totals[:, np.searchsorted(context, gram >> BITS)]
+        p = (count + alpha * p) / (total + alpha)
+    return p
+
+
+def _differences(pairs: tuple[np.ndarray, np.ndarray], order: int, alpha: float):
+    """Task function: (before, w, m, n0, n1) batches sorted by before, the two bytes before the last, to (w, m, d), in fixed point."""
+
+    def judged(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        before, w, m, n0, n1 = (np.asarray(table.column(i).to_numpy()) for i in range(5))
+        edge = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1], [True]]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            p = chances(w[lo:hi].view(U64), np.stack([n0[lo:hi], n1[lo:hi]]), pairs, order, alpha)
+            d = np.rint((np.log(p[1]) - np.log(p[0])) * ONE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(w[lo:hi]), pa.array(m[lo:hi]), pa.array(d)], names=["w", "m", "d"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = model.value
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            data, offsets = textkit.buffers(batch.column(batch.num_columns - 1))
-            scores = np.zeros(batch.num_rows)
+            if not batch.num_rows:
+                continue
+            before = batch.column(0).to_numpy()
+            changes = np.flatnonzero(before != before[-1])
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if held and (cut or held[-1].column(0)[0].as_py() != before[0]):
+                yield from judged(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from judged(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    return run
+
+
+def _look_up(known: tuple[np.ndarray, np.ndarray], order: int, max_bytes: int):
+    """Task function: (row, text) batches to (row, bytes, d, rest): the sum over the known windows and the others, each with its count."""
+    rest_type = pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = known
+        for batch in batches:
+            data, offsets = textkit.buffers(batch.column(1))
             for lo, hi in textkit.slices(offsets, max_bytes):
                 part, offs = textkit.documents(data, offsets, lo, hi)
-                p = np.full((2, len(part)), 1 / 256)
-                for n, context, gram in _slots(part, offs, order, bits):
-                    for s in (0, 1):
-                        p[s] = (sums[s, 2 * n + 1][gram] + alpha * p[s]) / (sums[s, 2 * n][context] + alpha)
-                each = np.concatenate([[0.0], np.cumsum(np.log(p[1]) - np.log(p[0]))])
-                scores[lo:hi] = (each[offs[1:]] - each[offs[:-1]]) / np.maximum(np.diff(offs), 1)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+                w = windows(part, offs, order)
+                row = np.repeat(np.arange(hi - lo), np.diff(offs))
+                at = np.minimum(np.searchsorted(keys, w), max(0, len(keys) - 1))
+                hit = keys[at] == w if len(keys) else np.zeros(len(w), bool)
+                # sums of longs by differences of running sums
+                run_up = np.concatenate([[0], np.cumsum(np.where(hit, values[at], 0) if len(keys) else np.zeros(len(w), np.int64))])
+                order_of = np.lexsort((w[~hit], row[~hit]))
+                r, v = row[~hit][order_of], w[~hit][order_of]
+                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])])) if len(r) else np.zeros(0, np.int64)
+                n = np.diff(np.concatenate([first, [len(r)]]))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(r[first], minlength=hi - lo))]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(run_up[offs[1:]] - run_up[offs[:-1]]), rest.cast(rest_type)], names=["row", "bytes", "d", "rest"])
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = 5, slot_bits: int = 17, alpha: float = 1.0, max_bytes: int = 1 << 20) -> DataFrame:
+def score_texts(texts: DataFrame, order: int, alpha: float, heavy: int, max_bytes: int) -> tuple[DataFrame, bool]:
+    """(row, score) of texts (row, side, text), and whether both sides were learned from."""
+    counted = texts.select("side", "text").mapInArrow(_count(order, max_bytes), "w long, m long, n0 long, n1 long")
+    counted = checkpointed(counted.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("m", "n0", "n1")]))
+    two = F.col("w").bitwiseAND(F.lit((1 << 18) - 1))
+    # at most 257**2 rows
+    got = counted.groupBy(two.alias("w")).agg(F.sum("m"), F.sum("n0"), F.sum("n1")).orderBy("w").toArrow()
+    pairs = (got.column(0).to_numpy().view(U64), np.stack([got.column(i).to_numpy() for i in (2, 3)]))
+    total = int(got.column(1).to_numpy().sum())
+    before = F.shiftright("w", 9).bitwiseAND(F.lit((1 << 18) - 1))
+    dealt = counted.select(before.alias("before"), "w", "m", "n0", "n1").repartition("before").sortWithinPartitions("before")
+    judged = checkpointed(dealt.mapInArrow(_differences(pairs, order, alpha), "w long, m long, d long"))
+    # the counts m sum up to total, so at most ``heavy`` windows have so much of it
+    many = judged.where(F.col("m") * heavy > total).select("w", "d").orderBy("w").toArrow()
+    known = (many.column(0).to_numpy().view(U64), many.column(1).to_numpy())
+    looked = checkpointed(texts.select("row", "text").mapInArrow(_look_up(known, order, max_bytes), "row long, bytes long, d long, rest array<struct<w:long,n:long>>"))
+    rest = looked.select("row", F.explode("rest").alias("x")).select("row", "x.w", "x.n").join(judged.where(F.col("m") * heavy <= total).select("w", "d"), "w")
+    rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("d")).alias("more"))
+    score = (F.col("d") + F.coalesce("more", F.lit(0))).cast("double") / F.lit(float(ONE)) / F.greatest("bytes", F.lit(1))
+    return looked.join(rest, "row", "left").select("row", score.alias("score")), bool((pairs[1].sum(axis=1) > 0).all()) if total else False
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = 5, alpha: float = 1.0, heavy: int = 1 << 16, max_bytes: int = 1 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict, score (block likelier above the threshold) of every page.
 
     Null URLs and URLs without :// have empty host and path; they get the verdict of score 0. If the
     rules decide no URL of one side, what they leave open is allowed. Rows are judged one by one, so repeated rows
-    and ties get equal verdicts. Other columns are ignored; no rows: no rows.
+    and ties get equal verdicts, and a null page_id is a value like others. order is 6 at most. Other columns are ignored; no rows: no rows.
     """
-    spark = pages.sparkSession
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = apply_rules(judged, rules)
+    judged = checkpointed(apply_rules(judged, rules).withColumn("row", F.monotonically_increasing_id()))
     text = F.concat("host", "path")
-    decided = judged.where("rule IS NOT NULL").select(F.when(F.col("rule_verdict") == "block", 1).otherwise(0).alias("side"), text.alias("text"))
-    held_out = F.pmod(F.crc32("text"), F.lit(5)) == 0
-    learn = decided.where(~held_out)
-    counted = learn.mapInArrow(_count(order, slot_bits, max_bytes), "side int, kind int, slot int, n long").groupBy("side", "kind", "slot").agg(F.sum("n").alias("n"))
-    # at most 2 sides x 2 kinds x (order + 1) x 2**slot_bits rows
-    got = counted.toArrow()
-    sums = np.zeros((2, 2 * (order + 1), 1 << slot_bits), np.float32)
-    sums[tuple(got.column(i).to_numpy() for i in range(3))] = got.column(3).to_numpy()
-    known = bool(sums[0, 0].any() and sums[1, 0].any())
-    model = spark.sparkContext.broadcast(sums)
-    score = _score(model, order, slot_bits, alpha, max_bytes)
+    held_out = F.pmod(F.crc32(text), F.lit(5)) == 0
+    side = F.when(F.col("rule").isNull() | held_out, 2).when(F.col("rule_verdict") == "block", 1).otherwise(0)
+    scores, known = score_texts(judged.select("row", side.alias("side"), text.alias("text")), order, alpha, heavy, max_bytes)
+    scored = checkpointed(judged.join(scores, "row"))
     threshold = 0.0
     if known:
-        bins = decided.where(held_out).mapInArrow(score, "side int, score double").groupBy("side", F.round(F.greatest(F.least("score", F.lit(5.0)), F.lit(-5.0)), 3).alias("at")).agg(F.count("*").alias("n")).collect()
+        of = F.when(F.col("rule_verdict") == "block", 1).otherwise(0)
+        at = F.round(F.greatest(F.least("score", F.lit(5.0)), F.lit(-5.0)), 3)
+        # at most 2 x 10,001 rows
+        bins = scored.where("rule IS NOT NULL").where(held_out).groupBy(of.alias("side"), at.alias("at")).agg(F.count("*").alias("n")).collect()
         threshold = _threshold([(r.side, r.at, r.n) for r in bins])
-    scored = judged.select("page_id", "host", "path", "rule", "rule_verdict", text.alias("text")).mapInArrow(score, "page_id long, host string, path string, rule string, rule_verdict string, score double")
     own = F.when((F.col("score") > threshold) & F.lit(known), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "score")
 
 
 def _threshold(bins: list[tuple[int, float, int]]) -> float:
-    """The score with the least sum of both sides' shares of mistakes; nearest 0 among equals. At most 20,002 bins."""
-    totals = [sum(n for s, _, n in bins if s == side) for side in (0, 1)]
-    if not all(totals):
+    """The score with the least sum of both sides' shares of mistakes; nearest 0 among equals."""
+    at = np.array(sorted({0.0, *(v for _, v, _ in bins)}))
+    sides = np.zeros((2, len(at)))
+    for s, v, n in bins:
+        sides[s, np.searchsorted(at, v)] += n
+    totals = sides.sum(axis=1)
+    if not totals.all():
         return 0.0
-    best, at = 2.0, 0.0
-    missed, passed = 0.0, float(totals[0])
-    for value in sorted({0.0, *(v for _, v, _ in bins)}):
-        passed -= sum(n for s, v, n in bins if s == 0 and v == value)
-        missed += sum(n for s, v, n in bins if s == 1 and v == value)
-        cost = passed / totals[0] + missed / totals[1]
-        if cost < best or (cost == best and abs(value) < abs(at)):
-            best, at = cost, value
-    return at
+    cost = np.round(1 - np.cumsum(sides[0]) / totals[0] + np.cumsum(sides[1]) / totals[1], 12)
+    return float(min(at[cost == cost.min()], key=abs))
