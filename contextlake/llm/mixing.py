@@ -9,7 +9,9 @@
    blocks in order, round after round.
 
 No step gathers a source in one task: streams are summed over ranges of the digest first and slots
-are numbered within runs of ``run_slots`` slots first, so a source with most of the rows is dealt to many tasks.
+are numbered within runs of ``run_slots`` slots first, so a source with most of the rows is dealt to many tasks. Sources may be
+as many as web domains: they are numbered and summed in ranges of Spark's sort. Points and shares are whole numbers, so
+neither the number of slots nor the order of sums changes what is drawn.
 """
 
 from __future__ import annotations
@@ -19,49 +21,69 @@ from pyspark.sql import functions as F
 
 from contextlake.llm.store import checkpointed
 
-GOLDEN = 0.6180339887498949
+#: the golden ratio's fraction in 62 bits: floor((sqrt(5) - 1) / 2 * 2**62)
+GOLDEN = 2850178704830799621
+POINTS = 1 << 62
 WORD = r"[^\x20\x09-\x0D]+"
+#: shares are counted in parts of a word
+PARTS = 256
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
-    """A row per source: source_size, weight, target, and the interval [lo, hi) of the mix.
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds nth (from 0) and each named sum over the rows before, in an order that Spark sorts in ranges; one row for each range meets in a window."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("*", *[c.alias(f"_order{i}") for i, c in enumerate(order)], *[c.alias(f"_sum_{k}") for k, c in sums.items()])
+    keys = [f"_order{i}" for i in range(len(order))]
+    placed = checkpointed(rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    named = {"nth": F.lit(1).cast("long")} | {k: F.col(f"_sum_{k}") for k in sums}
+    ranges = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in named.items()])
+    ranges = ranges.select("_part", *[F.coalesce(F.sum(f"_{k}").over(upto), F.lit(0)).alias(f"_{k}") for k in named])
+    here = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(k) for k, c in named.items()]).join(F.broadcast(ranges), "_part")
+    return here.select(*[c for c in rows.columns if not c.startswith(("_order", "_sum_"))], *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in named])
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> tuple[DataFrame, float]:
+    """(a row per source: source, ordinal, source_size, weight, target, and the interval [lo, hi) of the mix in points; words of the mix).
 
     Sources are ordered by code point, null last. The caps are met in closed form: by rising
     most*size/weight, a prefix of the sources is at its cap and the others share by weight.
-    Input and windows have one row per source.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = by_source.withColumn("ordinal", F.row_number().over(order) - 1)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ordinal") % len(weights)) + 1)
-    ranked = ranked.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    whole = Window.partitionBy()
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("ordinal"))
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        ranked.withColumn("total", F.lit(float(budget)) * F.sum("source_size").over(whole))
-        .withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("open"))
-        # the first source whose cap is above its level fixes the level of all after it
-        .withColumn("free", F.col("cap") > F.col("level") * F.col("weight"))
-        .withColumn("level", F.first(F.when(F.col("free"), F.col("level")), True).over(by_cap.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap")))
-    )
-    upto = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    all_target = F.sum("target").over(whole)
-    ranked = ranked.withColumn("hi", F.sum("target").over(upto) / all_target).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("ordinal")), F.lit(0.0)))
-    return ranked.select("source", "ordinal", "source_size", "weight", "target", "lo", "hi", "total")
-
-
-def _schedule(spark: SparkSession, targets: DataFrame, block_words: int, bins: int, run_slots: int) -> DataFrame:
+    ranked = _before(by_source, [F.col("source").isNull(), F.col("source")], {}).withColumnRenamed("nth", "ordinal")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int"))
+    ranked = checkpointed(ranked.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")))
+    words, shares = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = float(budget) * (words or 0)
+    rising = _before(ranked, [F.col("cap") / F.col("weight"), F.col("ordinal")], {"caps": F.col("cap"), "weights": F.col("weight")})
+    level = (F.lit(total) - F.col("caps")) / (F.lit(shares or 0.0) - F.col("weights"))
+    # the first source whose cap is above its level fixes the level of all after it
+    free = rising.select("cap", "weight", "nth", level.alias("level")).where("cap > level * weight")
+    level = free.agg(F.min_by("level", "nth")).first()[0]
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    shared = ranked.withColumn("target", target).withColumn("share", F.floor(F.col("target") * PARTS).cast("long"))
+    whole = float(shared.agg(F.sum("share")).first()[0] or 1)
+    shared = _before(shared, [F.col("ordinal")], {"below": F.col("share")})
+    point = lambda n: F.floor(n / F.lit(whole or 1.0) * F.lit(float(POINTS))).cast("long")
+    return shared.select("source", "ordinal", "source_size", "weight", "target", point(F.col("below")).alias("lo"), point(F.col("below") + F.col("share")).alias("hi")), total
+
+
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN modulo 2**62, by three parts of GOLDEN so that no product passes 62 bits; slots are below 2**41."""
+    low, middle, high = GOLDEN & (1 << 21) - 1, GOLDEN >> 21 & (1 << 21) - 1, GOLDEN >> 42
+    part = lambda g, bits: F.shiftleft((slot * F.lit(g).cast("long")).bitwiseAND(F.lit((1 << bits) - 1)), 62 - bits)
+    mask = F.lit(POINTS - 1)
+    return ((slot * F.lit(low).cast("long") + part(middle, 41)).bitwiseAND(mask) + part(high, 20)).bitwiseAND(mask)
+
+
+def _schedule(spark: SparkSession, targets: DataFrame, total: float, block_words: int, bins: int, run_slots: int) -> DataFrame:
     """(ordinal, rank) of every slot of the mix; rank counts the slots of the source from 0."""
-    # source_targets() has a row per source; its total is known once that small table is summed
-    total = targets.agg(F.max("total")).first()[0] or 0.0
     slots = spark.range(int(round(total / block_words)) + 1 if total > 0 else 0).select(F.col("id").alias("slot"))
-    point = F.col("slot") * F.lit(GOLDEN) - F.floor(F.col("slot") * F.lit(GOLDEN))
-    slots = slots.withColumn("point", point).withColumn("bin", F.floor(F.col("point") * bins))
-    held = targets.where("hi > lo").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.least(F.floor(F.col("hi") * bins), F.lit(bins - 1).cast("long")))))
+    slots = slots.withColumn("point", golden_point(F.col("slot")))
+    bin_of = lambda c: F.shiftright(c, 62 - (bins.bit_length() - 1))
+    slots = slots.withColumn("bin", bin_of("point"))
+    held = targets.where("hi > lo").withColumn("bin", F.explode(F.sequence(bin_of("lo"), F.least(bin_of("hi"), F.lit(bins - 1).cast("long")))))
     dealt = slots.join(held.select("bin", "ordinal", "lo", "hi"), "bin").where("point >= lo AND point < hi").select("slot", "ordinal")
     dealt = dealt.withColumn("run", F.floor(F.col("slot") / run_slots))
     runs = dealt.groupBy("ordinal", "run").agg(F.count("*").alias("n"))
@@ -79,7 +101,7 @@ def _streams(sizes: DataFrame, order_key: Column, ranges: int) -> DataFrame:
     sums = keyed.groupBy(*key).agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy(*key).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = keyed.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
     return out.withColumn("start", F.col("base") + F.col("inside")).drop("s_source", "s_range", "base", "inside", "key", "range")
@@ -106,8 +128,9 @@ def mix_sources(
     spark = docs.sparkSession
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = checkpointed(sizes)  # the texts are read once
-    targets = checkpointed(source_targets(sizes, weights, budget, most))
-    rank = _schedule(spark, targets, block_words, bins, run_slots)
+    targets, total = source_targets(sizes, weights, budget, most)
+    targets = checkpointed(targets)
+    rank = _schedule(spark, targets, total, block_words, bins, run_slots)
     blocks = targets.select("ordinal", F.ceil(F.col("source_size") / block_words).alias("blocks"))
     # the shuffled blocks of each source that the slots take, with how often
     taken = (

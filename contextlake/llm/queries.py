@@ -54,7 +54,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     found = language.identify(docs.select("doc_id", "text"), docs.where(~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -65,7 +65,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     learn = labels.where(~held_out).select("doc_id", F.col("quality").alias("label"))
     scored = quality.score_quality(docs, learn)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
@@ -121,15 +121,18 @@ fixed AS (SELECT min(level0) FILTER (cap > level0 * weight) AS level FROM (
   WHERE k = (SELECT min(k) FROM (SELECT *, row_number() OVER (ORDER BY cap / weight, ordinal) AS k FROM levels) WHERE cap > level0 * weight)),
 targets AS (SELECT source, ordinal, source_size, total, coalesce(least(cap, (SELECT level FROM fixed) * weight), cap) AS target FROM weighed),
 shares AS (
-  SELECT *, CAST(ceil(source_size / 64) AS BIGINT) AS blocks, sum(target) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS hi FROM targets),
-spans AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY ordinal), 0) AS lo FROM shares),
-slots AS (SELECT range AS slot, range * 0.6180339887498949::DOUBLE - floor(range * 0.6180339887498949::DOUBLE) AS point
+  SELECT *, CAST(ceil(source_size / 64) AS BIGINT) AS blocks, CAST(floor(target * 256) AS BIGINT) AS share FROM targets),
+summed AS (SELECT *, sum(share) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(share) OVER () AS whole FROM shares),
+spans AS (
+  SELECT ordinal, blocks, CAST(floor(CAST(upto - share AS DOUBLE) / CAST(whole AS DOUBLE) * 4611686018427387904.0::DOUBLE) AS BIGINT) AS lo,
+         CAST(floor(CAST(upto AS DOUBLE) / CAST(whole AS DOUBLE) * 4611686018427387904.0::DOUBLE) AS BIGINT) AS hi FROM summed),
+slots AS (SELECT range AS slot, CAST((CAST(range AS HUGEINT) * 2850178704830799621) % 4611686018427387904 AS BIGINT) AS point
   FROM range((SELECT CAST(round(max(total) / 64) AS BIGINT) + 1 FROM targets))),
 dealt AS (SELECT ordinal, blocks, row_number() OVER (PARTITION BY ordinal ORDER BY slot) - 1 AS rank FROM slots JOIN spans ON point >= lo AND point < hi),
 taken AS (SELECT ordinal, rank % blocks AS block, count(*) AS times FROM dealt WHERE rank < 2 * blocks GROUP BY ALL),
 keyed AS (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS key FROM sizes),
 placed AS (
-  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || key[1:4] AS INTEGER) % 1024, key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM keyed),
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || key[1:4] AS INTEGER) % 1024, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM keyed),
 pieces AS (
   SELECT ordinal, doc_id, start, size, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS block
   FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source WHERE size > 0),
