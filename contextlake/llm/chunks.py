@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the bytes; a chunk ends where its top bits are zero, so cuts depend on the 32
-bytes before them only, and an insertion moves no cut that is further on. A chunk whose 128-bit
-digest occurs in an earlier chunk (by doc_id, then place) is a duplicate and is removed; the first stays.
+A gear hash rolls over the bytes; a chunk may end where its top bits are zero, which depends on the 32
+bytes before only. After an insertion the cuts fall on the same places again as soon as one of them does, since the
+least and greatest length are counted from the last cut. A chunk whose 128-bit xxhash digest occurs in an
+earlier chunk (by doc_id, then place) is a duplicate and is removed; the first stays.
 The end of a text can be shorter than the least chunk. Alone it would meet unlike texts by chance, so its digest is that
 of the chunk before and itself; a text that is shorter as a whole has its own.
 """
@@ -13,8 +14,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from contextlake.llm import textkit
 from contextlake.llm.store import checkpointed
@@ -59,10 +61,9 @@ def _chunk_rows(bits: int, least: int, most: int):
                 ends, rows = [], []
                 for i in range(hi - lo):
                     own = cut(part[offs[i] : offs[i + 1]], bits, least, most)
-                    ends += [offs[i] + e for e in own]
-                    rows += [i] * len(own)
-                if not ends:
-                    continue
+                    # an empty text has one chunk of no bytes, so that its row is known
+                    ends += [offs[i] + e for e in own or [0]]
+                    rows += [i] * max(1, len(own))
                 ends, rows = np.array(ends), np.array(rows)
                 starts = np.concatenate([[0], ends[:-1]])
                 starts = np.where(np.concatenate([[True], rows[1:] != rows[:-1]]), offs[rows], starts)
@@ -70,12 +71,12 @@ def _chunk_rows(bits: int, least: int, most: int):
                 end = np.flatnonzero((ends - starts < least) & (starts > offs[rows]))
                 known = starts.copy()
                 known[end] = starts[end - 1]
-                # two hashes of the bytes from unlike polynomials
-                first = textkit.span_hashes(part, known, ends)
-                second = textkit.span_hashes(part ^ np.uint8(0xA5), known, ends)
+                view = memoryview(np.ascontiguousarray(part))
+                digests = np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(known.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+                row = pa.array(rows + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column(0).take(pa.array(rows + lo)), pa.array((starts - offs[rows]).astype(np.int64)), pa.array((ends - starts).astype(np.int32)), pa.array((ends - known).astype(np.int32))],
-                    names=["a", "b", "doc_id", "start", "n", "m"],
+                    [pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), *(batch.column(c).take(row) for c in (0, 2, 3)), pa.array((starts - offs[rows]).astype(np.int64)), pa.array((ends - starts).astype(np.int32)), pa.array((ends - known).astype(np.int32))],
+                    names=["a", "b", "doc_id", "x", "row", "start", "n", "m"],
                 )
 
     return run
@@ -86,31 +87,38 @@ def duplicate_chunks(docs: DataFrame, bits: int = 5, least: int = 48, most: int
 
     A chunk shorter than ``least`` bytes (the end of a text) is a duplicate if the chunk before it and itself occur earlier
     in the same way, or if it is a whole text that occurred as one. Null text is empty and has no
-    chunks. Rows that share a doc_id count as one document with the places of both. Other columns are ignored; no rows: no rows.
+    chunks. A null doc_id is before all others; rows that share a doc_id go by a hash of their texts, and of
+    equal rows one stays. Other columns are ignored; no rows: no rows.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pieces = rows.mapInArrow(_chunk_rows(bits, least, most), "a long, b long, doc_id long, start long, n int, m int")
-    pieces = checkpointed(pieces)
-    place = F.struct("doc_id", "start")
-    firsts = pieces.groupBy("a", "b", "m").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = pieces.join(firsts, ["a", "b", "m"]).where(place > F.col("first")).select("doc_id", "start", "n")
-    spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("gone"), F.sum("n").alias("n_removed"), F.count("*").alias("n_dup_chunks"))
-    counts = pieces.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_bytes"))
-    # joined runs: a span that starts where the last one ends is added to it
-    joined = F.expr(
-        "aggregate(gone, CAST(array() AS array<struct<start:bigint,n:bigint>>), (acc, x) -> "
-        "CASE WHEN size(acc) > 0 AND element_at(acc, -1).start + element_at(acc, -1).n = x.start "
-        "THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'n', element_at(acc, -1).n + x.n))) "
-        "ELSE concat(acc, array(named_struct('start', x.start, 'n', CAST(x.n AS bigint)))) END)"
-    )
-    ids = docs.select("doc_id").distinct()
-    out = ids.join(counts, "doc_id", "left").join(spans, "doc_id", "left")
+    return _found(docs, bits, least, most).drop("row", "x")
+
+
+def _found(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("x"), F.monotonically_increasing_id().alias("row"))
+    # rows are numbered in the same pass that is written here
+    pieces = checkpointed(rows.mapInArrow(_chunk_rows(bits, least, most), "a long, b long, doc_id long, x long, row long, start long, n int, m int"))
+    place = F.struct(F.isnotnull("doc_id").alias("named"), "doc_id", "x", "row", "start")
+    firsts = pieces.where("n > 0").groupBy("a", "b", "m").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = pieces.join(firsts, ["a", "b", "m"]).where(place > F.col("first")).select("row", "start", "n")
+    spans = later.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("gone"), F.sum("n").alias("n_removed"), F.count("*").alias("n_dup_chunks"))
+    counts = pieces.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("x").alias("x"), F.count_if(F.col("n") > 0).alias("n_chunks"), F.sum("n").alias("n_bytes"))
+    # a run starts where the span before does not end, and ends where the next does not start
+    starts = F.expr("filter(gone, (s, i) -> i = 0 OR get(gone, i - 1).start + get(gone, i - 1).n <> s.start)")
+    ends = F.expr("filter(gone, (s, i) -> i = size(gone) - 1 OR get(gone, i + 1).start <> s.start + s.n)")
+    joined = F.zip_with(starts, ends, lambda s, e: F.struct(s["start"].alias("start"), (e["start"] + e["n"] - s["start"]).alias("n")))
+    out = counts.join(spans, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", zero("n_bytes"), zero("n_chunks"), zero("n_dup_chunks"), zero("n_removed"), F.coalesce(joined, F.expr("CAST(array() AS array<struct<start:bigint,n:bigint>>)")).alias("spans"))
+    return out.select("doc_id", "x", "row", zero("n_bytes"), zero("n_chunks"), zero("n_dup_chunks"), zero("n_removed"), F.coalesce(joined, F.expr("CAST(array() AS array<struct<start:bigint,n:bigint>>)")).alias("spans"))
 
 
-def kept_text(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and the bytes of each document without the spans of duplicate_chunks()."""
-    whole = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes")).join(found.select("doc_id", "spans"), "doc_id")
+def kept_text(docs: DataFrame, bits: int = 5, least: int = 48, most: int = 512) -> DataFrame:
+    """doc_id and the bytes of every row without the spans of duplicate_chunks(). Rows of equal id and text change places at most."""
+    nth = lambda order: F.row_number().over(Window.partitionBy("doc_id", "x").orderBy(order))
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select("doc_id", F.xxhash64(text).alias("x"), F.encode(text, "UTF-8").alias("bytes")).withColumn("nth", nth("doc_id"))
+    found = _found(docs, bits, least, most).withColumn("nth", nth("row"))
+    found = found.select(F.col("doc_id").alias("id"), F.col("x").alias("fx"), F.col("nth").alias("fn"), "spans")
+    both = whole.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("x") == F.col("fx")) & (F.col("nth") == F.col("fn")))
     ends = F.expr("transform(array_append(spans, named_struct('start', CAST(octet_length(bytes) AS bigint), 'n', 0L)), (x, i) -> substring(bytes, CAST(CASE WHEN i = 0 THEN 1 ELSE spans[i - 1].start + spans[i - 1].n + 1 END AS INT), CAST(x.start - CASE WHEN i = 0 THEN 0 ELSE spans[i - 1].start + spans[i - 1].n END AS INT)))")
-    return whole.withColumn("parts", ends).select("doc_id", F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p)).alias("kept"))
+    return both.withColumn("parts", ends).select("doc_id", F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p)).alias("kept"))
