@@ -4,11 +4,12 @@ A string of ``LENGTH`` bytes that starts in two documents is found without sorti
 window of LENGTH bytes the suffix whose first ``KEY`` bytes have the least hash is an anchor, so equal
 strings have an anchor at the same place. Only anchors are sorted.
 
-1. Documents are dealt into blocks by id. A block sends the hashed keys of its anchors, each once, to
+1. Documents are dealt into blocks by id and text. A block sends the hashed keys of its anchors, each once, to
    ranges of hashes, which answer which keys other blocks have too.
 2. For anchors with shared keys, a block sends the suffix (LENGTH bytes) with the bytes before it that
    LENGTH-byte strings around the key can reach, each distinct context once with its least doc_id, to ranges of leading
-   bytes, bounded by splitters from a sample of suffixes. A range sorts its suffixes by multikey quicksort over
+   bytes, bounded by splitters from a sample of suffixes; where the input needs more ranges than the sample can tell apart, a range is
+   split by a hash of the key. A range sorts its suffixes by multikey quicksort over
    8-byte words, takes common prefixes of neighbours, and does the same for the bytes on the left read
    backwards; a string around the key is then a pair of classes, left and right, and its least doc_id is known.
 3. Suffixes with one key never straddle a boundary unless the key is hot (``hot`` occurrences): those
@@ -287,16 +288,19 @@ class Candidates:
         self.string_first, self.string_of = _distinct_rows(self.strings)
         self.string_least = _least(self.string_of, self.string_doc, len(self.string_first))
 
-    def split(self, splitters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def split(self, splitters: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Range of each distinct context (they are in the order of their suffixes), and of each distinct string."""
-        lead = self.context[self.first, SIDE : SIDE + 8].copy().view(">u8").ravel().astype(U64)
+        words = self.context[self.first, SIDE : SIDE + KEY].copy().view(">u8").reshape(-1, 2).astype(U64)
+        lead = words[:, 0]
+        part = textkit.mix(textkit.mix(lead) + words[:, 1]) % U64(parts)
         string = self.strings[self.string_first]
         words = np.zeros((len(string), 56), np.uint8)
         words[:, :LENGTH] = string
         digest = np.zeros(len(string), U64)
         for column in words.view("<u8").T:
             digest = textkit.mix(digest * U64(0x100000001B3) + column)
-        return np.searchsorted(splitters, lead, side="right"), (digest % U64(len(splitters) + 1)).astype(np.int64)
+        ranges = (len(splitters) + 1) * parts
+        return np.searchsorted(splitters, lead, side="right") * parts + part.astype(np.int64), (digest % U64(ranges)).astype(np.int64)
 
 
 def _least(of: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -305,21 +309,23 @@ def _least(of: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
-def _send_contexts(buckets: int, splitters: np.ndarray):
+def _send_contexts(buckets: int, splitters: np.ndarray, parts: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _letters([])
         number = table.column("block")[0].as_py()
         found = Candidates(Block(table), answers, buckets)
-        bucket, string_bucket = found.split(splitters)
+        bucket, string_bucket = found.split(splitters, parts)
         out = []
-        edge = _bounds(bucket, len(splitters) + 1)
+        order = np.argsort(bucket, kind="stable")
+        edge = _bounds(bucket[order], (len(splitters) + 1) * parts)
         for b in np.flatnonzero(np.diff(edge)).tolist():
-            at = found.first[edge[b] : edge[b + 1]]
+            mine = order[edge[b] : edge[b + 1]]
+            at = found.first[mine]
             body = np.concatenate([found.context[at], found.left[at, None].astype(np.uint8), found.right[at, None].astype(np.uint8)], axis=1)
-            out.append((number, b, _pack(body), _pack(found.least[edge[b] : edge[b + 1]])))
+            out.append((number, b, _pack(body), _pack(found.least[mine])))
         order = np.argsort(string_bucket, kind="stable")
-        edge = _bounds(string_bucket[order], len(splitters) + 1)
+        edge = _bounds(string_bucket[order], (len(splitters) + 1) * parts)
         for b in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[b] : edge[b + 1]]
             out.append((number, -1 - b, _pack(found.strings[found.string_first[at]]), _pack(found.string_least[at])))
@@ -344,7 +350,7 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
     return _letters([(block, bucket, _pack(m.view(np.uint8).reshape(-1, 8)[:, :5]), None) for block, bucket, m in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(masks, ends[:-1]), strict=True)])
 
 
-def _cut(buckets: int, splitters: np.ndarray, carry: tuple[str, ...], kind: pa.Schema):
+def _cut(buckets: int, splitters: np.ndarray, parts: int, carry: tuple[str, ...], kind: pa.Schema, whole: bool):
     def run(table: pa.Table, keys_and_masks: pa.Table) -> pa.Table:
         if not table.num_rows:
             return kind.empty_table()
@@ -352,10 +358,11 @@ def _cut(buckets: int, splitters: np.ndarray, carry: tuple[str, ...], kind: pa.S
         stage = np.asarray(keys_and_masks.column("stage").to_numpy())
         answers = keys_and_masks.filter(pa.array(stage == 1))
         found = Candidates(block, answers, buckets)
-        bucket, string_bucket = found.split(splitters)
+        bucket, string_bucket = found.split(splitters, parts)
         masks, string_masks = np.zeros(len(found.first), U64), np.zeros(len(found.string_first), bool)
-        order = np.argsort(string_bucket, kind="stable")
-        edge, string_edge = _bounds(bucket, len(splitters) + 1), _bounds(string_bucket[order], len(splitters) + 1)
+        order, string_order = np.argsort(bucket, kind="stable"), np.argsort(string_bucket, kind="stable")
+        ranges = (len(splitters) + 1) * parts
+        edge, string_edge = _bounds(bucket[order], ranges), _bounds(string_bucket[string_order], ranges)
         got = keys_and_masks.filter(pa.array(stage == 2))
         for b, body in zip(got.column("bucket").to_pylist(), got.column("body").to_pylist(), strict=True):
             five = _unpack(body, np.uint8).reshape(-1, 5)
@@ -363,9 +370,9 @@ def _cut(buckets: int, splitters: np.ndarray, carry: tuple[str, ...], kind: pa.S
             m[:, :5] = five
             m = m.view("<u8").ravel()
             if b >= 0:
-                masks[edge[b] : edge[b + 1]] = m
+                masks[order[edge[b] : edge[b + 1]]] = m
             else:
-                string_masks[order[string_edge[-1 - b] : string_edge[-b]]] = m > 0
+                string_masks[string_order[string_edge[-1 - b] : string_edge[-b]]] = m > 0
         starts = np.zeros(len(block.data) + 1, bool)
         place, doc = block.place[found.calm], block.doc[found.calm]
         own = np.where(doc > found.least[found.of], _TOP, masks[found.of])
@@ -377,7 +384,7 @@ def _cut(buckets: int, splitters: np.ndarray, carry: tuple[str, ...], kind: pa.S
         covered = run_up.copy()
         covered[LENGTH:] -= run_up[:-LENGTH]
         gone = covered > 0
-        return _results(block, gone, carry, kind)
+        return _results(block, gone, carry, kind, whole)
 
     return run
 
@@ -385,7 +392,7 @@ def _cut(buckets: int, splitters: np.ndarray, carry: tuple[str, ...], kind: pa.S
 _TOP = np.iinfo(np.uint64).max
 
 
-def _results(block: Block, gone: np.ndarray, carry: tuple[str, ...], kind: pa.Schema) -> pa.Table:
+def _results(block: Block, gone: np.ndarray, carry: tuple[str, ...], kind: pa.Schema, whole: bool) -> pa.Table:
     lengths = np.diff(block.offsets)
     edge = np.zeros(len(gone) + 1, bool)
     edge[block.offsets] = True
@@ -396,6 +403,11 @@ def _results(block: Block, gone: np.ndarray, carry: tuple[str, ...], kind: pa.Sc
     row = np.searchsorted(block.offsets, first, side="right") - 1
     counts = np.bincount(row, minlength=len(lengths))
     spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(first - block.offsets[row]), pa.array(last - first)], names=["start", "n"]))
+    if whole and len(gone):
+        character = np.cumsum((block.data & 0xC0) != 0x80)
+        cut = np.zeros(int(character[-1]) + 1, bool)
+        cut[character[gone]] = True
+        gone = cut[character]
     kept = block.data[~gone]
     left = np.concatenate([[0], np.cumsum(~gone)])[block.offsets]
     bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())]).cast(pa.binary())
@@ -403,38 +415,45 @@ def _results(block: Block, gone: np.ndarray, carry: tuple[str, ...], kind: pa.Sc
     return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["doc_id", *carry, "n_bytes", "spans", "kept"]).cast(kind)
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), block_bytes: int = 3 << 20, range_keys: int = 1 << 20, hot: int = 50000, sample_suffixes: int = 100000) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), block_bytes: int = 3 << 20, range_keys: int = 1 << 20, hot: int = 50000, sample_suffixes: int = 100000, whole_characters: bool = False) -> DataFrame:
     """doc_id, carry columns (strings), n_bytes, spans (start, n of removed runs), kept (binary) of every row.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a row with a smaller doc_id.
     Null text is empty; texts of fewer than LENGTH bytes keep all. Rows that share a doc_id do not remove
-    each other's bytes. A null doc_id is below all others. Other columns are ignored; no rows: no rows.
+    each other's bytes. A null doc_id is below all others. With whole_characters kept leaves out every character of
+    which some bytes are removed, so it is valid UTF-8. Other columns are ignored; no rows: no rows.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), *carry, F.coalesce("text", F.lit("")).alias("text"))
     size = base.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(1, -(-(size["bytes"] or 0) // block_bytes))
-    buckets = max(1, min(60000, -(-(size["bytes"] or 0) // (16 * range_keys))))
-    # about one anchor in 17 bytes; an even sample of documents gives the splitters
+    buckets = max(1, -(-(size["bytes"] or 0) // (16 * range_keys)))
+    # about one anchor in 17 bytes; an even sample of documents gives the splitters, at most ``each`` suffixes from one document
     share = min(1.0, sample_suffixes * 17 / max(1, size["bytes"] or 1))
+    each = max(1, sample_suffixes // 100)
+    # four samples for a range; more ranges than that are split by hashes
+    parts = -(-buckets // max(1, sample_suffixes // 4))
 
     def leads(batches):
         for batch in batches:
             block = Block(pa.Table.from_batches([batch]))
             lead = np.concatenate([block.data, np.zeros(8, np.uint8)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.lib.stride_tricks.sliding_window_view(lead, 8)[block.place].copy().view(">u8").ravel().astype(U64).view(np.int64))], names=["lead"])
+            nth = np.arange(len(block.row)) - np.searchsorted(block.row, block.row)
+            place = block.place[nth % np.maximum(np.bincount(block.row, minlength=1)[block.row] // each, 1) == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.lib.stride_tricks.sliding_window_view(lead, 8)[place].copy().view(">u8").ravel().astype(U64).view(np.int64))], names=["lead"])
 
-    sampled = base.where(ngrams.chance(F.col("doc_id"), "splitters") < share).select("doc_id", "text").mapInArrow(leads, "lead long").toArrow()
+    sampled = base.where(ngrams.chance(F.col("doc_id"), F.col("text")) < share).select("doc_id", "text").mapInArrow(leads, "lead long").toArrow()
     lead = np.sort(sampled.column("lead").to_numpy().view(U64))
     # as many ranges of suffixes as of keys
-    splitters = np.unique(lead[(np.arange(1, buckets) * len(lead)) // buckets]) if len(lead) else np.zeros(0, U64)
+    ranges = -(-buckets // parts)
+    splitters = np.unique(lead[(np.arange(1, ranges) * len(lead)) // ranges]) if len(lead) else np.zeros(0, U64)
 
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition("block")
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
     asked = dealt.groupBy("block").applyInArrow(_send_keys(buckets), _LETTER_DDL)
     keyed = asked.groupBy("bucket").applyInArrow(_answer_keys(hot), _LETTER_DDL)
-    sent = dealt.groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(_send_contexts(buckets, splitters), _LETTER_DDL)
+    sent = dealt.groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(_send_contexts(buckets, splitters, parts), _LETTER_DDL)
     masked = sent.groupBy("bucket").applyInArrow(_answer_contexts, _LETTER_DDL)
     both = keyed.withColumn("stage", F.lit(1)).unionByName(masked.withColumn("stage", F.lit(2)))
     kind = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in carry), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))), ("kept", pa.binary())])
     ddl = "doc_id long, " + "".join(f"{c} string, " for c in carry) + "n_bytes long, spans array<struct<start:long,n:long>>, kept binary"
-    out = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(buckets, splitters, carry, kind), ddl)
+    out = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(buckets, splitters, parts, carry, kind, whole_characters), ddl)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
