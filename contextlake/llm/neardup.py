@@ -7,7 +7,7 @@ that agree in ``rows`` sketches of a band meet in a bucket. Texts of at most ``f
 the buckets of their rarest k-mers, as many as a pair of similarity ``least`` cannot avoid to share (a prefix
 filter), so among them no pair is left to chance.
 
-In a bucket every pair is verified, each pair in the first bucket that it shares: similarity is the number of
+In a bucket every pair is verified (or, where only classes are wanted, every pair whose class is not known yet), each pair in the first bucket that it shares: similarity is the number of
 distinct k-mers that stay in order in the best alignment, over the number of distinct k-mers of both, with
 the alignment kept in the band that a pair of that similarity cannot leave. A bucket of more than ``hot`` members (or
 ``hot_bytes`` of text) is cut into blocks, and each pair of blocks is a task's group of its own. A group gives
@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextlake.llm import textkit
@@ -51,7 +51,8 @@ def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -
     h = textkit.mix(found)
     heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     lengths = np.diff(np.concatenate([heads, [len(h)]]))
-    low = U64((1 << 24) - 1)
+    # the place takes 24 bits, more in a slice of one longer text
+    low = U64((1 << max(24, int(lengths.max()).bit_length())) - 1)
     place = (np.arange(len(h)) - np.repeat(heads, lengths)).astype(U64) & low
     for i in range(sketches):
         factor = U64((int(textkit.mix(np.array([i + 1], U64))[0]) | 1))
@@ -92,6 +93,7 @@ def _sketch_rows(k: int, bands: int, rows: int, few: int):
                 [*(batch.column(i) for i in range(4)), pa.ListArray.from_arrays(pa.array(each), pa.array(found_keys)), pa.ListArray.from_arrays(pa.array(own), pa.array(np.concatenate(short).view(np.int64)))],
                 names=["doc_id", "x", "y", "bytes", "bands", "few"],
             )
+        textkit.give_back()
 
     return run
 
@@ -126,81 +128,81 @@ def in_order(places: np.ndarray, at: np.ndarray, band: int) -> int:
     return len(tails)
 
 
-def band_of(all_of: int, least: float) -> int:
-    return int(np.ceil(all_of * (1 - least) / (1 + least))) + 1
+def band_of(all_of, least: float):
+    return np.ceil(all_of * (1 - least) / (1 + least)).astype(np.int64) + 1
 
 
-def linked(kmers: list[np.ndarray], wanted: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """The pairs of wanted (i, j; a matrix) whose similarity is least or more, each text given by its distinct k-mers in order."""
+def linked(kmers: list[np.ndarray], wanted: np.ndarray, least: float, label: np.ndarray, every: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(spanning links, links of each text) of the wanted pairs (i, j; a matrix) whose similarity is least or more.
+
+    Each text is given by its distinct k-mers in order. Texts of one label are known to be of one class; without ``every`` pairs whose
+    class is known already are left out, so a group of near copies costs one comparison a member.
+    """
     sizes = np.array([len(x) for x in kmers])
     offs = np.concatenate([[0], np.cumsum(sizes)])
     _, ids = np.unique(np.concatenate(kmers), return_inverse=True)
     place = np.full(len(ids) + 1, -1)
-    out = []
+    _, part = np.unique(label, return_inverse=True)
+    degree, out = np.zeros(len(kmers), np.int64), []
     for i in np.flatnonzero(wanted.any(axis=1)).tolist():
-        js = np.flatnonzero(wanted[i])
+        js = np.flatnonzero(wanted[i] if every else wanted[i] & (part != part[i]))
+        if not len(js):
+            continue
         own = ids[offs[i] : offs[i + 1]]
         place[own] = np.arange(len(own))
-        base = offs[js[0]]
-        p = place[ids[base : offs[js[-1] + 1]]]
-        sums = np.concatenate([[0], np.cumsum(p >= 0)])
-        common = sums[offs[js + 1] - base] - sums[offs[js] - base]
-        for j in js[common / np.maximum(sizes[i] + sizes[js] - common, 1) >= least].tolist():
-            q = p[offs[j] - base : offs[j + 1] - base]
-            at = np.flatnonzero(q >= 0)
-            all_of = int(sizes[i] + sizes[j])
-            n = in_order(q[at], at, band_of(all_of, least))
-            if n / max(all_of - n, 1) >= least:
-                out.append((i, j))
+        before = np.cumsum(sizes[js]) - sizes[js]
+        at = np.repeat(offs[js] - before, sizes[js]) + np.arange(int(sizes[js].sum()))
+        p = place[ids[at]]
         place[own] = -1
-    return out
-
-
-def forest(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """The pairs that join two parts when they are taken in turn."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+        of = np.repeat(np.arange(len(js)), sizes[js])
+        hit = np.flatnonzero(p >= 0)
+        p, of, at = p[hit], of[hit], at[hit] - offs[js][of[hit]]
+        common = np.bincount(of, minlength=len(js))
+        all_of = sizes[i] + sizes[js]
+        enough = common / np.maximum(all_of - common, 1) >= least
+        # common k-mers in the same order and near the diagonal: no alignment is needed
+        turned = np.bincount(of[1:][(of[1:] == of[:-1]) & (p[1:] <= p[:-1])], minlength=len(js)) > 0
+        far = np.bincount(of[np.abs(p - at) > band_of(all_of, least)[of]], minlength=len(js)) > 0
+        ok = enough & ~turned & ~far
+        ends = np.searchsorted(of, np.arange(len(js) + 1))
+        for k in np.flatnonzero(enough & (turned | far)).tolist():
+            n = in_order(p[ends[k] : ends[k + 1]], at[ends[k] : ends[k + 1]], int(band_of(all_of[k], least)))
+            ok[k] = n / max(all_of[k] - n, 1) >= least
+        found = js[ok]
+        degree[found] += 1
+        degree[i] += len(found)
+        for j in found.tolist():
+            if part[i] != part[j]:
+                part[part == part[j]] = part[i]
+                out.append((i, j))
+    return out, degree
 
 
-def _verify_rows(k: int, least: float):
-    """Task function over (key, one, two, block, node, bands, rare, text) sorted by key, one and two: (a, b, null) of spanning links, (a, null, links of a)."""
+def _verify_rows(k: int, least: float, every: bool):
+    """Task function over (key, one, two, block, node, label, bands, rare, text) sorted by key, one and two: (a, b, null) of spanning links and, with every pair wanted, (a, null, links of a)."""
 
     def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
         return [np.array(x, np.int64) for x in column.to_pylist()]
 
     def groups(table: pa.Table) -> pa.RecordBatch:
-        key, one, two, block, node = (table.column(i).to_numpy() for i in range(5))
-        bands, rare, kmers = np.array(lists(table.column(5))), lists(table.column(6)), distinct_kmers(table.column(7), k)
+        key, one, two, block, node, label = (table.column(i).to_numpy() for i in range(6))
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]), [True]]))
         a, b, n = [], [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo < 2:
                 continue
-            wanted = np.triu(~met_before(key[lo], bands[lo:hi], rare[lo:hi]), 1)
+            own = table.slice(lo, hi - lo)
+            wanted = np.triu(~met_before(key[lo], np.array(lists(own.column(6))), lists(own.column(7))), 1)
             if one[lo] != two[lo]:
                 wanted &= block[lo:hi][:, None] != block[lo:hi][None, :]
             if not wanted.any():
                 continue
-            pairs = linked(kmers[lo:hi], wanted, least)
-            for i, j in forest(pairs, hi - lo):
+            pairs, degree = linked(distinct_kmers(own.column(8), k), wanted, least, label[lo:hi], every)
+            for i, j in pairs:
                 a.append(node[lo + i])
                 b.append(node[lo + j])
                 n.append(None)
-            degree = np.bincount(np.array(pairs, np.int64).ravel(), minlength=hi - lo)
-            for i in np.flatnonzero(degree).tolist():
+            for i in np.flatnonzero(degree).tolist() if every else ():
                 a.append(node[lo + i])
                 b.append(None)
                 n.append(int(degree[i]))
@@ -221,6 +223,8 @@ def _verify_rows(k: int, least: float):
             held.append(batch.slice(cut))
         if held:
             yield groups(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        textkit.give_back()
 
     return run
 
@@ -234,7 +238,7 @@ def similarity(first: np.ndarray, second: np.ndarray, least: float) -> float:
     if len(common) < least * (all_of - len(common)):
         return 0.0
     order = np.argsort(i)
-    n = in_order(j[order], i[order], band_of(all_of, least))
+    n = in_order(j[order], i[order], int(band_of(np.float64(all_of), least)))
     return n / (all_of - n)
 
 
@@ -252,8 +256,12 @@ def distinct_kmers(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 20, hot: int = 1000, hot_bytes: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): doc_id, x, y of every row; and x, y (digest), rep (least doc_id of the text), component, class_id, n_links of every text."""
+def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 20, hot: int = 1000, hot_bytes: int = 1 << 24, count_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): doc_id, x, y of every row; and x, y (digest), rep (least doc_id of the text), component, class_id, n_links of every text.
+
+    Links are counted over every pair of a bucket. Without count_links (n_links is then null) only classes are wanted: pairs of
+    one class are left out, the blocks of a large bucket are looked at alone first, and only what they leave apart meets again.
+    """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = whole.select("doc_id", F.xxhash64(F.lit(1), "text").alias("x"), F.xxhash64(F.lit(2), "text").alias("y"), F.octet_length("text").cast("long").alias("bytes"), "text")
     sketched = checkpointed(whole.mapInArrow(_sketch_rows(k, bands, rows, few), "doc_id long, x long, y long, bytes long, bands array<long>, few array<long>"))
@@ -270,24 +278,52 @@ def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 2
     keyed = placed.select(F.explode(F.concat("bands", "rare")).alias("key"), "node", "bytes")
     blocks = F.greatest(F.ceil(F.count("*") / hot), F.ceil(F.sum("bytes") / hot_bytes)).cast("int")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1")
-    members = checkpointed(keyed.join(shared, "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    # other blocks in other buckets, so that blocks alone join most of a class
+    block = F.pmod(F.xxhash64("node") if count_links else F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    members = checkpointed(keyed.join(shared, "key").select("key", "node", "bytes", "blocks", block.alias("block"), F.col("node").alias("label")))
     # texts go to members of shared buckets only; one row for each text, whatever ids it has
     same = ["x", "y", "id", "unnamed"]
-    wanted = placed.join(members.select("node").distinct(), "node").select("x", "y", F.coalesce("rep", F.lit(0)).alias("id"), F.isnull("rep").alias("unnamed"), "node", "bands", "rare")
     held = whole.select("x", "y", F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("unnamed"), "text")
-    found = held.join(wanted, same).dropDuplicates(same).select("node", "bands", "rare", "text")
-    laid = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    laid = laid.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node").join(found, "node")
-    laid = laid.select("key", "one", "two", "block", "node", "bands", "rare", "text").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-    met = checkpointed(laid.mapInArrow(_verify_rows(k, least), "a long, b long, n long"))
 
-    classes = connected_components(met.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "node")
+    def verified(members: DataFrame, others: Column) -> DataFrame:
+        wanted = placed.join(members.select("node").distinct(), "node").select("x", "y", F.coalesce("rep", F.lit(0)).alias("id"), F.isnull("rep").alias("unnamed"), "node", "bands", "rare")
+        found = held.join(wanted, same).dropDuplicates(same).select("node", "bands", "rare", "text")
+        laid = members.withColumn("other", F.explode(others))
+        laid = laid.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "label").join(found, "node")
+        laid = laid.select("key", "one", "two", "block", "node", "label", "bands", "rare", "text").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+        return checkpointed(laid.mapInArrow(_verify_rows(k, least, count_links), "a long, b long, n long"))
+
+    if count_links:
+        met = verified(members, F.sequence(F.lit(0), F.col("blocks") - 1))
+        classes = connected_components(met.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("id", "node")
+    else:
+        met = verified(members, F.array("block"))
+        classes = connected_components(met.select("a", "b")).withColumnRenamed("id", "node")
+        apart = _left_apart(members.where("blocks > 1"), classes, hot, hot_bytes)
+        if apart.head(1):
+            more = verified(apart, F.when(F.col("block") < F.col("blocks"), F.sequence(F.col("blocks"), F.col("all_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+            classes = connected_components(met.select("a", "b").unionByName(more.select("a", "b"))).withColumnRenamed("id", "node")
     named = classes.join(placed.select("node", "rep"), "node")
     named = classes.join(named.groupBy("component").agg(F.min("rep").alias("class_id")), "component")
     degree = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    links = F.coalesce("n_links", F.lit(0)) if count_links else F.lit(None)
     out = placed.select("node", "x", "y", "rep").join(named, "node", "left").join(degree, "node", "left")
     class_id = F.when(F.isnull("component"), F.col("rep")).otherwise(F.col("class_id"))
-    return sketched.select("doc_id", "x", "y"), out.select("x", "y", "rep", F.coalesce("component", "node").alias("component"), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sketched.select("doc_id", "x", "y"), out.select("x", "y", "rep", F.coalesce("component", "node").alias("component"), class_id.alias("class_id"), links.cast("long").alias("n_links"))
+
+
+def _left_apart(members: DataFrame, classes: DataFrame, hot: int, hot_bytes: int) -> DataFrame:
+    """Members of buckets in which more than one class is left, with the class as label; all but the bucket's largest class get blocks of their own.
+
+    The largest class needs no comparison within itself, so its blocks (below ``blocks``) meet the others' blocks (from ``blocks`` to ``all_blocks``) only.
+    """
+    named = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    parts = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    largest = parts.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("classes > 1")
+    blocks = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / hot), F.ceil(F.col("size") / hot_bytes)).cast("int")
+    apart = named.join(largest.select("key", F.col("top.label").alias("main"), blocks.alias("own_blocks")), "key")
+    block = F.when(F.col("label") == F.col("main"), F.col("block")).otherwise(F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("own_blocks")).cast("int"))
+    return checkpointed(apart.select("key", "node", "bytes", "blocks", (F.col("blocks") + F.col("own_blocks")).alias("all_blocks"), block.alias("block"), "label"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 20, hot: int = 1000) -> DataFrame:

@@ -6,13 +6,13 @@ the folder in ``spark.checkpoint.dir`` and read again, which cuts lineage and su
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextlake.llm import decontamination, language, mixing, neardup, suffixes
+from contextlake.llm.store import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a document stays if its language is known with this score at least
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts are told apart by their digests, so unlike texts that share an id or have none all stay.
     """
-    _, texts = neardup.text_classes(docs)
+    _, texts = neardup.text_classes(docs, count_links=False)
     first = texts.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("unnamed"), F.coalesce("rep", F.lit(0)).alias("id"), "x", "y")).alias("first")).select("first.*")
     text, same = F.coalesce("text", F.lit("")), ["x", "y", "id", "unnamed"]
     keyed = docs.withColumns({"x": F.xxhash64(F.lit(1), text), "y": F.xxhash64(F.lit(2), text), "id": F.coalesce("doc_id", F.lit(0)), "unnamed": F.isnull("doc_id")})
@@ -44,10 +44,8 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     A character of which some bytes were removed goes whole.
     """
-    found = suffixes.remove_repeats(docs, carry=("lang", "source"))
-    whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.size("spans") == 0, whole).otherwise(F.replace(whole, F.lit("\ufffd"), F.lit("")))
-    return found.select("doc_id", text.alias("text"), "lang", "source").where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    found = suffixes.remove_repeats(docs, carry=("lang", "source"), whole_characters=True)
+    return found.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
