@@ -1,9 +1,13 @@
 """Chat round trips, mixing, URLs and classifiers."""
 
 import hashlib
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +136,180 @@ def test_hinge_separates():
     assert all(s * (w[:2] @ x + w[2]) > 0 for (_, x), s in zip(rows, signs, strict=True))
 
 
-def test_ngrams_differ():
-    a, b = (ngrams.char_ngrams(t, (1, 2, 3), 16, True)[0] for t in ("abc", "abd"))
-    assert set(a) != set(b) and list(ngrams.char_ngrams("A  1b", (1, 2), 16, True)[0]) == list(ngrams.char_ngrams("a b", (1, 2), 16, True)[0])
+def plain_ngrams(text, letters_only):
+    import re
+
+    if letters_only:
+        text = re.sub(r"[^a-z\x80-\U0010ffff]+", " ", text.lower())
+    text = f" {text} "
+    return Counter(text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1))
+
+
+@pytest.mark.parametrize("letters_only", [True, False])
+def test_ngrams(letters_only, monkeypatch):
+    texts = ["", "A  1b", "héé 12 ÀB", None, "日本語 テスト", "a" * 50, "x😀y", "  lead and trail  ", "12"]
+    features = ngrams.Features(bits=20, letters_only=letters_only)
+    for piece in (1 << 21, 4):
+        monkeypatch.setattr(ngrams, "PIECE", piece)
+        got = {}
+        for size in (1 << 20, 1):
+            for lo, hi, starts, slots, counts in features.slices(pa.array(texts), size):
+                ends = [*starts[1:].tolist(), len(slots)]
+                for i in range(hi - lo):
+                    part = slice(int(starts[i]), ends[i])
+                    got.setdefault(lo + i, []).append(dict(zip(slots[part].tolist(), counts[part].tolist(), strict=True)))
+        names = {}
+        for i, t in enumerate(texts):
+            want = plain_ngrams(t or "", letters_only)
+            assert got[i][0] == got[i][1] and sorted(got[i][0].values()) == sorted(want.values())
+            for slot, n in got[i][0].items():
+                names.setdefault(slot, set()).update(k for k in want if want[k] == n)
+        assert len(names) == len({k for t in texts for k in plain_ngrams(t or "", letters_only)})
+
+
+def test_judging_a_slice_is_the_dense_product():
+    rng = np.random.default_rng(5)
+    idf, weights = rng.random(64) + 0.5, rng.normal(size=(3, 64))
+    dense = rng.integers(0, 3, (20, 64))
+    dense[:, 0] = 1
+    slots = [np.flatnonzero(d) for d in dense]
+    starts = np.cumsum([0, *(len(s) for s in slots)])[:-1]
+    best, top = language.judge(idf, weights, starts, np.concatenate(slots), np.concatenate([d[s] for d, s in zip(dense, slots, strict=True)]))
+    x = np.where(dense > 0, (1 + np.log(np.maximum(dense, 1))) * idf, 0)
+    scores = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ weights.T
+    p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    assert (best == p.argmax(axis=1)).all() and np.allclose(top, p.max(axis=1))
+
+
+def test_ftrl_is_the_dense_recursion():
+    rng = np.random.default_rng(6)
+    width, classes, a, b, l1, l2 = 12, 3, 2.0, 1.0, 0.02, 0.1
+    rows = [(s := np.sort(rng.choice(width, 5, replace=False)), rng.random(5), int(s[0]) % classes) for _ in range(60)]
+    w = language.fit_ftrl(rows, classes, width, a, b, l1, l2, epochs=2)
+    z, n = np.zeros((classes, width)), np.zeros((classes, width))
+
+    def now():
+        out = np.zeros((classes, width))
+        for c in range(classes):
+            for j in range(width):
+                if abs(z[c, j]) > l1:
+                    out[c, j] = -(z[c, j] - np.sign(z[c, j]) * l1) / ((b + np.sqrt(n[c, j])) / a + l2)
+        return out
+
+    for _ in range(2):
+        for slots, x, y in rows:
+            dense, weights = np.zeros(width), now()
+            dense[slots] = x
+            s = weights @ dense
+            p = np.exp(s) / np.exp(s).sum()
+            for c in range(classes):
+                for j in slots:
+                    g = (p[c] - (c == y)) * dense[j]
+                    sigma = (np.sqrt(n[c, j] + g * g) - np.sqrt(n[c, j])) / a
+                    z[c, j] += g - sigma * weights[c, j]
+                    n[c, j] += g * g
+    assert np.allclose(w, now())
+
+
+def test_hinge_reaches_the_optimum():
+    """Against plain subgradient steps on the same objective: half the squared norm and the cost of each row's hinge."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    signs = np.where(x @ [1, -1, 0.5] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    w = quality.fit_hinge([(np.arange(3), r) for r in x], signs, 3, epochs=2000)
+    full = np.hstack([x, np.ones((60, 1))])
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - signs * (full @ v)).sum()
+    v, best = np.zeros(4), np.inf
+    for t in range(1, 20000):
+        v = v - (v - (full * signs[:, None])[signs * (full @ v) < 1].sum(axis=0)) / (t + 10)
+        best = min(best, loss(v))
+    assert loss(w) <= best * 1.001
+
+
+def test_many_languages_and_odd_rows(spark):
+    names = [f"l{i:03d}" for i in range(300)]
+    rows = [(None if i % 2 else i, f"{n} only{i} " * 3 + "".join(chr(0x4E00 + 3 * i + j) for j in range(3)) * 10, n) for i, n in enumerate(names) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs, docs, bits=16, model_cells=1 << 20, carry=("lang",)).collect()
+    assert len(out) == len(rows) and np.mean([r.lang == r.lang_pred for r in out]) > 0.9 and len({r.lang_pred for r in out}) > 256
+
+
+def test_labels_that_contradict_or_repeat(spark, words):
+    docs = spark.createDataFrame([(i, words(i, 30) if i % 2 else words(i, 30).upper()) for i in range(80)] + [(None, "w001 w002"), (5, words(5, 30))], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(60)]
+    once = quality.score_quality(docs, spark.createDataFrame(rows, "doc_id long, label int")).collect()
+    more = quality.score_quality(docs, spark.createDataFrame(rows + rows[:9] + [(70, 1), (70, 0), (None, 1), (71, 7)], "doc_id long, label int")).collect()
+    assert len(once) == 82 and sorted(map(repr, once)) == sorted(map(repr, more))
+
+
+def plain_markov(texts, order=5, alpha=1.0):
+    """text -> probability of each byte, from dictionaries of counts."""
+    counts = Counter()
+    for t in texts:
+        b = [0] * order + [x + 1 for x in t.encode()]
+        for i in range(order, len(b)):
+            for n in range(order + 1):
+                counts[tuple(b[i - n : i]), b[i]] += 1
+                counts[tuple(b[i - n : i]), None] += 1
+
+    def likelihood(text):
+        b, total = [0] * order + [x + 1 for x in text.encode()], 0.0
+        for i in range(order, len(b)):
+            p = 1 / 256
+            for n in range(order + 1):
+                context = tuple(b[i - n : i])
+                p = (counts[context, b[i]] + alpha * p) / (counts[context, None] + alpha)
+            total += math.log(p)
+        return total / max(1, len(b) - order)
+
+    return likelihood
+
+
+def test_url_scores_match_dictionaries(spark):
+    rng = random.Random(9)
+    part = lambda: "".join(rng.choice("abcxyz") for _ in range(rng.randint(1, 6)))
+    hosts = ["a.net", "example.net", "www.org", "shop.example.com", "b.co"]
+    rows = [(i, f"http://{part()}.{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'de', part()])}/{part()}") for i in range(300)]
+    rows += [(300, None), (301, "x"), (302, "http://" + "long" * 5000 + ".b.co/é"), (None, "http://a.net/q"), (7, rows[7][1]), (7, rows[7][1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({"row": F.lit("clash"), "w": F.lit(1)})
+    sides = {0: [], 1: []}
+    out = urls.filter_urls(pages).collect()
+    for r in out:
+        text = r.host + r.path
+        if r.rule and zlib.crc32(text.encode()) % 5:
+            sides[int(r.verdict == "block")].append(text)
+    allow, block = plain_markov(sides[0]), plain_markov(sides[1])
+    want = {(r.host, r.path): block(r.host + r.path) - allow(r.host + r.path) for r in out}
+    assert len(out) == len(rows) and all(abs(r.score - want[r.host, r.path]) < 1e-6 for r in out)
+    # the same whether windows are looked up or joined
+    key = lambda r: (str(r.page_id), r.host, r.path, r.verdict, r.score)
+    for heavy in (1, 10**9):
+        assert sorted(map(key, urls.filter_urls(pages, heavy=heavy).collect())) == sorted(map(key, out))
+    decided = [(r.verdict == "block", round(max(-5.0, min(5.0, r.score)), 3)) for r in out if r.rule and zlib.crc32((r.host + r.path).encode()) % 5 == 0]
+    cost = lambda t: sum(s > t for b, s in decided if not b) / sum(not b for b, _ in decided) + sum(s <= t for b, s in decided if b) / sum(b for b, _ in decided)
+    least = min(map(cost, [0.0, *(s for _, s in decided)]))
+    line = [r.score for r in out if not r.rule and r.verdict == "allow"]
+    assert all(r.score > max(line) for r in out if not r.rule and r.verdict == "block") and abs(cost(urls._threshold([(int(b), s, 1) for b, s in decided])) - least) < 1e-9
+
+
+def test_mix_of_rows_that_share_an_id(spark, words):
+    rows = [(1, words(i, 1 + 7 * i % 90), "a") for i in range(40)] + [(None, words(i, 20 + i), "b") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(repr, mixing.mix_sources(docs.orderBy(F.rand(k)).repartition(k + 2), block_words=8).collect())) for k in (1, 2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 50
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 13), f"site{i % 500}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs, block_words=1).collect()
+    names = sorted({r[2] for r in rows})
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == n) for n in names]
+    want = dict(zip(names, fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2.0), strict=True))
+    assert all(abs(r.target - want[r.source]) < 1e-6 * r.target for r in out)
+
+
+def test_golden_points(spark):
+    slots = [0, 1, 2, 12345, 2**31 + 7, 2**40 + 12345, 2**41 - 1]
+    got = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", mixing.golden_point(F.col("slot")).alias("p")).collect()
+    assert {r.slot: r.p for r in got} == {s: s * mixing.GOLDEN % mixing.POINTS for s in slots}

@@ -86,6 +86,28 @@ def test_hot_group_is_split(frame, words):
     assert {out[i] for i in range(60)} == {0} and all(out[100 + i] == 100 + i for i in range(10))
 
 
+def test_classes_without_counting_links(frame, words):
+    import random
+
+    rng = random.Random(7)
+    rows = [(1000 * g + i, replaced(words(10 + g // 2, 120), [*rng.sample(range(120), rng.choice([1, 2, 4])), *range(20 * (g % 2))])) for g in range(6) for i in range(50)]
+    rows += [(None, rows[0][1]), (9000, None), (9001, "")]
+    want = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame(rows)).collect()}
+    for hot in (7, 1000):
+        each, texts = neardup.text_classes(frame(rows), hot=hot, count_links=False)
+        found = each.join(texts, ["x", "y"]).collect()
+        assert len(found) == len(rows) and {r.doc_id: r.class_id for r in found} == want and {r.n_links for r in found} == {None}
+
+
+def test_buckets_that_blocks_leave_apart(frame, words, monkeypatch):
+    """All texts in one bucket, whose blocks are looked at first and whose classes must then meet."""
+    monkeypatch.setattr(neardup, "sketch_slice", lambda data, offsets, k, sketches, plain=neardup.sketch_slice: (np.ones((len(offsets) - 1, sketches), np.uint64), *plain(data, offsets, k, sketches)[1:]))
+    rows = [(100 * g + i, replaced(words(20 + g, 60), [3 * i])) for g in range(5) for i in range(9)]
+    for options in ({"hot": 4, "few": 0}, {"few": 0}):
+        each, texts = neardup.text_classes(frame(rows), count_links=False, **options)
+        assert {r.doc_id: r.class_id for r in each.join(texts, ["x", "y"]).collect()} == {i: i // 100 * 100 for i, _ in rows}
+
+
 def test_similarity_needs_order():
     a = np.arange(100, dtype=np.uint64)
     assert neardup.similarity(a, a, 0.8) == 1.0
@@ -108,7 +130,7 @@ def canon(text):
 
 def test_fingerprints(frame):
     rows = [(4, "Café  au lait"), (1, "café AU\nlait "), (2, None), (8, "Straße ﬁx"), (9, "STRASSE fix"), (3, "😀" * 9), (20, "x" * 5000), (-5, "café au lait")]
-    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(rows), range_rows=2).collect()}
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(rows)).collect()}
     ordered = sorted(rows)
     prints = {}
     for n, (i, t) in enumerate(ordered):
@@ -121,6 +143,40 @@ def test_fingerprints(frame):
     assert fingerprints.fingerprint_documents(frame(rows).limit(0)).count() == 0
 
 
+def test_fingerprints_of_rows_without_or_with_shared_ids(frame, spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"null {i} " * (i % 7)) for i in range(60)] + [(7, f"same id {i}") for i in range(40)] + [(i, "copy of one text") for i in range(100, 160)] + [(10**18, "far off"), (3, "twice"), (3, "twice"), (2, "ab"), (1, "a")]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        found = fingerprints.fingerprint_documents(frame(rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    known = frame(rows).select("doc_id", "text", F.xxhash64(F.lit(1), "text").alias("x"), F.xxhash64(F.lit(2), "text").alias("y")).collect()
+    ordered = sorted({(-(2**63) if i is None else i, x, y, t) for i, t, x, y in known})
+    facts = {}
+    for n, (i, _, _, t) in enumerate(ordered):
+        nxt = ordered[(n + 1) % len(ordered)][3]
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        facts[None if i == -(2**63) else i, t] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), float(canon(edited) == canon(t)), float(canon(nxt) == canon(t)))
+    want = sorted(repr((i, *facts[i, t])) for i, t in rows)
+    assert sorted(repr((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next)) for r in found) == want
+    assert len({r.fingerprint for r in found}) == len({canon(t) for _, t in rows})
+
+
+def test_edited_texts_share_buckets_with_others(frame, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.length(canon).cast("string"))
+    rows = [(1, "abcd"), (2, "xyzw"), (3, "abcx"), (4, "q"), (5, "q")]
+    for few in (0, 10):
+        monkeypatch.setattr(fingerprints, "FEW", few)
+        out = {r.doc_id: r for r in fingerprints.fingerprint_documents(frame(rows)).collect()}
+        # 1 becomes abcx, which is 3's text
+        assert out[1].edited_fingerprint == out[3].fingerprint and out[1].near_edited == 0.0
+        assert len({r.fingerprint for r in out.values()}) == 4 and out[4].near_next == 1.0 and out[4].edited_fingerprint == out[5].fingerprint
+
+
 def test_unequal_bytes_in_one_bucket_are_told_apart(frame, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -52,3 +52,40 @@ def test_sql(spark, sf_dir, name):
     plain = lambda r: repr([round(x, 6) if isinstance(x, float) else x for x in r])
     assert sorted(columns) == sorted(found.columns)
     assert sorted(map(plain, cursor.fetchall())) == sorted(map(plain, found.select(*columns).collect()))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_take_empty_tables(spark, folder, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_rows_without_or_with_shared_ids(spark, folder, words):
+    """Clean rows stay in every stage, with null columns, one id for two texts, and a replacement character of their own."""
+    texts = [f"{words(70 + i, 80)} \ufffd {words(170 + i, 20)}" for i in range(6)]
+    passage = words(90, 40) + " é"
+    ids = [None, None, 5, 5, 7, 8]
+    rows = [(i, f"{t} {passage}", None if n else "en", None, None) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert sorted(map(repr, near.collect())) == sorted(map(repr, docs.collect()))
+    cut = corpus_pipeline.remove_repeated_strings(spark, docs, folder)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.text) for r in cut.collect()))
+    # the rows of the least id (null) keep the passage, and every text keeps its own words and sign
+    assert [t.endswith(passage) for _, _, t in got] == [True, True, False, False, False, False] and all(t[:400] in {x[:400] for x in texts} and " \ufffd w" in t for _, _, t in got)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, docs.collect()))
+    known = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 9000").limit(60)
+    odd = known.limit(3).selectExpr("CAST(NULL AS long) AS doc_id", "text", "lang", "CAST(NULL AS string) AS source", "CAST(NULL AS long) AS n_chars")
+    assert corpus_pipeline.identify_language(spark, known.unionByName(odd), folder).where("doc_id IS NULL").count() == 3
+    assert corpus_pipeline.mix(spark, docs, folder).count() == 6
+
+
+def test_whole_characters(spark):
+    rows = [(1, "é" * 40), (2, "x" + "é" * 30 + "y"), (3, "a" * 30 + "\u20ac" * 9 + "\ufffd"), (4, "a" * 29 + "b" + "a" * 29 + "\u20ac" * 7 + "tail \ufffd")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    out = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_strings(spark, docs, "").collect()}
+    assert out[1] == rows[0][1] and out[2] == "xy" and out[3] == rows[2][1] and out[4].endswith("tail \ufffd") and out[4].startswith("a" * 29 + "b")
