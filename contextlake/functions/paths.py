@@ -43,9 +43,14 @@ def ancestors(path: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Digit runs padded to 20 digits, so that a7 sorts with a007 and before a10."""
-    padded = F.regexp_replace(path, "([0-9]+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, "[0-9]*([0-9]{20})", "$1")
+    """Digit runs as their length in four digits and then the digits without leading zeros, so that a7 sorts with a007 and before a10.
+
+    A path of more than 9,999 digits in a run exists in no file system.
+    """
+    digits = lambda run: F.regexp_replace(run, "^0+(?=.)", "")
+    sized = lambda run: F.concat(F.lpad(F.length(digits(run)).cast("string"), 4, "0"), digits(run))
+    runs = F.regexp_extract_all(path, F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.array_join(F.transform(runs, lambda run: F.when(run.rlike("^[0-9]"), sized(run)).otherwise(run)), "")
 
 
 def collated(path: Column) -> Column:

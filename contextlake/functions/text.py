@@ -56,7 +56,8 @@ def escape_xml_attribute(text: Column) -> Column:
 
 
 def escape_cdata(text: Column) -> Column:
-    return F.replace(text, F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
+    """Without control characters that XML forbids, and with no end of the section inside."""
+    return F.replace(sanitize_xml(text), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
 
 
 def quote_scalar(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextlake.functions import text
-from contextlake.operators.order import running_sum
+from contextlake.operators.order import checkpointed, running_sum
 
 
 def checked_budget(value, name: str, zero_is_none: bool = True) -> int | None:
@@ -26,27 +26,43 @@ def checked_budget(value, name: str, zero_is_none: bool = True) -> int | None:
     return None if zero_is_none and value == 0 else int(value)
 
 
-def greedy_size(ranked: DataFrame, budget: int, keep_first: bool = False) -> DataFrame:
+def greedy_size(ranked: DataFrame, budget: int, keep_first: bool = False, serial: int = 1 << 20) -> DataFrame:
     """Adds fits: files in rank order that fit into what earlier fitting files left; later smaller ones may still fit.
 
-    keep_first keeps the first file even if it is larger. Each decision depends on the ones before it, so one task
-    folds over (rank, size) of the files that could fit alone; those that cannot are decided before.
+    keep_first keeps the first file even if it is larger. Each decision depends on the ones before it. While more than
+    ``serial`` files are open, a round takes the files before the first that does not fit, by running sums, and closes
+    every file that is larger than what is left then; of the rest, (rank, size) is folded over in one task.
     """
     slim = ranked.select("rank", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
-    possible = slim.where(F.col("size") <= budget) if not keep_first else slim
+    used, taken, first = 0, [], None
+    if keep_first:
+        first = slim.orderBy("rank").first()
+        used = first["size"] if first else 0
+        taken = [slim.where(F.col("rank") == first["rank"]).select("rank")] if first else []
+        slim = slim.where(F.col("rank") > first["rank"]) if first else slim
+    possible = slim.where(F.col("size") <= budget - used)
+    while possible.count() > serial:
+        summed = checkpointed(running_sum(possible, F.col("size"), "before"))
+        edge = summed.where(F.col("before") + F.col("size") > budget - used).agg(F.min("rank")).first()[0]
+        prefix = summed if edge is None else summed.where(F.col("rank") < edge)
+        taken.append(prefix.select("rank"))
+        used += prefix.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        possible = checkpointed(summed.where((F.col("rank") > F.lit(edge)) & (F.col("size") <= budget - used)).select("rank", "size"))
+    left = budget - used
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, kept = 0, 0
+        rest = left
         for batch in batches:
             fits = []
             for size in batch.column(1).to_pylist():
-                ok = used + size <= budget or (keep_first and kept == 0)
-                used, kept = used + size * ok, kept + ok
-                fits.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fits, pa.bool_())], names=["rank", "fits"])
+                fits.append(size <= rest)
+                rest -= size if fits[-1] else 0
+            yield batch.filter(pa.array(fits, pa.bool_())).select(["rank"])
 
-    decided = possible.coalesce(1).sortWithinPartitions("rank").mapInArrow(fold, "rank bigint, fits boolean")
-    return ranked.join(decided, "rank", "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+    fitting = possible.coalesce(1).sortWithinPartitions("rank").mapInArrow(fold, "rank bigint")
+    for part in taken:
+        fitting = fitting.unionByName(part)
+    return ranked.join(fitting.withColumn("fits", F.lit(True)), "rank", "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
 
 
 def character_budget(ranked: DataFrame, limit: int, planned: bool = False) -> DataFrame:
@@ -58,21 +74,22 @@ def character_budget(ranked: DataFrame, limit: int, planned: bool = False) -> Da
     """
     length = F.coalesce(F.col("size"), F.lit(0)) if planned else text.utf16_length(F.col("content"))
     files = ranked.withColumn("original_length", length)
+    # lengths are never negative, so what is used only grows: the first file that does not fit is the boundary. Only ranks and
+    # lengths are summed, and written once, so contents are not made for the sums again
+    lengths = checkpointed(files.select("rank", "original_length"))
     counted = F.coalesce(F.col("original_length"), F.lit(0))
-    files = running_sum(files, counted, "_used")
-    fits = F.col("original_length").isNull() | (F.col("_used") + counted <= limit)
-    # lengths are never negative, so what is used only grows: the first file that does not fit is the boundary
-    files = files.withColumn("_fits", fits)
-    boundary = files.where(~F.col("_fits")).agg(F.min("rank")).first()[0]
-    files = files.withColumn("_boundary", F.lit(boundary).cast("bigint"))
-    left = F.lit(limit) - F.col("_used")
-    at, after = F.col("rank") == F.col("_boundary"), (F.col("rank") > F.col("_boundary")) & F.col("original_length").isNotNull()
+    used = running_sum(lengths, counted, "used")
+    edge = used.where(F.col("original_length").isNotNull() & (F.col("used") + counted > limit)).agg(F.min(F.struct("rank", "used"))).first()[0]
+    left = F.lit(limit - edge["used"] if edge else 0).cast("bigint")
+    boundary = F.lit(edge["rank"] if edge else None).cast("bigint")
+    at = F.coalesce(F.col("rank") == boundary, F.lit(False))
+    after = F.coalesce(F.col("rank") > boundary, F.lit(False)) & F.col("original_length").isNotNull()
     if planned:
         outcome = F.when(after, "dropped").when(at & (left <= 0), "dropped").when(at, "truncated").otherwise("kept")
-        return files.withColumn("outcome", outcome).withColumn("planned_length", F.when(F.col("outcome") == "truncated", left)).drop("_used", "_fits", "_boundary")
+        return files.withColumn("outcome", outcome).withColumn("planned_length", F.when(F.col("outcome") == "truncated", left))
     cut = F.when(at, text.truncate_at_line(F.col("content"), left))
     files = files.withColumn("_cut", cut)
     outcome = F.when(after, "dropped").when(at & F.col("_cut").isNull(), "dropped").when(at, "truncated").otherwise("kept")
     files = files.withColumn("outcome", outcome)
     files = files.withColumn("content", F.when(F.col("outcome") == "truncated", F.col("_cut.content")).when(F.col("outcome") == "kept", F.col("content")))
-    return files.withColumn("dropped_lines", F.col("_cut.dropped_lines")).withColumn("total_lines", F.col("_cut.total_lines")).drop("_used", "_fits", "_boundary", "_cut")
+    return files.withColumn("dropped_lines", F.col("_cut.dropped_lines")).withColumn("total_lines", F.col("_cut.total_lines")).drop("_cut")

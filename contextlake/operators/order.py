@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextlake.functions import paths
@@ -33,11 +33,20 @@ def sort_columns(by: str = "path", descending: bool = False) -> list[Column]:
     return [k.desc() if descending else k.asc() for k in keys]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one only where none is set and all tasks run on this machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -46,20 +55,19 @@ def take_ranked(files: DataFrame, keys: list[Column], limit: int) -> DataFrame:
     return files.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
 
 
-def rank_all(files: DataFrame, keys: list[Column], id_column: str = "path") -> DataFrame:
+def rank_all(files: DataFrame, keys: list[Column]) -> DataFrame:
     """rank from 1 of every row: each task sorts a range of keys, and a range's offset is the rows before it.
 
-    Only keys and ids are sorted; what else a file has is joined back by its id.
+    Whole rows are sorted, so rows without or with equal paths stay apart; contents are joined after ranking.
     """
     partitions = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    named = files.select(*dict.fromkeys([id_column, "path", *(c for c in ("size", "modified") if c in files.columns)]))
-    placed = checkpointed(named.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select(id_column, F.monotonically_increasing_id().alias("at")))
+    placed = checkpointed(files.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     # one row for each shuffle partition
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = placed.withColumn("part", part).join(F.broadcast(before), "part").select(id_column, (F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1)) + 1).alias("rank"))
-    return files.join(ranked, id_column)
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1)) + 1
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").select(*files.columns, rank.alias("rank"))
 
 
 def running_sum(ranked: DataFrame, value: Column, name: str, block: int = 65536) -> DataFrame:
