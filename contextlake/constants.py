@@ -28,6 +28,11 @@ FORMAT_IDS = {"xml": "ctx-xml@1", "json": "ctx-json@1", "ndjson": "ctx-ndjson@1"
 XML_NAMESPACE = "urn:ctx"
 IGNORE_FILE, INCLUDE_FILE = ".ctxignore", ".ctxinclude"
 TOOL_NAME = "contextlake"
+PROFILE_FILE = ".ctxprofile"
+DEFAULT_INSTRUCTIONS = "Each file below is shown whole unless it is marked as truncated. Paths are relative to the root."
+
+# Limits of path lists in reports.
+REPORT_PATHS, REPORT_ALL_PATHS = 2_000, 50_000
 
 # Reasons of the exclusion ledger.
 REASONS = (
@@ -58,7 +63,7 @@ EXCLUDED_FILES = (
 )
 TEST_PATTERNS = (
     "test", "tests", "__tests__", "spec", "specs", "test/**", "tests/**", "__tests__/**", "spec/**", "specs/**",
-    *(f"*.{kind}.{ext}" for kind in ("test", "spec") for ext in ("js", "ts", "jsx", "tsx", "mjs")),
+    "*.test.js", "*.test.ts", "*.test.jsx", "*.test.tsx", "*.test.mjs", "*.spec.js", "*.spec.ts", "*.spec.jsx", "*.spec.tsx", "*.spec.mjs",
     "jest.config.js", "jest.config.ts", "jest.setup.js", "vitest.config.js", "vitest.config.ts",
 )
 FORCE_INCLUDE_DOTFILES = (".env.example", ".editorconfig", ".eslintrc*", ".prettierrc*", ".babelrc*", ".dockerignore", ".github/**", ".gitlab-ci.yml", ".travis.yml", "circle.yml")

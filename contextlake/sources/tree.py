@@ -1,4 +1,4 @@
-"""Directory trees as a batch source: one input partition for each directory below the root.
+"""Directory trees as a batch source: input partitions are directories, split further down until there are enough of them.
 
 ``spark.read.format("ctxtree").option("path", root).load()`` gives path, absolute_path, size, modified,
 is_symlink and problem. Subtrees whose directory is pruned by name are never entered; with ``scope`` only the
@@ -7,6 +7,7 @@ subtree of that path is listed. Contents are read later, for the selected files
 
 from __future__ import annotations
 
+import errno
 import os
 import time
 from collections.abc import Iterator
@@ -25,13 +26,16 @@ class _Subtree(InputPartition):
         self.relative, self.recurse = relative, recurse
 
 
+PASSING = {errno.EAGAIN, errno.EBUSY, errno.EMFILE, errno.ENFILE, errno.EINTR, errno.EIO, errno.ETIMEDOUT, errno.ESTALE}
+
+
 def with_retry(action, attempts: int = 3, delay: float = 0.1, cap: float = 2.0):
-    """The action's result; an OSError is tried again after a doubling pause."""
+    """The action's result; an error of the file system that may pass is tried again after a doubling pause, others are not."""
     for n in range(attempts):
         try:
             return action()
-        except OSError:
-            if n + 1 == attempts:
+        except OSError as error:
+            if n + 1 == attempts or error.errno not in PASSING:
                 raise
             time.sleep(min(cap, delay * 2**n))
 
@@ -43,14 +47,27 @@ class TreeReader(DataSourceReader):
         self.prune = set(filter(None, options.get("prune", ".git").split(",")))
         self.follow = options.get("followsymlinks", "false") == "true"
         self.max_depth = int(options.get("maxdepth", "-1"))
+        self.tasks = int(options.get("tasks", "64"))
 
     def partitions(self) -> list[InputPartition]:
-        start = self.scope
-        top = os.path.join(self.root, start)
-        if os.path.isfile(top):
-            return [_Subtree(start, False)]
-        below = [e.name for e in with_retry(lambda: list(os.scandir(top))) if e.is_dir(follow_symlinks=self.follow) and e.name not in self.prune]
-        return [_Subtree(start, False), *(_Subtree(f"{start}/{n}".strip("/"), True) for n in sorted(below))]
+        """Directories are opened level by level until there are ``tasks`` of them: those opened are listed alone, those left with all below."""
+        if os.path.isfile(os.path.join(self.root, self.scope)):
+            return [_Subtree(self.scope, False)]
+        alone, open_ = [], [self.scope]
+        while open_ and len(alone) + len(open_) < self.tasks:
+            below = []
+            for relative in open_:
+                alone.append(relative)
+                deep = relative.count("/") + bool(relative) - self.scope.count("/") - bool(self.scope)
+                if 0 <= self.max_depth <= deep:
+                    continue
+                try:
+                    entries = with_retry(lambda d=os.path.join(self.root, relative): list(os.scandir(d)))
+                except OSError:  # told when it is read
+                    continue
+                below += [f"{relative}/{e.name}".strip("/") for e in entries if e.is_dir(follow_symlinks=False) and e.name not in self.prune]
+            open_ = sorted(below)
+        return [*(_Subtree(r, False) for r in alone), *(_Subtree(r, True) for r in open_)]
 
     def _inside(self, path: str) -> bool:
         real = os.path.realpath(path)
@@ -82,7 +99,7 @@ class TreeReader(DataSourceReader):
                     yield (path, entry.path, None, None, True, "symlinkEscape")
                 elif entry.is_dir():
                     deep = path.count("/") - self.scope.count("/") - bool(self.scope)
-                    if partition.recurse and entry.name not in self.prune and not 0 <= self.max_depth <= deep:
+                    if (partition.recurse or entry.is_symlink() or relative != partition.relative) and entry.name not in self.prune and not 0 <= self.max_depth <= deep:
                         stack.append(path)
                 elif entry.is_file():
                     yield self._row(path, entry.path, entry)
