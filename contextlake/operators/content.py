@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from contextlake import constants as C
 from contextlake.functions import paths, sizes, text
+from contextlake.operators.order import checkpointed
 from contextlake.operators.rules import matches_any
 
 
@@ -155,6 +158,46 @@ class Transform:
     order_sensitive: bool = False
     needs: tuple[str, ...] = ()
     conflicts: tuple[str, ...] = ()
+    mime_types: tuple[str, ...] = ()
+    inputs: tuple[str, ...] = ("any",)
+    outputs: tuple[str, ...] = ("any",)
+    idempotent: bool = True
+    tags: tuple[str, ...] = ()
+    requirements: tuple[str, ...] = ()
+    options: dict = field(default_factory=dict)
+    flush: Callable[[], None] | None = None  # called when a task has seen its last file
+
+    def cache_key(self) -> Column:
+        """A digest of the file's path, size and time, and of the transform's name and options."""
+        modified = F.coalesce((F.unix_micros(F.col("modified").cast("timestamp")) / 1000).cast("bigint"), F.lit(0))
+        parts = F.struct(F.col("path"), F.coalesce("size", F.lit(0)).alias("size"), modified.alias("mtime"), F.lit(self.name).alias("transformer"), F.lit(json.dumps(self.options, sort_keys=True)).alias("options"))
+        return F.sha2(F.to_json(parts), 256)
+
+
+@dataclass
+class TransformCache:
+    """What heavy transforms made, as a table of (key, content, at) in a shared folder."""
+
+    folder: str
+    ttl_hours: int = 24
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        try:
+            return spark.read.schema("key string, content string, at timestamp").parquet(self.folder)
+        except AnalysisException:  # nothing was written yet
+            return spark.createDataFrame([], "key string, content string, at timestamp")
+
+    def fresh(self, spark: SparkSession) -> DataFrame:
+        """The newest content of each key that is not too old."""
+        young = self.rows(spark).where(F.col("at") > F.current_timestamp() - F.make_dt_interval(hours=F.lit(self.ttl_hours)))
+        return young.groupBy("key").agg(F.max_by("content", "at").alias("content"))
+
+    def add(self, made: DataFrame) -> None:
+        made.select("key", "content", F.current_timestamp().alias("at")).write.mode("append").parquet(self.folder)
+
+    def status(self, spark: SparkSession) -> DataFrame:
+        """entries, bytes, oldest, newest."""
+        return self.rows(spark).agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"), F.min("at").alias("oldest"), F.max("at").alias("newest"))
 
 
 @dataclass
@@ -166,12 +209,36 @@ class Registry:
     def register(self, transform: Transform) -> None:
         self.transforms[transform.name] = transform
 
-    def dispatch(self, path: Column) -> Column:
-        """The name of the transform for a path: highest priority among its extension's, else the default, else null."""
-        out = F.lit(next((t.name for t in self.transforms.values() if t.is_default), None)).cast("string")
-        for t in sorted(self.transforms.values(), key=lambda t: (t.priority, t.name)):
-            if t.extensions:
-                out = F.when(paths.trailing_extension(path).isin(*t.extensions), t.name).otherwise(out)
+    def dispatch(self, path: Column, mime: Column | None = None, required: bool = False) -> Column:
+        """The name of the transform for a path: highest priority among its extension's and its MIME type's, else the default, else null (an error if required)."""
+        default = next((t.name for t in self.transforms.values() if t.is_default), None)
+        out = F.raise_error(F.concat(F.lit("no transform for "), path)).cast("string") if required and default is None else F.lit(default).cast("string")
+        # one flat CASE, the highest priority first
+        case = None
+        for t in sorted(self.transforms.values(), key=lambda t: (t.priority, t.name), reverse=True):
+            hit = paths.trailing_extension(path).isin(*t.extensions) if t.extensions else F.lit(False)
+            hit = hit | F.coalesce(mime.isin(*t.mime_types), F.lit(False)) if mime is not None and t.mime_types else hit
+            case = (F if case is None else case).when(hit, t.name)
+        return out if case is None else case.otherwise(out)
+
+    def advice(self, plan: list[str]) -> list[tuple[str, str]]:
+        """(severity, message) of what a valid plan could do better."""
+        known = [self.transforms[n] for n in plan if n in self.transforms]
+        out = []
+        for a, b in zip(known, known[1:], strict=False):
+            if a.outputs[0] != "any" and b.inputs[0] != "any" and not set(a.outputs) & set(b.inputs):
+                out.append(("warning", f"{b.name} takes {', '.join(b.inputs)}, and {a.name} before it gives {', '.join(a.outputs)}"))
+        for i, t in enumerate(known):
+            out += [("warning", f"{t.name} depends on order and follows {u.name}, which changes what it sees at every run") for u in known[:i] if t.order_sensitive and not u.idempotent]
+            if t.heavy and i < len(known) - 2 and not any(u.heavy for u in known[i + 1 :]):
+                out.append(("info", f"{t.name} is heavy and could come later"))
+            if t.requirements:
+                out.append(("info", f"{t.name} needs {', '.join(sorted(t.requirements))}"))
+        if (heavy := sum(t.heavy for t in known)) > 3:
+            out.append(("warning", f"{heavy} heavy transforms"))
+        for tag in sorted({x for t in known for x in t.tags} & {"summary", "text-extraction"}):
+            if len(names := [t.name for t in known if tag in t.tags]) > 1:
+                out.append(("info", f"{', '.join(names)} do alike ({tag})"))
         return out
 
     def check(self, plan: list[str]) -> list[str]:
@@ -198,10 +265,31 @@ class Registry:
             ranked.remove(n)
         return out
 
+    def run_cached(self, files: DataFrame, cache: TransformCache) -> DataFrame:
+        """run(), but what heavy transforms made within the cache's time to live is taken from there, and what they make now is added.
+
+        files has path, size, modified and content.
+        """
+        heavy = {n: t for n, t in self.transforms.items() if t.heavy}
+        key = None
+        chosen = self.dispatch(F.col("path"))
+        for n, t in heavy.items():
+            key = (F if key is None else key).when(chosen == n, t.cache_key())
+        if key is None:
+            return self.run(files)
+        keyed = files.withColumn("_key", key)
+        known = cache.fresh(files.sparkSession).select(F.col("key").alias("_key"), F.col("content").alias("_known"))
+        light, heavy_rows = self.run(keyed.where("_key IS NULL")), keyed.where("_key IS NOT NULL")
+        made = checkpointed(self.run(heavy_rows.join(known, "_key", "left_anti")))
+        cache.add(made.where("transform_error IS NULL").select(F.col("_key").alias("key"), "content"))
+        found = heavy_rows.join(known, "_key").withColumn("content", F.col("_known")).drop("_known").withColumn("transform_error", F.lit(None).cast("string"))
+        return light.unionByName(made).unionByName(found.select(*light.columns)).drop("_key")
+
     def run(self, files: DataFrame) -> DataFrame:
         """content transformed and transform_error; a file whose transform fails keeps its content."""
         if not self.transforms:
             return files.withColumn("transform_error", F.lit(None).cast("string"))
+        flushes = [t.flush for t in self.transforms.values() if t.flush]
         functions = {n: t.apply for n, t in self.transforms.items()}
 
         def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +307,8 @@ class Registry:
                 at = batch.schema.get_field_index("content")
                 batch = batch.set_column(at, "content", pa.array(contents, pa.string())).drop_columns(["_transform"])
                 yield batch.append_column("transform_error", pa.array(errors, pa.string()))
+            for flush in flushes:
+                flush()
 
         schema = files.schema.add("transform_error", "string")
         return files.withColumn("_transform", self.dispatch(F.col("path"))).mapInArrow(apply, schema)

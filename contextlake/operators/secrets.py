@@ -51,10 +51,10 @@ def mask(rule: str, value: str, mode: str) -> str:
 
 
 def redactor(mode: str = "typed"):
-    """A pandas UDF: struct<content, findings>; findings carry no secret, only place, length and a fingerprint."""
+    """A pandas UDF: struct<content, findings, clean>; findings carry no secret, only place, length and a fingerprint. clean: no found value is left anywhere in the content."""
     mask("", "", mode)
 
-    @F.pandas_udf("struct<content:string,findings:array<struct<rule:string,start_line:int,start_column:int,length:int,fingerprint:string>>>")
+    @F.pandas_udf("struct<content:string,findings:array<struct<rule:string,start_line:int,start_column:int,length:int,fingerprint:string>>,clean:boolean>")
     def redact(contents: pd.Series) -> pd.DataFrame:
         rows = []
         for content in contents:
@@ -65,8 +65,9 @@ def redactor(mode: str = "typed"):
                 last = b
                 line_start = content.rfind("\n", 0, a) + 1
                 told.append({"rule": rule, "start_line": content.count("\n", 0, a) + 1, "start_column": a - line_start + 1, "length": b - a, "fingerprint": hashlib.sha256(content[a:b].encode()).hexdigest()[:16]})
-            rows.append(("".join(out) + content[last:] if found else content, told))
-        return pd.DataFrame(rows, columns=["content", "findings"])
+            shown = "".join(out) + content[last:] if found else content
+            rows.append((shown, told, not any(content[a:b] in shown for a, b, _ in found)))
+        return pd.DataFrame(rows, columns=["content", "findings", "clean"])
 
     return redact
 
@@ -84,11 +85,30 @@ def screen(files: DataFrame, max_bytes: int = C.SECRET_MAX_FILE_BYTES, oversize:
 
 
 def guard(files: DataFrame, mode: str = "typed") -> DataFrame:
-    """content redacted and findings; only texts in which some detector could hit go to Python."""
+    """content redacted, findings and clean (no found value is left); only texts in which some detector could hit go to Python."""
     suspect = F.when(F.col("content").rlike(ANY), F.col("content"))
     files = files.withColumn("_guard", redactor(mode)(suspect))
     empty = F.array().cast("array<struct<rule:string,start_line:int,start_column:int,length:int,fingerprint:string>>")
-    return files.withColumn("findings", F.coalesce(F.col("_guard.findings"), empty)).withColumn("content", F.coalesce(F.col("_guard.content"), F.col("content"))).drop("_guard")
+    return files.withColumn("findings", F.coalesce(F.col("_guard.findings"), empty)).withColumn("clean", F.coalesce(F.col("_guard.clean"), F.lit(True))).withColumn("content", F.coalesce(F.col("_guard.content"), F.col("content"))).drop("_guard")
+
+
+def counters(guarded: DataFrame, excluded: DataFrame, samples: int = 5) -> dict:
+    """What the guard did: exact counts, and up to five paths of each kind. guarded holds the files that stay, excluded the ledger."""
+    kinds = {"secretFile": "excludedSecretFiles", "secretUnscannable": "excludedUnscannable", "secretDetected": "excludedWithSecrets"}
+    out = {"findings": 0, "redacted": 0, "redactedPaths": [], **{k: 0 for k in kinds.values()}, **{f"{k}Paths": [] for k in kinds.values()}}
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("_k") <= samples, F.col("path")))), 1, samples)
+    from pyspark.sql import Window
+
+    rows = excluded.where(F.col("reason").isin(*kinds)).select("path", "reason", F.lit(0).alias("n"))
+    if "findings" in guarded.columns:
+        rows = rows.unionByName(guarded.where(F.size("findings") > 0).select("path", F.lit("redacted").alias("reason"), F.size("findings").alias("n")))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy("path")))
+    for r in rows.groupBy("reason").agg(F.count("*").alias("files"), F.sum("n").alias("n"), first.alias("paths")).collect():
+        if r.reason == "redacted":
+            out |= {"findings": r.n, "redacted": r.n, "redactedPaths": r.paths}
+        else:
+            out |= {kinds[r.reason]: r.files, f"{kinds[r.reason]}Paths": r.paths}
+    return out
 
 
 def summary(guarded: DataFrame, samples: int = 5) -> DataFrame:

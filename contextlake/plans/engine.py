@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contextlake import constants as C
 from contextlake.functions import paths
 from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rules, secrets
-from contextlake.request import PolicyFailure, Request
+from contextlake.request import PolicyFailure, Request, SecretsDetected
 from contextlake.sinks import render
 
 
@@ -33,10 +33,19 @@ def layers_of(request: Request, nested: list[rules.Layer] = (), global_lines: tu
     return [*out, rules.Layer("profile-exclude", request.profile_exclude, source="profile"), rules.Layer("option-exclude", request.exclude, source="options")]
 
 
+def depth_in_scope(path: Column, scopes: tuple[str, ...]) -> Column:
+    """Directories between a path and the scope that it lies in, or the root."""
+    out = paths.depth(path)
+    for scope in scopes:
+        if scope not in ("", "."):
+            out = F.when(paths.is_within(path, scope), F.greatest(paths.depth(path) - (scope.count("/") + 1), F.lit(0))).otherwise(out)
+    return out
+
+
 def discover(files: DataFrame, layers: list[rules.Layer], request: Request) -> DataFrame:
     """Adds forced, reason (null: selected so far), rule and rule_source. No shuffle, no contents."""
     path, size = F.col("path"), F.coalesce(F.col("size"), F.lit(0))
-    forced = rules.matches_any(path, request.force_include) | (F.col("forced") if "forced" in files.columns else F.lit(False))
+    forced = rules.matches_any(path, request.forced_globs()) | (F.col("forced") if "forced" in files.columns else F.lit(False))
     files = rules.judge(files.withColumn("forced", forced), layers)
     null = F.lit(None).cast("string")
     checks = []  # (applies to forced too, condition, reason, rule)
@@ -53,11 +62,9 @@ def discover(files: DataFrame, layers: list[rules.Layer], request: Request) -> D
         wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in request.extensions]
         checks.append((False, ~paths.extension(path).isin(*wanted), "filterPattern", F.lit("ext:" + ",".join(request.extensions))))
     if request.max_depth is not None:
-        checks.append((False, paths.depth(path) > request.max_depth, "filterPattern", F.lit(f"maxDepth:{request.max_depth}")))
+        checks.append((False, depth_in_scope(path, request.scopes) > request.max_depth, "filterPattern", F.lit(f"maxDepth:{request.max_depth}")))
     gate = min(request.size_gate or request.max_file_size, request.max_file_size)
     checks.append((True, size > F.when(F.col("forced"), request.max_file_size).otherwise(gate), "sizeGate", F.lit(f"sizeGate:{gate}")))
-    if request.redact:
-        checks.append((True, secrets.secret_file(path), "secretFile", F.lit("secret file name")))
     reason, rule = null, null
     for everyone, condition, name, told in reversed(checks):
         hit = condition if everyone else condition & ~F.col("forced")
@@ -91,12 +98,24 @@ class Selection:
         left = {r.reason: r.files for r in ledger.by_reason(self.excluded).collect()}
         return {"candidates": self.candidates.count(), "selected": count, "bytes": size, "excluded": sum(left.values()), "byReason": left, "exactness": self.request.exactness(), "truncated": any(left[k] for k in ("fileCountBudget", "totalSizeBudget", "charBudget"))}
 
-    def enforce(self) -> None:
-        summary = self.summary()
+    def enforce(self, summary: dict | None = None) -> dict:
+        """The summary, if no policy of the request fails."""
+        summary = summary or self.summary()
         if self.request.fail_empty and not summary["selected"]:
             raise PolicyFailure("nothing is selected")
         if self.request.fail_on_truncation and summary["truncated"]:
             raise PolicyFailure("budgets dropped files")
+        if self.request.fail_on_unreadable and summary["byReason"]["unreadable"]:
+            raise PolicyFailure(f"{summary['byReason']['unreadable']} files could not be read")
+        if self.request.redact and self.request.secret_oversize == "fail" and summary["byReason"]["secretUnscannable"]:
+            raise PolicyFailure(f"{summary['byReason']['secretUnscannable']} files are too large to be scanned for secrets")
+        if self.request.fail_on_secrets and "findings" in self.selected.columns:
+            told = self.selected.select("path", F.explode("findings").alias("f")).select("path", "f.rule", "f.start_line").orderBy("path", "start_line").limit(100).collect()
+            if told or summary["byReason"]["secretDetected"]:
+                raise SecretsDetected(f"secrets in {len({r.path for r in told}) + summary['byReason']['secretDetected']} files", [r.asDict() for r in told])
+        if self.request.strict and self.degradations:
+            raise PolicyFailure("; ".join(d["message"] for d in self.degradations))
+        return summary
 
 
 def outcome(files: DataFrame):
@@ -128,7 +147,13 @@ def select(files: DataFrame, request: Request, layers: list[rules.Layer], status
         ranked = budgets.greedy_size(ranked, request.max_total_size.value, request.keep_oversized_first)
         gone.append(ledger.entries(ranked.where(~F.col("fits")), "totalSizeBudget", F.lit(f"maxTotalSize:{request.max_total_size.value}")))
         ranked = ranked.where("fits").drop("fits")
-    return Selection(request, meta, ranked, ledger.merge(gone))
+    if request.redact:
+        # what names and sizes alone decide, so that a plan leaves out what a run does
+        ranked = secrets.screen(ranked, request.secret_max_bytes, request.secret_oversize)
+        gone.append(ledger.entries(ranked.where("secret_reason IS NOT NULL"), F.col("secret_reason")))
+        ranked = ranked.where("secret_reason IS NULL").drop("secret_reason")
+    degraded = [{"stage": "changes", "message": "no change set was given, so none was applied"}] if request.git_filter and statuses is None else []
+    return Selection(request, meta, ranked, ledger.merge(gone), degraded)
 
 
 def plan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None) -> Selection:
@@ -139,16 +164,26 @@ def plan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses
     cut = budgets.character_budget(chosen.selected, request.max_chars.value, planned=True)
     gone = ledger.entries(cut.where("outcome = 'dropped'"), "charBudget", F.lit(f"charLimit:{request.max_chars.value}"))
     kept = cut.where("outcome <> 'dropped'").withColumn("truncated", F.col("outcome") == "truncated").drop("outcome")
-    return Selection(request, chosen.candidates, kept, chosen.excluded.unionByName(gone))
+    return Selection(request, chosen.candidates, kept, chosen.excluded.unionByName(gone), chosen.degradations)
 
 
 def scan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None, registry: content.Registry | None = None) -> Selection:
-    """A selection with contents: load, classify, transform, deduplicate, redact, cut, in this order. files has content (string) or raw (bytes)."""
+    """A selection with contents: load, classify, transform, deduplicate, redact, cut, in this order. files has content (string) or raw (bytes).
+
+    The result is written to the shared folder once, so summaries, policies and documents do not make contents again.
+    """
     chosen = select(files, request, layers, statuses)
-    bodies = files.select("path", F.encode("content", "UTF-8").alias("raw") if "raw" not in files.columns else "raw")
-    loaded, skipped = content.load(content.classify(chosen.selected.join(bodies, "path", "left")), **({"default": request.binary, "exceptions": {}} if request.binary else {}))
+    policy = {"default": request.binary, "exceptions": {}} if request.binary else {}
+    # no bytes go to files that their names decide, unless they are shown as base64
+    path = F.col("path")
+    named = F.when(rules.matches_any(path, C.STRUCTURE_ONLY), "structure-only").otherwise(content.extension_category(path))
+    shown = named.isNull() | ((named != "structure-only") & (content.policy_of(named, **policy) == "base64"))
+    bodies = files.select(path.alias("wanted"), F.encode("content", "UTF-8").alias("raw") if "raw" not in files.columns else "raw").where(shown)
+    opened = chosen.selected.withColumn("wanted", F.when(shown, path)).join(bodies, "wanted", "left").drop("wanted")
+    loaded, skipped = content.load(content.classify(opened), **policy)
     gone = [chosen.excluded, ledger.entries(skipped, "binaryPolicy")]
     kept = loaded.drop("raw", "policy")
+    degraded = list(chosen.degradations)
     if registry and registry.transforms:
         kept = registry.run(kept)
     if request.deduplicate:
@@ -156,11 +191,19 @@ def scan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses
         gone.append(ledger.entries(duplicates, "duplicate", F.concat(F.lit("duplicateOf:"), "duplicate_of")))
     if request.redact:
         kept = secrets.guard(kept, request.redact)
+        dirty = (F.size("findings") > 0) & (~F.col("clean") | F.lit(not request.redact_inline))
+        kept = order.checkpointed(kept)
+        gone.append(ledger.entries(kept.where(dirty), "secretDetected"))
+        kept = kept.where(~dirty).drop("clean")
+    else:
+        kept = order.checkpointed(kept)
+    if registry and registry.transforms and (failed := kept.where("transform_error IS NOT NULL").count()):
+        degraded.append({"stage": "transform", "message": f"{failed} transforms failed and left their files as they were"})
     if request.max_chars.value is not None:
         cut = budgets.character_budget(kept, request.max_chars.value)
         gone.append(ledger.entries(cut.where("outcome = 'dropped'"), "charBudget", F.lit(f"charLimit:{request.max_chars.value}")))
         kept = cut.where("outcome <> 'dropped'").withColumn("truncated", F.col("outcome") == "truncated").drop("outcome")
-    return Selection(request, chosen.candidates, kept, ledger.merge(gone))
+    return Selection(request, chosen.candidates, kept, ledger.merge(gone), degraded)
 
 
 def rows(selection: Selection, on_summary: Callable[[dict], None] | None = None) -> Iterator:
@@ -176,5 +219,4 @@ def copy(files: DataFrame, request: Request, layers: list[rules.Layer], document
         chosen = plan(files, request, layers, more.get("statuses"))
         return chosen.summary() | {"estimate": aggregates.estimate(chosen.selected, request.format, only_tree=request.only_tree).first().asDict()}
     chosen = scan(files, request, layers, **more)
-    chosen.enforce()
-    return chosen.summary() | {"outputBytes": render.to_file(chosen.selected, request.format, document, target)}
+    return chosen.enforce() | {"outputBytes": render.to_file(chosen.selected, request.format, document, target)}

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from contextlake import constants as C
 from contextlake.functions import paths
 from contextlake.functions.patterns import ignore_rule
+from contextlake.functions.tables import markdown_table, short_bytes
 from contextlake.operators import aggregates, changes, rules
-from contextlake.plans.engine import Selection
+from contextlake.plans.engine import Selection, depth_in_scope
 from contextlake.request import Request
 
 
@@ -38,7 +39,7 @@ def explain(files: DataFrame, request: Request, layers: list[rules.Layer], selec
     """
     path, size = F.col("path"), F.coalesce(F.col("size"), F.lit(0))
     step = lambda n, passed, detail: F.struct(F.lit(n).alias("id"), F.when(passed, "pass").otherwise("fail").alias("verdict"), detail.cast("string").alias("detail"))
-    forced = rules.matches_any(path, request.force_include) | (F.col("forced") if "forced" in files.columns else F.lit(False))
+    forced = rules.matches_any(path, request.forced_globs()) | (F.col("forced") if "forced" in files.columns else F.lit(False))
     judged = rules.judge(files.drop("content"), layers).withColumn("forced", forced)
     gate = min(request.size_gate or request.max_file_size, request.max_file_size)
     inside = F.lit(not request.scopes)
@@ -49,10 +50,10 @@ def explain(files: DataFrame, request: Request, layers: list[rules.Layer], selec
         step("hard-exclusion", ~rules.hard_excluded(path), F.lit(".git")),
         step("scope", inside, F.lit(",".join(request.scopes))),
         step("ignore-rules", ~F.col("verdict.ignored") | F.col("forced"), F.concat_ws(" ", F.col("verdict.rule"), F.col("verdict.rule_source"), F.col("verdict.pruned_by"))),
-        step("force-include", F.col("forced"), F.lit(",".join(request.force_include))),
+        step("force-include", F.col("forced"), F.lit(",".join(request.forced_globs()))),
         step("include", rules.matches_any(path, request.include) if request.include else F.lit(True), F.lit(",".join(request.include))),
         step("extension", paths.extension(path).isin(*[e if e.startswith(".") else f".{e}" for e in request.extensions]) | F.col("forced") if request.extensions else F.lit(True), paths.extension(path)),
-        step("depth", (paths.depth(path) <= request.max_depth) | F.col("forced") if request.max_depth is not None else F.lit(True), paths.depth(path)),
+        step("depth", (depth_in_scope(path, request.scopes) <= request.max_depth) | F.col("forced") if request.max_depth is not None else F.lit(True), paths.depth(path)),
         step("size-gate", size <= limit, limit),
     ]
     out = judged.select("path", F.array(*steps).alias("steps"))
@@ -104,11 +105,16 @@ def _compiled(text: str):
     return out
 
 
-def check_rules(spark, text: str, baseline: DataFrame, attributed: DataFrame, effective: Selection) -> DataFrame:
-    """line, code, message of what is odd about an ignore file; the file's lines are few and looked at on the driver, the effects are summed by Spark."""
+def check_rules(spark, text: str, baseline: DataFrame, attributed: DataFrame, effective: Selection, focus: str | None = None) -> DataFrame:
+    """line, code, message of what is odd about an ignore file; the file's lines are few and looked at on the driver, the effects are summed by Spark.
+
+    focus asks for one rule, by line number or pattern; one that is not there is told too.
+    """
     import re
 
     found: list[tuple[int | None, str, str]] = []
+    if focus is not None and not any(focus in (str(n), rule.pattern) for n, rule in _compiled(text)):
+        found.append((None, "RULE_NOT_FOUND", f"no rule {focus}"))
     if text.startswith("﻿"):
         found.append((1, "BOM", "the file starts with a byte order mark"))
     if "�" in text:
@@ -126,9 +132,14 @@ def check_rules(spark, text: str, baseline: DataFrame, attributed: DataFrame, ef
         except re.error as error:
             found.append((n, "INVALID_PATTERN", str(error)))
     for i, (n, rule) in enumerate(compiled):
+        # a path that the rule is about, and the directories above it; a later rule that takes one of them decides instead
         probe = rule.pattern.lstrip("!").strip("/").replace("**", "x").replace("*", "x")
+        steps = probe.split("/")
+        above = ["/".join(steps[: n + 1]) for n in range(len(steps) - 1)]
         for later_line, later in compiled[i + 1 :]:
-            if not rule.negated and later.pattern != rule.pattern and re.search(later.regex, probe):
+            if rule.negated or later.pattern == rule.pattern:
+                continue
+            if re.search(later.regex, probe) and (rule.directories_only or not later.directories_only) or (not later.negated and any(re.search(later.regex, d) for d in above)):
                 found.append((n, "RULE_CANCELLED" if later.negated else "RULE_SHADOWED", f"by line {later_line}"))
                 break
     effects = {r.line: r for r in rule_effects(spark, text, baseline, attributed).collect()}  # a row for each line
@@ -158,6 +169,40 @@ def check_rules(spark, text: str, baseline: DataFrame, attributed: DataFrame, ef
     return spark.createDataFrame(found, "line int, code string, message string")
 
 
+def ignore_context(spark, text: str | None, baseline: Selection, effective: Selection, depth: int = 4, all_paths: bool = False) -> dict:
+    """What a writer of ignore rules wants to see: counts, roll-ups and a tree of the candidates, the rules there are, and the paths if they are few.
+
+    Above the limit no path is listed, and truncation says how many are left out. Frames are lazy; only counts come to the driver.
+    """
+    files = baseline.selected
+    limit = C.REPORT_ALL_PATHS if all_paths else C.REPORT_PATHS
+    candidates, selected = files.count(), effective.selected.count()
+    listed = files.select("path", "size", (F.col("size") > (effective.request.size_gate or effective.request.max_file_size)).alias("over_size_gate")).orderBy("path")
+    return {
+        "candidates": candidates, "selected": selected, "directories": aggregates.by_directory(files, 1), "extensions": aggregates.by_extension(files), "rootFiles": aggregates.root_files(files),
+        "tree": aggregates.tree_totals(files, depth), "rules": parse_rules(spark, text or ""), "exists": text is not None,
+        "paths": listed if candidates <= limit else None,
+        "truncation": {"truncated": candidates > limit, "omitted": candidates if candidates > limit else 0, "reason": f"{candidates} candidates exceed the limit of {limit} paths" if candidates > limit else None},
+    }
+
+
+def ignore_context_text(context: dict) -> str:
+    """The report as Markdown; its tables have a row for each directory of the first level, extension or rule."""
+    lines = ["# Ignore context", "", f"{context['candidates']} candidates, {context['selected']} selected", ""]
+    for title, frame, columns in (
+        ("Directories", context["directories"].orderBy(F.desc("bytes"), "path").limit(50), (("path", "Directory", False), ("files", "Files", True), ("size", "Size", True), ("hint", "Role", False))),
+        ("Extensions", context["extensions"].orderBy(F.desc("bytes"), "extension").limit(50), (("extension", "Extension", False), ("files", "Files", True), ("size", "Size", True))),
+        ("Rules", context["rules"].orderBy("line"), (("line", "Line", True), ("pattern", "Pattern", False))),
+    ):
+        rows = [r.asDict() | ({"size": short_bytes(r.bytes)} if "bytes" in frame.columns else {}) for r in frame.collect()]
+        lines += [f"## {title}", "", *(markdown_table(columns, rows) if rows else ["none"]), ""]
+    if context["paths"] is None:
+        lines += ["## Paths", "", context["truncation"]["reason"]]
+    else:
+        lines += ["## Paths", "", *(f"- {r.path} ({short_bytes(r.size)}){' over the size gate' if r.over_size_gate else ''}" for r in context["paths"].toLocalIterator())]
+    return "\n".join(lines) + "\n"
+
+
 def removed_by_area(baseline: DataFrame, attributed: DataFrame, effective: DataFrame) -> DataFrame:
     fates = changes.compare_plans(baseline, attributed, effective)
     return aggregates.by_area(fates.where("fate = 'removed'"))

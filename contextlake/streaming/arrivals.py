@@ -38,6 +38,18 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", la
     return grouped.agg(F.count("*").alias("n")).select(F.col("window.start").alias("session_start"), F.col("window.end").alias("session_end"), key, "n")
 
 
+def final_state(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Runs over what is there and returns the whole result of an aggregation, also of windows that the watermark has not closed; each batch replaces the last one's."""
+    schema = stream.schema
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    query = stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(folder)
+
+
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs over what is there, writes Parquet exactly once by the checkpoint, and returns what was written."""
     query = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
