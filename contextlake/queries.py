@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from contextlake.plans import engine, reports
 from contextlake.request import Budget, Request
 from contextlake.sinks import render
 from contextlake.sinks.tree import tree_lines
-from contextlake.sources.tables import changes_from_labels, files_from_documents, files_from_pages, table
+from contextlake.sources.tables import changes_from_labels, files_from_documents, files_from_pages
+from contextlake.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +48,7 @@ def _rows(f: Callable[[DataFrame], DataFrame]) -> Query:
 # --- scalar functions -------------------------------------------------------------------------------------------
 
 
-@query("SELECT path, 'corpus' AS top, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '^(.*)/', 1) AS dir, ext AS extension, 3 AS depth, k AS natural FROM keyed")
+@query("SELECT path, 'corpus' AS top, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '^(.*)/', 1) AS dir, ext AS extension, 3 AS depth, array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END) AS VARCHAR), 4, '0') || CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END ELSE x END), '') AS natural FROM keyed")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
     return files_from_documents(spark, d).select("path", F.substring_index("path", "/", 1).alias("top"), paths.basename(p).alias("name"), paths.dirname(p).alias("dir"), paths.extension(p).alias("extension"), paths.depth(p).alias("depth"), paths.natural_key(F.lower(p)).alias("natural"))
@@ -58,12 +60,11 @@ def size_human(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, roles(name, role) AS (VALUES ('en','tests'), ('fr','documentation'), ('de','source'))
-    SELECT path, CASE WHEN ext = '.json' THEN NULL WHEN lang = 'en' THEN 'tests' WHEN lang = 'fr' THEN 'documentation' WHEN lang = 'de' THEN 'source' END AS hint
-    FROM (SELECT replace(replace(replace(path, '/en/', '/src/__tests__/'), '/fr/', '/docs/'), '/de/', '/lib/') AS path, ext, lang FROM files) WHERE ext <> '.json'"""
+    """SELECT replace(replace(replace(path, '/en/', '/src/__tests__/'), '/fr/', '/docs/'), '/de/', '/lib/') AS path,
+      CASE lang WHEN 'en' THEN 'tests' WHEN 'fr' THEN 'documentation' WHEN 'de' THEN 'source' END AS hint FROM files"""
 )
 def role_hint(spark: SparkSession, d: str) -> DataFrame:
-    files = files_from_documents(spark, d).where(paths.extension(F.col("path")) != ".json")
+    files = files_from_documents(spark, d)
     p = F.col("path")
     for a, b in (("/en/", "/src/__tests__/"), ("/fr/", "/docs/"), ("/de/", "/lib/")):
         p = F.replace(p, F.lit(a), F.lit(b))
@@ -76,10 +77,10 @@ def text_lengths(spark: SparkSession, d: str) -> DataFrame:
     return files_from_documents(spark, d).select("path", units.alias("units"), text.count_lines(F.col("content")).cast("bigint").alias("lines"), text.estimate_tokens(units).alias("tokens"))
 
 
-@query("SELECT 'pages/p' || page_id || '.html' AS path, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, md5(replace(html, ']]>', ']]]]><![CDATA[>')) AS cdata, md5(trim(replace(replace(replace(html, '--', '—'), '<', '‹'), '>', '›'), ' ')) AS comment FROM pages", files=False)
+@query("SELECT 'pages/p' || page_id || '.html' AS path, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, md5(replace(regexp_replace(replace(html, chr(13), chr(1)), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') || 'end', ']]>', ']]]]><![CDATA[>')) AS cdata, md5(trim(replace(replace(replace(html, '--', '—'), '<', '‹'), '>', '›'), ' ')) AS comment FROM pages", files=False)
 def xml_escape(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
-    return files_from_pages(spark, d).select("path", F.md5(text.escape_xml_text(c)).alias("escaped"), F.md5(text.escape_cdata(c)).alias("cdata"), F.md5(text.sanitize_comment(c)).alias("comment"))
+    return files_from_pages(spark, d).select("path", F.md5(text.escape_xml_text(c)).alias("escaped"), F.md5(text.escape_cdata(F.concat(F.replace(c, F.lit("\r"), F.lit("\x01")), F.lit("\x01\x1f\x7fend")))).alias("cdata"), F.md5(text.sanitize_comment(c)).alias("comment"))
 
 
 @query("SELECT path, CASE ext WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.py' THEN 'python' WHEN '.json' THEN 'json' ELSE '' END AS language, '```' AS fence, '\"' || replace(path, '\"', '\\\"') || '\"' AS scalar FROM files")
@@ -376,7 +377,7 @@ def magic_numbers(spark: SparkSession, d: str) -> DataFrame:
 def classify_bytes(spark: SparkSession, d: str) -> DataFrame:
     files = files_from_documents(spark, d)
     noise = F.unhex(F.repeat(F.lit("0141"), 6000))  # half control bytes: binary under any extension
-    nul = F.concat(F.encode(F.substring("content", 1, 5000), "UTF-8"), F.unhex(F.lit("00")))  # one NUL: text only where the extension is trusted
+    nul = F.concat(F.unhex(F.lit("00")), F.encode("content", "UTF-8"))  # one NUL: text only where the extension is trusted
     raw = F.when(F.col("doc_id") % 4 == 0, noise).when(F.col("doc_id") % 4 == 1, nul).otherwise(F.encode("content", "UTF-8"))
     return content.classify(files.withColumn("raw", raw)).select("path", "binary_category")
 
@@ -394,9 +395,9 @@ def structure_only(spark: SparkSession, d: str) -> DataFrame:
     return files.select("path", rules.matches_any(F.col("path"), C.STRUCTURE_ONLY).alias("structure_only"))
 
 
-@query("SELECT path, '<!-- IMAGE File Excluded: ' || path || ' (' || CASE WHEN size >= 1024 THEN regexp_replace(CAST(round(size / 1024.0::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' KB' ELSE size || ' B' END || ') -->' AS comment FROM files WHERE size < 1000000")
+@query("SELECT path, '<!-- IMAGE File Excluded: ' || path || ' (' || CASE WHEN size >= 1048576 THEN regexp_replace(CAST(round(size / 1048576.0::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' MB' WHEN size >= 1024 THEN regexp_replace(CAST(round(size / 1024.0::DOUBLE, 2) AS VARCHAR), '\\.0$', '') || ' KB' ELSE size || ' B' END || ') -->' AS comment FROM files")
 def binary_comments(spark: SparkSession, d: str) -> DataFrame:
-    return files_from_documents(spark, d).where("size < 1000000").select("path", content.binary_comment(F.col("path"), F.lit("image"), F.col("size")).alias("comment"))
+    return files_from_documents(spark, d).select("path", content.binary_comment(F.col("path"), F.lit("image"), F.col("size")).alias("comment"))
 
 
 def _plain(spark: SparkSession, d: str) -> DataFrame:
@@ -526,18 +527,21 @@ def render_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return render.file_chunks(_ranked(spark, d, contents=True), "json", DOC).select("path", F.md5("chunk").alias("chunk"))
 
 
-@query(RANKED_SQL + "SELECT path, md5('    <ct:file path=\"@' || path || '\" size=\"' || size || '\"><![CDATA[' || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></ct:file>' || chr(10)) AS chunk FROM ranked")
+@query(RANKED_SQL + "SELECT path, md5('    <ct:file path=\"@' || path || '\" size=\"' || size || '\"><![CDATA[' || replace(regexp_replace(content, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), ']]>', ']]]]><![CDATA[>') || ']]></ct:file>' || chr(10)) AS chunk FROM ranked")
 def render_xml_rows(spark: SparkSession, d: str) -> DataFrame:
     return render.file_chunks(_ranked(spark, d, contents=True), "xml", DOC).select("path", F.md5("chunk").alias("chunk"))
 
 
 @query(
     RANKED_SQL
-    + """SELECT path, md5('<!-- ctx:file-begin path="@' || path || '" size=' || size || ' hash="sha256:' || sha256(content) || '" binary=false truncated=false -->' || chr(10) || chr(10) || '### @' || path || chr(10) || chr(10) || '```'
-      || CASE ext WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.py' THEN 'python' WHEN '.json' THEN 'json' ELSE '' END || chr(10) || content || chr(10) || '```' || chr(10) || chr(10) || '<!-- ctx:file-end path="@' || path || '" -->' || chr(10) || chr(10)) AS chunk FROM ranked WHERE content NOT LIKE '%```%'"""
+    + """SELECT path, md5('<!-- ctx:file-begin path="@' || path || '" size=' || size || ' hash="sha256:' || sha256(content) || '" binary=false truncated=false -->' || chr(10) || chr(10) || '### @' || path || chr(10) || chr(10) || fence
+      || CASE ext WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.py' THEN 'python' WHEN '.json' THEN 'json' ELSE '' END || chr(10) || content || chr(10) || fence || chr(10) || chr(10) || '<!-- ctx:file-end path="@' || path || '" -->' || chr(10) || chr(10)) AS chunk
+      FROM (SELECT *, repeat('`', CAST(CASE WHEN content LIKE '%```%' THEN greatest(4, list_max(list_transform(regexp_extract_all(content, '`{3,}'), lambda x: length(x))) + 1) ELSE 3 END AS INT)) AS fence FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || repeat('`', CAST(doc_id % 7 AS INT)) ELSE content END AS content) FROM ranked))"""
 )
 def render_markdown_rows(spark: SparkSession, d: str) -> DataFrame:
-    files = _ranked(spark, d, contents=True).where(~F.contains("content", F.lit("```")))
+    # some texts end with a run of backquotes
+    fenced = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("\n"), F.repeat(F.lit("`"), (F.col("doc_id") % 7).cast("int")))).otherwise(F.col("content"))
+    files = _ranked(spark, d, contents=True).withColumn("content", fenced)
     return render.file_chunks(files, "markdown", DOC).select("path", F.md5("chunk").alias("chunk"))
 
 
@@ -581,6 +585,7 @@ def explain_trace(spark: SparkSession, d: str) -> DataFrame:
 
 
 RULES_TEXT = "*.log\n!doc1*.log\ncorpus/de/\n*.log\nnothing/here\n"
+LINT_TEXT = RULES_TEXT + "corpus/fr/src1/\ncorpus/fr/\n*.rst\n!*.rst\n"
 
 
 @query(
@@ -596,13 +601,20 @@ def rule_effects(spark: SparkSession, d: str) -> DataFrame:
     return reports.rule_effects(spark, RULES_TEXT, files, rules.judge(files, [layer]).where(~F.col("verdict.ignored")))
 
 
-@query("SELECT * FROM (VALUES (2, 'RULE_MATCHES_NOTHING'), (4, 'DUPLICATE_RULE'), (5, 'RULE_MATCHES_NOTHING'), (NULL, 'SOURCE_EXCLUDED')) t(line, code)", files=False)
+@query(
+    """, n AS (SELECT count(*) FILTER (regexp_matches(path, '/doc1[^/]*\\.log$') AND lang NOT IN ('de', 'fr')) AS kept, count(*) FILTER (ext = '.log') AS logs, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr,
+      count(*) FILTER (lang = 'fr' AND source = 'src1') AS one, count(*) FILTER (ext = '.py' AND lang IN ('de', 'fr')) AS py FROM files)
+    SELECT 4 AS line, 'DUPLICATE_RULE' AS code FROM n UNION ALL SELECT 6, 'RULE_SHADOWED' FROM n UNION ALL SELECT 8, 'RULE_CANCELLED' FROM n
+    UNION ALL SELECT 2, 'RULE_MATCHES_NOTHING' FROM n UNION ALL SELECT 5, 'RULE_MATCHES_NOTHING' FROM n UNION ALL SELECT 8, 'RULE_MATCHES_NOTHING' FROM n UNION ALL SELECT 9, 'RULE_MATCHES_NOTHING' FROM n
+    UNION ALL SELECT 1, 'RULE_MATCHES_NOTHING' FROM n WHERE logs = 0 UNION ALL SELECT 4, 'RULE_MATCHES_NOTHING' FROM n WHERE logs = 0 UNION ALL SELECT 3, 'RULE_MATCHES_NOTHING' FROM n WHERE de = 0
+    UNION ALL SELECT 6, 'RULE_MATCHES_NOTHING' FROM n WHERE one = 0 UNION ALL SELECT 7, 'RULE_MATCHES_NOTHING' FROM n WHERE fr = 0 UNION ALL SELECT NULL, 'SOURCE_EXCLUDED' FROM n WHERE py > 0 UNION ALL SELECT NULL, 'RULE_NOT_FOUND' FROM n"""
+)
 def ignore_lint(spark: SparkSession, d: str) -> DataFrame:
     files = files_from_documents(spark, d).drop("content", "forced")
-    layer = rules.Layer("toolignore", tuple(RULES_TEXT.split("\n")), source=C.IGNORE_FILE)
+    layer = rules.Layer("toolignore", tuple(LINT_TEXT.split("\n")), source=C.IGNORE_FILE)
     attributed = rules.judge(files, [layer]).where(~F.col("verdict.ignored"))
     request = Request(max_files=Budget(None), max_total_size=Budget(None))
-    return reports.check_rules(spark, RULES_TEXT, files, attributed, engine.select(files, request, [layer])).select("line", "code")
+    return reports.check_rules(spark, LINT_TEXT, files, attributed, engine.select(files, request, [layer]), focus="no/such/rule").select("line", "code")
 
 
 @query("SELECT 1 AS line, '*.log' AS pattern, false AS negation UNION ALL SELECT 2, '!doc1*.log', true UNION ALL SELECT 3, 'corpus/de/', false UNION ALL SELECT 4, '*.log', false UNION ALL SELECT 5, 'nothing/here', false", files=False)
@@ -627,17 +639,174 @@ def scan_deduplicated(spark: SparkSession, d: str) -> DataFrame:
 # --- event streams, run to their end --------------------------------------------------------------------------------------
 
 
+def _streamed(spark: SparkSession, d: str, aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    stream = arrivals.read_events(spark, f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{order.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return arrivals.final_state(aggregate(stream), f"{folder}/result", f"{folder}/progress")
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", files=False)
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    from contextlake.streaming.arrivals import windowed_counts
-
-    found = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
+    found = _streamed(spark, d, lambda events: arrivals.windowed_counts(events, "ts", "event_type", "value"))
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM g GROUP BY user_id, k", files=False)
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
-    from contextlake.streaming.arrivals import sessions
-
-    found = sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
+    found = _streamed(spark, d, lambda events: arrivals.sessions(events, "ts", "user_id"))
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+# --- rules, scopes and policies on made-up paths ----------------------------------------------------------------------------
+
+MADE_UP = ("node_modules/p/index.js", "src/app.min.js", ".env", ".env.example", ".github/ci.yml", "dist/a.txt", "src/.DS_Store", "src/ok.py", "a/b/vendor/x.go", "notes.log", "src/x.spec.ts", "tests/t.py", "src/.gitignore", "docs/read.me")
+MADE_UP_SQL = ", made AS (SELECT doc_id, size, (['" + "','".join(MADE_UP) + f"'])[CAST(doc_id % {len(MADE_UP)} AS INT) + 1] AS name FROM files)\n"
+
+
+def _made_up(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(n) for n in MADE_UP]), (F.col("doc_id") % len(MADE_UP) + 1).cast("int"))
+    return files_from_documents(spark, d).select("doc_id", name.alias("path"), "size")
+
+
+@query(MADE_UP_SQL + "SELECT doc_id, name AS path, name NOT IN ('.github/ci.yml', '.env.example', 'src/ok.py', 'src/x.spec.ts', 'tests/t.py', 'docs/read.me') AS ignored FROM made")
+def default_layer(spark: SparkSession, d: str) -> DataFrame:
+    return rules.judge(_made_up(spark, d), [rules.config_layer()]).select("doc_id", "path", "verdict.ignored")
+
+
+@query(MADE_UP_SQL + "SELECT doc_id, name AS path, name IN ('src/x.spec.ts', 'tests/t.py') AS ignored FROM made")
+def tests_layer(spark: SparkSession, d: str) -> DataFrame:
+    return rules.judge(_made_up(spark, d), [rules.tests_layer()]).select("doc_id", "path", "verdict.ignored")
+
+
+@query(MADE_UP_SQL + "SELECT doc_id, name AS path, name IN ('.env.example', '.github/ci.yml') AS forced, CASE WHEN name IN ('.env.example', '.github/ci.yml') THEN NULL WHEN name IN ('src/x.spec.ts', 'tests/t.py') THEN 'testExclude' WHEN name NOT IN ('src/ok.py', 'docs/read.me') THEN 'configExclude' END AS reason FROM made")
+def forced_dotfiles(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(tests=False, size_gate=None, max_file_size=2**40)
+    return engine.discover(_made_up(spark, d), engine.layers_of(request), request).select("doc_id", "path", "forced", "reason")
+
+
+@query("SELECT path, CASE WHEN lang NOT IN ('en', 'fr') OR (lang = 'en' AND source <> 'src2') THEN 'scopeFilter' WHEN lang = 'fr' AND NOT forced THEN 'filterPattern' END AS reason FROM files")
+def scoped_depth(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(scopes=("corpus/en/src2", "corpus/fr"), max_depth=0, size_gate=None, max_file_size=2**40)
+    return engine.discover(files_from_documents(spark, d), [], request).select("path", "reason")
+
+
+@query("SELECT path, CASE WHEN lang NOT IN ('de', 'fr') AND NOT forced THEN 'filterPattern' END AS reason FROM files")
+def profile_include(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(profile_include=("corpus/{de,fr}/**",), size_gate=None, max_file_size=2**40)
+    return engine.discover(files_from_documents(spark, d), [], request).select("path", "reason")
+
+
+@query(
+    """, r AS (SELECT 'r/' || repeat('0', CAST(doc_id % 3 AS INT)) || repeat(CAST(doc_id % 9 + 1 AS VARCHAR), CAST(doc_id % 40 + 1 AS INT)) || '/' || doc_id AS path, doc_id % 40 AS n, doc_id % 9 AS c, doc_id FROM files)
+    SELECT path, row_number() OVER (ORDER BY n, c, doc_id) AS rank FROM r"""
+)
+def sort_long_numbers(spark: SparkSession, d: str) -> DataFrame:
+    digit = (F.col("doc_id") % 9 + 1).cast("string")
+    path = F.concat(F.lit("r/"), F.repeat(F.lit("0"), (F.col("doc_id") % 3).cast("int")), F.repeat(digit, (F.col("doc_id") % 40 + 1).cast("int")), F.lit("/"), "doc_id")
+    return order.rank_all(files_from_documents(spark, d).select(path.alias("path")), order.sort_columns()).select("path", "rank")
+
+
+@query("SELECT path, 'a/' || doc_id || '/b' AS posix, md5(content || chr(10) || 'x' || chr(10)) AS lines, md5(content || 'x' || chr(9)) AS plain FROM files")
+def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("content")
+    posix = paths.to_posix(F.concat(F.lit("a\\"), F.col("doc_id"), F.lit("\\b")))
+    return files_from_documents(spark, d).select("path", posix.alias("posix"), F.md5(text.normalise_newlines(F.concat(c, F.lit("\r\nx\r")))).alias("lines"), F.md5(text.sanitize_xml(F.concat(c, F.lit("\x00x\x1f\x7f\t")))).alias("plain"))
+
+
+@query("SELECT path, CASE WHEN size >= 1048576 THEN regexp_replace(CAST(round(size / 1048576.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' PB' WHEN size >= 1024 THEN regexp_replace(CAST(round(size / 1024.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' TB' ELSE size || ' GB' END AS human FROM files WHERE size > 0")
+def size_flavours(spark: SparkSession, d: str) -> DataFrame:
+    return files_from_documents(spark, d).where("size > 0").select("path", sizes.format_bytes(F.col("size") * 2**30, sizes.ALL_UNITS, 1).alias("human"))
+
+
+@query("SELECT path, size, hint FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'doc' || doc_id ELSE path END AS path, size, CASE doc_id % 4 WHEN 0 THEN 'project-config' END AS hint, doc_id FROM files) WHERE doc_id % 4 < 2")
+def root_files(spark: SparkSession, d: str) -> DataFrame:
+    p = F.when(F.col("doc_id") % 4 == 0, F.lit("package.json")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("doc"), F.col("doc_id"))).otherwise(F.col("path"))
+    return aggregates.root_files(files_from_documents(spark, d).select(p.alias("path"), "size"))
+
+
+@query(LEDGER_SQL + "SELECT path, size, reason FROM ledger ORDER BY path LIMIT 200")
+def retained_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.retained(engine.select(files_from_documents(spark, d), REQUEST, LAYERS).excluded, 200)[0].select("path", "size", "reason")
+
+
+@query(LEDGER_SQL + "SELECT path, 'excluded' AS decision, CASE WHEN reason IN ('fileCountBudget', 'totalSizeBudget') THEN reason END AS detail FROM ledger UNION ALL SELECT path, 'selected', 'position ' || rank FROM kept JOIN fold USING (rank) WHERE fits")
+def explain_positions(spark: SparkSession, d: str) -> DataFrame:
+    files = files_from_documents(spark, d)
+    found = reports.explain(files, REQUEST, LAYERS, engine.select(files, REQUEST, LAYERS))
+    last = F.element_at("steps", -1)
+    return found.select("path", "decision", F.when(last["id"] == "budgets", last["detail"]).alias("detail"))
+
+
+@query("SELECT count(*) AS candidates, count(*) FILTER (size <= 3000) AS selected, count(*) > 2000 AS truncated, CASE WHEN count(*) > 2000 THEN count(*) ELSE 0 END AS omitted FROM files")
+def ignore_context(spark: SparkSession, d: str) -> DataFrame:
+    files = files_from_documents(spark, d).drop("content", "forced")
+    everything = Request(max_files=Budget(None), max_total_size=Budget(None), size_gate=None, max_file_size=2**40)
+    small = Request(max_files=Budget(None), max_total_size=Budget(None), size_gate=3000)
+    found = reports.ignore_context(spark, RULES_TEXT, engine.select(files, everything, []), engine.select(files, small, []))
+    rows = [(found["candidates"], found["selected"], found["truncation"]["truncated"], found["truncation"]["omitted"])]
+    return spark.createDataFrame(rows, "candidates bigint, selected bigint, truncated boolean, omitted bigint")
+
+
+@query("SELECT path, CASE WHEN size <= 2000 THEN 'base64' END AS encoding, CASE WHEN size > 2000 THEN md5('[Binary file too large to embed]') ELSE md5(to_base64(encode(content))) END AS body FROM (SELECT path || '.png' AS path, size, content FROM files)")
+def base64_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    files = files_from_documents(spark, d).select(F.concat("path", F.lit(".png")).alias("path"), "size", F.encode("content", "UTF-8").alias("raw"))
+    loaded, _ = content.load(content.classify(files), "base64", {}, max_base64=2000)
+    return loaded.select("path", "encoding", F.md5("content").alias("body"))
+
+
+@query("SELECT path, size FROM (SELECT path || CASE WHEN doc_id % 3 = 0 THEN '.zip' ELSE '' END AS path, size, doc_id FROM files) WHERE doc_id % 3 = 0")
+def skipped_binaries(spark: SparkSession, d: str) -> DataFrame:
+    named = F.concat("path", F.when(F.col("doc_id") % 3 == 0, F.lit(".zip")).otherwise(F.lit("")))
+    files = files_from_documents(spark, d).select(named.alias("path"), "size", F.encode("content", "UTF-8").alias("raw"))
+    return content.load(content.classify(files), "comment", {"archive": "skip"})[1].select("path", "size")
+
+
+@query("SELECT path, sha256('{\"path\":\"' || path || '\",\"size\":' || size || ',\"mtime\":' || CAST(epoch_ms(modified) AS BIGINT) || ',\"transformer\":\"pdf\",\"options\":\"{\\\"pages\\\": 3}\"}') AS key FROM files")
+def transform_cache_key(spark: SparkSession, d: str) -> DataFrame:
+    pdf = content.Transform("pdf", str, heavy=True, options={"pages": 3})
+    return files_from_documents(spark, d).select("path", pdf.cache_key().alias("key"))
+
+
+#: rules with fixed beginnings; the others weigh entropy and placeholders, which SQL does not
+FIXED_SECRETS = {r: p.replace("(?:", "(") for r, p, _ in secrets.DETECTORS if r in ("aws-access-key", "private-key")}
+
+
+@query("SELECT path, rule, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT path, '{r}' AS rule, unnest(regexp_extract_all(content, '{p}')) AS hit FROM files" for r, p in FIXED_SECRETS.items()) + ") GROUP BY ALL")
+def secret_fixed_rules(spark: SparkSession, d: str) -> DataFrame:
+    guarded = secrets.guard(files_from_documents(spark, d).select("path", "content"))
+    found = guarded.select("path", F.explode("findings.rule").alias("rule"))
+    return found.where(F.col("rule").isin(*FIXED_SECRETS)).groupBy("path", "rule").agg(F.count("*").alias("n"))
+
+
+@query(MADE_UP_SQL + ", s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'k/' || doc_id || '.pem' ELSE 'k/' || doc_id || '.md' END AS path, size FROM made) SELECT CASE WHEN path LIKE '%.pem' THEN 'secretFile' WHEN size > 4000 THEN 'secretUnscannable' ELSE 'selected' END AS outcome, count(*) AS files FROM s GROUP BY 1")
+def secret_ledger(spark: SparkSession, d: str) -> DataFrame:
+    named = F.concat(F.lit("k/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(".pem")).otherwise(F.lit(".md")))
+    files = files_from_documents(spark, d).select(named.alias("path"), "size", "modified")
+    request = Request(redact="typed", secret_max_bytes=4000, max_files=Budget(None), max_total_size=Budget(None), size_gate=None, max_file_size=2**40)
+    found = engine.plan(files, request, [])
+    outcomes = found.excluded.select(F.col("reason").alias("outcome")).unionByName(found.selected.select(F.lit("selected").alias("outcome")))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("files"))
+
+
+@query(
+    RANKED_SQL
+    + """SELECT md5('{"type": "metadata", "format": "ctx-ndjson@1", "directory": "/corpus", "fileCount": ' || count(*) || ', "totalSize": ' || CAST(sum(size) AS BIGINT) || ', "profile": "default"}') AS line FROM ranked
+    UNION ALL SELECT md5('{"type":"file","path":' || CAST(to_json(path) AS VARCHAR) || ',"size":' || size || ',"isBinary":false,"content":' || CAST(to_json(content) AS VARCHAR) || '}') FROM ranked
+    UNION ALL SELECT md5('{"type": "summary", "fileCount": ' || count(*) || ', "totalSize": ' || CAST(sum(size) AS BIGINT) || '}') FROM ranked"""
+)
+def document_lines(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{order.shared_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
+    render.write_chunks(_ranked(spark, d, contents=True), "ndjson", DOC, folder, 8)
+    return spark.read.text(folder).select(F.md5("value").alias("line"))
+
+
+@query(
+    """, names AS (SELECT *, (['Alpha','alpha','beta','Beta','élan','Zeta','eland','zeta','_x','10'])[CAST(doc_id % 10 AS INT) + 1] || CASE WHEN doc_id % 2 = 0 THEN '/f' || doc_id ELSE '' END AS path2 FROM files WHERE doc_id < 10),
+    top AS (SELECT DISTINCT string_split(path2, '/')[1] AS name, contains(path2, '/') AS folder FROM names)
+    SELECT name AS path, row_number() OVER (ORDER BY folder DESC, name COLLATE en, name) AS place FROM top"""
+)
+def tree_collation(spark: SparkSession, d: str) -> DataFrame:
+    names = F.element_at(F.array(*[F.lit(n) for n in ("Alpha", "alpha", "beta", "Beta", "élan", "Zeta", "eland", "zeta", "_x", "10")]), (F.col("doc_id") % 10 + 1).cast("int"))
+    path = F.concat(names, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/f"), "doc_id")).otherwise(F.lit("")))
+    lines = tree_lines(files_from_documents(spark, d).where("doc_id < 10").select(path.alias("path"), "size")).where("depth = 1")
+    return lines.select("path", F.row_number().over(Window.orderBy("order_key")).alias("place"))
