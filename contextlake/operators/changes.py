@@ -9,8 +9,8 @@ from contextlake import constants as C
 
 
 def change_set(statuses: DataFrame, filter_type: str = "modified") -> DataFrame:
-    """Distinct paths: modified takes modified, staged, not_added and created; staged takes staged and created."""
-    wanted = {"modified": ("modified", "staged", "not_added", "created"), "staged": ("staged", "created"), "changed": C.GIT_STATUS_ORDER}[filter_type]
+    """Distinct paths: modified takes modified, staged, not_added and created; staged takes staged and the new paths of renamed; changed takes all."""
+    wanted = {"modified": ("modified", "staged", "not_added", "created"), "staged": ("staged", "renamed"), "changed": C.GIT_STATUS_ORDER}[filter_type]
     return statuses.where(F.col("status").isin(*wanted)).select("path").distinct()
 
 
@@ -24,8 +24,10 @@ def dropped_by_changes(files: DataFrame, changed: DataFrame) -> DataFrame:
     return files.where(~F.col("forced")).join(changed, "path", "left_anti")
 
 
-def annotate(files: DataFrame, statuses: DataFrame) -> DataFrame:
-    """git_status: the first status by rank of those a file has; without one unmodified."""
+def annotate(files: DataFrame, statuses: DataFrame | None) -> DataFrame:
+    """git_status: the first status by rank of those a file has; without one unmodified, and unknown where nobody can tell (no statuses)."""
+    if statuses is None:
+        return files.withColumn("git_status", F.lit("unknown"))
     order = F.array(*[F.lit(s) for s in C.GIT_STATUS_ORDER])
     first = statuses.groupBy("path").agg(F.min_by("status", F.array_position(order, F.col("status"))).alias("git_status"))
     return files.join(first, "path", "left").withColumn("git_status", F.coalesce("git_status", F.lit("unmodified")))

@@ -18,14 +18,17 @@ SECRET_FILES = ("**/.env", "**/.env.*", "**/*.pem", "**/*.p12", "**/*.pfx", "**/
 #: (rule id, pattern, group that holds the secret); earlier rules win where spans overlap
 DETECTORS = (
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0),
+    ("private-key-start", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*", 0),  # of a file that ends before the key does
     ("aws-access-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0),
-    ("service-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})", 0),
+    ("aws-secret-key", r"(?i)aws[\w-]{0,20}secret[\w-]{0,20}[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+])", 1),
+    ("service-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{36})", 0),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
-    ("assignment", r"(?i)\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\s*[:=]\s*[\"']?([A-Za-z0-9+/_=.-]{12,})", 1),
+    # names as they are written: db_password, service-client-secret, STRIPE_API_KEY
+    ("assignment", r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,30}[_-]){0,4}(?:api[_-]?key|secret|token|passw(?:or)?d)[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9+/_=.-]{12,})", 1),
 )
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|your[-_].*|example.*|changeme.*|process\.env.*|os\.environ.*|\$\{.*|<.*|(.)\1*)$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|your[-_].*|example.*|changeme.*|[a-z_]\w{0,30}(?:\.[a-z_]\w{0,30})+|process\.env.*|os\.environ.*|\$\{.*|<.*|(.)\1*)$")
 #: what a text must contain for any detector to be worth running
-ANY = r"(?i)(PRIVATE KEY|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|api[_-]?key|secret|token|passw)"
+ANY = r"(?i)(PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|SG\.|npm_|eyJ|api[_-]?key|secret|token|passw)"
 
 
 def entropy(value: str) -> float:

@@ -219,4 +219,4 @@ def copy(files: DataFrame, request: Request, layers: list[rules.Layer], document
         chosen = plan(files, request, layers, more.get("statuses"))
         return chosen.summary() | {"estimate": aggregates.estimate(chosen.selected, request.format, only_tree=request.only_tree).first().asDict()}
     chosen = scan(files, request, layers, **more)
-    return chosen.enforce() | {"outputBytes": render.to_file(chosen.selected, request.format, document, target)}
+    return chosen.enforce() | {"outputBytes": render.deliver(chosen.selected, request.format, document, target)}

@@ -247,7 +247,7 @@ def _statuses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return files, changes_from_labels(spark, d).join(files.select("doc_id", "path"), "doc_id").select("path", "status")
 
 
-@query(STATUS_SQL + "SELECT path FROM statuses WHERE status IN ('staged', 'created') GROUP BY 1")
+@query(STATUS_SQL + "SELECT path FROM statuses WHERE status IN ('staged', 'renamed') GROUP BY 1")
 def change_set(spark: SparkSession, d: str) -> DataFrame:
     return changes.change_set(_statuses(spark, d)[1], "staged")
 

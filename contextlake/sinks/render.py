@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -205,6 +206,18 @@ def document_chunks(files: DataFrame, output: str, doc: Document) -> Iterator[st
     yield footer(output, doc, count, size)
 
 
+def deliver(files: DataFrame, output: str | None, doc: Document, target: str) -> int:
+    """To standard output for ``-``, else to a file, whose name tells the format where none is given. The bytes written."""
+    output = output or ("xml" if target == "-" else format_of_file(target))
+    if target != "-":
+        return to_file(files, output, doc, target)
+    written = 0
+    for chunk in document_chunks(files, output, doc):
+        written += len(chunk.encode("utf-8"))
+        sys.stdout.write(chunk)
+    return written
+
+
 def to_file(files: DataFrame, output: str, doc: Document, target: str) -> int:
     """Writes the document beside the target and then renames it; the bytes written."""
     temporary = f"{target}.{os.getpid()}.part"
