@@ -219,6 +219,9 @@ def test_secrets(spark):
     rows = [("a", f"x\nid={key}\n"), ("b", "password = changemechangeme"), ("c", 'api_key: "q8Zr3LmX91vTbY72"'), ("d", None), ("e", "plain")]
     out = {r.path: r for r in secrets.guard(spark.createDataFrame(rows, "path string, content string")).collect()}
     assert out["a"].content == "x\nid=***REDACTED:AWS-ACCESS-KEY***\n" and out["a"].findings[0].start_line == 2
+    more = [("f", "db_password=q8Zr3LmX91vTbY72"), ("g", "token = payload.token.trim.value"), ("h", "-----BEGIN RSA PRIVATE KEY-----\nMIIabc"), ("i", "aws_secret_access_key = " + "aB3/" * 10), ("j", "x = npm_" + "a1B2" * 9), ("k", "pk_live_" + "a" * 30)]
+    rules_of = {r.path: [f.rule for f in r.findings] for r in secrets.guard(spark.createDataFrame(more, "path string, content string")).collect()}
+    assert rules_of == {"f": ["assignment"], "g": [], "h": ["private-key-start"], "i": ["aws-secret-key"], "j": ["service-token"], "k": []}
     assert not out["b"].findings and out["c"].findings[0].rule == "assignment" and out["d"].content is None and out["e"].content == "plain"
 
 
@@ -235,6 +238,8 @@ def test_changes(spark):
     files = spark.createDataFrame([("a", 1, False), ("b", 1, True), ("c", 1, False)], "path string, size bigint, forced boolean")
     st = spark.createDataFrame([("a", "staged"), ("a", "modified"), ("z", "modified")], "path string, status string")
     assert {r.path for r in changes.keep_changed(files, changes.change_set(st)).collect()} == {"a", "b"}
+    assert {r.path for r in changes.change_set(st.union(spark.createDataFrame([("n", "renamed"), ("c", "created")], st.schema)), "staged").collect()} == {"a", "n"}
+    assert {r.git_status for r in changes.annotate(files, None).collect()} == {"unknown"}
     assert {r.path: r.git_status for r in changes.annotate(files, st).collect()} == {"a": "modified", "b": "unmodified", "c": "unmodified"}
 
 
@@ -422,6 +427,12 @@ def test_git_excludes(tmp_path):
     assert git.excludes_setting('[core]\nexcludesfile = "a b" # x') == "a b" and git.excludes_setting(None) is None
 
 
+def test_deliver(spark, tmp_path, capsys):
+    files = sample(spark).withColumn("rank", F.monotonically_increasing_id())
+    assert render.deliver(files, None, render.Document("p"), str(tmp_path / "o.jsonl")) == os.path.getsize(tmp_path / "o.jsonl") and (tmp_path / "o.jsonl").read_text().startswith('{"type": "metadata"')
+    assert render.deliver(files, "ndjson", render.Document("p"), "-") == len(capsys.readouterr().out.encode())
+
+
 def test_ignore_context(spark, monkeypatch):
     request = build_request({})
     found = engine.select(sample(spark), request, [])
