@@ -67,6 +67,10 @@ class SeedIndex:
         h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         order = np.argsort(h, kind="stable")
         self.items = items
+        self.ids = [i for i, _ in items]
+        self.sizes = np.array([len(toks) for _, toks in items], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.tokens = np.concatenate([np.zeros(0, U64), *(toks for _, toks in items)])
         self.masks = (*MASKS, *("1" * n for n in sorted({len(toks) for _, toks in items if len(toks) < SPAN})))
         self.hashes = h[order]
         self.item = np.concatenate(item)[order] if item else np.zeros(0, int)
@@ -88,6 +92,42 @@ class SeedIndex:
             found.append(np.stack([row_of[at], self.item[entry], at - first[row_of[at]] - self.place[entry]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
+    def leaks(self, toks: np.ndarray, counts: np.ndarray, window: int, least: float, most: int = 1 << 22) -> list[tuple[int, int, int, int, int]]:
+        """(row, item_id, first token, tokens, equal ones) of the best overlap of each row and item that counts, by row and item.
+
+        All diagonals are compared at once, in lots of about ``most`` tokens, so items that share boilerplate cost their tokens and no more.
+        """
+        first = np.cumsum(counts) - counts
+        row, item, start = self.diagonals(toks, np.repeat(np.arange(len(counts)), counts), first).T
+        size = np.minimum(window, self.sizes[item])
+        lo, hi = np.maximum(0, start), np.minimum(counts[row], start + self.sizes[item])
+        fits = np.flatnonzero(hi - lo >= size)
+        found = []
+        lots = np.searchsorted(np.cumsum((hi - lo)[fits]), np.arange(1, int((hi - lo)[fits].sum()) // most + 1) * most)
+        for part in np.split(fits, np.unique(lots)):
+            if not len(part):
+                continue
+            n, s = (hi - lo)[part], size[part]
+            of = np.repeat(np.arange(len(part)), n)
+            begin = np.cumsum(n) - n
+            at = np.arange(len(of)) - begin[of] + lo[part][of]
+            same = np.concatenate([[0], np.cumsum(toks[first[row[part]][of] + at] == self.tokens[self.offsets[item[part]][of] + at - start[part][of]])])
+            # a window begins wherever it ends before its diagonal does
+            opens = np.flatnonzero(np.arange(len(of)) - begin[of] <= (n - s)[of])
+            equal = same[opens + s[of[opens]]] - same[opens]
+            heads = np.flatnonzero(np.concatenate([[True], of[opens][1:] != of[opens][:-1]]))
+            best = np.maximum.reduceat(equal, heads)
+            top = np.flatnonzero(equal == np.repeat(best, np.diff(np.concatenate([heads, [len(opens)]]))))
+            top = top[np.concatenate([[True], of[opens[top]][1:] != of[opens[top]][:-1]])]
+            ok = best >= least * s
+            found.append(np.stack([row[part], item[part], at[opens[top]], s, best], axis=1)[ok])
+        hits = np.concatenate([np.zeros((0, 5), np.int64), *found])
+        # of one row and item the greatest, the first of equals
+        hits = hits[np.lexsort((np.arange(len(hits)), -hits[:, 4], hits[:, 1], hits[:, 0]))]
+        new = np.ones(len(hits), bool)
+        new[1:] = (hits[1:, :2] != hits[:-1, :2]).any(axis=1)
+        return [(r, self.ids[i], a, s, e) for r, i, a, s, e in hits[new].tolist()]
+
 
 def overlap(doc: np.ndarray, item: np.ndarray, start: int, window: int, least: float) -> tuple[int, int, int] | None:
     """(first token in doc, tokens, equal ones) of the best window of item laid at start over doc, if it counts."""
@@ -142,14 +182,7 @@ def _met(docs: DataFrame, index, name: str, window: int, least: float, max_bytes
             for lo, _, toks, counts in tokens(batch.column(batch.schema.get_field_index("text")), max_bytes):
                 if len(toks) < SHORTEST:
                     continue
-                ends = np.cumsum(counts)
-                first = ends - counts
-                best: dict = {}
-                for row, item, start in seeds.diagonals(toks, np.repeat(np.arange(len(counts)), counts), first).tolist():
-                    item_id, its = seeds.items[item]
-                    if (hit := overlap(toks[first[row] : ends[row]], its, start, window, least)) and hit[2] > best.get((row, item), (0, 0, 0, 0))[3]:
-                        best[row, item] = (item_id, *hit)
-                for (row, _), (item_id, at, size, same) in sorted(best.items()):
+                for row, item_id, at, size, same in seeds.leaks(toks, counts, window, least):
                     leaks[lo + row].append({"item_id": item_id, "start": at, "n_tokens": size, "n_equal": same})
             passed = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in passed), pa.array(leaks, kind)], names=[*passed, name])

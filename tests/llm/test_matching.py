@@ -215,6 +215,33 @@ def test_masks_reach_all_that_counts():
         assert all(decontamination.overlap(d, item, 0, 20, 0.8) for d in docs)
 
 
+def test_leaks_of_items_that_share_boilerplate(frame, spark, words):
+    """Against brute force over every place of every item."""
+    import random
+
+    rng = random.Random(11)
+    common = words(500, 12)
+    items = [(i, f"{common} {words(600 + i, rng.randint(0, 40))}".strip()) for i in range(30)] + [(40, words(700, 5)), (41, words(700, 5))]
+    rows = [(i, f"{words(800 + i, rng.randint(0, 60))} {replaced(items[i % 30][1], rng.sample(range(len(items[i % 30][1].split())), rng.randint(0, 4)))} {words(900 + i, rng.randint(0, 30))}") for i in range(40)]
+    rows += [(50, common), (51, words(700, 5)), (52, None), (53, " ".join([common] * 5))]
+    want = {}
+    for i, t in rows:
+        doc = (t or "").split()
+        for k, item in items:
+            its = item.split()
+            best = None
+            for start in range(-len(its), len(doc) + 1):
+                lo, hi, size = max(0, start), min(len(doc), start + len(its)), min(20, len(its))
+                for a in range(lo, hi - size + 1):
+                    same = sum(doc[x] == its[x - start] for x in range(a, a + size))
+                    if same >= (0.8 if len(its) >= 10 else 1) * size and (best is None or same > best):
+                        best = same
+            if best is not None:
+                want[i, k] = best
+    found = decontamination.find_leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, x.item_id): x.n_equal for r in found for x in r.leaks} == want and len(found) == len(rows)
+
+
 def test_short_items(frame, spark, words):
     rows = [(n, f"{words(50 + n, 30)} {words(n, n)} {words(80 + n, n)}") for n in range(3, 10)] + [(20, words(9, 9)), (21, words(9, 8)), (22, replaced(words(9, 9), [4]))]
     benchmark = spark.createDataFrame([(n, words(n, n)) for n in range(3, 10)], "item_id long, text string")
