@@ -62,6 +62,17 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return near.select(*ROW, "copies", "n_chars", "d", "after", "before")
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """Adds listed: another row has the digest. The digests of large groups of copies, of which there are few, go to the rows; the others are joined."""
+    counts = checkpointed(rows.groupBy("d").agg(F.count("*").alias("n")).where("n > 1"))
+    total = rows.count()
+    # n adds up to total at most, so there are no more than FEW of them
+    large = F.broadcast(counts.where(F.col("n") * FEW > total * 8).select("d"))
+    small = counts.where(F.col("n") * FEW <= total * 8).select("d", F.lit(True).alias("listed"))
+    rest = rows.join(large, "d", "left_anti").join(small, "d", "left")
+    return rest.unionByName(rows.join(large, "d", "left_semi").withColumn("listed", F.lit(True)))
+
+
 def _some(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """texts of the n wanted rows; a wanted list that is short goes to the texts instead of both being shuffled."""
     return texts.join(F.broadcast(wanted) if n <= FEW else wanted, list(ROW), "left_semi").dropDuplicates(list(ROW))
@@ -113,8 +124,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     facts = checkpointed(texts.select(*ROW, F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("d")))
     rows = facts.groupBy(*ROW, "n_chars", "d").agg(F.count("*").alias("copies"))
     near = checkpointed(_neighbours(rows))
-    listed = near.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d", F.lit(True).alias("listed"))
-    near = checkpointed(near.join(listed, "d", "left"))
+    near = checkpointed(_listed(near))
 
     # both uses need the same columns of one exchange, so Spark moves the texts once
     whole = texts.groupBy(*ROW).agg(F.first("text").alias("text"))
