@@ -52,8 +52,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     words = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(KEY, np.uint8)]), (n + 8, 8), (1, 1)).copy().view("<u8").ravel()
-    h = textkit.mix(textkit.mix(words[:n] * U64(0x9E3779B97F4A7C15)) + words[8 : n + 8])
-    short = (h >> U64(32)).astype(np.uint32)
+    # a light hash chooses, and only what it chooses gets a full one
+    h = words[:n] * U64(0x9E3779B97F4A7C15)
+    h ^= words[8 : n + 8] * U64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> U64(29)
+    h *= U64(0xBF58476D1CE4E5B9)
+    short = h.view(np.uint32)[1::2]
     width = SIDE + 1  # keys in a window
     least = _slide(short[: n - KEY + 1], width, np.minimum)
     # windows that reach over the end of a row choose nothing
@@ -67,8 +71,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     chosen = _slide(np.concatenate([np.zeros(width - 1, np.uint32), least, np.zeros(width - 1, np.uint32)]), width, np.maximum)
     reached = _slide(np.concatenate([np.zeros(width - 1, np.uint8), valid[: len(least)].astype(np.uint8), np.zeros(width - 1, np.uint8)]), width, np.maximum)
     place = np.flatnonzero((chosen == short[: len(chosen)]) & (reached > 0))
-    # anchors have small hashes by choice; mixed once more they spread over the ranges
-    return place, textkit.mix(h[place])
+    return place, textkit.mix(textkit.mix(words[place]) + words[place + 8])
 
 
 class Block:
