@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextlake import constants as C
 from contextlake.functions import paths, sizes, text
+from contextlake.functions.patterns import include_lines
 from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rules, secrets
 from contextlake.plans import engine, reports
-from contextlake.request import Budget, Request
+from contextlake.request import Budget, Profile, Request, build_request
 from contextlake.sinks import render
 from contextlake.sinks.tree import tree_lines
-from contextlake.sources.tables import changes_from_labels, files_from_documents, files_from_pages
+from contextlake.sources import scopes
+from contextlake.sources.tables import as_files, changes_from_labels, files_from_documents, files_from_pages
 from contextlake.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -810,3 +813,135 @@ def tree_collation(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(names, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/f"), "doc_id")).otherwise(F.lit("")))
     lines = tree_lines(files_from_documents(spark, d).where("doc_id < 10").select(path.alias("path"), "size")).where("depth = 1")
     return lines.select("path", F.row_number().over(Window.orderBy("order_key")).alias("place"))
+
+
+# --- requests, scopes and whole runs ------------------------------------------------------------------------------------------
+
+
+@query(MADE_UP_SQL + "SELECT doc_id, name AS path, CASE WHEN name = 'a/b/vendor/x.go' OR name = 'dist/a.txt' THEN NULL WHEN name IN ('.env.example', '.github/ci.yml', 'src/ok.py', 'src/x.spec.ts', 'tests/t.py', 'docs/read.me') THEN 'scopeFilter' ELSE 'configExclude' END AS reason FROM made")
+def scope_override(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(scopes=("dist", "a/b/vendor"), size_gate=None, max_file_size=2**40)
+    return engine.discover(_made_up(spark, d), engine.layers_of(request), request).select("doc_id", "path", "reason")
+
+
+@query(", s AS (SELECT DISTINCT 'corpus/' || lang || '/' || source AS scope FROM files WHERE source IN ('src1', 'src2') UNION SELECT 'corpus/en') SELECT scope FROM s WHERE scope = 'corpus/en' OR NOT starts_with(scope, 'corpus/en/')")
+def scope_subsumption(spark: SparkSession, d: str) -> DataFrame:
+    files = files_from_documents(spark, d).where(F.col("path").rlike("/src[12]/"))
+    # a row for each directory of two sources
+    found = [r.scope for r in files.select(paths.dirname(F.col("path")).alias("scope")).distinct().collect()]
+    return spark.createDataFrame([(x,) for x in scopes.subsume(["corpus/en", *found])], "scope string")
+
+
+@query("SELECT path, regexp_matches(path, '(^|/)doc1[0-9]*\\.md$') OR starts_with(path, 'corpus/fr/src3/') OR source = 'src7' AS forced FROM files")
+def force_include_file(spark: SparkSession, d: str) -> DataFrame:
+    globs = include_lines("# always\ndoc1*.md\n/corpus/fr/src3\n\nsrc7/\n")
+    wanted = rules.matches_any(F.col("path"), globs)
+    return files_from_documents(spark, d).select("path", wanted.alias("forced"))
+
+
+@query("SELECT DISTINCT 'corpus/' || lang || '/' || source AS path, CASE WHEN regexp_matches(source, '^src1[0-2]$') THEN 'src1[0-2]/' WHEN lang = 'de' AND source = 'src3' THEN '/corpus/de/src3/' WHEN lang = 'en' AND source = 'src5' THEN '/src5/' END AS rule FROM files WHERE source <> 'src19'")
+def probe_directories(spark: SparkSession, d: str) -> DataFrame:
+    folders = files_from_documents(spark, d).select(paths.dirname(F.col("path")).alias("path")).distinct().where(~F.endswith("path", F.lit("/src19")))
+    return folders.select("path", rules.last_match(F.col("path"), True, LAYERS)["rule"].alias("rule"))
+
+
+@query(LEDGER_SQL + "SELECT (SELECT count(*) FROM files) AS candidates, (SELECT count(*) FROM kept JOIN fold USING (rank) WHERE fits) AS selected, (SELECT CAST(sum(size) AS BIGINT) FROM kept JOIN fold USING (rank) WHERE fits) AS bytes, (SELECT count(*) FROM ledger) AS excluded, (SELECT count(*) > 0 FROM ledger WHERE reason IN ('fileCountBudget', 'totalSizeBudget')) AS truncated")
+def result_stats(spark: SparkSession, d: str) -> DataFrame:
+    found = engine.select(files_from_documents(spark, d), REQUEST, LAYERS).summary()
+    columns = ("candidates", "selected", "bytes", "excluded", "truncated")
+    return spark.createDataFrame([tuple(found[c] for c in columns)], "candidates bigint, selected bigint, bytes bigint, excluded bigint, truncated boolean")
+
+
+@query(LEDGER_SQL + ", chars AS (SELECT CAST(sum(length(path) + 8 + 220 + size) + 600 AS BIGINT) AS characters FROM kept JOIN fold USING (rank) WHERE fits) SELECT characters, CAST(ceil(characters / 4.0) AS BIGINT) AS tokens FROM chars")
+def dry_run(spark: SparkSession, d: str) -> DataFrame:
+    told = engine.copy(files_from_documents(spark, d), replace(REQUEST, format="markdown"), LAYERS, DOC, "")["estimate"]
+    return spark.createDataFrame([(told["characters"], told["tokens"])], "characters bigint, tokens bigint")
+
+
+@query("SELECT path, rank FROM (SELECT path, row_number() OVER (ORDER BY size DESC, k DESC, path DESC) AS rank FROM keyed WHERE lang NOT IN ('fr', 'de') AND ext <> '.log') WHERE rank <= 5")
+def option_over_profile(spark: SparkSession, d: str) -> DataFrame:
+    below = Profile(exclude=["corpus/fr/**"], options={"max_files": 7, "sort": "size", "descending": True, "max_file_size": 2**40, "size_gate": None})
+    request = build_request({"max_files": 5, "max_total_size": 0}, Profile(exclude=["corpus/de/**"]).over(below))
+    return engine.select(files_from_documents(spark, d).drop("forced"), request, engine.layers_of(request)).selected.select("path", "rank")
+
+
+@query("SELECT path, '[Binary file not included]' AS body FROM (SELECT path || '.png' AS path FROM files)")
+def binary_override(spark: SparkSession, d: str) -> DataFrame:
+    files = files_from_documents(spark, d).withColumn("path", F.concat("path", F.lit(".png"))).drop("forced")
+    request = Request(binary="placeholder", max_files=Budget(None), max_total_size=Budget(None), size_gate=None, max_file_size=2**40)
+    return engine.scan(files, request, []).selected.select("path", F.col("content").alias("body"))
+
+
+SECRET_SQL = ", s AS (SELECT path, 'AKIA' || lpad(CAST(doc_id % 5 AS VARCHAR), 16, 'Q') AS key FROM files)\n"
+
+
+def _with_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = F.concat(F.lit("AKIA"), F.lpad((F.col("doc_id") % 5).cast("string"), 16, "Q"))
+    return files_from_documents(spark, d).select("path", "size", "modified", F.concat(F.lit("id = "), key, F.lit(";")).alias("content"))
+
+
+@query(SECRET_SQL + "SELECT path, 'id = ***REDACTED:AWS-ACCESS-KEY***;' AS typed, 'id = ***REDACTED***;' AS generic, 'id = ***' || sha256(key)[1:12] || '***;' AS hashed FROM s")
+def secret_modes(spark: SparkSession, d: str) -> DataFrame:
+    files = _with_keys(spark, d).select("path", "content")
+    masked = lambda mode, name: secrets.guard(files, mode).select("path", F.col("content").alias(name))
+    return masked("typed", "typed").join(masked("generic", "generic"), "path").join(masked("hash", "hashed"), "path")
+
+
+@query(SECRET_SQL + "SELECT count(DISTINCT key) AS files, 'id = ***REDACTED***;' AS content FROM s")
+def redaction_after_deduplication(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(redact="generic", deduplicate=True, max_files=Budget(None), max_total_size=Budget(None), size_gate=None, max_file_size=2**40, secret_oversize="scan")
+    return engine.scan(_with_keys(spark, d), request, []).selected.groupBy("content").agg(F.count("*").alias("files"))
+
+
+@query(SECRET_SQL + "SELECT count(*) AS findings, list_sort(list(path))[1:5] AS paths FROM s")
+def secret_counters(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(redact="typed", max_files=Budget(None), max_total_size=Budget(None), size_gate=None, max_file_size=2**40, secret_oversize="scan")
+    found = engine.scan(_with_keys(spark, d), request, [])
+    told = secrets.counters(found.selected, found.excluded)
+    return spark.createDataFrame([(told["findings"], told["redactedPaths"])], "findings bigint, paths array<string>")
+
+
+@query(SECRET_SQL + "SELECT 'secretDetected' AS reason, count(*) AS files FROM s")
+def secrets_not_inline(spark: SparkSession, d: str) -> DataFrame:
+    request = Request(redact="typed", redact_inline=False, max_files=Budget(None), max_total_size=Budget(None), size_gate=None, max_file_size=2**40, secret_oversize="scan")
+    return engine.scan(_with_keys(spark, d), request, []).excluded.groupBy("reason").agg(F.count("*").alias("files"))
+
+
+@query(REASON_SQL + "SELECT rule, CASE WHEN rule IN ('*.log') THEN 'configExclude' WHEN rule = '**/src19/**' THEN 'optionExclude' ELSE 'gitignore' END AS reason, count(*) AS files FROM reasoned WHERE NOT forced AND rule[1] <> '!' GROUP BY ALL")
+def inspect_rules(spark: SparkSession, d: str) -> DataFrame:
+    found = reports.inspect(engine.select(files_from_documents(spark, d), REQUEST, LAYERS))["rules"]
+    return found.select("rule", "reason", "files")
+
+
+@query("SELECT CASE WHEN doc_id % 9 = 4 THEN 'docs/' WHEN doc_id % 9 = 7 THEN 'fixtures/' END AS line FROM files WHERE doc_id % 9 IN (4, 7) GROUP BY 1")
+def starter_rules(spark: SparkSession, d: str) -> DataFrame:
+    top = F.when(F.col("doc_id") % 9 == 4, F.lit("docs/")).when(F.col("doc_id") % 9 == 7, F.lit("fixtures/")).otherwise(F.lit("corpus/x/"))
+    files = files_from_documents(spark, d).select(F.concat(top, F.col("doc_id")).alias("path"))
+    return spark.createDataFrame([(x,) for x in reports.starter_rules(files)], "line string")
+
+
+@query(RANKED_SQL + "SELECT path FROM ranked WHERE doc_id % 11 <> 0")
+def rows_without_paths(spark: SparkSession, d: str) -> DataFrame:
+    files = _ranked(spark, d, contents=True)
+    return render.file_chunks(files.withColumn("path", F.when(F.col("doc_id") % 11 != 0, F.col("path"))), "xml", DOC).select("path")
+
+
+@query(
+    RANKED_SQL
+    + """, told AS (SELECT rank, '{"ruleId":"file","level":"note","message":{"text":"File: ' || path || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '"},"region":{"startLine":1,"endLine":' || (length(content) - length(replace(content, chr(10), '')) + 1) || '}}}]}' AS chunk FROM ranked)
+    SELECT chunk || CASE WHEN rank < (SELECT max(rank) FROM told) THEN ',' ELSE '' END AS line FROM told
+    UNION ALL SELECT '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"contextlake","rules":[{"id":"file"}]}},"results":[' UNION ALL SELECT ']}]}'"""
+)
+def sarif_lines(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{order.shared_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
+    render.write_chunks(_ranked(spark, d, contents=True), "sarif", DOC, folder, 8)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("SELECT path FROM files WHERE NOT (ext = '.log' OR lang = 'de')")
+def streamed_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    files = as_files(arrivals.read_events(spark, f"{d}/documents.parquet*"))
+    request = Request(exclude=("*.log", "corpus/de/**"), size_gate=None, max_file_size=2**40)
+    kept = arrivals.narrow(files.drop("content", "forced"), request, engine.layers_of(replace(request, respect_gitignore=False))[1:])
+    folder = f"{order.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return arrivals.run_to_end(kept.select("path"), f"{folder}/result", f"{folder}/progress")

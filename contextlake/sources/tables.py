@@ -14,7 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, size (bytes), modified, forced, content. content is pruned from the scan unless a query uses it; size needs it."""
-    docs = table(spark, sf_dir, "documents")
+    return as_files(table(spark, sf_dir, "documents"))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """The relation of a table or stream of documents."""
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % 5 + 1).cast("int"))
     path = F.concat(F.lit("corpus/"), F.coalesce("lang", F.lit("und")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/doc"), F.col("doc_id"), F.lit("."), ext)
     return docs.select(
