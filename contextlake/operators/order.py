@@ -61,13 +61,13 @@ def rank_all(files: DataFrame, keys: list[Column]) -> DataFrame:
     Whole rows are sorted, so rows without or with equal paths stay apart; contents are joined after ranking.
     """
     partitions = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = checkpointed(files.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    placed = checkpointed(files.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # one row for each shuffle partition
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.col("before") + F.col("at").bitwiseAND(F.lit(2**33 - 1)) + 1
-    return placed.withColumn("part", part).join(F.broadcast(before), "part").select(*files.columns, rank.alias("rank"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 1
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select(*files.columns, rank.alias("rank"))
 
 
 def running_sum(ranked: DataFrame, value: Column, name: str, block: int = 65536) -> DataFrame:

@@ -144,7 +144,8 @@ def select(files: DataFrame, request: Request, layers: list[rules.Layer], status
         ranked = order.checkpointed(order.take_ranked(left, keys, request.max_files.value))
         gone.append(ledger.entries(left.join(ranked.select("path"), "path", "left_anti"), "fileCountBudget", F.lit(f"maxFileCount:{request.max_files.value}")))
     if request.max_total_size.value is not None:
-        ranked = budgets.greedy_size(ranked, request.max_total_size.value, request.keep_oversized_first)
+        # folded once: the ledger and the selection both read the result
+        ranked = order.checkpointed(budgets.greedy_size(ranked, request.max_total_size.value, request.keep_oversized_first))
         gone.append(ledger.entries(ranked.where(~F.col("fits")), "totalSizeBudget", F.lit(f"maxTotalSize:{request.max_total_size.value}")))
         ranked = ranked.where("fits").drop("fits")
     if request.redact:
