@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and their DuckDB SQL, where SQL can express them."""
+"""The queries op1_ to op13_ and their DuckDB SQL, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contextlake.llm import chat, chunks, decontamination, fingerprints, language, mixing, neardup, quality, suffixes, urls
+from contextlake.llm import alignment, chat, chunks, collocations, decontamination, fingerprints, language, mixing, neardup, quality, suffixes, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -82,6 +94,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_embedding_neardup": op12_embedding_neardup,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 OP2_SQL = r"""
@@ -143,7 +158,45 @@ SELECT p.doc_id, p.size, t.source_size, t.target, CAST(coalesce(g.taken, 0) AS B
 FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN got g ON g.ordinal = t.ordinal AND g.doc_id = p.doc_id
 """
 
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda w: w <> '') AS w FROM texts),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k)),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS words FROM starts),
+f AS (SELECT lang, k, words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT lang, words, k, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.words = c.words[1:c.cut] JOIN f y ON y.lang = c.lang AND y.words = c.words[c.cut + 1:]),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) AS nth FROM scored),
+spots AS (SELECT lang, words, k, f, unnest(range(2, k)) AS m FROM f WHERE k > 2),
+inside AS (SELECT lang, words[s:s + m - 1] AS words, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM spots) GROUP BY ALL),
+kept AS (
+  SELECT lowest.lang, array_to_string(lowest.words, ' ') AS phrase, a, l, r, score FROM lowest LEFT JOIN inside USING (lang, words)
+  WHERE nth = 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (
+  SELECT * FROM vectors WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
+links AS (SELECT a.id AS a, b.id AS b FROM fine a JOIN fine b ON a.id <> b.id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT id AS a, id AS b FROM vectors UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+components AS (SELECT a, min(v.vec_id) AS component_id FROM reached JOIN vectors v ON v.id = reached.b GROUP BY a),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM vectors JOIN components ON components.a = id LEFT JOIN counts ON counts.a = id
+"""
+
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op4_source_mixing": OP4_SQL,
+    "op11_phrase_collocations": OP11_SQL,
+    "op12_embedding_neardup": OP12_SQL,
 }
