@@ -6,9 +6,9 @@ places of a frequent phrase of k words are merge-joined with the postings of the
 phrases whose last k words are frequent too are looked at. The lengths of a phrase's lists, summed over all blocks, are its
 exact frequency.
 
-Only words and counts travel between blocks, never places: a level's keys (prefix, word) are summed over the corpus, and the
-frequent ones go back to the blocks that have them. A block's postings meet those keys in one task, whose memory follows
-``block_words`` and not a phrase's frequency.
+Between blocks only keys (prefix, word) and lengths are summed; the frequent ones get numbers and go back to the blocks that
+have them, gathered into few rows. A block's lists meet those keys in one task, whose memory follows ``block_words`` and not a
+phrase's frequency.
 """
 
 from __future__ import annotations
@@ -63,21 +63,26 @@ def word_places(text: str, codes: _Codes) -> Iterator[np.ndarray]:
     yield np.ones(1, np.int32)
 
 
+_INDEX = pa.schema({"lang": pa.string(), "block": pa.int64(), "code": pa.int64(), "word": pa.string(), "n": pa.int64(), "sizes": pa.list_(pa.int32()), "gaps": pa.list_(pa.int32())})
+
+
 def _lists(lang: str, block: int, codes: _Codes, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(lang, block, word, n, gaps) of a block; gaps are the first place and then the distances between places."""
+    """(lang, block, code, word, n) of each word of a block, and (block, sizes, gaps) with the lists of all: the first place and then the distances between places."""
     flat = np.concatenate(parts)
-    counts = np.bincount(flat, minlength=len(codes))
-    places = np.argsort(flat, kind="stable")[counts[1] :]
-    ends = np.cumsum(counts[2:])
+    sizes = np.bincount(flat, minlength=len(codes))
+    places = np.argsort(flat, kind="stable")[sizes[1] :]
+    sizes = sizes[2:]
     gaps = np.diff(places, prepend=0)
-    heads = (ends - counts[2:])[counts[2:] > 0]
+    heads = np.cumsum(sizes) - sizes
     gaps[heads] = places[heads]
-    offsets, gaps = np.concatenate([[0], ends]), gaps.astype(np.int32)
     words = list(codes)[2:]
+    filled = lambda rows, **columns: pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _INDEX], schema=_INDEX)
+    one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(np.int32)))
+    yield filled(1, block=pa.array([block]), sizes=one(sizes), gaps=one(gaps))
     for lo in range(0, len(words), 1 << 15):
         hi = min(len(words), lo + (1 << 15))
-        lists = pa.ListArray.from_arrays(pa.array((offsets[lo : hi + 1] - offsets[lo]).astype(np.int32)), pa.array(gaps[offsets[lo] : offsets[hi]]))
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (hi - lo)), pa.array(np.full(hi - lo, block)), pa.array(words[lo:hi], pa.string()), pa.array(counts[2 + lo : 2 + hi]), lists], names=["lang", "block", "word", "n", "gaps"])
+        n = hi - lo
+        yield filled(n, lang=pa.repeat(pa.scalar(lang), n), block=pa.array(np.full(n, block)), code=pa.array(np.arange(lo, hi)), word=pa.array(words[lo:hi], pa.string()), n=pa.array(sizes[lo:hi]))
 
 
 def _block_rows(block_words: int):
@@ -109,20 +114,25 @@ def _block_rows(block_words: int):
     return run
 
 
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].combine_chunks().flatten().to_numpy()
+
+
 def _postings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids in order, places in order, index of the word at each place) of a block's lists."""
-    ids = rows["id"].to_numpy()
-    gaps = rows["gaps"].combine_chunks()
-    sizes = pc.list_value_length(gaps).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = gaps.flatten().to_numpy().astype(np.int64)
+    """(frequent words' ids in order, places of such words in order, index of the word at each place) of a block's lists."""
+    lists, known = rows.filter(pc.equal(rows["level"], 0)), rows.filter(pc.equal(rows["level"], 1))
+    sizes, flat = _flat(lists, "sizes").astype(np.int64), _flat(lists, "gaps").astype(np.int64)
+    ids, codes = _flat(known, "ids"), _flat(known, "words")
+    by_id = np.argsort(ids)
+    rank = np.full(len(sizes), -1)
+    rank[codes[by_id]] = np.arange(len(ids))
     upto = np.cumsum(flat)
     heads = np.cumsum(sizes) - sizes
-    places = upto - np.repeat(upto[heads] - flat[heads], sizes)
-    by_id = np.argsort(ids)
-    rank = np.empty(len(ids), np.int64)
-    rank[by_id] = np.arange(len(ids))
+    word = np.repeat(rank, sizes)
+    some = np.flatnonzero(word >= 0)
+    places = (upto - np.repeat(upto[heads] - flat[heads], sizes))[some]
     order = np.argsort(places)
-    return ids[by_id], places[order], np.repeat(rank, sizes)[order]
+    return ids[by_id], places[order], word[some[order]]
 
 
 def _merged(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +145,7 @@ def _merged(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _extend(level: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one block: its words' lists (level 1) and frequent phrases (levels 2 to level - 1) to the keys and list lengths of ``level``."""
+    """Of one block: its lists (level 0), frequent words (1) and frequent phrases (2 to level - 1) to the keys and list lengths of ``level``."""
 
     def run(rows: pa.Table) -> pa.Table:
         words, places, word_at = _postings(rows.filter(pc.equal(rows["level"], 1)))
@@ -149,11 +159,13 @@ def _extend(level: int) -> Callable[[pa.Table], pa.Table]:
             keys = prefix * max(len(words), 1) + word
             if k == level:
                 break
-            own = rows.filter(pc.equal(rows["level"], k)).sort_by("id")
-            known = np.searchsorted(phrases, own["prefix"].to_numpy()) * max(len(words), 1) + np.searchsorted(words, own["word"].to_numpy())
+            own = rows.filter(pc.equal(rows["level"], k))
+            ids = _flat(own, "ids")
+            by_id = np.argsort(ids)
+            known = (np.searchsorted(phrases, _flat(own, "prefixes")) * max(len(words), 1) + np.searchsorted(words, _flat(own, "words")))[by_id]
             order = np.argsort(known)
             hit, where = _merged(keys, known[order])
-            phrases, at, phrase_at = own["id"].to_numpy(), starts[hit], order[where]
+            phrases, at, phrase_at = ids[by_id], starts[hit], order[where]
         keys, n = np.unique(keys, return_counts=True)
         block = np.full(len(keys), rows["block"][0].as_py())
         return pa.table({"block": block, "prefix": phrases[keys // max(len(words), 1)], "word": words[keys % max(len(words), 1)], "n": n})
@@ -161,24 +173,88 @@ def _extend(level: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _numbered(batches: Iterable[pa.RecordBatch], a: str, b: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, number of each row's key (a, b), rows that are the first of their key), where equal keys follow each other."""
+    number, last = TaskContext.get().partitionId() << 40, None
+    for batch in batches:
+        if batch.num_rows:
+            one, two = batch.column(a), batch.column(b)
+            new = np.ones(batch.num_rows, bool)
+            new[0] = last != (one[0], two[0])
+            new[1:] = pc.or_(pc.not_equal(one[1:], one[:-1]), pc.not_equal(two[1:], two[:-1])).to_numpy(zero_copy_only=False)
+            last = one[-1], two[-1]
+            ids = number + np.cumsum(new)
+            number = int(ids[-1])
+            yield batch, ids, np.flatnonzero(new)
+
+
+#: what goes back to a block (lists of one length; of single words their code in the block), and the frequent keys
+_PACKED = "block long, ids array<long>, prefixes array<long>, words array<long>, lang string, text string, prefix long, word long, f long, id long"
+_LISTS = ("ids", "prefixes", "words")
+_KEYS = {"lang": pa.string(), "text": pa.string(), "prefix": pa.int64(), "word": pa.int64(), "f": pa.int64(), "id": pa.int64()}
+_SCHEMA = pa.schema({"block": pa.int64()} | {c: pa.list_(pa.int64()) for c in _LISTS} | _KEYS)
+
+
+def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _by_block(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each block of what is held."""
+    block = np.concatenate([h["block"] for h in held])
+    order = np.argsort(block, kind="stable")
+    heads = np.flatnonzero(np.diff(block[order], prepend=-1))
+    offsets = pa.array(np.concatenate([heads, [len(block)]]).astype(np.int32))
+    return _batch({"block": pa.array(block[order][heads])} | {c: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([h[c] for h in held])[order])) for c in _LISTS if c in held[0]})
+
+
+def _pack(level: int, most: int = 1 << 21):
+    """Gives each frequent key of a partition a number of its own (rows with an id) and gathers what goes back to each block (rows with a block)."""
+    keys = {"lang": "lang", "text": "word"} if level == 1 else {"prefix": "prefix", "word": "word"}
+    lists = {"words": "code"} if level == 1 else {"prefixes": "prefix", "words": "word"}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
+        for batch, ids, firsts in _numbered(batches, *keys.values()):
+            at = pa.array(firsts)
+            yield _batch({to: batch.column(c).take(at) for to, c in keys.items()} | {"f": batch.column("f").take(at), "id": pa.array(ids[firsts])})
+            held.append({"block": batch.column("block").to_numpy(), "ids": ids} | {to: batch.column(c).to_numpy() for to, c in lists.items()})
+            weight += len(ids)
+            if weight >= most:
+                yield _by_block(held)
+                held, weight = [], 0
+        if held:
+            yield _by_block(held)
+        textkit.give_back()
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, block_words: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words long, f) of every phrase of 1 to ``longest`` words with f >= least; (lang, n) with the words of each language)."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    index = written(texts.mapInArrow(_block_rows(block_words), "lang string, block long, word string, n long, gaps array<int>"), "collocations-lists")
-    counted = lambda keys, by: written(keys.groupBy(*by).agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "collocations-frequent")
-    words = counted(index, ["lang", "word"])
-    blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    postings = written(index.join(words, ["lang", "word"]).select("block", F.lit(1).alias("level"), "id", blank("long", "prefix"), blank("long", "word"), "gaps"), "collocations-postings")
-    known, shorter = words.select("lang", "id", F.col("word").alias("phrase"), "f"), postings
+    index = written(texts.mapInArrow(_block_rows(block_words), "lang string, block long, code long, word string, n long, sizes array<int>, gaps array<int>"), "collocations-lists")
+    words = index.where("word IS NOT NULL").select("lang", "block", "code", "word", "n")
+
+    def survivors(keys: DataFrame, by: list[str], level: int) -> DataFrame:
+        summed = keys.withColumn("f", F.sum("n").over(Window.partitionBy(*by))).where(F.col("f") >= least).drop("n")
+        return written(summed.mapInArrow(_pack(level), _PACKED).withColumn("level", F.lit(level)), "collocations-frequent")
+
+    back = ["block", "level", "ids", "prefixes", "words"]
+    found = survivors(words, ["lang", "word"], 1)
+    known = found.where("id IS NOT NULL").select("lang", "id", F.col("text").alias("phrase"), "f")
+    lists = index.where("word IS NULL").select("block", F.lit(0).alias("level"), "sizes", "gaps")
+    state = lists.unionByName(found.where("block IS NOT NULL").select(*back), allowMissingColumns=True)
     levels = [known.withColumn("words", F.lit(1).cast("long"))]
     for k in range(2, longest + 1):
-        keys = shorter.groupBy("block").applyInArrow(_extend(k), "block long, prefix long, word long, n long")
-        if k < longest:
-            keys = written(keys, "collocations-keys")
-        found = counted(keys, ["prefix", "word"])
+        keys = state.groupBy("block").applyInArrow(_extend(k), "block long, prefix long, word long, n long")
         if k < longest:
-            back = keys.join(found, ["prefix", "word"]).select("block", F.lit(k).alias("level"), "id", "prefix", "word", blank("array<int>", "gaps"))
-            shorter = shorter.unionByName(written(back, "collocations-phrases"))
+            found = survivors(keys, ["prefix", "word"], k)
+            state = state.unionByName(found.where("block IS NOT NULL").select(*back), allowMissingColumns=True)
+            found = found.where("id IS NOT NULL").select("prefix", "word", "f", "id")
+        else:
+            found = keys.groupBy("prefix", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))
         first = levels[-1].select("lang", F.col("id").alias("prefix"), F.col("phrase").alias("first"))
         last = known.select(F.col("id").alias("word"), F.col("phrase").alias("last"))
         named = found.join(first, "prefix").join(last, "word")
@@ -186,7 +262,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, block_w
     every = levels[0]
     for own in levels[1:]:
         every = every.unionByName(own)
-    return every.drop("id"), index.groupBy("lang").agg(F.sum("n").alias("n"))
+    return every.drop("id"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _exact(c: Column | str) -> Column:
