@@ -148,7 +148,7 @@ def _extend(level: int) -> Callable[[pa.Table], pa.Table]:
     """Of one block: its lists (level 0), frequent words (1) and frequent phrases (2 to level - 1) to the keys and list lengths of ``level``."""
 
     def run(rows: pa.Table) -> pa.Table:
-        words, places, word_at = _postings(rows.filter(pc.equal(rows["level"], 1)))
+        words, places, word_at = _postings(rows)
         phrases, at, phrase_at = words, places, word_at
         for k in range(2, level + 1):
             hit, where = _merged(at + (k - 1), places)
