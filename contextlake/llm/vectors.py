@@ -154,13 +154,17 @@ def near_vectors(rows: DataFrame, least: float = 0.9, tile_values: int = 1 << 19
     Vectors that are null, empty, zero or hold null, NaN or infinite components have no links; vectors of unlike lengths have none with each
     other. Equal vectors are linked. component_id is the least vec_id that links reach, a null one only if all are null; kept is
     vec_id = component_id, false for a null vec_id. Rows that share a vec_id are vectors of their own. Other columns (also a clashing
-    ``cell`` or ``cid``) are ignored; no rows: no rows. ``tile_values`` components make a tile; ``pivots`` bounds the sample that is collected.
+    ``cell`` or ``cid``) are ignored; no rows: no rows. ``tile_values`` components make
+    a tile; at most ``pivots`` vectors, and no more than tiles, are collected as pivots.
     """
     numbers = F.col("embedding").cast("array<double>")
     fine = F.coalesce((F.size(numbers) > 0) & F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(numbers, lambda v: v != 0), F.lit(False))
     base = rows.select("vec_id", F.when(fine, F.col("embedding")).alias("embedding"))
     classes = base.where("embedding IS NOT NULL").groupBy("embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
     classes = written(classes.withColumns({"cid": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "vectors-classes")
+    # no more cells than tiles, so a vector is sent to about as many tiles as there are
+    values = classes.agg(F.sum(F.col("dim").cast("long"))).first()[0] or 0
+    pivots = min(pivots, -(-values // tile_values))
     sample = [np.array(r.embedding, float)[None] for r in classes.orderBy(F.xxhash64("embedding"), "cid").limit(pivots).select("embedding").collect()]
     dims = [x.shape[1] for x in sample]
     dim = max(set(dims), key=lambda d: (dims.count(d), d), default=1)
