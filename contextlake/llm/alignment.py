@@ -6,8 +6,8 @@ that the second vocabulary writes for a space: then no merge can cross the cut,
 whole text one segment after the other.
 
 1. Texts are written as numbers of segments, with a dictionary for each block of texts.
-2. Dictionary entries are sorted by segment in ranges of all entries; each distinct segment is tokenised and aligned once, and the
-   alignment goes to the entries of all blocks.
+2. Dictionary entries of all blocks are sorted by segment; each distinct segment is tokenised and aligned once, and the alignment
+   goes to the entries of all blocks, which are gathered into few rows for each block.
 3. Links of a pair of ids are summed within blocks and then over the corpus, and go back to the blocks that have the pair.
 4. Each block composes its texts from its dictionary: sums, and a digest of the segments' groups in order.
 
@@ -179,16 +179,37 @@ def align(segment: str, a: list[int], b: list[int], a_bytes: list[bytes], b_byte
     return ";".join(groups), last_a, last_b
 
 
-_ALIGNED = "block long, code int, n long, ok boolean, n_a int, n_b int, groups string, la array<int>, lb array<int>"
+#: entries of one block's dictionary: lists of one length, groups joined by line feeds, la and lb with n_links[i] ids for codes[i]
+_ENTRIES = {"codes": pa.int32(), "ok": pa.bool_(), "n": pa.int64(), "n_a": pa.int32(), "n_b": pa.int32(), "n_links": pa.int32()}
+_ALIGNED = "block long, wrong boolean, codes array<int>, ok array<boolean>, n array<long>, n_a array<int>, n_b array<int>, n_links array<int>, la array<int>, lb array<int>, groups string"
 
 
-def _aligned_rows(byte_bpe: str, pieces: str):
+def _by_block(held: list[pa.Table]) -> pa.RecordBatch:
+    """One row for each block of what is held."""
+    every = pa.concat_tables(held)
+    every = every.take(pa.array(np.argsort(every["block"].to_numpy(), kind="stable"))).combine_chunks()
+    block = every["block"].to_numpy()
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    offsets = np.concatenate([heads, [len(block)]])
+    lists = lambda at, column: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), column)
+    column = {c: every[c].combine_chunks() for c in every.column_names}
+    column["n_links"] = pc.list_value_length(column["la"])
+    upto = np.concatenate([[0], np.cumsum(column["n_links"].to_numpy(zero_copy_only=False))])[offsets]
+    ok = column["ok"].to_numpy(zero_copy_only=False)
+    out = {"block": pa.array(block[heads]), "wrong": pa.array(~np.logical_and.reduceat(ok, heads))}
+    out |= {c: lists(offsets, column[c]) for c in _ENTRIES} | {c: lists(upto, column[c].flatten()) for c in ("la", "lb")}
+    out["groups"] = pc.binary_join(lists(offsets, column["groups"]), "\n")
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _aligned_rows(byte_bpe: str, pieces: str, most: int = 1 << 19):
     """Over (block, code, n, segment) sorted by segment."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_tok, b_tok, a_bytes, b_bytes = vocabularies(byte_bpe, pieces)
         kinds = {"ok": pa.bool_(), "n_a": pa.int32(), "n_b": pa.int32(), "groups": pa.string(), "la": pa.list_(pa.int32()), "lb": pa.list_(pa.int32())}
         kept: dict[str, tuple] = {}
+        held, weight = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 some = batch.slice(lo, 2048)
@@ -201,37 +222,76 @@ def _aligned_rows(byte_bpe: str, pieces: str):
                     found = align(s, x, y, a_bytes, b_bytes)
                     kept[s] = (False, 0, 0, "", [], []) if found is None else (True, len(x), len(y), *found)
                 rows = [kept[s] for s in names]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in range(3)), *(pa.array([r[k] for r in rows], kind).take(coded.indices) for k, kind in enumerate(kinds.values()))], names=["block", "code", "n", *kinds])
+                own = {"block": some.column(0), "codes": some.column(1), "n": some.column(2)}
+                own |= {c: pa.array([r[k] for r in rows], kind).take(coded.indices) for k, (c, kind) in enumerate(kinds.items())}
+                held.append(pa.table(own))
+                weight += some.num_rows + len(own["la"].flatten())
+                if weight >= most:
+                    yield _by_block(held)
+                    held, weight = [], 0
                 # rows are sorted: only the last segment can go on
                 kept = {names[-1]: kept[names[-1]]} if names else {}
+        if held:
+            yield _by_block(held)
         textkit.give_back()
 
     return run
 
 
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.int64) << 32) | b.astype(np.int64)
+
+
+def _pair_rows(rows: pa.Table, n: np.ndarray) -> pa.Table:
+    """(block, pa, pb, n) of a block's entries that occur n times each."""
+    links = np.repeat(n, _flat(rows, "n_links"))
+    keys, place = np.unique(_key(_flat(rows, "la"), _flat(rows, "lb")), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, place, links)
+    block = np.full(len(keys), rows["block"][0].as_py() if rows.num_rows else 0)
+    return pa.table({"block": block, "pa": (keys >> 32).astype(np.int32), "pb": (keys & 0xFFFFFFFF).astype(np.int32), "n": counts})
+
+
+def _void(docs: pa.Table, rows: pa.Table) -> pa.Table:
+    """What the texts of a block that have no tokens would have added to its pairs, below zero."""
+    codes = _flat(rows, "codes")
+    ok = np.ones(int(codes.max(initial=-1)) + 1, bool)
+    ok[codes] = _flat(rows, "ok")
+    less = np.zeros(len(ok), np.int64)
+    for own in docs["codes"].combine_chunks():
+        own = own.values.to_numpy()
+        if not ok[own].all():
+            less += np.bincount(own, minlength=len(ok))
+    return _pair_rows(rows, -less[codes])
+
+
 def _composed(docs: pa.Table, facts: pa.Table) -> pa.Table:
-    """The texts of one block from its dictionary (rows with a code) and its pairs of ids (rows with a pair)."""
-    words = facts.filter(pc.is_valid(facts["code"])).sort_by("code")
-    pairs = facts.filter(pc.is_null(facts["code"]))
-    # every code has a row, so a code is its row's place
-    ok, groups = words["ok"].to_numpy(), words["groups"].to_pylist()
-    n_a, n_b = (words[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-    la, lb = words["la"].combine_chunks(), words["lb"].combine_chunks()
-    n_links = pc.list_value_length(la).to_numpy(zero_copy_only=False).astype(np.int64)
-    key = lambda a, b: (a.astype(np.int64) << 32) | b.astype(np.int64)
-    known = key(pairs["pa"].to_numpy(), pairs["pb"].to_numpy())
+    """The texts of one block from its dictionary (rows with codes) and its pairs of ids (rows with a pair)."""
+    words, pairs = facts.filter(pc.is_valid(facts["codes"])), facts.filter(pc.is_null(facts["codes"]))
+    known = _key(pairs["pa"].to_numpy(), pairs["pb"].to_numpy())
     order = np.argsort(known)
     # a pair that only texts without tokens have is in no table
     known, count = np.concatenate([known[order], [-1]]), np.concatenate([pairs["count"].to_numpy()[order], [0]])
-    best = np.concatenate([pairs["best"].to_numpy()[order].astype(np.int64), [0]])
-    links = key(la.flatten().to_numpy(), lb.flatten().to_numpy())
+    best = np.concatenate([pairs["best"].to_numpy(zero_copy_only=False)[order].astype(np.int64), [0]])
+    links = _key(_flat(words, "la"), _flat(words, "lb"))
     at = np.searchsorted(known[:-1], links)
     at = np.where(known[at] == links, at, len(known) - 1)
-    ends = np.cumsum(n_links)
-    summed = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[at])])[np.concatenate([[0], ends])])
-    columns = {"n_a": n_a, "n_b": n_b, "n_groups": n_links, "n_links": n_links, "n_best": summed(best), "count_sum": summed(count)}
-    codes = docs["codes"].combine_chunks()
-    flat, offsets = codes.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(codes).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    codes, n_links = _flat(words, "codes"), _flat(words, "n_links").astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n_links)])
+    summed = lambda v: np.diff(np.concatenate([[0], np.cumsum(v[at])])[ends])
+    # every code has one entry
+    placed = np.empty(len(codes), np.int64)
+    placed[codes] = np.arange(len(codes))
+    columns = {"n_a": _flat(words, "n_a").astype(np.int64), "n_b": _flat(words, "n_b").astype(np.int64), "n_groups": n_links, "n_links": n_links, "n_best": summed(best), "count_sum": summed(count)}
+    columns, ok = {c: v[placed] for c, v in columns.items()}, _flat(words, "ok").astype(bool)[placed]
+    entries = [g for part in words["groups"].to_pylist() for g in part.split("\n")]
+    groups = [entries[i] for i in placed.tolist()]
+    lists = docs["codes"].combine_chunks()
+    flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     out: dict[str, list] = {c: [] for c in columns} | {"groups_sha256": []}
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = flat[lo:hi]
@@ -245,7 +305,7 @@ def _composed(docs: pa.Table, facts: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs["doc_id"]} | {c: pa.array(v, pa.string() if c == "groups_sha256" else pa.int64()) for c, v in out.items()})
 
 
-def align_tokenizers(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, entries: int = 1 << 19) -> DataFrame:
+def align_tokenizers(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, entries: int = 1 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs (doc_id, text).
 
     A text that is null or empty, or that either tokenizer does not give back byte by byte, has no tokens: zeros and an empty
@@ -259,19 +319,18 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PI
     # equal segments stand together, and each goes through the tokenizers once
     aligned = words.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligned_rows(byte_bpe, pieces), _ALIGNED)
     aligned = written(aligned, "alignment-segments")
-    counted = aligned.where("ok").select("block", "code", "n", "la", "lb")
-    wrong = aligned.where("NOT ok").select("block", "code")
+    pair = "block long, pa int, pb int, n long"
+    own = aligned.select("block", "n", "n_links", "la", "lb").groupBy("block").applyInArrow(lambda rows: _pair_rows(rows, _flat(rows, "n")), pair)
+    wrong = aligned.where("wrong").select("block").distinct()
     if not wrong.isEmpty():
         # links of texts without tokens do not count
-        at_fault = wrong.groupBy("block").agg(F.collect_set("code").alias("wrong"))
-        void = texts.join(at_fault, "block").where(F.arrays_overlap("codes", "wrong")).select("block", F.explode("codes").alias("code"))
-        counted = counted.join(void.groupBy("block", "code").agg(F.count("*").alias("less")), ["block", "code"], "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
-    links = counted.where("n > 0").select("block", "n", F.explode(F.arrays_zip("la", "lb")).alias("link"))
-    own = written(links.groupBy("block", F.col("link.la").alias("pa"), F.col("link.lb").alias("pb")).agg(F.sum("n").alias("n")), "alignment-pairs")
+        void = texts.join(wrong, "block", "left_semi").groupBy("block").cogroup(aligned.drop("groups").join(wrong, "block", "left_semi").groupBy("block")).applyInArrow(_void, pair)
+        own = own.unionByName(void).groupBy("block", "pa", "pb").agg(F.sum("n").alias("n")).where("n > 0")
+    own = written(own, "alignment-pairs")
     totals = own.groupBy("pa", "pb").agg(F.sum("n").alias("count"))
     most = totals.groupBy("pb").agg(F.max("count").alias("most"))
     totals = totals.join(most, "pb").select("pa", "pb", "count", (F.col("count") == F.col("most")).alias("best"))
     known = own.join(totals, ["pa", "pb"]).select("block", "pa", "pb", "count", "best")
-    facts = aligned.select("block", "code", "ok", "n_a", "n_b", "groups", "la", "lb").unionByName(known, allowMissingColumns=True)
+    facts = aligned.drop("n", "wrong").unionByName(known, allowMissingColumns=True)
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return texts.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_composed, out)
