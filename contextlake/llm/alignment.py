@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,33 +103,39 @@ def segments(text: str, cuts: bool = True) -> list[str]:
     return out
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor().compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class _Codes(dict):
     def __missing__(self, segment: str) -> int:
         self[segment] = n = len(self)
         return n
 
 
-_CODED = "block long, doc_id long, codes array<int>, code int, segment string, n long"
+#: texts of a block, many to a row: their ids, numbers of segments and packed segments; and the block's dictionary
+_CODED = pa.schema({"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "code": pa.int32(), "segment": pa.string(), "n": pa.int64()})
 
 
 def _coded_rows(byte_bpe: str, pieces: str, entries: int):
-    """(block, doc_id, codes) of every text and (block, code, segment, n) of every block's dictionary."""
+    def filled(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _CODED], schema=_CODED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = cuts_hold(byte_bpe, pieces)
         block = TaskContext.get().partitionId() << 32
         codes, seen = _Codes(), np.zeros(0, np.int64)
-        blank = lambda n, kind: pa.nulls(n, kind)
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             words = list(codes)
             for lo in range(0, len(words), 1 << 15):
                 part = words[lo : lo + (1 << 15)]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), blank(n, pa.int64()), blank(n, pa.list_(pa.int32())), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(part, pa.string()), pa.array(seen[lo : lo + n])],
-                    names=["block", "doc_id", "codes", "code", "segment", "n"],
-                )
+                size = len(part)
+                yield filled(size, block=pa.array(np.full(size, block)), code=pa.array(np.arange(lo, lo + size, dtype=np.int32)), segment=pa.array(part, pa.string()), n=pa.array(seen[lo : lo + size]))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -137,15 +144,12 @@ def _coded_rows(byte_bpe: str, pieces: str, entries: int):
                 for text in some.column(1).to_pylist():
                     found = segments(text, cuts)
                     own.append(np.fromiter(map(codes.__getitem__, found), np.int32, len(found)))
-                flat, n = np.concatenate(own), len(own)
+                flat = np.concatenate(own)
                 counts = np.bincount(flat, minlength=len(codes))
                 counts[: len(seen)] += seen
                 seen = counts
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, block)), some.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), blank(n, pa.int32()), blank(n, pa.string()), blank(n, pa.int64())],
-                    names=["block", "doc_id", "codes", "code", "segment", "n"],
-                )
+                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                yield filled(1, block=pa.array([block]), doc_ids=one(some.column(0)), sizes=one(pa.array([len(x) for x in own], pa.int32())), codes=pa.array([_packed(flat.tobytes())]))
                 if len(codes) >= entries:
                     yield from dictionary()
                     codes, seen, block = _Codes(), np.zeros(0, np.int64), block + 1
@@ -179,9 +183,9 @@ def align(segment: str, a: list[int], b: list[int], a_bytes: list[bytes], b_byte
     return ";".join(groups), last_a, last_b
 
 
-#: entries of one block's dictionary: lists of one length, groups joined by line feeds, la and lb with n_links[i] ids for codes[i]
+#: entries of one block's dictionary: lists of one length, groups joined by line feeds and packed, la and lb with n_links[i] ids for codes[i]
 _ENTRIES = {"codes": pa.int32(), "ok": pa.bool_(), "n": pa.int64(), "n_a": pa.int32(), "n_b": pa.int32(), "n_links": pa.int32()}
-_ALIGNED = "block long, wrong boolean, codes array<int>, ok array<boolean>, n array<long>, n_a array<int>, n_b array<int>, n_links array<int>, la array<int>, lb array<int>, groups string"
+_ALIGNED = "block long, wrong boolean, codes array<int>, ok array<boolean>, n array<long>, n_a array<int>, n_b array<int>, n_links array<int>, la array<int>, lb array<int>, groups binary"
 
 
 def _by_block(held: list[pa.Table]) -> pa.RecordBatch:
@@ -198,7 +202,7 @@ def _by_block(held: list[pa.Table]) -> pa.RecordBatch:
     ok = column["ok"].to_numpy(zero_copy_only=False)
     out = {"block": pa.array(block[heads]), "wrong": pa.array(~np.logical_and.reduceat(ok, heads))}
     out |= {c: lists(offsets, column[c]) for c in _ENTRIES} | {c: lists(upto, column[c].flatten()) for c in ("la", "lb")}
-    out["groups"] = pc.binary_join(lists(offsets, column["groups"]), "\n")
+    out["groups"] = pa.array([_packed(g.encode()) for g in pc.binary_join(lists(offsets, column["groups"]), "\n").to_pylist()], pa.binary())
     return pa.RecordBatch.from_pydict(out)
 
 
@@ -256,14 +260,19 @@ def _pair_rows(rows: pa.Table, n: np.ndarray) -> pa.Table:
     return pa.table({"block": block, "pa": (keys >> 32).astype(np.int32), "pb": (keys & 0xFFFFFFFF).astype(np.int32), "n": counts})
 
 
+def _texts(docs: pa.Table) -> Iterator[np.ndarray]:
+    """The segments of each text, in the order of doc_ids."""
+    for sizes, codes in zip(docs["sizes"].to_pylist(), docs["codes"].to_pylist(), strict=True):
+        yield from np.split(np.frombuffer(_unpacked(codes), np.int32), np.cumsum(sizes)[:-1])
+
+
 def _void(docs: pa.Table, rows: pa.Table) -> pa.Table:
     """What the texts of a block that have no tokens would have added to its pairs, below zero."""
     codes = _flat(rows, "codes")
     ok = np.ones(int(codes.max(initial=-1)) + 1, bool)
     ok[codes] = _flat(rows, "ok")
     less = np.zeros(len(ok), np.int64)
-    for own in docs["codes"].combine_chunks():
-        own = own.values.to_numpy()
+    for own in _texts(docs):
         if not ok[own].all():
             less += np.bincount(own, minlength=len(ok))
     return _pair_rows(rows, -less[codes])
@@ -288,21 +297,18 @@ def _composed(docs: pa.Table, facts: pa.Table) -> pa.Table:
     placed[codes] = np.arange(len(codes))
     columns = {"n_a": _flat(words, "n_a").astype(np.int64), "n_b": _flat(words, "n_b").astype(np.int64), "n_groups": n_links, "n_links": n_links, "n_best": summed(best), "count_sum": summed(count)}
     columns, ok = {c: v[placed] for c, v in columns.items()}, _flat(words, "ok").astype(bool)[placed]
-    entries = [g for part in words["groups"].to_pylist() for g in part.split("\n")]
+    entries = [g for part in words["groups"].to_pylist() for g in _unpacked(part).decode().split("\n")]
     groups = [entries[i] for i in placed.tolist()]
-    lists = docs["codes"].combine_chunks()
-    flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
     out: dict[str, list] = {c: [] for c in columns} | {"groups_sha256": []}
-    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        own = flat[lo:hi]
-        good = hi > lo and bool(ok[own].all())
+    for own in _texts(docs):
+        good = len(own) > 0 and bool(ok[own].all())
         for c, v in columns.items():
             out[c].append(int(v[own].sum()) if good else 0)
         digest = hashlib.sha256()
         for p in range(0, len(own) if good else 0, 1 << 16):
             digest.update(((";" if p else "") + ";".join([groups[c] for c in own[p : p + (1 << 16)].tolist()])).encode())
         out["groups_sha256"].append(digest.hexdigest() if good else "")
-    return pa.table({"doc_id": docs["doc_id"]} | {c: pa.array(v, pa.string() if c == "groups_sha256" else pa.int64()) for c, v in out.items()})
+    return pa.table({"doc_id": docs["doc_ids"].combine_chunks().flatten()} | {c: pa.array(v, pa.string() if c == "groups_sha256" else pa.int64()) for c, v in out.items()})
 
 
 def align_tokenizers(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, entries: int = 1 << 20) -> DataFrame:
@@ -314,8 +320,8 @@ def align_tokenizers(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PI
     vocabularies lie under the same path on every executor; a block ends after ``entries`` distinct segments.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = written(base.mapInArrow(_coded_rows(byte_bpe, pieces, entries), _CODED), "alignment-coded")
-    texts, words = coded.where("code IS NULL").select("block", "doc_id", "codes"), coded.where("code IS NOT NULL").select("block", "code", "n", "segment")
+    coded = written(base.mapInArrow(_coded_rows(byte_bpe, pieces, entries), "block long, doc_ids array<long>, sizes array<int>, codes binary, code int, segment string, n long"), "alignment-coded")
+    texts, words = coded.where("code IS NULL").select("block", "doc_ids", "sizes", "codes"), coded.where("code IS NOT NULL").select("block", "code", "n", "segment")
     # equal segments stand together, and each goes through the tokenizers once
     aligned = words.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligned_rows(byte_bpe, pieces), _ALIGNED)
     aligned = written(aligned, "alignment-segments")
