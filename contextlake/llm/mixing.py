@@ -1,32 +1,34 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
 1. Every document has a size in words. The documents of a source, in the order of a digest of their
-   id, are one stream of words, which is cut into blocks of ``block_words`` words.
+   id, are one stream of words, which is cut into blocks of ``block_words`` words, of which the last may be shorter.
 2. Sources get targets: shares by weight of ``budget`` times all words; no target passes ``most``
-   times the source's words, and what is cut off goes to the others by weight.
-3. Slot j of the mix has the point frac(j * golden ratio) in [0, 1). The point falls into one
-   source's interval of cumulative target weights. The slots of a source, numbered in order, take its
-   blocks in order, round after round.
-
-No step gathers a source in one task: streams are summed over ranges of the digest first and slots
-are numbered within runs of ``run_slots`` slots first, so a source with most of the rows is dealt to many tasks. Sources may be
-as many as web domains: they are numbered and summed in ranges of Spark's sort. Points and shares are whole numbers, so
-neither the number of slots nor the order of sums changes what is drawn.
+   times the source's words, and what is cut off goes to the others by weight. A source's slots take as many words as its
+   target says, to the nearest word: whole rounds of all its blocks, then blocks of one more round, the last of them in part.
+3. The slots of all sources, one after the other, are the whole points 0 to M - 1: a source's interval of cumulative weights holds as many
+   points as it has slots. Slot j of the mix has the point j * g modulo M, where g is the number next to M times the golden ratio's
+   fraction that has no divisor in common with M. So every point is met once, and any run of slots has of each source about its share.
+4. The slots of a source, numbered in the order of the mix, take its blocks in a shuffled order, round after round.
+
+No step gathers a source in one task: streams are summed over ranges of the digest first, slots are made in runs of ``run_slots`` and
+numbered within runs first, so a source with most of the rows is dealt to many tasks. A source's slots are found from
+its own interval by the inverse of g, so slots and sources are not searched for each other and sources
+may be as many as web domains: they are numbered and summed in ranges of Spark's sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from math import gcd
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextlake.llm.store import checkpointed
 
-#: the golden ratio's fraction in 62 bits: floor((sqrt(5) - 1) / 2 * 2**62)
-GOLDEN = 2850178704830799621
-POINTS = 1 << 62
+GOLDEN = (5**0.5 - 1) / 2
+#: above every number of blocks, so that its multiples modulo that number meet every block once
+PRIME = (1 << 61) - 1
 WORD = r"[^\x20\x09-\x0D]+"
-#: shares are counted in parts of a word
-PARTS = 256
 
 
 def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -44,8 +46,8 @@ def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> Da
     return here.select(*[c for c in rows.columns if not c.startswith(("_order", "_sum_"))], *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in named])
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> tuple[DataFrame, float]:
-    """(a row per source: source, ordinal, source_size, weight, target, and the interval [lo, hi) of the mix in points; words of the mix).
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
+    """A row per source: source, ordinal, source_size, weight, target.
 
     Sources are ordered by code point, null last. The caps are met in closed form: by rising
     most*size/weight, a prefix of the sources is at its cap and the others share by weight.
@@ -62,35 +64,63 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
     free = rising.select("cap", "weight", "nth", level.alias("level")).where("cap > level * weight")
     level = free.agg(F.min_by("level", "nth")).first()[0]
     target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
-    shared = ranked.withColumn("target", target).withColumn("share", F.floor(F.col("target") * PARTS).cast("long"))
-    whole = float(shared.agg(F.sum("share")).first()[0] or 1)
-    shared = _before(shared, [F.col("ordinal")], {"below": F.col("share")})
-    point = lambda n: F.floor(n / F.lit(whole or 1.0) * F.lit(float(POINTS))).cast("long")
-    return shared.select("source", "ordinal", "source_size", "weight", "target", point(F.col("below")).alias("lo"), point(F.col("below") + F.col("share")).alias("hi")), total
-
-
-def golden_point(slot: Column) -> Column:
-    """slot * GOLDEN modulo 2**62, by three parts of GOLDEN so that no product passes 62 bits; slots are below 2**41."""
-    low, middle, high = GOLDEN & (1 << 21) - 1, GOLDEN >> 21 & (1 << 21) - 1, GOLDEN >> 42
-    part = lambda g, bits: F.shiftleft((slot * F.lit(g).cast("long")).bitwiseAND(F.lit((1 << bits) - 1)), 62 - bits)
-    mask = F.lit(POINTS - 1)
-    return ((slot * F.lit(low).cast("long") + part(middle, 41)).bitwiseAND(mask) + part(high, 20)).bitwiseAND(mask)
-
-
-def _schedule(spark: SparkSession, targets: DataFrame, total: float, block_words: int, bins: int, run_slots: int) -> DataFrame:
-    """(ordinal, rank) of every slot of the mix; rank counts the slots of the source from 0."""
-    slots = spark.range(int(round(total / block_words)) + 1 if total > 0 else 0).select(F.col("id").alias("slot"))
-    slots = slots.withColumn("point", golden_point(F.col("slot")))
-    bin_of = lambda c: F.shiftright(c, 62 - (bins.bit_length() - 1))
-    slots = slots.withColumn("bin", bin_of("point"))
-    held = targets.where("hi > lo").withColumn("bin", F.explode(F.sequence(bin_of("lo"), F.least(bin_of("hi"), F.lit(bins - 1).cast("long")))))
-    dealt = slots.join(held.select("bin", "ordinal", "lo", "hi"), "bin").where("point >= lo AND point < hi").select("slot", "ordinal")
-    dealt = dealt.withColumn("run", F.floor(F.col("slot") / run_slots))
-    runs = dealt.groupBy("ordinal", "run").agg(F.count("*").alias("n"))
+    return ranked.select("source", "ordinal", "source_size", "weight", target.alias("target"))
+
+
+def with_slots(targets: DataFrame, block_words: int) -> DataFrame:
+    """Adds words (of the mix), full (blocks of block_words words), blocks, slots, and first, the first of the source's points."""
+    size, block = F.col("source_size"), F.lit(block_words)
+    counted = targets.withColumns({"words": F.floor(F.col("target") + 0.5).cast("long"), "full": F.floor(size / block).cast("long"), "blocks": F.ceil(size / block).cast("long")})
+    rounds, rest = F.expr("words div source_size"), F.expr("words % source_size")
+    slots = F.when(size > 0, rounds * F.col("blocks") + F.ceil(rest / block)).otherwise(0).cast("long")
+    counted = counted.withColumn("slots", slots)
+    return _before(counted, [F.col("ordinal")], {"first": F.col("slots")}).drop("nth")
+
+
+def times_modulo(a: Column, b: Column, m: Column) -> Column:
+    """a * b modulo m of numbers of up to 63 bits whose product may have 126."""
+    whole = lambda c: c.cast("decimal(19,0)")
+    return (whole(a) * whole(b) % whole(m)).cast("long")
+
+
+def golden_step(points: int) -> int:
+    """The least number from points * GOLDEN on that has no divisor in common with points."""
+    step = max(1, int(points * GOLDEN))
+    while gcd(step, points) != 1:
+        step += 1
+    return step
+
+
+def mix_schedule(targets: DataFrame, run_slots: int = 65536) -> DataFrame:
+    """(ordinal, slot, rank) of every slot of the mix; rank counts the slots of the source from 0. targets as with_slots() gives them."""
+    points = targets.agg(F.sum("slots")).first()[0] or 0
+    if not points:
+        return targets.select("ordinal", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("rank")).where("false")
+    inverse = pow(golden_step(points), -1, points) if points > 1 else 0
+    # runs are at most about a million, of a length that a task can write out
+    length = max(run_slots, -(-points // (1 << 20)))
+    runs = targets.where("slots > 0").select("ordinal", "first", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {length}"))).alias("run"))
+    low = F.col("run") * length
+    made = runs.repartition("ordinal", "run").select("ordinal", F.explode(F.sequence(F.col("first") + low, F.col("first") + F.least(F.col("slots"), low + length) - 1)).alias("point"))
+    dealt = made.select("ordinal", times_modulo(F.col("point"), F.lit(inverse), F.lit(points)).alias("slot")).withColumn("run", F.expr(f"slot div {length}"))
+    counts = dealt.groupBy("ordinal", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("ordinal").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("ordinal", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = counts.select("ordinal", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("ordinal", "run").orderBy("slot")) - 1
-    return dealt.withColumn("inside", inside).join(runs, ["ordinal", "run"]).select("ordinal", "slot", (F.col("base") + F.col("inside")).alias("rank"))
+    return dealt.withColumn("inside", inside).join(counts, ["ordinal", "run"]).select("ordinal", "slot", (F.col("base") + F.col("inside")).alias("rank"))
+
+
+def taken_blocks(schedule: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
+    """(ordinal, block, times, part): how often slots take the whole block, and of how many of its words one takes the first."""
+    facts = targets.select("ordinal", "source_size", "words", "full", "blocks", "slots")
+    dealt = schedule.join(facts, "ordinal").withColumn("nth", F.expr("rank % blocks"))
+    # full blocks in shuffled order, then the shorter one
+    block = F.when(F.col("nth") < F.col("full"), times_modulo(F.col("nth"), F.expr(f"{PRIME}L % full"), F.col("full"))).otherwise(F.col("full"))
+    rest = F.expr(f"words % source_size - nth * {block_words}")
+    # the last slot of an unfinished round stops where the words of the mix are taken
+    partly = (F.col("rank") == F.col("slots") - 1) & F.expr("words % source_size > 0") & (rest < F.least(F.lit(block_words), F.col("source_size") - block * block_words))
+    dealt = dealt.select("ordinal", block.alias("block"), F.when(partly, rest).alias("part"))
+    return dealt.groupBy("ordinal", "block").agg(F.count_if(F.isnull("part")).alias("times"), F.coalesce(F.sum("part"), F.lit(0)).alias("part"))
 
 
 def _streams(sizes: DataFrame, order_key: Column, ranges: int) -> DataFrame:
@@ -114,38 +144,27 @@ def mix_sources(
     most: float = 2.0,
     block_words: int = 64,
     ranges: int = 1024,
-    bins: int = 4096,
     run_slots: int = 65536,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document.
 
-    size counts runs without ASCII white space (null or empty text: 0, and never taken). taken sums
-    what the slots take of the document's words; a source's slots beyond ``most`` rounds are left
-    out, so no document is taken more than ``most`` times whole (``most`` is then a whole number).
-    Repeated rows of one doc_id and source are separate documents of equal order; they are numbered apart by
-    size, so the totals are the same on every run. Other columns are ignored. No rows: no rows.
+    size counts runs without ASCII white space (null or empty text: 0, and never taken). taken sums what the slots take of the
+    document's words. All words that a source gives are its target to the nearest word, whatever its size, so no document is taken more than ``most`` times
+    whole (``most`` is then a whole number). Repeated rows of one doc_id and source are separate documents of equal order; they are numbered
+    apart by size, so the totals are the same on every run. A text of any length is one document. Other columns are ignored. No rows: no rows.
     """
-    spark = docs.sparkSession
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = checkpointed(sizes)  # the texts are read once
-    targets, total = source_targets(sizes, weights, budget, most)
-    targets = checkpointed(targets)
-    rank = _schedule(spark, targets, total, block_words, bins, run_slots)
-    blocks = targets.select("ordinal", F.ceil(F.col("source_size") / block_words).alias("blocks"))
-    # the shuffled blocks of each source that the slots take, with how often
-    taken = (
-        rank.join(blocks, "ordinal")
-        .where(F.col("rank") < F.lit(int(most)) * F.col("blocks"))
-        .groupBy("ordinal", (F.col("rank") % F.col("blocks")).alias("block"))
-        .agg(F.count("*").alias("times"))
-    )
+    targets = checkpointed(with_slots(source_targets(sizes, weights, budget, most), block_words))
+    taken = taken_blocks(mix_schedule(targets, run_slots), targets, block_words)
     facts = targets.select(F.col("source").alias("t_source"), "ordinal", "source_size", "target")
     placed = _streams(sizes, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), ranges).join(facts, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     # a document's pieces, one for each block that it overlaps; runs of whole blocks stay apart so joins are by (source, block)
     end = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select("doc_id", "source", "ordinal", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    got = pieces.join(taken, ["ordinal", "block"]).groupBy("ordinal", "start").agg(F.sum(words * F.col("times")).alias("taken"))
+    low = F.col("block") * block_words
+    shared = lambda upto: F.greatest(F.lit(0), F.least(end, low + upto) - F.greatest(F.col("start"), low))
+    got = pieces.join(taken, ["ordinal", "block"]).groupBy("ordinal", "start").agg(F.sum(shared(F.lit(block_words)) * F.col("times") + shared(F.col("part"))).alias("taken"))
     empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     full = placed.where("size > 0").join(got, ["ordinal", "start"], "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]

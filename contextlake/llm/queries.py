@@ -135,16 +135,12 @@ fixed AS (SELECT min(level0) FILTER (cap > level0 * weight) AS level FROM (
   SELECT *, row_number() OVER (ORDER BY cap / weight, ordinal) AS k FROM levels)
   WHERE k = (SELECT min(k) FROM (SELECT *, row_number() OVER (ORDER BY cap / weight, ordinal) AS k FROM levels) WHERE cap > level0 * weight)),
 targets AS (SELECT source, ordinal, source_size, total, coalesce(least(cap, (SELECT level FROM fixed) * weight), cap) AS target FROM weighed),
-shares AS (
-  SELECT *, CAST(ceil(source_size / 64) AS BIGINT) AS blocks, CAST(floor(target * 256) AS BIGINT) AS share FROM targets),
-summed AS (SELECT *, sum(share) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(share) OVER () AS whole FROM shares),
-spans AS (
-  SELECT ordinal, blocks, CAST(floor(CAST(upto - share AS DOUBLE) / CAST(whole AS DOUBLE) * 4611686018427387904.0::DOUBLE) AS BIGINT) AS lo,
-         CAST(floor(CAST(upto AS DOUBLE) / CAST(whole AS DOUBLE) * 4611686018427387904.0::DOUBLE) AS BIGINT) AS hi FROM summed),
-slots AS (SELECT range AS slot, CAST((CAST(range AS HUGEINT) * 2850178704830799621) % 4611686018427387904 AS BIGINT) AS point
-  FROM range((SELECT CAST(round(max(total) / 64) AS BIGINT) + 1 FROM targets))),
-dealt AS (SELECT ordinal, blocks, row_number() OVER (PARTITION BY ordinal ORDER BY slot) - 1 AS rank FROM slots JOIN spans ON point >= lo AND point < hi),
-taken AS (SELECT ordinal, rank % blocks AS block, count(*) AS times FROM dealt WHERE rank < 2 * blocks GROUP BY ALL),
+mixed AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS words FROM targets),
+rounds AS (SELECT source, ordinal, source_size, words // source_size AS rounds, words % source_size AS rest, source_size // 64 AS full_blocks FROM mixed WHERE source_size > 0),
+steps AS (SELECT *, unnest(range(CAST(ceil(rest / 64) AS BIGINT))) AS i FROM rounds),
+extra AS (
+  SELECT ordinal, CASE WHEN i < full_blocks THEN CAST(CAST(i AS HUGEINT) * 2305843009213693951 % full_blocks AS BIGINT) ELSE full_blocks END AS block, least(64, rest - 64 * i) AS words
+  FROM steps),
 keyed AS (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS key FROM sizes),
 placed AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || key[1:4] AS INTEGER) % 1024, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM keyed),
@@ -152,10 +148,11 @@ pieces AS (
   SELECT ordinal, doc_id, start, size, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS block
   FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source WHERE size > 0),
 got AS (
-  SELECT ordinal, doc_id, sum((least(start + size, (block + 1) * 64) - greatest(start, block * 64)) * times) AS taken
-  FROM pieces JOIN taken USING (ordinal, block) GROUP BY ALL)
-SELECT p.doc_id, p.size, t.source_size, t.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN got g ON g.ordinal = t.ordinal AND g.doc_id = p.doc_id
+  SELECT ordinal, doc_id, start, sum(greatest(0, least(start + size, block * 64 + words) - greatest(start, block * 64))) AS extra
+  FROM pieces JOIN extra USING (ordinal, block) GROUP BY ALL)
+SELECT p.doc_id, p.size, t.source_size, t.target, CAST(coalesce(r.rounds * p.size, 0) + coalesce(g.extra, 0) AS BIGINT) AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN rounds r ON r.ordinal = t.ordinal
+LEFT JOIN got g ON g.ordinal = t.ordinal AND g.doc_id = p.doc_id AND g.start = p.start
 """
 
 OP11_SQL = r"""

@@ -307,9 +307,47 @@ def test_many_sources(spark):
     sizes = [sum(len(t.split()) for _, t, s in rows if s == n) for n in names]
     want = dict(zip(names, fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2.0), strict=True))
     assert all(abs(r.target - want[r.source]) < 1e-6 * r.target for r in out)
-
-
-def test_golden_points(spark):
-    slots = [0, 1, 2, 12345, 2**31 + 7, 2**40 + 12345, 2**41 - 1]
-    got = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", mixing.golden_point(F.col("slot")).alias("p")).collect()
-    assert {r.slot: r.p for r in got} == {s: s * mixing.GOLDEN % mixing.POINTS for s in slots}
+    for blocks in (1, 64):
+        taken = {}
+        for r in mixing.mix_sources(docs, block_words=blocks).collect():
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert all(abs(taken[n] - want[n]) <= 0.5 + 1e-6 for n in names)
+
+
+@pytest.mark.parametrize("sizes", [[5] * 12 + [40000], [4] * 600, [1, 2, 3, 500, 64, 128, 129, 0], [7000, 1]])
+def test_every_source_meets_its_target(spark, sizes):
+    rows = [(i, "w " * min(100, n - lo), f"s{i:04d}") for i, n in enumerate(sizes) for lo in range(0, max(n, 1), 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).withColumn("doc_id", F.monotonically_increasing_id())
+    out = mixing.mix_sources(docs).collect()
+    want = fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5, 2.0)
+    taken = {}
+    for r in out:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for i, target in enumerate(want):
+        assert abs(taken[f"s{i:04d}"] - target) <= 0.5 + 1e-6
+
+
+def test_schedule(spark):
+    targets = spark.createDataFrame([(0, 1000), (1, 0), (2, 3000), (3, 7), (4, 993)], "ordinal long, slots long")
+    targets = mixing._before(targets, [F.col("ordinal")], {"first": F.col("slots")}).drop("nth")
+    slots = sorted((r.slot, r.ordinal, r.rank) for r in mixing.mix_schedule(targets, run_slots=64).collect())
+    assert [s for s, _, _ in slots] == list(range(5000))
+    seen = {}
+    for _, o, rank in slots:
+        assert rank == seen.get(o, 0)
+        seen[o] = rank + 1
+    assert seen == {0: 1000, 2: 3000, 3: 7, 4: 993}
+    # in every run of the mix a source has about its share
+    for lo in range(0, 5000, 250):
+        part = [o for s, o, _ in slots if lo <= s < lo + 250]
+        assert all(abs(part.count(o) - 250 * n / 5000) <= 8 for o, n in seen.items())
+
+
+@pytest.mark.parametrize("points", [1, 2, 3, 64, 1000, 9973, 10**12 + 39])
+def test_golden_step(spark, points):
+    step = mixing.golden_step(points)
+    assert math.gcd(step, points) == 1 and step >= points * 0.618 - 1 and step < points * 0.619 + 60
+    places = [0, 1, points // 2, points - 1]
+    got = spark.createDataFrame([(p,) for p in places], "p long").select(mixing.times_modulo(F.col("p"), F.lit(step), F.lit(points)).alias("q")).collect()
+    assert [r.q for r in got] == [p * step % points for p in places]
