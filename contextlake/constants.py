@@ -57,13 +57,16 @@ EXCLUDED_DIRECTORIES = (
 )
 EXCLUDED_FILES = (
     IGNORE_FILE, ".gitignore", INCLUDE_FILE, ".env", ".env.local", ".env.*.local", ".DS_Store", "Thumbs.db", "desktop.ini", ".directory",
-    "*.log", "*.pid", "*.seed", "*.pid.lock", "npm-debug.log*", "yarn-error.log*", "*.map", "*.min.js", "*.min.css", "*~", "*.swp",
-    "*.swo", "*.bak", "*.tmp", "*.orig", "*.pyc", "*.pyo", "*.class", "*.jar", "*.o", "*.obj", "*.exe", "*.dll", "*.so", "*.dylib",
-    "*.7z", "*.dmg", "*.gz", "*.iso", "*.rar", "*.tar", "*.zip",
+    "$RECYCLE.BIN", "ehthumbs.db", "ehthumbs_vista.db", "*.log", "*.pid", "*.seed", "*.pid.lock", "npm-debug.log*", "yarn-debug.log*",
+    "yarn-error.log*", "lerna-debug.log*", "pnpm-debug.log*", "*.map", "*.css.map", "*.js.map", "*.min.js", "*.min.css", "*~", "*.swp",
+    "*.swo", "*.bak", "*.tmp", "*.orig", "*.sublime-workspace", "*.sublime-project", "*.pyc", "*.pyo", "*.pyd", "*.class", "*.jar", "*.war",
+    "*.ear", "*.o", "*.obj", "*.exe", "*.dll", "*.so", "*.dylib", "*.ncb", "*.sdf", "*.suo", "*.pdb", "*.idb", "*.7z", "*.dmg", "*.gz",
+    "*.iso", "*.rar", "*.tar", "*.zip", "*.jpg", "*.jpeg", "*.png", "*.gif", "*.bmp", "*.ico", "*.mp3", "*.mp4", "*.avi", "*.mov", "*.wmv",
+    "*.flv", "*.webm", "*.wav", "*.flac", "*.aac", "*.ogg", "*.wma",
 )
 TEST_PATTERNS = (
     "test", "tests", "__tests__", "spec", "specs", "test/**", "tests/**", "__tests__/**", "spec/**", "specs/**",
-    "*.test.js", "*.test.ts", "*.test.jsx", "*.test.tsx", "*.test.mjs", "*.spec.js", "*.spec.ts", "*.spec.jsx", "*.spec.tsx", "*.spec.mjs",
+    "*.test.js", "*.test.ts", "*.test.jsx", "*.test.tsx", "*.spec.js", "*.spec.ts", "*.spec.jsx", "*.spec.tsx", "*.test.mjs", "*.spec.mjs",
     "jest.config.js", "jest.config.ts", "jest.setup.js", "vitest.config.js", "vitest.config.ts",
 )
 FORCE_INCLUDE_DOTFILES = (".env.example", ".editorconfig", ".eslintrc*", ".prettierrc*", ".babelrc*", ".dockerignore", ".github/**", ".gitlab-ci.yml", ".travis.yml", "circle.yml")
@@ -77,7 +80,7 @@ STRUCTURE_ONLY = (
 BINARY_EXTENSIONS = {
     "video": ("mp4", "m4v", "mov", "avi", "mkv", "webm", "wmv", "flv", "mpg", "mpeg"),
     "audio": ("mp3", "wav", "flac", "aac", "ogg", "opus", "m4a", "wma", "mid"),
-    "image": ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp", "ico", "heic", "avif"),
+    "image": ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp", "avif", "heic", "ico"),
     "design": ("psd", "ai", "xcf", "sketch", "fig"),
     "model3d": ("blend", "fbx", "glb", "gltf", "stl"),
     "font": ("ttf", "otf", "woff", "woff2", "eot"),
@@ -85,7 +88,7 @@ BINARY_EXTENSIONS = {
     "diskImage": ("dmg", "iso", "img", "vmdk", "qcow2"),
     "package": ("pkg", "deb", "rpm", "apk", "msi", "whl", "egg", "gem", "jar", "war"),
     "executable": ("exe", "dll", "so", "dylib", "a", "lib", "o", "obj", "wasm", "class", "pyc"),
-    "debug": ("pdb", "dump", "core", "trace"),
+    "debug": ("pdb", "trace", "dump", "core"),
     "database": ("sqlite", "sqlite3", "db", "mdb", "dbf"),
     "mlWeights": ("pt", "pth", "ckpt", "safetensors", "gguf", "onnx", "pb", "h5", "npz", "npy", "pkl"),
     "dataBlob": ("parquet", "orc", "avro", "arrow", "feather", "msgpack"),
@@ -137,6 +140,9 @@ FENCE_LANGUAGES = {
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "hh": "cpp", "sh": "bash", "csv": "csv", "txt": "text",
 }
 GIT_STATUS_ORDER = ("modified", "staged", "not_added", "created", "deleted", "renamed", "conflicted")
-# Root files and extensions whose removal a rule check warns about.
-CRITICAL_ROOT_FILES = ("package.json", "pyproject.toml", "cargo.toml", "go.mod", "composer.json", "pom.xml")
-SOURCE_EXTENSIONS = ("js", "ts", "jsx", "tsx", "py", "go", "rs", "java", "rb", "c", "h", "cpp", "cs", "php", "swift", "kt", "scala")
+# Root files and extensions whose removal a rule check warns about.
+CRITICAL_ROOT_FILES = ("package.json", "tsconfig.json", "cargo.toml", "go.mod", "pyproject.toml", "composer.json", "pom.xml")
+SOURCE_EXTENSIONS = (
+    "js", "mjs", "cjs", "jsx", "ts", "tsx", "py", "rb", "go", "rs", "java", "kt", "swift", "c", "h", "cc", "cpp", "hpp", "cs", "php",
+    "scala", "ex", "exs", "erl", "clj", "hs", "ml", "zig", "dart", "vue", "svelte",
+)

@@ -30,8 +30,10 @@ def greedy_size(ranked: DataFrame, budget: int, keep_first: bool = False, serial
     """Adds fits: files in rank order that fit into what earlier fitting files left; later smaller ones may still fit.
 
     keep_first keeps the first file even if it is larger. Each decision depends on the ones before it. While more than
-    ``serial`` files are open, a round takes the files before the first that does not fit, by running sums, and closes
-    every file that is larger than what is left then; of the rest, (rank, size) is folded over in one task.
+    ``serial`` files are open, a round decides all of them up to the place where what is left loses a binary digit: with 2**k <= left < 2**(k+1)
+    smaller files than 2**k all fit until then, and of the others the first that fits ends the round, as less than 2**k is left after it.
+    So there are at most as many rounds as the budget has binary digits, whatever the sizes and their order. The last files are
+    folded over by (rank, size) in one task.
     """
     slim = ranked.select("rank", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
     used, taken, first = 0, [], None
@@ -41,14 +43,20 @@ def greedy_size(ranked: DataFrame, budget: int, keep_first: bool = False, serial
         taken = [slim.where(F.col("rank") == first["rank"]).select("rank")] if first else []
         slim = slim.where(F.col("rank") > first["rank"]) if first else slim
     possible = slim.where(F.col("size") <= budget - used)
-    while possible.count() > serial:
-        summed = checkpointed(running_sum(possible, F.col("size"), "before"))
-        edge = summed.where(F.col("before") + F.col("size") > budget - used).agg(F.min("rank")).first()[0]
-        prefix = summed if edge is None else summed.where(F.col("rank") < edge)
-        taken.append(prefix.select("rank"))
-        used += prefix.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        possible = checkpointed(summed.where((F.col("rank") > F.lit(edge)) & (F.col("size") <= budget - used)).select("rank", "size"))
-    left = budget - used
+    while (left := budget - used) > 0 and possible.count() > serial:
+        half = 1 << (left.bit_length() - 1)
+        small = F.col("size") < half
+        summed = checkpointed(running_sum(possible, F.when(small, F.col("size")).otherwise(0), "before"))
+        after = F.lit(left) - F.col("before") - F.col("size")
+        edge = summed.where(F.when(small, after < half).otherwise(after >= 0)).agg(F.min("rank")).first()[0]
+        # without an edge all small files fit and nothing else does
+        fitting = summed.where(small) if edge is None else summed.where((small & (F.col("rank") < edge)) | (F.col("rank") == edge))
+        taken.append(fitting.select("rank"))
+        used += fitting.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        possible = summed.where("false") if edge is None else checkpointed(summed.where((F.col("rank") > edge) & (F.col("size") <= budget - used)).select("rank", "size"))
+    if (left := budget - used) <= 0:  # only empty files are open
+        taken.append(possible.select("rank"))
+        possible = possible.where("false")
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = left

@@ -6,6 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contextlake import constants as C
+from contextlake.operators.order import rank_all
+
+
+def between(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
+    """path, status, old_path of what differs between two snapshots (path, digest): modified, created, deleted, renamed.
+
+    Both are joined by path; what only one has is joined by digest. Of equal digests the first created is the first deleted's new name, in
+    the order of paths, and so on; they are numbered over all of them by ranges, so contents that many files share (or a null digest, which renames
+    nothing) are no task's alone. Where one snapshot is missing nobody can tell: every path of the other is unknown. Of repeated paths one row counts.
+    """
+    if before is None or after is None:
+        known = before if before is not None else after
+        if known is None:
+            raise ValueError("two snapshots are compared; one may be missing, not both")
+        return known.select("path").where("path IS NOT NULL").distinct().select("path", F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("old_path"))
+    one = lambda df, name: df.where("path IS NOT NULL").groupBy("path").agg(F.min("digest").alias(name), F.lit(True).alias(f"in_{name}"))
+    both = one(before, "old").join(one(after, "new"), "path", "full_outer")
+    both = both.where("in_old IS NULL OR in_new IS NULL OR NOT old <=> new")
+    changed = both.where("in_old AND in_new").select("path", F.lit("modified").alias("status"), F.lit(None).cast("string").alias("old_path"))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        ranked = rank_all(rows, [F.col("digest"), F.col("path")])
+        return ranked.join(ranked.groupBy("digest").agg(F.min("rank").alias("_first")), "digest").select("digest", "path", (F.col("rank") - F.col("_first")).alias("nth"))
+
+    gone = numbered(both.where("in_new IS NULL").select("path", F.col("old").alias("digest")).where("digest IS NOT NULL"))
+    come = numbered(both.where("in_old IS NULL").select("path", F.col("new").alias("digest")).where("digest IS NOT NULL"))
+    pairs = gone.withColumnRenamed("path", "old_path").join(come, ["digest", "nth"], "full_outer")
+    moved = pairs.select(F.coalesce("path", "old_path").alias("path"), F.when(F.isnull("path"), "deleted").when(F.isnull("old_path"), "created").otherwise("renamed").alias("status"), F.when(F.isnotnull("path"), F.col("old_path")).alias("old_path"))
+    blank = both.where("(in_new IS NULL AND old IS NULL) OR (in_old IS NULL AND new IS NULL)").select("path", F.when(F.isnull("in_new"), "deleted").otherwise("created").alias("status"), F.lit(None).cast("string").alias("old_path"))
+    return changed.unionByName(moved).unionByName(blank)
+
+
+def snapshot(files: DataFrame) -> DataFrame:
+    """path and digest of each file with content; empty and null contents have no digest, as they say nothing about a file's identity."""
+    return files.select("path", F.when(F.length("content") > 0, F.sha2(F.encode("content", "UTF-8"), 256)).alias("digest"))
 
 
 def change_set(statuses: DataFrame, filter_type: str = "modified") -> DataFrame:

@@ -83,11 +83,44 @@ def judge(files: DataFrame, layers: list[Layer]) -> DataFrame:
     judged = F.transform(up, lambda d: F.struct(d.alias("directory"), last_match(d, True, layers).alias("match")))
     pruned = F.try_element_at(F.filter(judged, lambda x: F.coalesce(x["match"]["ignored"], F.lit(False))), F.lit(1))
     files = files.withColumn("_pruned", pruned).withColumn("_own", last_match(F.col("path"), False, layers))
+    return files.withColumn("verdict", verdict_of(F.col("path"), F.col("_pruned"), F.col("_own"))).drop("_pruned", "_own")
+
+
+def verdict_of(path: Column, pruned: Column, own: Column) -> Column:
+    """The verdict on a path from the first ignored directory above it (struct<directory, match>, or null) and its own match."""
     hard = F.struct(F.lit(True).alias("ignored"), F.lit("config-exclude").alias("kind"), F.lit(".git").alias("rule"), F.lit("built-in").alias("rule_source"), F.lit(None).cast("string").alias("pruned_by"))
-    by_directory = F.struct(F.lit(True).alias("ignored"), F.col("_pruned.match.kind").alias("kind"), F.col("_pruned.match.rule").alias("rule"), F.col("_pruned.match.rule_source").alias("rule_source"), F.col("_pruned.directory").alias("pruned_by"))
-    own = F.struct(F.coalesce(F.col("_own.ignored"), F.lit(False)).alias("ignored"), F.col("_own.kind").alias("kind"), F.col("_own.rule").alias("rule"), F.col("_own.rule_source").alias("rule_source"), F.lit(None).cast("string").alias("pruned_by"))
-    verdict = F.when(hard_excluded(F.col("path")), hard).when(F.col("_pruned").isNotNull(), by_directory).otherwise(own)
-    return files.withColumn("verdict", verdict).drop("_pruned", "_own")
+    match = pruned["match"]
+    by_directory = F.struct(F.lit(True).alias("ignored"), match["kind"].alias("kind"), match["rule"].alias("rule"), match["rule_source"].alias("rule_source"), pruned["directory"].alias("pruned_by"))
+    itself = F.struct(F.coalesce(own["ignored"], F.lit(False)).alias("ignored"), own["kind"].alias("kind"), own["rule"].alias("rule"), own["rule_source"].alias("rule_source"), F.lit(None).cast("string").alias("pruned_by"))
+    return F.when(hard_excluded(path), hard).when(pruned.isNotNull(), by_directory).otherwise(itself)
+
+
+def every_match(path: Column, is_directory: Column, layers: list[Layer]) -> Column:
+    """array<struct<path, ignored, kind, rule, rule_source>> of all rules that match, the deciding one last."""
+    hits = []
+    for layer in layers:
+        inside = F.startswith(path, F.lit(layer.base + "/")) if layer.base else F.lit(True)
+        relative = F.substr(path, F.lit(len(layer.base) + 2)) if layer.base else path
+        for line, rule in layer.rules():
+            hit = inside & relative.rlike(rule.regex) & (is_directory if rule.directories_only else F.lit(True))
+            told = F.struct(path.alias("path"), F.lit(not rule.negated).alias("ignored"), F.lit(layer.kind).alias("kind"), F.lit(rule.pattern).alias("rule"), F.lit(f"{layer.source}:{line}").alias("rule_source"))
+            hits.append(F.when(hit, told))
+    if not hits:
+        return F.array().cast("array<struct<path:string,ignored:boolean,kind:string,rule:string,rule_source:string>>")
+    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+
+
+def trace(path: Column, layers: list[Layer]) -> Column:
+    """Every rule that is met on the way to the verdict on a path: directory by directory from the root's, each in the order of the layers.
+
+    The way ends at the first directory that is ignored. What was met last on what it ends at (path in the entries) is judge()'s rule; if nothing was
+    met there, no rule decides. The plan grows with the rules, so this is for paths that someone asks about, not for all of a corpus.
+    """
+    subjects = F.array_append(F.transform(paths.ancestors(path), lambda d: F.struct(d.alias("path"), F.lit(True).alias("directory"))), F.struct(path.alias("path"), F.lit(False).alias("directory")))
+    met = F.transform(subjects, lambda s: F.struct(s["directory"].alias("directory"), every_match(s["path"], s["directory"], layers).alias("hits")))
+    ends = lambda s: s["directory"] & F.coalesce(F.try_element_at(s["hits"], F.lit(-1))["ignored"], F.lit(False))
+    first = F.array_position(F.transform(met, ends), F.lit(True))
+    return F.flatten(F.transform(F.slice(met, F.lit(1), F.when(first > 0, first).otherwise(F.size(met)).cast("int")), lambda s: s["hits"]))
 
 
 def matches_any(path: Column, globs: list[str] | tuple[str, ...], dot: bool = True) -> Column:

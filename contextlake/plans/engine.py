@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contextlake import constants as C
 from contextlake.functions import paths
-from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rules, secrets
+from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rule_tables, rules, secrets
 from contextlake.request import PolicyFailure, Request, SecretsDetected
 from contextlake.sinks import render
 
@@ -42,11 +42,23 @@ def depth_in_scope(path: Column, scopes: tuple[str, ...]) -> Column:
     return out
 
 
-def discover(files: DataFrame, layers: list[rules.Layer], request: Request) -> DataFrame:
-    """Adds forced, reason (null: selected so far), rule and rule_source. No shuffle, no contents."""
+#: kinds of layers that come after those of ignore files
+LATE = ("profile-exclude", "option-exclude")
+
+
+def discover(files: DataFrame, layers: list[rules.Layer], request: Request, ignore_files: DataFrame | None = None) -> DataFrame:
+    """Adds forced, reason (null: selected so far), rule and rule_source. No shuffle, no contents.
+
+    ignore_files (directory, name, text) are joined as a relation, where they are too many to be layers; that shuffles paths.
+    """
     path, size = F.col("path"), F.coalesce(F.col("size"), F.lit(0))
     forced = rules.matches_any(path, request.forced_globs()) | (F.col("forced") if "forced" in files.columns else F.lit(False))
-    files = rules.judge(files.withColumn("forced", forced), layers)
+    files = files.withColumn("forced", forced)
+    if ignore_files is None or not request.respect_gitignore:
+        files = rules.judge(files, layers)
+    else:
+        late = [layer for layer in layers if layer.kind in LATE]
+        files = rule_tables.judge_by_rows(files, rule_tables.rule_rows(ignore_files, scopes=request.scopes), [layer for layer in layers if layer.kind not in LATE], late)
     null = F.lit(None).cast("string")
     checks = []  # (applies to forced too, condition, reason, rule)
     if request.scopes:
@@ -123,18 +135,18 @@ def outcome(files: DataFrame):
     return F.when(truncated, "truncated").when(rules.matches_any(F.col("path"), C.STRUCTURE_ONLY), "structure-only").when(content.extension_category(F.col("path")).isNotNull(), "binary-placeholder").otherwise("included")
 
 
-def select(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None) -> Selection:
-    """Narrow, filter by changes, rank, and cut by count and size."""
+def select(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None, ignore_files: DataFrame | None = None) -> Selection:
+    """Narrow, filter by changes, rank, and cut by count and size. Rows that share a path are files of their own."""
     meta = files.drop("content", "raw")
     # judged once, without contents: the ledger, the ranks and the summaries all read the result
-    found = order.checkpointed(discover(meta, layers, request))
+    found = order.checkpointed(discover(meta, layers, request, ignore_files).withColumn("_row", F.monotonically_increasing_id()))
     gone = [ledger.entries(found.where("reason IS NOT NULL"), F.col("reason"), F.col("rule"), F.col("rule_source"), F.col("is_directory"))]
     left = found.where("reason IS NULL").drop("reason", "rule", "rule_source", "is_directory")
     if request.git_filter and statuses is not None:
         changed = changes.change_set(statuses, request.git_filter)
         gone.append(ledger.entries(changes.dropped_by_changes(left, changed), "gitFilter"))
         left = changes.keep_changed(left, changed)
-    if statuses is not None:
+    if statuses is not None or request.git_filter:
         left = changes.annotate(left, statuses)
     keys = order.sort_columns(request.sort, request.descending)
     if request.max_files.value is None:
@@ -142,7 +154,7 @@ def select(files: DataFrame, request: Request, layers: list[rules.Layer], status
     else:
         # decided once: the ledger and the selection then agree on who is in
         ranked = order.checkpointed(order.take_ranked(left, keys, request.max_files.value))
-        gone.append(ledger.entries(left.join(ranked.select("path"), "path", "left_anti"), "fileCountBudget", F.lit(f"maxFileCount:{request.max_files.value}")))
+        gone.append(ledger.entries(left.join(ranked.select("_row"), "_row", "left_anti"), "fileCountBudget", F.lit(f"maxFileCount:{request.max_files.value}")))
     if request.max_total_size.value is not None:
         # folded once: the ledger and the selection both read the result
         ranked = order.checkpointed(budgets.greedy_size(ranked, request.max_total_size.value, request.keep_oversized_first))
@@ -154,7 +166,7 @@ def select(files: DataFrame, request: Request, layers: list[rules.Layer], status
         gone.append(ledger.entries(ranked.where("secret_reason IS NOT NULL"), F.col("secret_reason")))
         ranked = ranked.where("secret_reason IS NULL").drop("secret_reason")
     degraded = [{"stage": "changes", "message": "no change set was given, so none was applied"}] if request.git_filter and statuses is None else []
-    return Selection(request, meta, ranked, ledger.merge(gone), degraded)
+    return Selection(request, meta, ranked.drop("_row"), ledger.merge(gone), degraded)
 
 
 def plan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None) -> Selection:
@@ -179,8 +191,11 @@ def scan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses
     path = F.col("path")
     named = F.when(rules.matches_any(path, C.STRUCTURE_ONLY), "structure-only").otherwise(content.extension_category(path))
     shown = named.isNull() | ((named != "structure-only") & (content.policy_of(named, **policy) == "base64"))
-    bodies = files.select(path.alias("wanted"), F.encode("content", "UTF-8").alias("raw") if "raw" not in files.columns else "raw").where(shown)
-    opened = chosen.selected.withColumn("wanted", F.when(shown, path)).join(bodies, "wanted", "left").drop("wanted")
+    # rows that share a path are told apart by size and number, so each gets one content; equal sizes may change places
+    same = lambda order: {"wanted": path, "_size": F.coalesce("size", F.lit(-1)), "_nth": F.row_number().over(Window.partitionBy("path", F.coalesce("size", F.lit(-1))).orderBy(order))}
+    body = F.encode("content", "UTF-8") if "raw" not in files.columns else F.col("raw")
+    bodies = files.where(shown).select("path", "size", body.alias("raw")).withColumns(same(F.xxhash64("raw"))).drop("path", "size")
+    opened = chosen.selected.withColumns(same(F.col("rank"))).withColumn("wanted", F.when(shown, path)).join(bodies, ["wanted", "_size", "_nth"], "left").drop("wanted", "_size", "_nth")
     loaded, skipped = content.load(content.classify(opened), **policy)
     gone = [chosen.excluded, ledger.entries(skipped, "binaryPolicy")]
     kept = loaded.drop("raw", "policy")

@@ -33,9 +33,9 @@ def inspect(selection: Selection, depth: int = 1) -> dict[str, DataFrame]:
 
 
 def explain(files: DataFrame, request: Request, layers: list[rules.Layer], selection: Selection | None = None) -> DataFrame:
-    """path, decision, reason, steps array<struct<id, verdict, detail>>: every check that a path meets, in order.
+    """path, decision, reason, steps array<struct<id, verdict, detail>>, trace: every check that a path meets, in order, and every rule that matches on the way.
 
-    Each row is judged by itself; only the last step, the place in the budgets, needs the selection.
+    The steps are discover()'s, so the decision is too. Each row is judged by itself; only the last step, the place in the budgets, needs the selection.
     """
     path, size = F.col("path"), F.coalesce(F.col("size"), F.lit(0))
     step = lambda n, passed, detail: F.struct(F.lit(n).alias("id"), F.when(passed, "pass").otherwise("fail").alias("verdict"), detail.cast("string").alias("detail"))
@@ -46,26 +46,30 @@ def explain(files: DataFrame, request: Request, layers: list[rules.Layer], selec
     for scope in request.scopes:
         inside = inside | paths.is_within(path, scope)
     limit = F.when(F.col("forced"), request.max_file_size).otherwise(gate)
+    wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in request.extensions]
+    everything = "*" in [g.replace("**/*", "*") for g in request.profile_include]
     steps = [
+        step("containment", ~(F.startswith(path, F.lit("/")) | F.array_contains(F.split(path, "/"), "..")), path),
         step("hard-exclusion", ~rules.hard_excluded(path), F.lit(".git")),
         step("scope", inside, F.lit(",".join(request.scopes))),
         step("ignore-rules", ~F.col("verdict.ignored") | F.col("forced"), F.concat_ws(" ", F.col("verdict.rule"), F.col("verdict.rule_source"), F.col("verdict.pruned_by"))),
         step("force-include", F.col("forced"), F.lit(",".join(request.forced_globs()))),
+        step("profile-include", F.lit(everything) | rules.matches_any(path, request.profile_include, dot=False) | F.col("forced"), F.lit(",".join(request.profile_include))),
         step("include", rules.matches_any(path, request.include) if request.include else F.lit(True), F.lit(",".join(request.include))),
-        step("extension", paths.extension(path).isin(*[e if e.startswith(".") else f".{e}" for e in request.extensions]) | F.col("forced") if request.extensions else F.lit(True), paths.extension(path)),
+        step("extension", paths.extension(path).isin(*wanted) | F.col("forced") if request.extensions else F.lit(True), paths.extension(path)),
         step("depth", (depth_in_scope(path, request.scopes) <= request.max_depth) | F.col("forced") if request.max_depth is not None else F.lit(True), paths.depth(path)),
         step("size-gate", size <= limit, limit),
     ]
-    out = judged.select("path", F.array(*steps).alias("steps"))
-    # force-include is an answer, not a hurdle
-    failed = F.filter("steps", lambda s: (s["verdict"] == "fail") & (s["id"] != "force-include"))
+    out = judged.select("path", F.array(*steps).alias("steps"), rules.trace(path, layers).alias("trace"))
+    # force-include is an answer, not a hurdle; no source gives paths outside of the root, so containment only tells of rows that came otherwise
+    failed = F.filter("steps", lambda s: (s["verdict"] == "fail") & ~s["id"].isin("force-include", "containment"))
     out = out.withColumn("reason", F.try_element_at(F.transform(failed, lambda s: s["id"]), F.lit(1)))
     if selection is not None:
         place = selection.selected.select("path", "rank")
         out = out.join(place, "path", "left").join(selection.excluded.select("path", F.col("reason").alias("_ledger")), "path", "left")
         budget = F.struct(F.lit("budgets").alias("id"), F.when(F.col("rank").isNotNull(), "pass").otherwise("fail").alias("verdict"), F.coalesce(F.concat(F.lit("position "), "rank"), F.col("_ledger")).alias("detail"))
         out = out.withColumn("steps", F.when(F.col("reason").isNull(), F.array_append("steps", budget)).otherwise(F.col("steps"))).withColumn("reason", F.coalesce("reason", F.when(F.col("rank").isNull(), F.col("_ledger")))).drop("rank", "_ledger")
-    return out.select("path", F.when(F.col("reason").isNull(), "selected").otherwise("excluded").alias("decision"), "reason", "steps")
+    return out.select("path", F.when(F.col("reason").isNull(), "selected").otherwise("excluded").alias("decision"), "reason", "steps", "trace")
 
 
 def parse_rules(spark, text: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from contextlake import constants as C
 from contextlake.functions import paths, sizes, text
 from contextlake.functions.patterns import include_lines
-from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rules, secrets
+from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rule_tables, rules, secrets
 from contextlake.plans import engine, reports
 from contextlake.request import Budget, Profile, Request, build_request
 from contextlake.sinks import render
@@ -581,7 +581,7 @@ def plan_report(spark: SparkSession, d: str) -> DataFrame:
 @query(
     REASON_SQL
     + """SELECT path, CASE WHEN reason IS NULL THEN 'selected' ELSE 'excluded' END AS decision,
-      CASE WHEN reason IN ('gitignore', 'configExclude', 'optionExclude') THEN 'ignore-rules' WHEN lang NOT IN ('en', 'fr') THEN 'include' WHEN reason = 'filterPattern' THEN 'extension' WHEN reason = 'sizeGate' THEN 'size-gate' END AS reason, CAST(8 AS INT) AS steps FROM reasoned"""
+      CASE WHEN reason IN ('gitignore', 'configExclude', 'optionExclude') THEN 'ignore-rules' WHEN lang NOT IN ('en', 'fr') THEN 'include' WHEN reason = 'filterPattern' THEN 'extension' WHEN reason = 'sizeGate' THEN 'size-gate' END AS reason, CAST(10 AS INT) AS steps FROM reasoned"""
 )
 def explain_trace(spark: SparkSession, d: str) -> DataFrame:
     return reports.explain(files_from_documents(spark, d), REQUEST, LAYERS).select("path", "decision", "reason", F.size("steps").alias("steps"))
@@ -945,3 +945,121 @@ def streamed_arrivals(spark: SparkSession, d: str) -> DataFrame:
     kept = arrivals.narrow(files.drop("content", "forced"), request, engine.layers_of(replace(request, respect_gitignore=False))[1:])
     folder = f"{order.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     return arrivals.run_to_end(kept.select("path"), f"{folder}/result", f"{folder}/progress")
+
+
+# --- ignore files as a relation, traces, snapshots, repeated paths -----------------------------------------------------------
+
+
+@query(VERDICT_SQL + "SELECT path, coalesce(rule[1] <> '!', false) AS ignored, rule, CASE dir_rule WHEN '/corpus/de/src3/' THEN 'corpus/de/src3' WHEN '/src5/' THEN 'corpus/en/src5' WHEN 'src1[0-2]/' THEN 'corpus/' || lang || '/' || source END AS pruned_by FROM verdicts")
+def ignore_relation(spark: SparkSession, d: str) -> DataFrame:
+    ignore_files = spark.createDataFrame([(layer.base, ".gitignore", "\n".join(layer.lines)) for layer in LAYERS if layer.kind == "gitignore"], "directory string, name string, text string")
+    judged = rule_tables.judge_by_rows(files_from_documents(spark, d).drop("content"), rule_tables.rule_rows(ignore_files), [LAYERS[0]], [LAYERS[-1]])
+    return judged.select("path", "verdict.ignored", "verdict.rule", "verdict.pruned_by")
+
+
+@query(
+    """, own AS (SELECT lang, source, CAST(count(*) % 10 AS VARCHAR) AS digit FROM files GROUP BY ALL), above AS (SELECT lang, 'src' || (count(*) % 20) AS gone FROM files GROUP BY lang),
+    told AS (SELECT path, CASE WHEN source = gone THEN 'dir' WHEN ext = '.md' THEN 'kept' WHEN regexp_matches(path, digit || '\\.[^/]*$') THEN 'digit' END AS by_rule, lang, source, gone, digit FROM files JOIN own USING (lang, source) JOIN above USING (lang))
+    SELECT path, coalesce(by_rule IN ('dir', 'digit'), false) AS ignored, CASE by_rule WHEN 'dir' THEN gone || '/' WHEN 'kept' THEN '!*.md' WHEN 'digit' THEN '*' || digit || '.*' END AS rule,
+      CASE by_rule WHEN 'dir' THEN 'corpus/' || lang || '/.gitignore:2' WHEN 'kept' THEN 'corpus/' || lang || '/' || source || '/.gitignore:2' WHEN 'digit' THEN 'corpus/' || lang || '/' || source || '/.gitignore:1' END AS rule_source FROM told"""
+)
+def nested_ignore_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every directory has an ignore file of its own, made from what is in it."""
+    files = files_from_documents(spark, d).drop("content")
+    directory = paths.dirname(F.col("path"))
+    own = files.groupBy(directory.alias("directory")).agg(F.count("*").alias("n")).select("directory", F.concat(F.lit("*"), F.col("n") % 10, F.lit(".*\n!*.md\n")).alias("text"))
+    above = files.groupBy(paths.dirname(directory).alias("directory")).agg(F.count("*").alias("n")).select("directory", F.concat(F.lit("# made from the data\nsrc"), F.col("n") % 20, F.lit("/")).alias("text"))
+    table = rule_tables.rule_rows(own.unionByName(above).withColumn("name", F.lit(".gitignore")))
+    return rule_tables.judge_by_rows(files, table).select("path", "verdict.ignored", "verdict.rule", "verdict.rule_source")
+
+
+@query(RANKED_SQL + FOLD_SQL.format(200000, "false") + "SELECT path, size, rank, fits FROM ranked JOIN fold USING (rank)")
+def budget_in_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy fit without its fold in one task."""
+    return budgets.greedy_size(_ranked(spark, d), 200_000, serial=0).select("path", "size", "rank", "fits")
+
+
+SNAPSHOT_SQL = """, old AS (SELECT path, nullif(content, '') AS c FROM files WHERE doc_id % 11 <> 3),
+  new AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 'moved/' || path ELSE path END AS path, nullif(CASE WHEN doc_id % 7 = 0 THEN content || '!' ELSE content END, '') AS c FROM files WHERE doc_id % 13 <> 5),
+  gone AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY path) AS n FROM old WHERE path NOT IN (SELECT path FROM new)),
+  come AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY path) AS n FROM new WHERE path NOT IN (SELECT path FROM old))
+"""
+
+
+@query(
+    SNAPSHOT_SQL
+    + """SELECT path, 'modified' AS status, NULL AS old_path FROM old JOIN new USING (path) WHERE old.c IS DISTINCT FROM new.c
+    UNION ALL SELECT coalesce(come.path, gone.path), CASE WHEN come.path IS NULL THEN 'deleted' WHEN gone.path IS NULL THEN 'created' ELSE 'renamed' END, CASE WHEN come.path IS NOT NULL THEN gone.path END FROM gone FULL JOIN come ON gone.c = come.c AND gone.n = come.n"""
+)
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    files, number = files_from_documents(spark, d), F.col("doc_id")
+    moved = F.when(number % 17 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    edited = F.when(number % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    later = files.where(number % 13 != 5).select(moved.alias("path"), edited.alias("content"))
+    return changes.between(changes.snapshot(files.where(number % 11 != 3)), changes.snapshot(later))
+
+
+@query(
+    SNAPSHOT_SQL
+    + """, status AS (SELECT path, 'modified' AS status FROM old JOIN new USING (path) WHERE old.c IS DISTINCT FROM new.c
+    UNION ALL SELECT come.path, CASE WHEN gone.path IS NULL THEN 'created' ELSE 'renamed' END FROM come LEFT JOIN gone ON gone.c = come.c AND gone.n = come.n)
+    SELECT path, coalesce(status, 'unmodified') AS git_status FROM new LEFT JOIN status USING (path)"""
+)
+def snapshot_annotated(spark: SparkSession, d: str) -> DataFrame:
+    files, number = files_from_documents(spark, d), F.col("doc_id")
+    moved = F.when(number % 17 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    edited = F.when(number % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    later = files.where(number % 13 != 5).select(moved.alias("path"), edited.alias("content"))
+    found = changes.between(changes.snapshot(files.where(number % 11 != 3)), changes.snapshot(later))
+    return changes.annotate(later, found.select("path", "status")).select("path", "git_status")
+
+
+#: uses every option that narrows
+FULL_REQUEST = Request(profile_include=("corpus/{en,fr,de}/**",), include=("corpus/**/src[0-9]/**",), extensions=("MD", "py", ".Txt"), scopes=("corpus/en", "corpus/fr"), max_depth=1, size_gate=8000, max_file_size=20000)
+
+
+@query(
+    VERDICT_SQL
+    + """SELECT path, CASE WHEN NOT forced AND coalesce(rule[1] <> '!', false) OR lang NOT IN ('en', 'fr') OR NOT regexp_matches(source, '^src[0-9]$') OR NOT forced AND ext NOT IN ('.md', '.py', '.txt')
+      OR size > CASE WHEN forced THEN 20000 ELSE 8000 END THEN 'excluded' ELSE 'selected' END AS decision, true AS agrees FROM verdicts"""
+)
+def explain_agrees(spark: SparkSession, d: str) -> DataFrame:
+    files = files_from_documents(spark, d).drop("content")
+    found = engine.discover(files, LAYERS, FULL_REQUEST).select("path", F.isnull("reason").alias("kept"))
+    return reports.explain(files, FULL_REQUEST, LAYERS).join(found, "path").select("path", "decision", ((F.col("decision") == "selected") == F.col("kept")).alias("agrees"))
+
+
+@query(
+    VERDICT_SQL
+    + """SELECT path, CASE WHEN dir_rule IS NOT NULL THEN 1 ELSE (ext = '.log')::INT + regexp_matches(name, '^doc1.*\\.log$')::INT + regexp_matches(name, '^doc.7\\.json$')::INT + regexp_matches(name, '^doc99.*\\.md$')::INT
+      + (lang = 'en' AND ext = '.py')::INT + (lang = 'en' AND regexp_matches(name, '^doc10.*\\.py$'))::INT + (source = 'src19')::INT + (name = 'doc3.txt')::INT END AS met, rule, rule AS judged FROM verdicts"""
+)
+def rule_trace(spark: SparkSession, d: str) -> DataFrame:
+    """How many rules each path meets, and that the last of them is the one that judge() names."""
+    judged = rules.judge(files_from_documents(spark, d).drop("content"), LAYERS).withColumn("trace", rules.trace(F.col("path"), LAYERS))
+    return judged.select("path", F.size("trace").alias("met"), F.try_element_at("trace", F.lit(-1))["rule"].alias("rule"), F.col("verdict.rule").alias("judged"))
+
+
+@query(RANKED_SQL + "SELECT path, CASE WHEN rank <= 75 THEN 2 ELSE 0 END AS kept, CASE WHEN rank <= 75 THEN 0 ELSE 2 END AS gone FROM ranked")
+def repeated_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every path twice: each row is selected or in the ledger once."""
+    files = files_from_documents(spark, d).drop("content")
+    chosen = engine.select(files.unionByName(files), Request(max_files=Budget(150), size_gate=None, max_file_size=2**40), [])
+    both = chosen.selected.select("path", F.lit(1).alias("kept"), F.lit(0).alias("gone")).unionByName(chosen.excluded.select("path", F.lit(0).alias("kept"), F.lit(1).alias("gone")))
+    return both.groupBy("path").agg(F.sum("kept").cast("int").alias("kept"), F.sum("gone").cast("int").alias("gone"))
+
+
+#: a name that each default pattern matches
+DEALT = tuple(p.replace("*", "x") for p in C.EXCLUDED_FILES)
+
+
+@query(
+    ", dealt AS (SELECT doc_id, (['" + "','".join(C.EXCLUDED_FILES) + f"'])[CAST(doc_id % {len(DEALT)} AS INT) + 1] AS pattern, (doc_id // {len(DEALT)}) % 2 = 0 AS hit FROM files)"
+    """ SELECT doc_id, 'src/' || replace(pattern, '*', 'x') || CASE WHEN hit THEN '' ELSE 'Q' END AS path, hit OR pattern LIKE '%*' AS ignored FROM dealt"""
+)
+def default_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every default file pattern meets a name that it matches and one that it does not."""
+    number = F.col("doc_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in DEALT]), (number % len(DEALT) + 1).cast("int"))
+    path = F.concat(F.lit("src/"), name, F.when(F.floor(number / len(DEALT)) % 2 == 0, "").otherwise("Q"))
+    return rules.judge(files_from_documents(spark, d).select("doc_id", path.alias("path")), [rules.config_layer()]).select("doc_id", "path", "verdict.ignored")
