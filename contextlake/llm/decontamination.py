@@ -51,10 +51,27 @@ def seed_hashes(toks: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct values of x - y over all x in a and y in b, by one convolution of the two sets where pairs are many."""
+    low, high = int(a.min()), int(b.max())
+    span = int(a.max()) - low + high - int(b.min()) + 1
+    if len(a) * len(b) <= 32 * span:
+        return np.unique(a[:, None] - b[None, :])
+    size = 1 << span.bit_length()
+    x, y = np.zeros(size), np.zeros(size)
+    x[a - low] = 1
+    y[high - b] = 1
+    # counts are whole numbers of at most len(a), so rounding cannot turn none into one
+    pairs = np.fft.irfft(np.fft.rfft(x) * np.fft.rfft(y), size)[:span]
+    return np.flatnonzero(pairs > 0.5) + (low - high)
+
+
 class SeedIndex:
     """Sorted seed hashes of some items, with a bit table in front."""
 
     TABLE = 22
+    #: hits of one hash in one text, from which on their diagonals are not written out one by one
+    HEAVY = 1 << 14
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         hashes, item, place = [], [], []
@@ -87,12 +104,33 @@ class SeedIndex:
             at = at[row_of[at] == row_of[at + len(mask) - 1]]
             lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            # a hash that a text and the items repeat has as many hits as the product, but no more diagonals than the sum of their lengths
+            order = np.lexsort((at, lo, row_of[at]))
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(row_of[at][order]) != 0) | (np.diff(lo[order]) != 0)])) if len(at) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate([heads, [len(at)]]))
+            heavy = times * n[order][heads] > self.HEAVY
+            for head, count in zip(heads[heavy].tolist(), times[heavy].tolist(), strict=True):
+                one = order[head]
+                places = at[order[head : head + count]] - first[row_of[at[one]]]
+                for i, own in self._places(int(lo[one]), int(n[one])):
+                    starts = differences(places, own)
+                    found.append(np.stack([np.full(len(starts), row_of[at[one]]), np.full(len(starts), i), starts], axis=1))
+            light = order[~np.repeat(heavy, times)] if len(at) else order
+            at, lo, n = at[light], lo[light], n[light]
             entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(at, n)
             found.append(np.stack([row_of[at], self.item[entry], at - first[row_of[at]] - self.place[entry]], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
-    def leaks(self, toks: np.ndarray, counts: np.ndarray, window: int, least: float, most: int = 1 << 22) -> list[tuple[int, int, int, int, int]]:
+    def _places(self, lo: int, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, places) of the n entries from lo, which have one hash."""
+        item, place = self.item[lo : lo + n], self.place[lo : lo + n]
+        order = np.argsort(item, kind="stable")
+        edges = np.flatnonzero(np.diff(item[order])) + 1
+        for own in np.split(order, edges):
+            yield int(item[own[0]]), place[own]
+
+    def leaks(self, toks: np.ndarray, counts: np.ndarray, window: int, least: float, most: int = 1 << 20) -> list[tuple[int, int, int, int, int]]:
         """(row, item_id, first token, tokens, equal ones) of the best overlap of each row and item that counts, by row and item.
 
         All diagonals are compared at once, in lots of about ``most`` tokens, so items that share boilerplate cost their tokens and no more.
