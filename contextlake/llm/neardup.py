@@ -1,14 +1,14 @@
 """Near-duplicate documents by Order MinHash and banded alignment.
 
 Words are runs without ASCII white space; a k-mer is ``k`` successive words (all of a shorter text). Sketches and
-verification both look at a text's distinct k-mers in the order of their first occurrence: for each hash function
-the two least k-mers are kept in that order, so a sketch agrees when content and order agree. Texts
-that agree in ``rows`` sketches of a band meet in a bucket. Texts of at most ``few`` distinct k-mers also meet in
+verification both look at a text's k-mers with the number of their occurrence (the second "a b c d e" is another k-mer than the first), in the order
+of the text: for each hash function the two least k-mers are kept in that order, so a sketch agrees when content and order agree. Texts
+that agree in ``rows`` sketches of a band meet in a bucket. Texts of at most ``few`` k-mers also meet in
 the buckets of their rarest k-mers, as many as a pair of similarity ``least`` cannot avoid to share (a prefix
 filter), so among them no pair is left to chance.
 
 In a bucket every pair is verified (or, where only classes are wanted, every pair whose class is not known yet), each pair in the first bucket that it shares: similarity is the number of
-distinct k-mers that stay in order in the best alignment, over the number of distinct k-mers of both, with
+k-mers that stay in order in the best alignment, over the number of k-mers of both together, with
 the alignment kept in the band that a pair of that similarity cannot leave. A bucket of more than ``hot`` members (or
 ``hot_bytes`` of text) is cut into blocks, and each pair of blocks is a task's group of its own. A group gives
 the number of links of each member and a spanning forest of them, so the work grows with the pairs of
@@ -35,19 +35,26 @@ U64 = np.uint64
 _TOP = np.iinfo(np.uint64).max
 
 
+def labelled(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The hashes of (k-mer, occurrence) from those of the k-mers of each row in order; a first occurrence keeps its hash."""
+    order = np.argsort(textkit.mix(h + row.astype(U64) * U64(0x9E3779B97F4A7C15)), kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    heads = np.flatnonzero(new)
+    nth = np.empty(len(h), U64)
+    nth[order] = np.arange(len(h)) - np.repeat(heads, np.diff(np.concatenate([heads, [len(h)]])))
+    return np.where(nth == 0, h, textkit.mix(h + nth * U64(0xD6E8FEB86659FD93)))
+
+
 def sketch_slice(data: np.ndarray, offsets: np.ndarray, k: int, sketches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """uint64 sketches (rows, sketches) of one slice, zeros for rows without words; and the distinct k-mers and their rows."""
+    """uint64 sketches (rows, sketches) of one slice, zeros for rows without words; and the labelled k-mers and their rows."""
     starts, ends, rows = textkit.word_spans(data, offsets)
     counts = np.bincount(rows, minlength=len(offsets) - 1)
     h, row, _ = textkit.shingle_hashes(textkit.span_hashes(data, starts, ends), counts, k)
     out = np.zeros((len(offsets) - 1, sketches), U64)
     if not len(h):
         return out, h, row
-    # the first of equal k-mers of a row stays
-    order = np.argsort(textkit.mix(h + row.astype(U64) * U64(0x9E3779B97F4A7C15)), kind="stable")
-    first = np.ones(len(h), bool)
-    first[order[1:]] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-    found, row = h[first], row[first]
+    found = labelled(h, row)
     h = textkit.mix(found)
     heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     lengths = np.diff(np.concatenate([heads, [len(h)]]))
@@ -135,7 +142,7 @@ def band_of(all_of, least: float):
 def linked(kmers: list[np.ndarray], wanted: np.ndarray, least: float, label: np.ndarray, every: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(spanning links, links of each text) of the wanted pairs (i, j; a matrix) whose similarity is least or more.
 
-    Each text is given by its distinct k-mers in order. Texts of one label are known to be of one class; without ``every`` pairs whose
+    Each text is given by its labelled k-mers in order. Texts of one label are known to be of one class; without ``every`` pairs whose
     class is known already are left out, so a group of near copies costs one comparison a member.
     """
     sizes = np.array([len(x) for x in kmers])
@@ -197,7 +204,7 @@ def _verify_rows(k: int, least: float, every: bool):
                 wanted &= block[lo:hi][:, None] != block[lo:hi][None, :]
             if not wanted.any():
                 continue
-            pairs, degree = linked(distinct_kmers(own.column(8), k), wanted, least, label[lo:hi], every)
+            pairs, degree = linked(labelled_kmers(own.column(8), k), wanted, least, label[lo:hi], every)
             for i, j in pairs:
                 a.append(node[lo + i])
                 b.append(node[lo + j])
@@ -230,7 +237,7 @@ def _verify_rows(k: int, least: float, every: bool):
 
 
 def similarity(first: np.ndarray, second: np.ndarray, least: float) -> float:
-    """Ordered similarity of two texts' distinct k-mer hashes, in order of first occurrence; 0 where it is surely below least."""
+    """Ordered similarity of two texts' labelled k-mer hashes in order; 0 where it is surely below least."""
     if not len(first) or not len(second):
         return 0.0
     all_of = len(first) + len(second)
@@ -242,17 +249,15 @@ def similarity(first: np.ndarray, second: np.ndarray, least: float) -> float:
     return n / (all_of - n)
 
 
-def distinct_kmers(column: pa.Array, k: int) -> list[np.ndarray]:
-    """Each text's k-mer hashes, without repeats, in order of first occurrence."""
+def labelled_kmers(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Each text's hashes of (k-mer, occurrence), in order."""
     data, offsets = textkit.buffers(column)
     out = []
     for lo, hi in textkit.slices(offsets, 1 << 21):
         part, offs = textkit.documents(data, offsets, lo, hi)
         starts, ends, rows = textkit.word_spans(part, offs)
         h, row, _ = textkit.shingle_hashes(textkit.span_hashes(part, starts, ends), np.bincount(rows, minlength=hi - lo), k)
-        for own in np.split(h, np.searchsorted(row, np.arange(1, hi - lo))):
-            _, first = np.unique(own, return_index=True)
-            out.append(own[np.sort(first)])
+        out += np.split(labelled(h, row), np.searchsorted(row, np.arange(1, hi - lo)))
     return out
 
 
@@ -329,7 +334,7 @@ def _left_apart(members: DataFrame, classes: DataFrame, hot: int, hot_bytes: int
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 20, rows: int = 2, few: int = 20, hot: int = 1000) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (verified links of its text to other texts) of every row.
 
-    Null text is empty. Texts without words are linked to equal texts only. Classes are of texts: rows that share
+    Null text is empty; a text of any length is compared whole. Texts without words are linked to equal texts only. Classes are of texts: rows that share
     a doc_id or have none are told apart by their texts, and a class without any doc_id has a null class_id. Ties do
     not arise: classes are components. Other columns are ignored; no rows: no rows.
     """

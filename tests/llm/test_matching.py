@@ -46,8 +46,8 @@ def test_classes_match_brute_force(frame, words):
 
 
 def links(rows, least=0.8):
-    """doc_id -> the ids of other texts whose distinct k-mers agree in at least 0.8, in order."""
-    sets, out = {i: neardup.distinct_kmers(pa.array([t]), 5)[0] for i, t in rows}, {i: set() for i, _ in rows}
+    """doc_id -> the ids of other texts whose labelled k-mers agree in at least 0.8, in order."""
+    sets, out = {i: neardup.labelled_kmers(pa.array([t]), 5)[0] for i, t in rows}, {i: set() for i, _ in rows}
     for i, t in rows:
         for j, u in rows:
             if t != u and neardup.similarity(sets[i], sets[j], least) >= least:
@@ -79,6 +79,21 @@ def test_repeats_and_short_texts(frame, words):
     assert sum(truth.values()) > 100 and out == truth
 
 
+def test_repeats_count(frame, words):
+    """The same words more often are another text; a repeated text with an edit is a near copy."""
+    once = words(1, 12)
+    long = " ".join([words(2, 40)] * 10)
+    rows = [(1, " ".join([once] * 40)), (2, " ".join([once] * 2)), (3, long), (4, replaced(long, [385])), (5, " ".join([words(2, 40)] * 9))]
+    out = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(frame(rows)).collect()}
+    assert out == {1: (1, 0), 2: (2, 0), 3: (3, 2), 4: (3, 2), 5: (3, 2)}
+
+
+def test_labels():
+    h, row = np.array([5, 7, 5, 5, 7, 5], np.uint64), np.array([0, 0, 0, 0, 1, 1])
+    out = neardup.labelled(h, row).tolist()
+    assert out[0] == 5 and out[1] == 7 and out[4:] == [7, 5] and len(set(out)) == 4 and out[2] != out[3]
+
+
 def test_hot_group_is_split(frame, words):
     base = words(1, 150)
     rows = [(i, replaced(base, [i % 150])) for i in range(60)] + [(100 + i, words(50 + i, 80)) for i in range(10)]
@@ -247,3 +262,42 @@ def test_short_items(frame, spark, words):
     benchmark = spark.createDataFrame([(n, words(n, n)) for n in range(3, 10)], "item_id long, text string")
     out = {r.doc_id: [(x.item_id, x.n_tokens, x.n_equal) for x in r.leaks] for r in decontamination.find_leaks(frame(rows), benchmark).collect()}
     assert all((n, n, n) in out[n] for n in range(3, 10)) and (9, 9, 9) in out[20] and not {9} & {x[0] for x in out[21] + out[22]}
+
+
+def diagonals_one_by_one(index, texts):
+    found = set()
+    for r, toks in enumerate(texts):
+        for i, (_, item) in enumerate(index.items):
+            masks = decontamination.MASKS if len(item) >= decontamination.SPAN else ("1" * len(item),)
+            for mask in masks:
+                a, b = decontamination.seed_hashes(toks, mask).tolist(), decontamination.seed_hashes(item, mask).tolist()
+                found |= {(r, i, x - y) for x, h in enumerate(a) for y, g in enumerate(b) if h == g}
+    return sorted(found)
+
+
+def test_diagonals_of_repeats():
+    rng = np.random.default_rng(4)
+    same = lambda n: np.full(n, 7, np.uint64)
+    periodic = lambda n, p: np.arange(n, dtype=np.uint64) % np.uint64(p) + np.uint64(50)
+    items = [(1, same(40)), (2, periodic(60, 2)), (3, rng.integers(0, 2, 50).astype(np.uint64)), (4, same(5)), (5, periodic(31, 3)), (6, rng.integers(0, 900, 30).astype(np.uint64))]
+    texts = [same(90), np.concatenate([periodic(50, 2), same(20), periodic(40, 3)]), rng.integers(0, 2, 120).astype(np.uint64), np.zeros(0, np.uint64), items[5][1], same(3)]
+    index = decontamination.SeedIndex(items)
+    counts = np.array([len(t) for t in texts])
+    toks = np.concatenate(texts)
+    for heavy in (1, 50, 1 << 16):
+        index.HEAVY = heavy
+        got = index.diagonals(toks, np.repeat(np.arange(len(texts)), counts), np.cumsum(counts) - counts)
+        assert [tuple(x) for x in got.tolist()] == diagonals_one_by_one(index, texts)
+
+
+def test_long_repeats_take_seconds(frame):
+    import time
+    import tracemalloc
+
+    index = decontamination.SeedIndex([(1, np.full(1000, 7, np.uint64))])
+    tracemalloc.start()
+    began = time.time()
+    found = index.leaks(np.full(100_000, 7, np.uint64), np.array([100_000]), 20, 0.8)
+    assert time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert found == [(0, 1, 0, 20, 20)]
