@@ -146,3 +146,5 @@ SOURCE_EXTENSIONS = (
     "js", "mjs", "cjs", "jsx", "ts", "tsx", "py", "rb", "go", "rs", "java", "kt", "swift", "c", "h", "cc", "cpp", "hpp", "cs", "php",
     "scala", "ex", "exs", "erl", "clj", "hs", "ml", "zig", "dart", "vue", "svelte",
 )
+# Roles of directories that are left out on purpose, so their source files need no warning.
+DELIBERATE_ROLES = ("tests", "fixtures", "examples", "benchmarks", "generated", "vendored")

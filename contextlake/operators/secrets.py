@@ -99,14 +99,15 @@ def counters(guarded: DataFrame, excluded: DataFrame, samples: int = 5) -> dict:
     """What the guard did: exact counts, and up to five paths of each kind. guarded holds the files that stay, excluded the ledger."""
     kinds = {"secretFile": "excludedSecretFiles", "secretUnscannable": "excludedUnscannable", "secretDetected": "excludedWithSecrets"}
     out = {"findings": 0, "redacted": 0, "redactedPaths": [], **{k: 0 for k in kinds.values()}, **{f"{k}Paths": [] for k in kinds.values()}}
-    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("_k") <= samples, F.col("path")))), 1, samples)
     from pyspark.sql import Window
 
     rows = excluded.where(F.col("reason").isin(*kinds)).select("path", "reason", F.lit(0).alias("n"))
     if "findings" in guarded.columns:
         rows = rows.unionByName(guarded.where(F.size("findings") > 0).select("path", F.lit("redacted").alias("reason"), F.size("findings").alias("n")))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy("path")))
-    for r in rows.groupBy("reason").agg(F.count("*").alias("files"), F.sum("n").alias("n"), first.alias("paths")).collect():
+    # counts apart from samples: each task keeps its first few paths of a reason, so no task gets all files of one
+    shown = rows.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy("path"))).where(F.col("_k") <= samples)
+    shown = shown.groupBy("reason").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    for r in rows.groupBy("reason").agg(F.count("*").alias("files"), F.sum("n").alias("n")).join(shown, "reason", "left").collect():
         if r.reason == "redacted":
             out |= {"findings": r.n, "redacted": r.n, "redactedPaths": r.paths}
         else:

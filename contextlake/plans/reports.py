@@ -49,8 +49,8 @@ def explain(files: DataFrame, request: Request, layers: list[rules.Layer], selec
     wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in request.extensions]
     everything = "*" in [g.replace("**/*", "*") for g in request.profile_include]
     steps = [
-        step("containment", ~(F.startswith(path, F.lit("/")) | F.array_contains(F.split(path, "/"), "..")), path),
         step("hard-exclusion", ~rules.hard_excluded(path), F.lit(".git")),
+        step("containment", ~(F.startswith(path, F.lit("/")) | F.array_contains(F.split(path, "/"), "..")), path),
         step("scope", inside, F.lit(",".join(request.scopes))),
         step("ignore-rules", ~F.col("verdict.ignored") | F.col("forced"), F.concat_ws(" ", F.col("verdict.rule"), F.col("verdict.rule_source"), F.col("verdict.pruned_by"))),
         step("force-include", F.col("forced"), F.lit(",".join(request.forced_globs()))),
@@ -100,6 +100,52 @@ def rule_effects(spark, text: str, baseline: DataFrame, attributed: DataFrame) -
     return rows.select("line", "pattern", "negation", "matched", F.when(F.col("negation"), 0).otherwise(F.col("_r")).cast("bigint").alias("removed"), F.when(F.col("negation"), F.col("matched") - F.col("_r")).otherwise(0).cast("bigint").alias("re_included"))
 
 
+def _literal_keys(rule) -> list[str]:
+    """What a path must have for the rule to match: "/" and a segment, or "*" and the last extension of a segment. No key: nothing can be said."""
+    import re
+
+    segments = [s for s in rule.pattern.lstrip("!").strip("/").split("/") if s]
+    keys = ["/" + s for s in segments if not set(s) & set("*?[\\")]
+    ext = re.fullmatch(r"\*(\.[^*?\[\\.]+)", segments[-1]) if segments else None
+    return keys + (["*" + ext[1]] if ext else [])
+
+
+def rule_effects_by_key(spark, text: str, baseline: DataFrame, attributed: DataFrame) -> DataFrame:
+    """rule_effects() for any number of rules, with critical and source: how many of the removed files describe the project, or hold source outside of directories for tests, examples and the like.
+
+    An inverted index: rules are rows under a literal segment or extension that a path must have, the one of theirs that fewest files have, and files
+    meet a rule only under that key. Only rules without any literal are tried on every file, as columns in one pass. Rules that match
+    nothing have zeros; repeated paths count each, a null path none.
+    """
+    compiled = _compiled(text)
+    files = baseline.select("path").where("path IS NOT NULL").join(attributed.select("path").distinct().withColumn("_left", F.lit(True)), "path", "left").withColumn("_left", F.isnotnull("_left"))
+    segments = F.split("path", "/")
+    has = F.concat(F.transform(segments, lambda s: F.concat(F.lit("/"), s)), F.transform(segments, lambda s: F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[^.]*)$", 1))))
+    keyed = files.withColumn("key", F.explode(F.array_distinct(has)))
+    rows = [(n, r.pattern, r.regex, r.negated, r.directories_only, _literal_keys(r)) for n, r in compiled]
+    table = spark.createDataFrame([r for r in rows if r[5]], "line int, pattern string, regex string, negation boolean, directories boolean, keys array<string>")
+    wanted = table.select("line", F.explode("keys").alias("key"))
+    often = keyed.select("key").join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "key", "left").groupBy("line").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    up = F.concat(F.transform(paths.ancestors(F.col("path")), lambda d: F.struct(d.alias("p"), F.lit(True).alias("d"))), F.array(F.struct(F.col("path").alias("p"), F.lit(False).alias("d"))))
+    hit = F.exists(up, lambda x: (x["d"] | ~F.col("directories")) & F.regexp_like(x["p"], F.col("regex")))
+    critical = F.lower("path").isin(*C.CRITICAL_ROOT_FILES)
+    source = paths.extension(F.col("path")).isin(*[f".{e}" for e in C.SOURCE_EXTENSIONS]) & ~F.coalesce(paths.role_hint(F.col("path")).isin(*C.DELIBERATE_ROLES), F.lit(False))
+    sums = lambda on: [F.count_if(on).alias("matched"), F.count_if(on & ~F.col("_left")).alias("_r"), F.count_if(on & ~F.col("_left") & critical).alias("_c"), F.count_if(on & ~F.col("_left") & source).alias("_s")]
+    met = keyed.join(table.drop("keys").join(rarest, "line"), "key").where(hit).groupBy("line").agg(*sums(F.lit(True)))
+    loose = [(n, r) for n, r in compiled if not _literal_keys(r)]
+    if loose:
+        tried = lambda r: F.exists(up, lambda x: x["p"].rlike(r.regex) & (x["d"] if r.directories_only else F.lit(True)))
+        wide = files.agg(*[c.alias(f"{k}{n}") for n, r in loose for k, c in zip("mrcs", sums(tried(r)), strict=True)])
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("line"), F.col(f"m{n}").alias("matched"), F.col(f"r{n}").alias("_r"), F.col(f"c{n}").alias("_c"), F.col(f"s{n}").alias("_s")) for n, _ in loose]))
+        met = met.unionByName(wide.select(each.alias("x")).select("x.*"))
+    every = spark.createDataFrame([r[:2] + (r[3],) for r in rows], "line int, pattern string, negation boolean").join(met, "line", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    taken = lambda c: count(F.when(F.col("negation"), 0).otherwise(F.col(c)))
+    back = count(F.when(F.col("negation"), F.col("matched") - F.col("_r")))
+    return every.select("line", "pattern", "negation", count(F.col("matched")).alias("matched"), taken("_r").alias("removed"), back.alias("re_included"), taken("_c").alias("critical"), taken("_s").alias("source"))
+
+
 def _compiled(text: str):
     out = []
     for n, raw in enumerate(text.removeprefix("﻿").split("\n"), 1):
@@ -146,7 +192,7 @@ def check_rules(spark, text: str, baseline: DataFrame, attributed: DataFrame, ef
             if re.search(later.regex, probe) and (rule.directories_only or not later.directories_only) or (not later.negated and any(re.search(later.regex, d) for d in above)):
                 found.append((n, "RULE_CANCELLED" if later.negated else "RULE_SHADOWED", f"by line {later_line}"))
                 break
-    effects = {r.line: r for r in rule_effects(spark, text, baseline, attributed).collect()}  # a row for each line
+    effects = {r.line: r for r in rule_effects_by_key(spark, text, baseline, attributed).collect()}  # a row for each line
     for n, rule in compiled:
         effect = effects[n]
         if rule.negated and not effect.re_included:
@@ -157,12 +203,11 @@ def check_rules(spark, text: str, baseline: DataFrame, attributed: DataFrame, ef
             found.append((n, "RULE_MATCHES_NOTHING", "matches no path"))
         elif not rule.negated and not effect.removed:
             found.append((n, "RULE_REDUNDANT", "removes nothing that was not excluded before"))
-    removed = baseline.join(attributed.select("path"), "path", "left_anti")
-    critical, source = removed.agg(F.count(F.when(F.lower("path").isin(*C.CRITICAL_ROOT_FILES), 1)), F.count(F.when(paths.extension(F.col("path")).isin(*[f".{e}" for e in C.SOURCE_EXTENSIONS]), 1))).first()
-    if critical:
-        found.append((None, "CRITICAL_FILE_EXCLUDED", f"{critical} files that describe the project"))
-    if source:
-        found.append((None, "SOURCE_EXCLUDED", f"{source} source files"))
+    for n, rule in compiled:
+        if effects[n].critical:
+            found.append((n, "CRITICAL_FILE_EXCLUDED", f"{effects[n].critical} files that describe the project"))
+        if effects[n].source:
+            found.append((n, "SOURCE_EXCLUDED", f"{effects[n].source} source files"))
     summary = effective.summary()
     if not summary["selected"]:
         found.append((None, "EMPTY_SELECTION", "nothing is left"))

@@ -606,11 +606,11 @@ def rule_effects(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """, n AS (SELECT count(*) FILTER (regexp_matches(path, '/doc1[^/]*\\.log$') AND lang NOT IN ('de', 'fr')) AS kept, count(*) FILTER (ext = '.log') AS logs, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr,
-      count(*) FILTER (lang = 'fr' AND source = 'src1') AS one, count(*) FILTER (ext = '.py' AND lang IN ('de', 'fr')) AS py FROM files)
+      count(*) FILTER (lang = 'fr' AND source = 'src1') AS one, count(*) FILTER (ext = '.py' AND lang IN ('de', 'fr')) AS py, count(*) FILTER (ext = '.py' AND lang = 'de') AS de_py, count(*) FILTER (ext = '.py' AND lang = 'fr' AND source = 'src1') AS one_py FROM files)
     SELECT 4 AS line, 'DUPLICATE_RULE' AS code FROM n UNION ALL SELECT 6, 'RULE_SHADOWED' FROM n UNION ALL SELECT 8, 'RULE_CANCELLED' FROM n
     UNION ALL SELECT 2, 'RULE_MATCHES_NOTHING' FROM n UNION ALL SELECT 5, 'RULE_MATCHES_NOTHING' FROM n UNION ALL SELECT 8, 'RULE_MATCHES_NOTHING' FROM n UNION ALL SELECT 9, 'RULE_MATCHES_NOTHING' FROM n
     UNION ALL SELECT 1, 'RULE_MATCHES_NOTHING' FROM n WHERE logs = 0 UNION ALL SELECT 4, 'RULE_MATCHES_NOTHING' FROM n WHERE logs = 0 UNION ALL SELECT 3, 'RULE_MATCHES_NOTHING' FROM n WHERE de = 0
-    UNION ALL SELECT 6, 'RULE_MATCHES_NOTHING' FROM n WHERE one = 0 UNION ALL SELECT 7, 'RULE_MATCHES_NOTHING' FROM n WHERE fr = 0 UNION ALL SELECT NULL, 'SOURCE_EXCLUDED' FROM n WHERE py > 0 UNION ALL SELECT NULL, 'RULE_NOT_FOUND' FROM n"""
+    UNION ALL SELECT 6, 'RULE_MATCHES_NOTHING' FROM n WHERE one = 0 UNION ALL SELECT 7, 'RULE_MATCHES_NOTHING' FROM n WHERE fr = 0 UNION ALL SELECT 3, 'SOURCE_EXCLUDED' FROM n WHERE de_py > 0 UNION ALL SELECT 6, 'SOURCE_EXCLUDED' FROM n WHERE one_py > 0 UNION ALL SELECT 7, 'SOURCE_EXCLUDED' FROM n WHERE py > de_py UNION ALL SELECT NULL, 'RULE_NOT_FOUND' FROM n"""
 )
 def ignore_lint(spark: SparkSession, d: str) -> DataFrame:
     files = files_from_documents(spark, d).drop("content", "forced")
@@ -1063,3 +1063,18 @@ def default_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(n) for n in DEALT]), (number % len(DEALT) + 1).cast("int"))
     path = F.concat(F.lit("src/"), name, F.when(F.floor(number / len(DEALT)) % 2 == 0, "").otherwise("Q"))
     return rules.judge(files_from_documents(spark, d).select("doc_id", path.alias("path")), [rules.config_layer()]).select("doc_id", "path", "verdict.ignored")
+
+
+@query(
+    """, rules AS (SELECT CAST(i + 1 AS INT) AS line, CASE WHEN i % 7 = 0 THEN '!' ELSE '' END || 'doc' || i || '.' || (['md', 'py'])[CAST(i % 2 AS INT) + 1] AS pattern, i % 7 = 0 AS negation FROM range(5000) t(i))
+    , met AS (SELECT line, count(*) AS matched, count(*) FILTER (doc_id % 3 = 0) AS gone, count(*) FILTER (doc_id % 3 = 0 AND ext = '.py') AS py FROM rules JOIN files ON regexp_extract(path, '[^/]*$') = ltrim(pattern, '!') GROUP BY line)
+    SELECT line, pattern, negation, coalesce(matched, 0) AS matched, CASE WHEN negation THEN 0 ELSE coalesce(gone, 0) END AS removed, CASE WHEN negation THEN coalesce(matched - gone, 0) ELSE 0 END AS re_included,
+      CAST(0 AS BIGINT) AS critical, CASE WHEN negation THEN 0 ELSE coalesce(py, 0) END AS source FROM rules LEFT JOIN met USING (line)
+    UNION ALL SELECT 5001, 'corpus/en/**', false, count(*), count(*) FILTER (doc_id % 3 = 0), 0, 0, count(*) FILTER (doc_id % 3 = 0 AND ext = '.py') FROM files WHERE lang = 'en'
+    UNION ALL SELECT 5002, '*.p?', false, count(*), count(*) FILTER (doc_id % 3 = 0), 0, 0, count(*) FILTER (doc_id % 3 = 0) FROM files WHERE ext = '.py'"""
+)
+def rule_effects_many(spark: SparkSession, d: str) -> DataFrame:
+    """5,002 rules, each met only by paths that have its rarest literal segment."""
+    text_ = "\n".join(f"{'!' if i % 7 == 0 else ''}doc{i}.{('md', 'py')[i % 2]}" for i in range(5000)) + "\ncorpus/en/**\n*.p?"
+    files = files_from_documents(spark, d).drop("content")
+    return reports.rule_effects_by_key(spark, text_, files, files.where("doc_id % 3 <> 0"))

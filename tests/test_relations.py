@@ -133,3 +133,17 @@ def test_repeated_paths_are_files_of_their_own(spark, limit):
         assert chosen.selected.count() + chosen.excluded.count() == 4
     if limit is None:
         assert sorted(r.content for r in engine.scan(files, request, []).selected.collect()) == ["one", "seven", "three", "two"]
+
+
+def test_effects_by_key_equal_effects(spark):
+    rng = random.Random(3)
+    files = corpus(rng, 150) + ["package.json", "a/x.py", "a/x.py"]
+    text = "\n".join([*LINES, "*.py", "/package.json", "*.tar.gz", "a.b/", "**"])
+    baseline = spark.createDataFrame([(p, 1) for p in files], "path string, size long")
+    attributed = baseline.where("length(path) % 3 <> 0")
+    want = {r.line: tuple(r)[1:] for r in reports.rule_effects(spark, text, baseline.distinct(), attributed.distinct()).collect()}
+    got = {r.line: r for r in reports.rule_effects_by_key(spark, text, baseline.distinct(), attributed).collect()}
+    assert {n: tuple(r)[1:6] for n, r in got.items()} == want
+    line = text.split("\n").index("*.py") + 1
+    assert got[line].source == got[line].removed and got[text.split("\n").index("/package.json") + 1].critical == 1
+    assert reports.rule_effects_by_key(spark, "# none", baseline, attributed).count() == 0
