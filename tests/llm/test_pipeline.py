@@ -1,5 +1,7 @@
 """The pipeline on a small corpus with planted cases, and the SQL of the queries that have it."""
 
+import zlib
+
 import duckdb
 import pytest
 
@@ -44,7 +46,7 @@ def test_near_duplicates_without_or_with_shared_ids(spark, words):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = queries.QUERIES[name](spark, sf_dir)
     cursor = connection.execute(queries.ORACLES[name])
@@ -54,6 +56,23 @@ def test_sql(spark, sf_dir, name):
     assert sorted(map(plain, cursor.fetchall())) == sorted(map(plain, found.select(*columns).collect()))
 
 
+def test_registered_classifiers(spark, sf_dir):
+    """The queries' own parts: folds by crc32, one row for each document, predictions by the limit, and skill on what was held out."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    fold = lambda i, n: zlib.crc32(str(i).encode()) % n
+    out = queries.op8_language_id(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert all(r.held_out == (fold(r.doc_id, 3) == 1) and 0 <= r.score <= 1 for r in out)
+    known = [r for r in out if r.held_out and docs[r.doc_id].lang is not None and r.lang_pred != "und"]
+    assert known and sum(r.lang_pred == docs[r.doc_id].lang for r in known) >= 0.95 * len(known)
+    out = queries.op10_quality_classifier(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert all(r.held_out == (fold(r.doc_id, 5) == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in out)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [r for r in out if r.held_out and r.doc_id in labels]
+    assert held and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.8 * len(held)
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
