@@ -2,6 +2,9 @@
 
 run(spark, sf_dir) applies STAGES to ``documents``. Every stage's result is written as Parquet below
 the folder in ``spark.checkpoint.dir`` and read again, which cuts lineage and survives lost executors.
+
+All stages but the last return the columns of ``documents`` and drop any others, whatever their names. An empty table stays empty in every stage. A
+null text is an empty one, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no letters, or a score under LEAST_SCORE."""
+    """Documents without a recognised language go: no letters (also null and empty texts), or a score under LEAST_SCORE.
+
+    Rows with a null lang or doc_id are judged like others; of equal scores the first language by name counts; repeated rows all stay or go.
+    """
     found = language.identify(docs, docs.where("lang IS NOT NULL"), carry=("text", "lang", "source", "n_chars"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -42,21 +48,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that an earlier document has go; documents of which no word is left go too.
 
-    A character of which some bytes were removed goes whole.
+    A character of which some bytes were removed goes whole. A null doc_id is before all others; rows of equal doc_id do not take from each other.
     """
     found = suffixes.remove_repeats(docs, carry=("lang", "source"), whole_characters=True)
     return found.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with an item of ``benchmark`` go."""
+    """Documents that overlap with an item of ``benchmark`` go; repeated rows all stay or go, null and empty texts stay, null items match nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.find_leaks(docs, benchmark, carry=("lang", "source", "n_chars"), keep_text=True)
     return found.where(F.size("leaks") == 0).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; a null source is the last one, repeated rows are documents of their own."""
     return mixing.mix_sources(docs)
 
 
