@@ -19,10 +19,57 @@ def _class(pattern: str, i: int) -> tuple[str, int] | None:
     return f"[{'^/' if negated else ''}{body}]", end + 1
 
 
+def _group(pattern: str, i: int, marks: str = "(|)") -> tuple[list[str], int] | None:
+    """The alternatives of the group whose bracket opens at i, and where it ends; groups may hold groups and classes."""
+    opening, between, closing = marks
+    alternatives, start, depth = [], i + 1, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[" and (found := _class(pattern, i)):
+            i = found[1] - 1
+        elif pattern[i] == opening:
+            depth += 1
+        elif pattern[i] in (between, closing) and depth == 1:
+            alternatives.append(pattern[start:i])
+            start = i + 1
+            if pattern[i] == closing:
+                return alternatives, i + 1
+        elif pattern[i] == closing:
+            depth -= 1
+        i += 1
+    return None
+
+
+def _range(pattern: str, i: int) -> tuple[str, int] | None:
+    """The numbers or letters of {a..b} at i, and where it ends."""
+    found = re.match(r"\{(?:(-?\d+)\.\.(-?\d+)|([A-Za-z])\.\.([A-Za-z]))\}", pattern[i:])
+    if not found:
+        return None
+    low, high = (int(found[1]), int(found[2])) if found[1] else (ord(found[3]), ord(found[4]))
+    values = range(min(low, high), max(low, high) + 1)
+    return "(?:" + "|".join(str(v) if found[1] else chr(v) for v in values) + ")", i + found.end()
+
+
 def _body(pattern: str, braces: bool) -> str:
     out, i, depth = [], 0, 0
     while i < len(pattern):
         c = pattern[i]
+        if braces and c in "@?*+!" and pattern[i + 1 : i + 2] == "(" and (found := _group(pattern, i + 1)):
+            inner = "(?:" + "|".join(_body(a, braces) for a in found[0]) + ")"
+            if c == "!":  # anything in the segment, but not what an alternative and the rest would be
+                rest = _body(pattern[found[1] :], braces)
+                return "".join(out) + f"(?!{inner}{rest}$)[^/]*?{rest}"
+            out.append(inner + c.replace("@", ""))
+            i = found[1]
+            continue
+        if braces and c == "{" and (span := _range(pattern, i)):
+            out.append(span[0])
+            i = span[1]
+            continue
+        if braces and c == "{" and "!(" in pattern[i:] and (found := _group(pattern, i, "{,}")):
+            # what an exclusion looks ahead to goes on behind the braces, so each alternative is written out to the end
+            return "".join(out) + "(?:" + "|".join(_body(a + pattern[found[1] :], braces) for a in found[0]) + ")"
         if pattern.startswith("**", i):
             j = i
             while pattern[j : j + 1] == "*":
@@ -92,7 +139,7 @@ def ignore_rule(line: str) -> IgnoreRule | None:
 
 
 def glob_regex(pattern: str, dot: bool = True) -> str:
-    """A glob over whole paths, with braces and ``**``; without dot, no segment that a wildcard starts may begin with a dot."""
+    """A glob over whole paths, with braces, ranges {1..3}, groups @() ?() *() +() !() and ``**``; without dot, no segment that a wildcard starts may begin with a dot."""
     body = _body(pattern.removeprefix("./"), braces=True)
     if pattern.endswith("/**"):
         body = _body(pattern.removeprefix("./")[:-3], braces=True) + "(?:/.*)?"

@@ -1078,3 +1078,15 @@ def rule_effects_many(spark: SparkSession, d: str) -> DataFrame:
     text_ = "\n".join(f"{'!' if i % 7 == 0 else ''}doc{i}.{('md', 'py')[i % 2]}" for i in range(5000)) + "\ncorpus/en/**\n*.p?"
     files = files_from_documents(spark, d).drop("content")
     return reports.rule_effects_by_key(spark, text_, files, files.where("doc_id % 3 <> 0"))
+
+
+GROUPS = {"without": "**/!(doc1*).md", "one": "corpus/@(en|fr)/**", "some": "**/doc+([0-4]).*", "maybe": "**/src?(1)/*", "any_of": "**/doc*(7|8).txt", "range": "**/src{3..5}/*", "nested": "**/doc@(1+(2|3)|4).!(md|txt)"}
+
+
+@query(
+    """, named AS (SELECT path, ext, lang, source, regexp_extract(path, '[^/]*$') AS name FROM files)
+    SELECT path, ext = '.md' AND name NOT LIKE 'doc1%' AS without, lang IN ('en', 'fr') AS one, regexp_matches(name, '^doc[0-4]+[.]') AS some, source IN ('src', 'src1') AS maybe, regexp_matches(name, '^doc(7|8)*[.]txt$') AS any_of,
+      source IN ('src3', 'src4', 'src5') AS range, regexp_matches(name, '^doc(1[23]+|4)[.]') AND ext NOT IN ('.md', '.txt') AS nested FROM named"""
+)
+def glob_groups(spark: SparkSession, d: str) -> DataFrame:
+    return files_from_documents(spark, d).select("path", *[rules.matches_any(F.col("path"), (g,)).alias(name) for name, g in GROUPS.items()])

@@ -38,3 +38,13 @@ def test_glob_without_dot_hides_dotfiles():
 
 def test_include_lines():
     assert include_lines("x\n# c\n/y\n") == ["**/x", "**/x/**", "y", "y/**"]
+
+
+@pytest.mark.parametrize("glob,hits,misses", [
+    ("!(a).txt", ["b.txt", "aa.txt", ".txt"], ["a.txt", "a.md", "d/b.txt"]), ("@(a|b)/x", ["a/x", "b/x"], ["ab/x", "/x"]), ("x?(yz)", ["x", "xyz"], ["xy", "xyzyz"]), ("+(ab)c", ["abc", "ababc"], ["c", "abac"]),
+    ("*(ab)c", ["c", "ababc"], ["ac"]), ("{1..3}.md", ["1.md", "3.md"], ["4.md", "12.md"]), ("{c..a}", ["a", "b", "c"], ["d"]), ("{9..11}/*", ["10/x"], ["1/x"]), ("@(a|+(b|c)d)e", ["ae", "bcde"], ["be", "de"]),
+    ("**/!(*.test).js", ["a.js", "x/b.js"], ["a.test.js", "x/y.test.js"]), ("a(b)", ["a(b)"], ["ab"]), ("@(a", ["@(a"], ["a"]), ("!(a|b)/!(c)", ["x/d"], ["a/d", "x/c"]), ("@([)|]|x)", [")", "|", "x"], ["a"]), ("{!(a),a/b}.c", ["x.c", "a/b.c"], ["a.c", "x/b.c"]), ("{d,e}/!(f)", ["d/g", "e/g"], ["d/f", "c/g"]),
+])
+def test_groups(glob, hits, misses):
+    regex = re.compile(glob_regex(glob))
+    assert all(regex.search(h) for h in hits) and not any(regex.search(m) for m in misses)
