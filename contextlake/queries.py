@@ -15,7 +15,7 @@ from contextlake.functions.patterns import include_lines
 from contextlake.operators import aggregates, budgets, changes, content, ledger, order, rule_tables, rules, secrets
 from contextlake.plans import engine, reports
 from contextlake.request import Budget, Profile, Request, build_request
-from contextlake.sinks import render
+from contextlake.sinks import documents, render
 from contextlake.sinks.tree import tree_lines
 from contextlake.sources import scopes
 from contextlake.sources.tables import as_files, changes_from_labels, files_from_documents, files_from_pages
@@ -799,8 +799,8 @@ def secret_ledger(spark: SparkSession, d: str) -> DataFrame:
 )
 def document_lines(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{order.shared_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
-    render.write_chunks(_ranked(spark, d, contents=True), "ndjson", DOC, folder, 8)
-    return spark.read.text(folder).select(F.md5("value").alias("line"))
+    render.publish(_ranked(spark, d, contents=True), "ndjson", DOC, folder)
+    return documents.read_lines(spark, folder).select(F.md5("value").alias("line"))
 
 
 @query(
@@ -934,8 +934,8 @@ def rows_without_paths(spark: SparkSession, d: str) -> DataFrame:
 )
 def sarif_lines(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{order.shared_folder(spark).rstrip('/')}/document-{uuid.uuid4().hex}"
-    render.write_chunks(_ranked(spark, d, contents=True), "sarif", DOC, folder, 8)
-    return spark.read.text(folder).select(F.col("value").alias("line"))
+    render.publish(_ranked(spark, d, contents=True), "sarif", DOC, folder)
+    return documents.read_lines(spark, folder).select(F.col("value").alias("line"))
 
 
 @query("SELECT path FROM files WHERE NOT (ext = '.log' OR lang = 'de')")

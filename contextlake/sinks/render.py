@@ -1,7 +1,8 @@
 """Documents as chunks: every file's text is one row, made in the tasks; only headers are built on the driver.
 
 A document's chunks in the order of ``rank`` are the document. to_file() streams them through the driver one partition
-at a time; write_chunks() leaves the same document as text files of sorted ranges, for outputs that no one machine should hold.
+at a time; write_chunks() leaves the same document as text files of sorted ranges, for outputs that no one machine should hold,
+and publish() does so by a commit that replaces the last one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql.types import StringType
 
 from contextlake import constants as C
 from contextlake.functions import paths, text
+from contextlake.sinks import documents
 from contextlake.sinks.tree import tree_lines
 
 _FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -232,8 +234,8 @@ def to_file(files: DataFrame, output: str, doc: Document, target: str) -> int:
     return os.path.getsize(target)
 
 
-def write_chunks(files: DataFrame, output: str, doc: Document, folder: str, partitions: int = 200) -> None:
-    """The document of to_file() as text files in the order of their names, for outputs too large for one machine.
+def document_rows(files: DataFrame, output: str, doc: Document, partitions: int | None = None) -> DataFrame:
+    """The lines of to_file()'s document (value) in sorted partitions, as many as a shuffle has if not told, for outputs too large for one machine.
 
     Header, lines of the tree, chunks and footer are rows of one sorted frame; a row is its text without the last line end, which
     the text files add. Only counts and the header's own lines are made on the driver.
@@ -270,4 +272,16 @@ def write_chunks(files: DataFrame, output: str, doc: Document, folder: str, part
         parts.append(rows([(4, 0, "", end.removesuffix("\n"))]))
     whole = reduce(DataFrame.unionByName, parts)
     keys = ["part", "rank", "place"]
-    whole.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select("value").write.text(folder)
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select("value")
+
+
+def write_chunks(files: DataFrame, output: str, doc: Document, folder: str, partitions: int = 200) -> None:
+    """The document as text files in the order of their names, in a folder that is not there yet."""
+    document_rows(files, output, doc, partitions).write.text(folder)
+
+
+def publish(files: DataFrame, output: str, doc: Document, folder: str, partitions: int | None = None) -> dict:
+    """Replaces the document in folder in one step, once all its parts are written; a run that fails leaves the old one. What was committed."""
+    documents.commit_rows(document_rows(files, output, doc, partitions), folder)
+    return documents.describe(folder)
