@@ -20,6 +20,7 @@ from contextlake.sinks.tree import tree_lines
 from contextlake.sources import scopes
 from contextlake.sources.tables import as_files, changes_from_labels, files_from_documents, files_from_pages
 from contextlake.streaming import arrivals
+from contextlake.streaming import budgets as stream_budgets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -660,6 +661,23 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
+@query(
+    """WITH rows AS (SELECT event_type AS key, ts AS time, event_id AS id, CAST(octet_length(encode(props)) AS BIGINT) AS size, props, date_trunc('day', ts) AS period FROM events),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY key, period, props ORDER BY time, id) AS n FROM rows),
+    summed AS (SELECT *, CAST(coalesce(sum(CASE WHEN n = 1 THEN size ELSE 0 END) OVER (PARTITION BY key, period ORDER BY time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM nth)
+    SELECT key, time, id, size, used, CASE WHEN n > 1 THEN 'duplicate' WHEN used + size <= 300 THEN 'kept' WHEN used < 300 THEN 'truncated' ELSE 'dropped' END AS outcome FROM summed""",
+    files=False,
+)
+def arriving_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of properties that each kind of event may use in a day, decided as events arrive."""
+    # the table's files are in no order of time, so they arrive together
+    events = arrivals.read_events(spark, f"{d}/events.parquet*", per_batch=1_000_000)
+    stream = events.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("time"), F.col("event_id").alias("id"), F.octet_length("props").alias("size"), F.md5("props").alias("digest"))
+    folder = f"{order.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    found = stream_budgets.run_closed(stream, lambda s: stream_budgets.running_budget(s, 300, tick="6 hours"), f"{folder}/result", f"{folder}/progress")
+    return found.select("key", F.col("time").cast("timestamp_ntz").alias("time"), "id", "size", "used", "outcome")
+
+
 # --- rules, scopes and policies on made-up paths ----------------------------------------------------------------------------
 
 MADE_UP = ("node_modules/p/index.js", "src/app.min.js", ".env", ".env.example", ".github/ci.yml", "dist/a.txt", "src/.DS_Store", "src/ok.py", "a/b/vendor/x.go", "notes.log", "src/x.spec.ts", "tests/t.py", "src/.gitignore", "docs/read.me")
