@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 _ESCAPE = re.compile(r"<(%*)\|")
 _UNESCAPE = re.compile(r"<%(%*)\|")
 
-#: role machine: state -> {role: next state}; a conversation is valid if it ends in a state of FINAL
+#: role machine: state -> {role: next state}; a conversation is valid if it ends in a final state of its template
 TURN_ORDER = {
     "start": {"system": "primed", "user": "asked"},
     "primed": {"user": "asked"},
@@ -116,8 +116,8 @@ def digest_conversations(turns: DataFrame, template: Template = Template()) -> D
         done: list[tuple] = []
 
         def close() -> None:
-            n, turn_sum, loss, loss_sum, chars, ok, last = held
-            done.append((conv, n, turn_sum.hexdigest(), loss, loss_sum.hexdigest(), chars, ok and last in template.loss_roles))
+            n, turn_sum, loss, loss_sum, chars, ok, state = held
+            done.append((conv, n, turn_sum.hexdigest(), loss, loss_sum.hexdigest(), chars, ok and state in template.final))
 
         def out() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
@@ -130,7 +130,7 @@ def digest_conversations(turns: DataFrame, template: Template = Template()) -> D
                 if held is None or c != conv:
                     if held is not None:
                         close()
-                    conv, held = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, ""]
+                    conv, held = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, "start"]
                 formatted = "".join(s["text"] for s in marked)
                 role, text = read_turn(formatted, template)
                 held[0] += 1
@@ -142,7 +142,7 @@ def digest_conversations(turns: DataFrame, template: Template = Template()) -> D
                         held[3].update(plain.encode())
                 held[4] += len(formatted)
                 held[5] = held[5] and ok
-                held[6] = role
+                held[6] = template.order.get(held[6], {}).get(role, "invalid")
             if done:
                 yield out()
                 done.clear()
