@@ -36,9 +36,9 @@ def test_conversations(spark):
     assert chat.digest_conversations(turns.limit(0)).count() == 0
 
 
-def test_final_states_decide(frame):
+def test_final_states_decide(spark):
     order = chat.TURN_ORDER | {"asked": {"assistant": "answered", "tool": "called"}, "called": {"tool": "called", "assistant": "answered"}}
-    turns = frame([(1, 0, "user", "q"), (1, 1, "tool", "t"), (2, 0, "user", "q"), (2, 1, "tool", "t"), (2, 2, "assistant", "a"), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (3, 2, "user", "q")], "conv_id long, turn long, role string, text string")
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "tool", "t"), (2, 0, "user", "q"), (2, 1, "tool", "t"), (2, 2, "assistant", "a"), (3, 0, "user", "q"), (3, 1, "assistant", "a"), (3, 2, "user", "q")], "conv_id long, turn long, role string, text string")
     valid = lambda **more: {r.conv_id: r.valid for r in chat.digest_conversations(turns, chat.Template(order=order, **more)).collect()}
     assert valid(loss_roles=("assistant", "tool")) == {1: False, 2: True, 3: False}
     assert valid(final=("called", "asked")) == {1: True, 2: False, 3: True}
