@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contextlake.functions import paths
@@ -50,6 +50,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def observed(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, dict | None]:
+    """checkpointed(df) and aggregates over its rows, which the tasks that write it gather; None where Spark's plan kept no such step."""
+    watch = Observation()
+    out = checkpointed(df.observe(watch, *[value.alias(name) for name, value in metrics.items()]))
+    told = watch.get
+    return out, told if set(told) == set(metrics) else None
+
+
 def take_ranked(files: DataFrame, keys: list[Column], limit: int) -> DataFrame:
     """The first ``limit`` rows with rank from 1; at most ``limit`` rows meet in one task."""
     return files.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))

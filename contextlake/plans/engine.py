@@ -100,15 +100,24 @@ class Selection:
     selected: DataFrame
     excluded: DataFrame
     degradations: list[dict] = field(default_factory=list)
+    tally: dict | None = None  # the summary's counts, where the frames that were written gave them all
 
     def manifest(self) -> DataFrame:
         return self.selected.select("path", "size", outcome(self.selected).alias("outcome")).unionByName(self.excluded.select("path", "size", F.concat(F.lit("excluded:"), "reason").alias("outcome")))
 
-    def summary(self) -> dict:
-        """Counts of the selection; the three are counted apart, so candidates = selected + excluded is a check."""
-        count, size = self.selected.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        left = {r.reason: r.files for r in ledger.by_reason(self.excluded).collect()}
-        return {"candidates": self.candidates.count(), "selected": count, "bytes": size, "excluded": sum(left.values()), "byReason": left, "exactness": self.request.exactness(), "truncated": any(left[k] for k in ("fileCountBudget", "totalSizeBudget", "charBudget"))}
+    def summary(self, recount: bool = False) -> dict:
+        """Counts of the selection. They come from the metrics of the frames that the selection wrote, without a job, where those tell all.
+
+        Otherwise, and with recount, candidates, selected and excluded are counted apart, so candidates = selected + excluded is a check.
+        """
+        if self.tally and not recount:
+            candidates, count, size = (self.tally[k] for k in ("candidates", "selected", "bytes"))
+            left = {reason: self.tally["byReason"].get(reason, 0) for reason in C.REASONS}
+        else:
+            count, size = self.selected.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+            left = {r.reason: r.files for r in ledger.by_reason(self.excluded).collect()}
+            candidates = self.candidates.count()
+        return {"candidates": candidates, "selected": count, "bytes": size, "excluded": sum(left.values()), "byReason": left, "exactness": self.request.exactness(), "truncated": any(left[k] for k in ("fileCountBudget", "totalSizeBudget", "charBudget"))}
 
     def enforce(self, summary: dict | None = None) -> dict:
         """The summary, if no policy of the request fails."""
@@ -135,17 +144,34 @@ def outcome(files: DataFrame):
     return F.when(truncated, "truncated").when(rules.matches_any(F.col("path"), C.STRUCTURE_ONLY), "structure-only").when(content.extension_category(F.col("path")).isNotNull(), "binary-placeholder").otherwise("included")
 
 
+def _sums(kept: Column) -> dict[str, Column]:
+    """Metrics of the rows that stay."""
+    return {"selected": F.count(F.when(kept, 1)), "bytes": F.coalesce(F.sum(F.when(kept, F.col("size"))), F.lit(0))}
+
+
+def _narrowed(tally: dict | None, told: dict | None, reason: str) -> dict | None:
+    """The tally after a step that kept what told counts, all else going for one reason."""
+    if not (tally and told):
+        return None
+    return tally | {"selected": told["selected"], "bytes": told["bytes"], "byReason": tally["byReason"] | {reason: tally["selected"] - told["selected"]}}
+
+
 def select(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None, ignore_files: DataFrame | None = None) -> Selection:
     """Narrow, filter by changes, rank, and cut by count and size. Rows that share a path are files of their own."""
     meta = files.drop("content", "raw")
     # judged once, without contents: the ledger, the ranks and the summaries all read the result
-    found = order.checkpointed(discover(meta, layers, request, ignore_files).withColumn("_row", F.monotonically_increasing_id()))
+    kept = F.isnull("reason")
+    # counts of what is written are gathered as it is written
+    wanted = {"candidates": F.count("*")} | _sums(kept) | {reason: F.count(F.when(F.col("reason") == reason, 1)) for reason in C.REASONS}
+    found, told = order.observed(discover(meta, layers, request, ignore_files).withColumn("_row", F.monotonically_increasing_id()), wanted)
+    tally = told and {"candidates": told["candidates"], "selected": told["selected"], "bytes": told["bytes"], "byReason": {reason: told[reason] for reason in C.REASONS}}
     gone = [ledger.entries(found.where("reason IS NOT NULL"), F.col("reason"), F.col("rule"), F.col("rule_source"), F.col("is_directory"))]
     left = found.where("reason IS NULL").drop("reason", "rule", "rule_source", "is_directory")
     if request.git_filter and statuses is not None:
         changed = changes.change_set(statuses, request.git_filter)
         gone.append(ledger.entries(changes.dropped_by_changes(left, changed), "gitFilter"))
         left = changes.keep_changed(left, changed)
+        tally = None
     if statuses is not None or request.git_filter:
         left = changes.annotate(left, statuses)
     keys = order.sort_columns(request.sort, request.descending)
@@ -153,11 +179,13 @@ def select(files: DataFrame, request: Request, layers: list[rules.Layer], status
         ranked = order.rank_all(left, keys)
     else:
         # decided once: the ledger and the selection then agree on who is in
-        ranked = order.checkpointed(order.take_ranked(left, keys, request.max_files.value))
+        ranked, told = order.observed(order.take_ranked(left, keys, request.max_files.value), _sums(F.lit(True)))
+        tally = _narrowed(tally, told, "fileCountBudget")
         gone.append(ledger.entries(left.join(ranked.select("_row"), "_row", "left_anti"), "fileCountBudget", F.lit(f"maxFileCount:{request.max_files.value}")))
     if request.max_total_size.value is not None:
         # folded once: the ledger and the selection both read the result
-        ranked = order.checkpointed(budgets.greedy_size(ranked, request.max_total_size.value, request.keep_oversized_first))
+        ranked, told = order.observed(budgets.greedy_size(ranked, request.max_total_size.value, request.keep_oversized_first), _sums(F.col("fits")))
+        tally = _narrowed(tally, told, "totalSizeBudget")
         gone.append(ledger.entries(ranked.where(~F.col("fits")), "totalSizeBudget", F.lit(f"maxTotalSize:{request.max_total_size.value}")))
         ranked = ranked.where("fits").drop("fits")
     if request.redact:
@@ -165,8 +193,9 @@ def select(files: DataFrame, request: Request, layers: list[rules.Layer], status
         ranked = secrets.screen(ranked, request.secret_max_bytes, request.secret_oversize)
         gone.append(ledger.entries(ranked.where("secret_reason IS NOT NULL"), F.col("secret_reason")))
         ranked = ranked.where("secret_reason IS NULL").drop("secret_reason")
+        tally = None
     degraded = [{"stage": "changes", "message": "no change set was given, so none was applied"}] if request.git_filter and statuses is None else []
-    return Selection(request, meta, ranked.drop("_row"), ledger.merge(gone), degraded)
+    return Selection(request, meta, ranked.drop("_row"), ledger.merge(gone), degraded, tally)
 
 
 def plan(files: DataFrame, request: Request, layers: list[rules.Layer], statuses: DataFrame | None = None) -> Selection:

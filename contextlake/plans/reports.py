@@ -72,13 +72,19 @@ def explain(files: DataFrame, request: Request, layers: list[rules.Layer], selec
     return out.select("path", F.when(F.col("reason").isNull(), "selected").otherwise("excluded").alias("decision"), "reason", "steps", "trace")
 
 
-def parse_rules(spark, text: str) -> DataFrame:
-    """line, raw, pattern, negation of the rules of an ignore file."""
-    lines = [(n, raw) for n, raw in enumerate(text.removeprefix("﻿").split("\n"), 1)]
-    out = spark.createDataFrame(lines, "line int, raw string").withColumn("pattern", F.trim(F.regexp_replace("raw", "\r$", "")))
+def rule_lines(texts: DataFrame) -> DataFrame:
+    """line, raw, pattern, negation of every rule of the ignore files in ``text``, with the other columns; a null text has none."""
+    keys = [F.col(c) for c in texts.columns if c != "text"]
+    lines = texts.select(*keys, F.posexplode(F.split(F.regexp_replace("text", "^\ufeff", ""), "\n")).alias("line", "raw"))
+    out = lines.withColumn("line", F.col("line") + 1).withColumn("pattern", F.trim(F.regexp_replace("raw", "\r$", "")))
     return out.where((F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#"))).withColumn("negation", F.startswith("pattern", F.lit("!")))
 
 
+def parse_rules(spark, text: str) -> DataFrame:
+    """rule_lines() of one ignore file."""
+    return rule_lines(spark.createDataFrame([(text,)], "text string"))
+
+
 def rule_effects(spark, text: str, baseline: DataFrame, attributed: DataFrame) -> DataFrame:
     """line, pattern, negation, matched, removed, re_included of every rule, over all baseline files.
 

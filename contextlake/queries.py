@@ -621,9 +621,16 @@ def ignore_lint(spark: SparkSession, d: str) -> DataFrame:
     return reports.check_rules(spark, LINT_TEXT, files, attributed, engine.select(files, request, [layer]), focus="no/such/rule").select("line", "code")
 
 
-@query("SELECT 1 AS line, '*.log' AS pattern, false AS negation UNION ALL SELECT 2, '!doc1*.log', true UNION ALL SELECT 3, 'corpus/de/', false UNION ALL SELECT 4, '*.log', false UNION ALL SELECT 5, 'nothing/here', false", files=False)
+@query(
+    """, texts AS (SELECT doc_id, string_split('# ' || path || chr(10) || '  !' || source || '/ ' || chr(13) || chr(10) || content, chr(10)) AS lines FROM files),
+    each AS (SELECT doc_id, CAST(generate_subscripts(lines, 1) AS INT) AS line, trim(regexp_replace(unnest(lines), '\r$', '')) AS pattern FROM texts)
+    SELECT doc_id, line, md5(pattern) AS pattern, starts_with(pattern, '!') AS negation FROM each WHERE pattern <> '' AND NOT starts_with(pattern, '#')"""
+)
 def rule_lines(spark: SparkSession, d: str) -> DataFrame:
-    return reports.parse_rules(spark, RULES_TEXT).select("line", "pattern", "negation")
+    """Every document read as an ignore file, behind a comment and a negated rule."""
+    text_ = F.concat(F.lit("# "), "path", F.lit("\n  !"), F.split("path", "/")[2], F.lit("/ \r\n"), "content")
+    found = reports.rule_lines(files_from_documents(spark, d).select("doc_id", text_.alias("text")))
+    return found.select("doc_id", "line", F.md5("pattern").alias("pattern"), "negation")
 
 
 @query(VERDICT_SQL + "SELECT 'corpus/' AS area, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM verdicts WHERE rule[1] <> '!'")
@@ -734,9 +741,9 @@ def cleaned_text(spark: SparkSession, d: str) -> DataFrame:
     return files_from_documents(spark, d).select("path", posix.alias("posix"), F.md5(text.normalise_newlines(F.concat(c, F.lit("\r\nx\r")))).alias("lines"), F.md5(text.sanitize_xml(F.concat(c, F.lit("\x00x\x1f\x7f\t")))).alias("plain"))
 
 
-@query("SELECT path, CASE WHEN size >= 1048576 THEN regexp_replace(CAST(round(size / 1048576.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' PB' WHEN size >= 1024 THEN regexp_replace(CAST(round(size / 1024.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' TB' ELSE size || ' GB' END AS human FROM files WHERE size > 0")
+@query("SELECT path, CASE WHEN size >= 1048576 THEN regexp_replace(CAST(round(size / 1048576.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' PB' WHEN size >= 1024 THEN regexp_replace(CAST(round(size / 1024.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' TB' WHEN size > 0 THEN size || ' GB' ELSE '0 B' END AS human FROM files")
 def size_flavours(spark: SparkSession, d: str) -> DataFrame:
-    return files_from_documents(spark, d).where("size > 0").select("path", sizes.format_bytes(F.col("size") * 2**30, sizes.ALL_UNITS, 1).alias("human"))
+    return files_from_documents(spark, d).select("path", sizes.format_bytes(F.col("size") * 2**30, sizes.ALL_UNITS, 1).alias("human"))
 
 
 @query("SELECT path, size, hint FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'doc' || doc_id ELSE path END AS path, size, CASE doc_id % 4 WHEN 0 THEN 'project-config' END AS hint, doc_id FROM files) WHERE doc_id % 4 < 2")
@@ -822,14 +829,15 @@ def document_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, names AS (SELECT *, (['Alpha','alpha','beta','Beta','élan','Zeta','eland','zeta','_x','10'])[CAST(doc_id % 10 AS INT) + 1] || CASE WHEN doc_id % 2 = 0 THEN '/f' || doc_id ELSE '' END AS path2 FROM files WHERE doc_id < 10),
+    """, names AS (SELECT *, (['Alpha','alpha','beta','Beta','élan','Zeta','eland','zeta','_x','10'])[CAST(doc_id % 10 AS INT) + 1] || CASE WHEN doc_id % 2 = 0 THEN '/f' || doc_id ELSE '' END AS path2 FROM files),
     top AS (SELECT DISTINCT string_split(path2, '/')[1] AS name, contains(path2, '/') AS folder FROM names)
     SELECT name AS path, row_number() OVER (ORDER BY folder DESC, name COLLATE en, name) AS place FROM top"""
 )
 def tree_collation(spark: SparkSession, d: str) -> DataFrame:
     names = F.element_at(F.array(*[F.lit(n) for n in ("Alpha", "alpha", "beta", "Beta", "élan", "Zeta", "eland", "zeta", "_x", "10")]), (F.col("doc_id") % 10 + 1).cast("int"))
     path = F.concat(names, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/f"), "doc_id")).otherwise(F.lit("")))
-    lines = tree_lines(files_from_documents(spark, d).where("doc_id < 10").select(path.alias("path"), "size")).where("depth = 1")
+    files = files_from_documents(spark, d).groupBy(path.alias("path")).agg(F.sum("size").alias("size"))
+    lines = tree_lines(files).where("depth = 1")
     return lines.select("path", F.row_number().over(Window.orderBy("order_key")).alias("place"))
 
 
@@ -842,12 +850,17 @@ def scope_override(spark: SparkSession, d: str) -> DataFrame:
     return engine.discover(_made_up(spark, d), engine.layers_of(request), request).select("doc_id", "path", "reason")
 
 
-@query(", s AS (SELECT DISTINCT 'corpus/' || lang || '/' || source AS scope FROM files WHERE source IN ('src1', 'src2') UNION SELECT 'corpus/en') SELECT scope FROM s WHERE scope = 'corpus/en' OR NOT starts_with(scope, 'corpus/en/')")
+@query(
+    """, s AS (SELECT 'corpus/' || lang || '/' || source AS scope, lang FROM files UNION SELECT path, lang FROM files WHERE forced UNION SELECT * FROM (SELECT 'corpus/' || lang, lang FROM files GROUP BY lang HAVING sum(size) % 3 <> 1))
+    SELECT DISTINCT scope FROM s WHERE scope = 'corpus/' || lang OR ('corpus/' || lang NOT IN (SELECT scope FROM s) AND len(string_split(scope, '/')) = 3)"""
+)
 def scope_subsumption(spark: SparkSession, d: str) -> DataFrame:
-    files = files_from_documents(spark, d).where(F.col("path").rlike("/src[12]/"))
-    # a row for each directory of two sources
-    found = [r.scope for r in files.select(paths.dirname(F.col("path")).alias("scope")).distinct().collect()]
-    return spark.createDataFrame([(x,) for x in scopes.subsume(["corpus/en", *found])], "scope string")
+    """Scopes of every directory, of forced files in them, and of some of the directories above."""
+    files = files_from_documents(spark, d)
+    folder = paths.dirname(F.col("path"))
+    above = files.groupBy(paths.dirname(folder).alias("scope")).agg(F.sum("size").alias("bytes")).where("bytes % 3 <> 1").select("scope")
+    found = files.select(folder.alias("scope")).unionByName(files.where("forced").select(F.col("path").alias("scope"))).unionByName(above)
+    return scopes.subsume_rows(found)
 
 
 @query("SELECT path, regexp_matches(path, '(^|/)doc1[0-9]*\\.md$') OR starts_with(path, 'corpus/fr/src3/') OR source = 'src7' AS forced FROM files")
@@ -857,9 +870,9 @@ def force_include_file(spark: SparkSession, d: str) -> DataFrame:
     return files_from_documents(spark, d).select("path", wanted.alias("forced"))
 
 
-@query("SELECT DISTINCT 'corpus/' || lang || '/' || source AS path, CASE WHEN regexp_matches(source, '^src1[0-2]$') THEN 'src1[0-2]/' WHEN lang = 'de' AND source = 'src3' THEN '/corpus/de/src3/' WHEN lang = 'en' AND source = 'src5' THEN '/src5/' END AS rule FROM files WHERE source <> 'src19'")
+@query("SELECT DISTINCT 'corpus/' || lang || '/' || source AS path, CASE WHEN regexp_matches(source, '^src1[0-2]$') THEN 'src1[0-2]/' WHEN lang = 'de' AND source = 'src3' THEN '/corpus/de/src3/' WHEN lang = 'en' AND source = 'src5' THEN '/src5/' END AS rule FROM files")
 def probe_directories(spark: SparkSession, d: str) -> DataFrame:
-    folders = files_from_documents(spark, d).select(paths.dirname(F.col("path")).alias("path")).distinct().where(~F.endswith("path", F.lit("/src19")))
+    folders = files_from_documents(spark, d).select(paths.dirname(F.col("path")).alias("path")).distinct()
     return folders.select("path", rules.last_match(F.col("path"), True, LAYERS)["rule"].alias("rule"))
 
 
