@@ -9,11 +9,13 @@ the digests of open periods. One key's rows of one tick are decided in one task:
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +28,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 END = "9000-01-01 00:00:00"
 
 
+# Spark looks at a processor in a Python worker of the driver first, which does not get the session's shipped files
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class RunningBudget(StatefulProcessor):
     def __init__(self, budget: int, period: int, tick: int):
         """period and tick in milliseconds, a period being whole ticks."""
