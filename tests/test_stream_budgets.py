@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,71 @@ def test_many_rows_wait_for_one_tick(spark, tmp_path, monkeypatch):
     assert collected(found) == fold(rows, 20)
 
 
+class CountedHandle:
+    """State in dicts, with the number of calls."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def getMapState(self, *_):
+        return CountedState(self)
+
+    getValueState = getMapState
+
+    def registerTimer(self, _):
+        self.calls += 1
+
+
+class CountedState:
+    def __init__(self, handle):
+        self.handle, self.rows = handle, {}
+
+    def __getattribute__(self, name):
+        if name not in ("handle", "rows"):
+            object.__getattribute__(self, "handle").calls += 1
+        return object.__getattribute__(self, name)
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def exists(self):
+        return None in self.rows
+
+    def get(self):
+        return self.rows[None]
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def clear(self):
+        self.rows.clear()
+
+
+def test_calls_to_the_store_grow_with_values_not_with_rows():
+    """A tick of 6,000 rows, each of another digest and then each again, comes in 120 small batches in three triggers."""
+    handle, processor = CountedHandle(), budgets.RunningBudget(100, 86_400_000, 3_600_000)
+    processor.init(handle)
+    rows = [(i * 1000, i, 1, str(i % 3000)) for i in range(6000)]
+    frame = pd.DataFrame(rows, columns=["time", "id", "size", "digest"])
+    for trigger in range(3):
+        batches = [frame.iloc[lo : lo + 50] for lo in range(trigger * 2000, trigger * 2000 + 2000, 50)]
+        list(processor.handleInputRows(('["k"]', 0), iter(batches), None))
+    expired = type("Expired", (), {"getExpiryTimeInMs": lambda self: 3_600_000})()
+    out = pd.concat(processor.handleExpiredTimer(('["k"]', 0), None, expired))
+    expected = [(t, i, s, min(i, 3000), "duplicate" if i >= 3000 else "kept" if i < 100 else "dropped") for t, i, s, _ in rows]
+    assert list(out.drop(columns="key").itertuples(index=False, name=None)) == expected
+    assert handle.calls < 700
+
+
 def test_ticks_make_periods():
     with pytest.raises(ValueError):
         budgets.RunningBudget(1, 10, 3)
