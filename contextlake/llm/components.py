@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contextlake.llm.store import checkpointed
@@ -21,8 +21,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("beyond"))
-        moved = checkpointed(stepped.join(jump, "to", "left").select("id", "old", F.least("to", F.coalesce("beyond", "to")).alias("component")))
-        changed = moved.where("component <> old").count()
-        labels = moved.select("id", "component")
-        if not changed:
+        moved = stepped.join(jump, "to", "left").select("id", "old", F.least("to", F.coalesce("beyond", "to")).alias("component"))
+        seen = Observation()  # counted by the tasks that write the round
+        labels = checkpointed(moved.observe(seen, F.count_if(F.col("component") != F.col("old")).alias("changed"))).select("id", "component")
+        if not seen.get["changed"]:
             return labels

@@ -28,11 +28,19 @@ from contextlake.llm.store import checkpointed
 GOLDEN = (5**0.5 - 1) / 2
 #: above every number of blocks, so that its multiples modulo that number meet every block once
 PRIME = (1 << 61) - 1
+#: up to so many sources, tables with a row for each source are one partition: one task for each step instead of one for each shuffle partition
+FEW_SOURCES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Adds nth (from 0) and each named sum over the rows before, in an order that Spark sorts in ranges; one row for each range meets in a window."""
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column], few: bool = False) -> DataFrame:
+    """Adds nth (from 0) and each named sum over the rows before, in an order that Spark sorts in ranges; one row for each range meets in a window.
+
+    With few, the caller knows that the rows fit a task, and they are sorted in one.
+    """
+    if few:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.coalesce(1).select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(k) for k, c in ({"nth": F.lit(1).cast("long")} | sums).items()])
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("*", *[c.alias(f"_order{i}") for i, c in enumerate(order)], *[c.alias(f"_sum_{k}") for k, c in sums.items()])
     keys = [f"_order{i}" for i in range(len(order))]
@@ -46,19 +54,18 @@ def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> Da
     return here.select(*[c for c in rows.columns if not c.startswith(("_order", "_sum_"))], *[(F.col(k) + F.col(f"_{k}")).alias(k) for k in named])
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
-    """A row per source: source, ordinal, source_size, weight, target.
+def source_targets(by_source: DataFrame, weights: tuple[float, ...], budget: float, most: float, few: bool = False) -> DataFrame:
+    """A row per source: source, ordinal, source_size, weight, target. by_source has source and source_size, of few sources or many.
 
     Sources are ordered by code point, null last. The caps are met in closed form: by rising
     most*size/weight, a prefix of the sources is at its cap and the others share by weight.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = _before(by_source, [F.col("source").isNull(), F.col("source")], {}).withColumnRenamed("nth", "ordinal")
+    ranked = _before(by_source, [F.col("source").isNull(), F.col("source")], {}, few).withColumnRenamed("nth", "ordinal")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int"))
     ranked = checkpointed(ranked.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")))
     words, shares = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
     total = float(budget) * (words or 0)
-    rising = _before(ranked, [F.col("cap") / F.col("weight"), F.col("ordinal")], {"caps": F.col("cap"), "weights": F.col("weight")})
+    rising = _before(ranked, [F.col("cap") / F.col("weight"), F.col("ordinal")], {"caps": F.col("cap"), "weights": F.col("weight")}, few)
     level = (F.lit(total) - F.col("caps")) / (F.lit(shares or 0.0) - F.col("weights"))
     # the first source whose cap is above its level fixes the level of all after it
     free = rising.select("cap", "weight", "nth", level.alias("level")).where("cap > level * weight")
@@ -67,14 +74,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
     return ranked.select("source", "ordinal", "source_size", "weight", target.alias("target"))
 
 
-def with_slots(targets: DataFrame, block_words: int) -> DataFrame:
+def with_slots(targets: DataFrame, block_words: int, few: bool = False) -> DataFrame:
     """Adds words (of the mix), full (blocks of block_words words), blocks, slots, and first, the first of the source's points."""
     size, block = F.col("source_size"), F.lit(block_words)
     counted = targets.withColumns({"words": F.floor(F.col("target") + 0.5).cast("long"), "full": F.floor(size / block).cast("long"), "blocks": F.ceil(size / block).cast("long")})
     rounds, rest = F.expr("words div source_size"), F.expr("words % source_size")
     slots = F.when(size > 0, rounds * F.col("blocks") + F.ceil(rest / block)).otherwise(0).cast("long")
     counted = counted.withColumn("slots", slots)
-    return _before(counted, [F.col("ordinal")], {"first": F.col("slots")}).drop("nth")
+    return _before(counted, [F.col("ordinal")], {"first": F.col("slots")}, few).drop("nth")
 
 
 def times_modulo(a: Column, b: Column, m: Column) -> Column:
@@ -155,10 +162,14 @@ def mix_sources(
     """
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = checkpointed(sizes)  # the texts are read once
-    targets = checkpointed(with_slots(source_targets(sizes, weights, budget, most), block_words))
-    taken = taken_blocks(mix_schedule(targets, run_slots), targets, block_words)
+    by_source = checkpointed(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    few = by_source.count() <= FEW_SOURCES
+    targets = checkpointed(with_slots(source_targets(by_source, weights, budget, most, few), block_words, few))
+    # written, so that no plan has all steps and none runs again for the pieces
+    taken = checkpointed(taken_blocks(mix_schedule(targets, run_slots), targets, block_words))
     facts = targets.select(F.col("source").alias("t_source"), "ordinal", "source_size", "target")
     placed = _streams(sizes, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), ranges).join(facts, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    placed = checkpointed(placed)
     # a document's pieces, one for each block that it overlaps; runs of whole blocks stay apart so joins are by (source, block)
     end = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select("doc_id", "source", "ordinal", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))

@@ -307,7 +307,9 @@ def text_classes(docs: DataFrame, k: int = 5, least: float = 0.8, bands: int = 2
         apart = _left_apart(members.where("blocks > 1"), classes, hot, hot_bytes)
         if apart.head(1):
             more = verified(apart, F.when(F.col("block") < F.col("blocks"), F.sequence(F.col("blocks"), F.col("all_blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
-            classes = connected_components(met.select("a", "b").unionByName(more.select("a", "b"))).withColumnRenamed("id", "node")
+            # known classes are stars, which take fewer rounds than the links that made them
+            stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            classes = connected_components(stars.unionByName(more.select("a", "b"))).withColumnRenamed("id", "node")
     named = classes.join(placed.select("node", "rep"), "node")
     named = classes.join(named.groupBy("component").agg(F.min("rep").alias("class_id")), "component")
     degree = met.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))

@@ -360,3 +360,26 @@ def test_golden_step(spark, points):
     places = [0, 1, points // 2, points - 1]
     got = spark.createDataFrame([(p,) for p in places], "p long").select(mixing.times_modulo(F.col("p"), F.lit(step), F.lit(points)).alias("q")).collect()
     assert [r.q for r in got] == [p * step % points for p in places]
+
+
+def test_tables_of_few_sources_are_one_partition(spark):
+    """With 50 shuffle partitions, steps over sources are a task each; plans are cut, so none has all steps."""
+    docs = spark.createDataFrame([(i, "w " * (i % 90), f"s{i % 7}") for i in range(400)], "doc_id long, text string, source string")
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    tracker, group = spark.sparkContext.statusTracker(), "few sources"
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        out = mixing.mix_sources(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        taken = sum(r.taken for r in out.collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert abs(taken - 1.5 * sum(i % 90 for i in range(400))) <= 7
+    assert plan.count("Exchange") <= 12 and tasks <= 1300
