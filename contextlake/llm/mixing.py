@@ -114,7 +114,7 @@ def mix_schedule(targets: DataFrame, run_slots: int = 65536) -> DataFrame:
     before = Window.partitionBy("ordinal").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("ordinal", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("ordinal", "run").orderBy("slot")) - 1
-    return dealt.withColumn("inside", inside).join(counts, ["ordinal", "run"]).select("ordinal", "slot", (F.col("base") + F.col("inside")).alias("rank"))
+    return dealt.withColumn("inside", inside).join(counts.hint("merge"), ["ordinal", "run"]).select("ordinal", "slot", (F.col("base") + F.col("inside")).alias("rank"))
 
 
 def taken_blocks(schedule: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
@@ -175,8 +175,9 @@ def mix_sources(
     pieces = placed.where("size > 0").select("doc_id", "source", "ordinal", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     low = F.col("block") * block_words
     shared = lambda upto: F.greatest(F.lit(0), F.least(end, low + upto) - F.greatest(F.col("start"), low))
-    got = pieces.join(taken, ["ordinal", "block"]).groupBy("ordinal", "start").agg(F.sum(shared(F.lit(block_words)) * F.col("times") + shared(F.col("part"))).alias("taken"))
+    # both grow with the words; Spark estimates them from the few sources that slots are made of, and would broadcast them
+    got = pieces.join(taken.hint("merge"), ["ordinal", "block"]).groupBy("ordinal", "start").agg(F.sum(shared(F.lit(block_words)) * F.col("times") + shared(F.col("part"))).alias("taken"))
     empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    full = placed.where("size > 0").join(got, ["ordinal", "start"], "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
+    full = placed.where("size > 0").join(got.hint("merge"), ["ordinal", "start"], "left").withColumn("taken", F.coalesce(F.col("taken"), F.lit(0)).cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return full.select(*cols).unionByName(empty.select(*cols))
