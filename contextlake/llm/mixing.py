@@ -117,10 +117,15 @@ def mix_schedule(targets: DataFrame, run_slots: int = 65536) -> DataFrame:
     return dealt.withColumn("inside", inside).join(counts.hint("merge"), ["ordinal", "run"]).select("ordinal", "slot", (F.col("base") + F.col("inside")).alias("rank"))
 
 
-def taken_blocks(schedule: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
+def _beside(facts: DataFrame, few: bool) -> DataFrame:
+    """facts, a row for each source, to be joined to rows that grow with the words: Spark estimates both from the sources, and would broadcast either."""
+    return F.broadcast(facts) if few else facts.hint("merge")
+
+
+def taken_blocks(schedule: DataFrame, targets: DataFrame, block_words: int, few: bool = False) -> DataFrame:
     """(ordinal, block, times, part): how often slots take the whole block, and of how many of its words one takes the first."""
     facts = targets.select("ordinal", "source_size", "words", "full", "blocks", "slots")
-    dealt = schedule.join(facts, "ordinal").withColumn("nth", F.expr("rank % blocks"))
+    dealt = schedule.join(_beside(facts, few), "ordinal").withColumn("nth", F.expr("rank % blocks"))
     # full blocks in shuffled order, then the shorter one
     block = F.when(F.col("nth") < F.col("full"), times_modulo(F.col("nth"), F.expr(f"{PRIME}L % full"), F.col("full"))).otherwise(F.col("full"))
     rest = F.expr(f"words % source_size - nth * {block_words}")
@@ -140,7 +145,7 @@ def _streams(sizes: DataFrame, order_key: Column, ranges: int) -> DataFrame:
     sums = sums.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*key).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = keyed.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
+    out = keyed.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
     return out.withColumn("start", F.col("base") + F.col("inside")).drop("s_source", "s_range", "base", "inside", "key", "range")
 
 
@@ -166,9 +171,9 @@ def mix_sources(
     few = by_source.count() <= FEW_SOURCES
     targets = checkpointed(with_slots(source_targets(by_source, weights, budget, most, few), block_words, few))
     # written, so that no plan has all steps and none runs again for the pieces
-    taken = checkpointed(taken_blocks(mix_schedule(targets, run_slots), targets, block_words))
+    taken = checkpointed(taken_blocks(mix_schedule(targets, run_slots), targets, block_words, few))
     facts = targets.select(F.col("source").alias("t_source"), "ordinal", "source_size", "target")
-    placed = _streams(sizes, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), ranges).join(facts, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    placed = _streams(sizes, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), ranges).join(_beside(facts, few), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     placed = checkpointed(placed)
     # a document's pieces, one for each block that it overlaps; runs of whole blocks stay apart so joins are by (source, block)
     end = F.col("start") + F.col("size")

@@ -384,3 +384,21 @@ def test_tables_of_few_sources_are_one_partition(spark):
     assert abs(taken - 1.5 * sum(i % 90 for i in range(400))) <= 7
     assert plan.count("Exchange") <= 12 and tasks <= 1300
     assert "Broadcast" not in plan  # blocks and pieces grow with the words
+
+
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_slots_and_documents_are_not_broadcast(spark, monkeypatch, few):
+    """Slots and documents are joined to facts of sources: only those may be broadcast, and only of few sources. Spark took the slots, 28 million over 4 GB."""
+    docs = spark.createDataFrame([(i, "w " * (i % 90), f"s{i % 7}") for i in range(400)], "doc_id long, text string, source string")
+    kept, plans = mixing.checkpointed, {}
+
+    def seen(df):
+        plans[frozenset(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df)
+
+    monkeypatch.setattr(mixing, "checkpointed", seen)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    assert abs(sum(r.taken for r in mixing.mix_sources(docs).collect()) - 1.5 * sum(i % 90 for i in range(400))) <= 7
+    for key in ("times", "start"):
+        [plan] = [p for c, p in plans.items() if key in c]
+        assert "BuildLeft" not in plan and plan.count("BroadcastExchange") == (1 if few else 0)
