@@ -25,10 +25,14 @@ def estimate_tokens(chars: Column) -> Column:
     return F.when(chars > 0, F.ceil(chars / C.CHARS_PER_TOKEN)).otherwise(F.lit(0)).cast("bigint")
 
 
+def number_lines(text: Column) -> Column:
+    """``%4d: `` before every line; an empty text is one empty line."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.format_string(C.LINE_NUMBER_FORMAT, i + 1), line)), "\n")
+
+
 def add_line_numbers(text: Column) -> Column:
-    """``%4d: `` before every line; an empty text stays empty."""
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.format_string(C.LINE_NUMBER_FORMAT, i + 1), line))
-    return F.when(text == "", text).otherwise(F.array_join(lines, "\n"))
+    """number_lines() as outputs have it: an empty text stays empty."""
+    return F.when(text == "", text).otherwise(number_lines(text))
 
 
 def truncate_string(text: Column, limit: int) -> Column:

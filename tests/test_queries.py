@@ -32,6 +32,17 @@ def test_query(spark, duck, sf_dir, name):
         assert got == rows([c[0] for c in cursor.description], cursor.fetchall())
 
 
+def test_line_numbers_of_odd_texts(spark, tmp_path):
+    """An empty text is one empty line, as in the SQL; null stays null."""
+    texts = ["", None, "\n", "a\r\nb", "a\n\n", "x\n" * 10001]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(path)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = dict(connection.execute(queries.ORACLES["line_numbers"]).fetchall())
+    assert {r.path: r.numbered for r in queries.QUERIES["line_numbers"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
